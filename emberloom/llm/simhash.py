@@ -308,7 +308,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words_per_shingle
 
 
 def keep_one_of_each(docs: DataFrame, distance: int = DISTANCE, words_per_shingle: int = 3) -> DataFrame:
-    """The rows whose ``doc_id`` is the smallest of its component; of repeated rows, each stays only once."""
+    """The document with the smallest ``doc_id`` of each component, once; rows without an id cannot be told apart
+    by one, and all stay."""
     found = near_duplicates(docs, distance, words_per_shingle)
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    ids = scratch.stash(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
+    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
