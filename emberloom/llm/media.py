@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberloom.llm.bpe import blocks
+from emberloom.llm.bpe import blocks, sizes
 
 UNIT = 576
 #: Blocks in a row of an image made by encode_payload, and the rows of one frame at most (65535 pixels).
@@ -344,9 +344,8 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in blocks([len(t or "") for t in texts], BATCH_BYTES):
-                raw = [(t or "").encode() for t in texts[part]]
+            for part in blocks(sizes(batch.column(1)), BATCH_BYTES):
+                raw = [(t or "").encode() for t in batch.column(1)[part].to_pylist()]
                 media = [encode_payload(r + b"\xff" * (-len(r) % UNIT if r else UNIT)) for r in raw]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -376,12 +375,13 @@ def read(stored: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, sizes, media = (batch.column(i).to_pylist() for i in range(3))
-            for part in blocks([len(m) for m in media], BATCH_BYTES):
-                images = [decode(m) for m in media[part]]
+            ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in blocks(sizes(batch.column(2)), BATCH_BYTES):
+                media = batch.column(2)[part].to_pylist()
+                images = [decode(m) for m in media]
                 decode_thumbnails([i for one in images for i in one])
                 rows = []
-                for doc_id, n, m, one in zip(ids[part], sizes[part], media[part], images, strict=True):
+                for doc_id, n, m, one in zip(ids[part], lengths[part], media, images, strict=True):
                     payload = b"".join(i.thumbnail.tobytes() for i in one)
                     whole = np.concatenate([i.thumbnail for i in one])
                     rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), f"{average_hash(whole):016x}", one[0].width, sum(i.height for i in one)))

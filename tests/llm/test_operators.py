@@ -1,0 +1,376 @@
+"""The training-data operators against brute force, round trips and held-out labels, on small tables."""
+
+import base64
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from emberloom.llm import bpe, brown, components, decontam, linededup, media, quality, simhash, tokenbin, urlfilter, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
+NAMES = ["the", "Erin", "that,", "of", "ouent.", "and", "là", "über", "x1", "no!", "a"]
+
+
+def some_texts(n, seed=3):
+    dice = random.Random(seed)
+    made = [" ".join(dice.choices(NAMES, k=dice.randint(1, 60))) for _ in range(n)]
+    return made + ["", None, "  two  spaces\n\n\nlines \n ", made[0], "long" * 5000, made[1] + " tail"]
+
+
+def table(spark, texts, extra=False):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(None, "no id", "en", "s", 5), (0, texts[0], "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("fp", "ids", "d", "h", "row", "key", "word", "part") if extra else ():
+        df = df.withColumn(name, F.lit(1))
+    return df
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, some_texts(60), extra=True).cache()
+
+
+@pytest.fixture(scope="module")
+def local(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_byte_bpe_is_tiktokens(docs, local, spark):
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    want = Counter()
+    for i, t in local:
+        ids = np.array(coder.encode_ordinary(t or ""), "<u4")
+        want[i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert Counter(map(tuple, bpe.digests(docs, RANKS, P.PATTERN).collect())) == want
+    assert bpe.digests(empty(spark), RANKS, P.PATTERN).count() == 0
+
+
+def test_byte_bpe_of_odd_characters():
+    coder = bpe.Coder(bpe.load_ranks(RANKS), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    dice, some = random.Random(1), " \n\t\r\x1c\x85\xa0 a'bstrevlmd1²٣é𝒳!?.​\x01"
+    texts = ["".join(dice.choices(some, k=dice.randint(0, 40))) for _ in range(800)] + ["ab" * 700, "a" * 999]
+    ids = coder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode_ordinary(t) for t in texts]
+    assert coder.decode(ids) == [t.encode() for t in texts]
+
+
+def test_token_files_round_trip(docs, local, spark):
+    coder = tokenbin.WordCoder(WORDS)
+    want, start = [], 0
+    for i, t in sorted(local, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        ids = coder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = tokenbin.offsets_and_digests(docs, WORDS, 1).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    assert tokenbin.offsets_and_digests(empty(spark), WORDS, 1).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 7, 8, 16, 17, 31])
+def test_bit_packing(bits):
+    ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype(np.uint32)
+    packed = tokenbin.pack(ids, bits)
+    assert len(packed) == -(-1001 * bits // 8)
+    assert (tokenbin.unpack(packed, bits, 0, 1001) == ids).all()
+    assert (tokenbin.unpack(packed, bits, 333, 50) == ids[333:383]).all()
+
+
+def test_token_words_are_the_librarys():
+    coder, dice, some = tokenbin.WordCoder(WORDS), random.Random(2), " \n\t\r\x1c\x85\xa0a'bstREVlmdIİΣ1²é𝒳!?.,​̇\"$%|<"
+    texts = ["".join(dice.choices(some, k=dice.randint(0, 30))) for _ in range(1500)] + ["x <|endoftext|> y", "<|EndOfText|>", "Word, word"]
+    want = [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want
+
+
+def naive_fingerprint(text, n=3):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def naive_components(nodes, near):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if near(a, b):
+                a1, b1 = find(a), find(b)
+                root[max(a1, b1)] = min(a1, b1)
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash_against_all_pairs(spark):
+    dice = random.Random(5)
+    texts = some_texts(40)
+    for t in texts[:12]:
+        for _ in range(3):
+            words = (t or "").split()
+            words[dice.randrange(len(words))] = "new"
+            texts.append(" ".join(words))
+    docs = table(spark, texts)
+    rows = [(r.doc_id, naive_fingerprint(r.text)) for r in docs.collect()]
+    prints = sorted({f for _, f in rows})
+    root = naive_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    low = {}
+    for i, f in rows:
+        if i is not None:
+            low[root[f]] = min(i, low.get(root[f], i))
+    got = simhash.near_duplicates(docs).collect()
+    assert Counter(map(tuple, got)) == Counter((i, f"{f:016x}", low.get(root[f])) for i, f in rows)
+    kept = [r.doc_id for r in simhash.keep_one_of_each(docs).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(low.values())) and kept.count(None) == 1
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_hot_bucket_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
+    dice = random.Random(6)
+    base = dice.getrandbits(62)
+    some = sorted({base ^ (1 << dice.randrange(62)) ^ (1 << dice.randrange(62)) ^ (1 << dice.randrange(62)) ^ (1 << dice.randrange(62)) for _ in range(150)})
+    nodes = spark.createDataFrame([(x,) for x in some], "fp long")
+    groups = [list(range(16 * i, 16 * i + 16)) for i in range(4)]
+    for thresholds in ([0, 0, 0, 0], [1, 1, -1, -1]):
+        edges = simhash.links(nodes, groups, thresholds).collect()
+        root = naive_components(some, lambda a, b: (a ^ b).bit_count() <= 3)
+        links = {(e.a, e.b) for e in edges}
+        assert all((a ^ b).bit_count() <= 3 for a, b in links)
+        assert naive_components(some, lambda a, b: (a, b) in links or (b, a) in links) == root
+
+
+def test_allocation_covers_the_distance():
+    chosen = simhash.allocate(np.array([[5.0, 50, 500], [5, 50, 500], [900, 9000, 90000], [1, 2, 500]]), 3)
+    assert sum(t + 1 for t in chosen) == 4 and chosen[2] == -1
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(0, 20)] + [(100, i) for i in range(101, 140)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(100, 140), 100)}
+
+
+def test_brown_counts_and_probability(spark, docs, local, monkeypatch):
+    monkeypatch.setattr(brown, "DICTIONARY", 6)
+    monkeypatch.setattr(brown, "CLUSTERED", 4)
+    monkeypatch.setattr(brown, "CLASSES", 2)
+    c = Counter()
+    for i, t in local:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(brown.tokens(t or ""))
+            c[brown.END] += 1
+    total, distinct = sum(c.values()), len(c)
+    want = Counter()
+    for i, t in local:
+        words = [*brown.tokens(t or ""), brown.END]
+        base = sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in words)
+        want[i, None if i is None else zlib.crc32(str(i).encode()) % 7 == 2, len(words), sum(c[w] > 0 for w in words), total, round(base, 6)] += 1
+    got = brown.scores(docs).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert brown.scores(empty(spark)).count() == 0
+
+
+def test_brown_model_is_a_distribution_and_exchange_helps():
+    dice = np.random.default_rng(0)
+    counts = np.zeros((10, 10), np.int64)
+    for a, b in dice.integers(0, 8, (4000, 2)):
+        counts[a, (b // 2) * 2 + (a + 1) % 2] += 1  # odd words follow even ones
+    counts[9, 8] = counts[8, 9] = 5
+    label = brown.exchange(counts, classes=2)
+    assert sorted(map(sorted, ([i for i in range(8) if label[i] == k] for k in (0, 1)))) == [[0, 2, 4, 6], [1, 3, 5, 7]]
+    number = {bytes([97 + i]): i for i in range(8)}
+    top = [(w, int(counts[:, i].sum())) for w, i in number.items()] + [(b"rare", 3), (b"rarer", 2)]
+    model = brown.Model(4010, 11, top, 5, number, label, counts)
+    emission = {}
+    for c, e in zip(model.classes, model.emission, strict=True):
+        emission[c] = emission.get(c, 0) + 10**e
+    assert np.allclose([emission[0], emission[1]], 1) and np.allclose((10**model.transition).sum(axis=1), 1, atol=1e-3)
+
+
+def test_brown_beats_the_unigram_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = brown.scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert (found.predicted == found.quality).mean() > 0.95 and found.score.between(0, 1).all()
+    kept = quality.keep_good(docs.withColumn("score", F.lit("mine")), labels)
+    assert kept.columns == [*docs.columns, "score"] and 0 < kept.count() < docs.count()
+
+
+def test_quality_without_pairs_keeps_all(spark, docs):
+    labels = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    assert quality.keep_good(docs, labels).count() == docs.count()
+    assert quality.scores(empty(spark), labels).count() == 0
+
+
+def test_jpeg_payload_round_trip(docs, local, spark):
+    want = Counter()
+    for i, t in local:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])] += 1
+    got = media.media_columns(docs).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    assert media.media_columns(empty(spark)).count() == 0
+
+
+def test_jpeg_of_more_than_one_frame():
+    payload = np.random.default_rng(1).integers(0, 256, 576 * 350, dtype=np.uint8).tobytes()
+    images = media.decode(media.encode_payload(payload))
+    media.decode_thumbnails(images)
+    assert len(images) == 2 and b"".join(i.thumbnail.tobytes() for i in images) == payload
+
+
+def test_jpeg_with_colour_and_ac_values():
+    """A 32 x 16 image, luminance sampled twice as finely, with AC values and without restart markers."""
+    dc, ac = [(0, 2), (4, 2), (7, 3)], [(0x00, 2), (0x32, 2), (0xF0, 3), (0x81, 3)]
+    spec = lambda rows: bytes([sum(n == k for _, n in rows) for k in range(1, 17)]) + bytes(s for s, _ in rows)
+    code = lambda rows: {s: format(c, f"0{n}b") for s, c, n in media._codes([sum(m == k for _, m in rows) for k in range(1, 17)], [s for s, _ in rows])}
+    dcs, acs, bits, last = code(dc), code(ac), "", {0: 0, 1: 0, 2: 0}
+    means = {0: [10, 10, 0, 90, 90, 90, 0, 10], 1: [0, 12], 2: [9, 9]}
+    at = {0: 0, 1: 0, 2: 0}
+    for _ in range(2):
+        for c in (0, 0, 0, 0, 1, 2):
+            d = means[c][at[c]] - last[c]
+            last[c], at[c] = means[c][at[c]], at[c] + 1
+            size = 0 if d == 0 else 4 if abs(d) < 16 else 7
+            d = {0: 0}.get(d, d)
+            assert size == abs(d).bit_length()
+            bits += dcs[size] + (format(d if d > 0 else d + (1 << size) - 1, f"0{size}b") if size else "")
+            bits += acs[0xF0] + acs[0x32] + "10" + acs[0x81] + "0" + acs[0x00]
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    frame = bytes([8, 0, 16, 0, 32, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    data = b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes([8]) * 64) + media._segment(0xC0, frame)
+    data += media._segment(0xC4, b"\x00" + spec(dc)) + media._segment(0xC4, b"\x10" + spec(ac))
+    data += media._segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+    image = media.parse(data)
+    media.decode_thumbnails([image])
+    assert (image.thumbnail.astype(int) - 128).tolist() == [[10, 10, 90, 90], [0, 90, 0, 10]]
+
+
+def naive_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_edit_matches_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 300)  # several blocks
+    dice = random.Random(8)
+    items = [" ".join(dice.choices(NAMES, k=dice.randint(8, 40))) for _ in range(12)] + [None, "  ", "short one"]
+    texts = some_texts(25, seed=9)
+    for item in items[:12]:
+        for edits in (0, 1, 3, 9):
+            s = list(item)
+            for _ in range(edits):
+                s[dice.randrange(len(s))] = dice.choice("zq")
+            texts.append("Before it. " + "".join(s).upper().replace(" ", "\n ") + " and after")
+    texts = [t for t in texts if t is None or len(t) < 3000]
+    docs, bench = table(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = Counter()
+    for r in docs.collect():
+        for n, item in enumerate(items):
+            item = decontam.normal(item)
+            if item and (d := naive_distance(item, decontam.normal(r.text))) <= decontam.budget(len(item)):
+                want[r.doc_id, n, d] += 1
+    assert Counter(map(tuple, decontam.matches(docs, bench).collect())) == want and len(want) > 30
+    bad = {i for i, _, _ in want}
+    assert {r.doc_id for r in decontam.remove_contaminated(docs, bench).collect()} == {r.doc_id for r in docs.collect()} - bad
+    assert decontam.matches(empty(spark), bench).count() == 0
+    assert decontam.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_archives_and_histories(spark):
+    rows = [(i, f"http://www.Host{i % 3}.example.com:80/p?q={i}", f"<p>{i // 4}</p>" if i % 2 else f"own {i} é") for i in range(60)]
+    rows += [(100, None, None), (101, "http://a.b/", ""), (102, "no url", "x\r\n\r\nWARC/1.1\r\n\r\n"), (103, "http://a.b/", "x\r\n\r\nWARC/1.1\r\n\r\n"), (None, "http://c/", "lonely"), (7, rows[7][1], rows[7][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit(1)).repartition(3)
+    newest = {}
+    for i, _, h in rows:
+        if i is not None:
+            newest[h or ""] = max(i, newest.get(h or "", -1))
+    want = Counter()
+    for i, _, h in rows:
+        raw, first = (h or "").encode(), newest.get(h or "")
+        again = first is not None and first != i
+        want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", first if again else None] += 1
+    got = warc.histories(pages).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    got.sort(key=lambda r: (r.part, r.place))
+    keys = [(r.urlkey, r.timestamp) for r in got]
+    assert keys == sorted(keys) and keys[-1][0].startswith("no url")
+    assert warc.histories(pages.limit(0)).count() == 0
+
+
+def test_loser_tree():
+    dice = random.Random(4)
+    for k in range(0, 9):
+        runs = [sorted(dice.choices(range(50), k=dice.randint(0, 30))) for _ in range(k)]
+        assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+PASSAGE = " ".join(f"Word{i} goes on and on here." for i in range(8))
+
+
+def test_repeated_runs_go_and_first_ones_stay(spark):
+    texts = [
+        f"An opening of its own. {PASSAGE} And an end.\nMore.",
+        f"Another text. With words. {PASSAGE}",
+        "A short line.\nA short line.\nNot enough words.",
+        "A short line.\nother",
+        None,
+        "",
+        f"{PASSAGE} {PASSAGE} tail",
+        "\n\n\n",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "first of all " + PASSAGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("u", F.lit("mine")).withColumn("runs", F.lit(2)).withColumn("all", F.lit(3))
+    got = {r.doc_id: r for r in linededup.deduplicate(docs).collect()}
+    assert len(got) == len(rows) and got[1].u == "mine" and got[1].runs == 2
+    assert got[None].text == rows[-1][1]
+    assert got[0].text == "An opening of its own. Word0 goes on and on here. And an end.\nMore."  # its first line there is new
+    assert got[1].text == "Another text. With words. " and got[1].n_removed == 8
+    assert got[2].text == texts[2] and got[3].text == texts[3] and got[4].text is None and got[5].text == ""
+    assert "Word5" not in got[6].text and got[7].text == texts[7]
+    assert linededup.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_url_lists_as_of(spark):
+    url = "http://user@WWW.Bad.example.com:8080/x/y"
+    captures = spark.createDataFrame([(1, url, 5), (2, url, 10), (3, url, 19), (4, url, 20), (5, url, 300), (6, None, 10), (7, "nothing", 10), (8, "http://ok.org/", 10), (9, "http://other.example.com/", 45), (2, url, 10), (10, url, None)], "page_id long, url string, fetched int")
+    entries = spark.createDataFrame(
+        [("host", "bad.example.com", 10, "add"), ("host", "bad.example.com", 20, "remove"), ("host", "bad.example.com", 20, "add"), ("host", "bad.example.com", 100, "add"), ("site", "example.com", 40, "add"), ("site", "example.com", 50, "remove"), ("section", "bad.example.com/x", 18, "add"), ("section", "bad.example.com/x", 25, "remove"), ("host", None, 1, "add"), ("host", "ok.org", None, "add")],
+        "kind string, key string, day int, action string",
+    )
+    got = Counter((r.page_id, r.host_since, r.site_since, r.section_since, r.blocked) for r in urlfilter.evaluate(captures, entries).collect())
+    want = [(1, None, None, None, False), (2, 10, None, None, True), (3, 10, None, 18, True), (4, None, None, 18, True), (5, 100, None, None, True), (6, None, None, None, False), (7, None, None, None, False), (8, None, None, None, False), (9, None, 40, None, True), (2, 10, None, None, True), (10, None, None, None, False)]
+    assert got == Counter(want)
+    assert urlfilter.evaluate(captures.limit(0), entries).count() == 0
+    assert not any(r.blocked for r in urlfilter.evaluate(captures, entries.limit(0)).collect())
