@@ -17,23 +17,25 @@ encoded whole at any length.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The characters with Unicode's White_Space property. Fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Stands before a chunk that no space precedes.
+#: Stands before a chunk that is given as it is, without a space to be put before it.
 MARK = "\x01"
 #: What makes a text take the pattern: white space whose runs must be seen together, rare spaces, and MARK.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", MARK, *SPACES.replace(" ", "").replace("\n", ""))
 LONG = 200
-MEMO_ROWS = 1_000_000
+MEMO_ROWS = 500_000
 BLOCK_CHARS = 4_000_000
 DECODE_IDS = 1_000_000
 
@@ -88,11 +90,21 @@ class Coder:
         self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.memo: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
-        made = np.array(list(merge_pairs(ranks)), dtype=np.int64).reshape(-1, 3)
-        self._table("merges", pair=(made[:, 0] << 20) | made[:, 1], merged=made[:, 2].astype(np.int32))
-        order = sorted(ranks.items(), key=lambda x: x[1])
-        self._table("vocab", t=np.array([r for _, r in order], dtype=np.int32), s=[b.decode("latin-1") for b, _ in order])
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.made: set[str] = set()
+
+    def _merges(self) -> None:
+        """The merge table; the workers that only decode need none."""
+        if "merges" not in self.made:
+            made = np.array(list(merge_pairs(self.ranks)), dtype=np.int64).reshape(-1, 3)
+            self._table("merges", pair=(made[:, 0] << 20) | made[:, 1], merged=made[:, 2].astype(np.int32))
+            self.made.add("merges")
+
+    def _vocab(self) -> None:
+        if "vocab" not in self.made:
+            order = sorted(self.ranks.items(), key=lambda x: x[1])
+            self._table("vocab", t=np.array([r for _, r in order], dtype=np.int32), s=[b.decode("latin-1") for b, _ in order])
+            self.made.add("vocab")
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("fresh", pa.table(columns))
@@ -103,6 +115,7 @@ class Coder:
         """Ids of each word, by the recursive query."""
         if not words:
             return []
+        self._merges()
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         number = np.repeat(np.arange(len(words), dtype=np.int64), lens)
         place = np.arange(len(number), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
@@ -158,9 +171,9 @@ class Coder:
 
     def _cut(self, text: str) -> list[str]:
         """The text's chunks. A text with plain single spaces and line ends needs no pattern: a chunk then stands
-        for a space and what follows it, MARK and a chunk for one without the space, and a line end for itself."""
+        for a space and what follows it, what stands behind MARK for itself, and so does a line end."""
         if any(x in text for x in UNEVEN):
-            return [c[1:] if c[0] == " " and c[1:].strip(SPACES) else MARK + c for c in self.chunks.findall(text)]
+            return [MARK + c for c in self.chunks.findall(text)]
         return (MARK + text.replace("\n", f" \n {MARK}")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -190,6 +203,7 @@ class Coder:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of ids, by the ordered aggregate."""
+        self._vocab()
         lens = [len(x) // 4 for x in ids]
         tokens = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
         columns = {"d": np.repeat(np.arange(len(ids), dtype=np.int32), lens), "p": np.arange(len(tokens)), "t": tokens}
@@ -214,11 +228,17 @@ _coders: dict[tuple, Coder] = {}
 
 def _coder(ranks_path: str, pattern: str) -> Coder:
     if (ranks_path, pattern) not in _coders:
+        gc.disable()  # the memo holds no cycles, and walking it costs time
         _coders.clear()
         _coders[ranks_path, pattern] = Coder(load_ranks(ranks_path), pattern)
     return _coders[ranks_path, pattern]
 
 
+def sizes(column: pa.Array) -> list[int]:
+    """Bytes of each value of a text or binary column, without making Python objects of the values."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def blocks(sizes: list[int], most: int) -> Iterator[slice]:
     """Consecutive slices of about ``most`` in sum, of one item at least."""
     start = total = 0
@@ -237,9 +257,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         coder = _coder(ranks_path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in blocks([len(t) for t in texts], BLOCK_CHARS):
-                ids = coder.encode(texts[part])
+            for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
+                ids = coder.encode([t or "" for t in batch.column(1)[part].to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[part], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "n_tokens", "ids"],
@@ -254,9 +273,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         coder = _coder(ranks_path, pattern)
         for batch in batches:
-            ids = batch.column(2).to_pylist()
-            for part in blocks([len(x) // 4 for x in ids], DECODE_IDS):
-                made = coder.decode(ids[part])
+            for part in blocks(sizes(batch.column(2)), 4 * DECODE_IDS):
+                made = coder.decode(batch.column(2)[part].to_pylist())
                 yield pa.RecordBatch.from_arrays([*(c[part] for c in batch.columns), pa.array(made, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
