@@ -1,0 +1,618 @@
+"""The registered queries over the given tables, and the SQL that DuckDB holds them against.
+
+Tables play the roles of the data model: documents are observations, embeddings their vectors, events the access
+and guard logs, conversations the transcripts, orders and lineitem the work items. Doubles are rounded to six
+places, as the order of sums differs between engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberloom.functions import scores, text
+from emberloom.operators import evaluate, events, flags, ingest, metrics, search, similarity, telemetry, themes
+
+NOW = 1_706_745_600  # 2024-02-01, behind the last event
+THEME_COSINE = 0.40  # no pair of the given vectors comes near the default
+LINK_COSINE = 0.35
+TERMS = ["the", "thtion", "eau"]
+QUERY = "the that"
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def six(column):
+    return F.round(column, 6)
+
+
+_BM25 = """
+with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w, lang, source from documents),
+n as (select doc_id, lang, source, len(w) as n, {tf} from w),
+s as (select count(*) as docs, avg(n) as mean, {df} from n)
+"""
+
+
+def _bm25_sql(terms: list[str], need: int, where: str = "true") -> str:
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{x}')) as tf{i}" for i, x in enumerate(terms))
+    df = ", ".join(f"sum(case when tf{i} > 0 then 1 else 0 end) as df{i}" for i in range(len(terms)))
+    score = " + ".join(f"ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(terms)))
+    hits = " + ".join(f"(tf{i} > 0)::int" for i in range(len(terms)))
+    return _BM25.format(tf=tf, df=df) + f", found as (select doc_id as id, {score} as score from n, s where {hits} >= {need} and {where})"
+
+
+@query(_bm25_sql(TERMS, 1) + " select id, round(score, 6) as score, row_number() over (order by score desc, id) as pos from found order by score desc, id limit 10")
+def bm25_search(spark, sf_dir):
+    """The ten best documents for three words, any of them."""
+    found = search.numbered(search.bm25(t(spark, sf_dir, "documents"), TERMS), [F.desc("score"), F.asc("id")], "pos", 10)
+    return found.select("id", six("score").alias("score"), F.col("pos").cast("long").alias("pos"))
+
+
+@query(_bm25_sql(["the", "that"], 2, "lang = 'en' and source in ('src0', 'src1')") + " select id, row_number() over (order by score desc, id) as fts_pos from found order by score desc, id limit 40")
+def keyword_prefilter(spark, sf_dir):
+    """Keyword candidates of two sources: the filter comes before the limit, the statistics from all rows."""
+    where = F.col("source").isin("src0", "src1") & (F.col("lang") == "en")
+    return search.keyword_candidates(t(spark, sf_dir, "documents"), QUERY, 10, where).select("id", F.col("fts_pos").cast("long").alias("fts_pos"))
+
+
+def _first_vector(spark, sf_dir) -> list[float]:
+    return t(spark, sf_dir, "embeddings").orderBy("vec_id").first().embedding
+
+
+_KNN = """
+with q as (select embedding::double[] as q from embeddings order by vec_id limit 1),
+near as (select vec_id as id, list_dot_product(embedding::double[], q) as cosine from embeddings, q order by 2 desc, 1 limit {k})
+"""
+
+
+@query(_KNN.format(k=20) + " select id, round(cosine, 6) as cosine, row_number() over (order by cosine desc, id) as vec_pos from near")
+def knn_search(spark, sf_dir):
+    """The 20 nearest vectors to the first one."""
+    near = search.nearest(t(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 20)
+    return near.select("id", six("cosine").alias("cosine"), F.col("vec_pos").cast("long").alias("vec_pos"))
+
+
+@query(_KNN.format(k=40) + " select id, row_number() over (order by cosine desc, id) as vec_pos from near semi join (select vec_id as id from embeddings where label < 5) using (id)")
+def vector_postfilter(spark, sf_dir):
+    """Vector candidates of some labels: nearest first, then the filter, then positions."""
+    e = t(spark, sf_dir, "embeddings")
+    allowed = e.where("label < 5").select(F.col("vec_id").alias("id"))
+    return search.vector_candidates(e, _first_vector(spark, sf_dir), 10, allowed).select("id", F.col("vec_pos").cast("long").alias("vec_pos"))
+
+
+_BONUS = "0.01 * (exp(-greatest(0, ({now} - coalesce(last_accessed, indexed_at)) / 86400.0) / 30) + least(1, ln(1 + coalesce(access_count, 0)) / ln(21))) / 2"
+_STATS = "select user_id as id, max(floor(epoch(ts)))::bigint as last_accessed, count(*) as access_count from events group by 1"
+
+
+@query(
+    _bm25_sql(["the", "that"], 2)
+    + f""", kw as (select id, row_number() over (order by score desc, id) as fts_pos from found order by score desc, id limit 40),
+near as (select vec_id as id, list_dot_product(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)) as cosine from embeddings order by 2 desc, 1 limit 40),
+vec as (select id, row_number() over (order by cosine desc, id) as vec_pos from near),
+pair as (select coalesce(kw.id, vec.id) as id, fts_pos, vec_pos from kw full join vec on kw.id = vec.id),
+stats as ({_STATS}),
+rows as (select b.*, 'Document ' || d.doc_id as title, d.text, {NOW} - 86400 * (d.doc_id % 90) as indexed_at, last_accessed, access_count
+  from pair b join documents d on d.doc_id = b.id left join stats s on s.id = b.id),
+scored as (select id, fts_pos, vec_pos, coalesce(1.0 / (60 + fts_pos), 0) + coalesce(1.0 / (60 + vec_pos), 0) as rrf, indexed_at,
+  {_BONUS.format(now=NOW)} as bonus,
+  case when contains(lower(title), 'the that') then 0.016 when contains(lower(text), 'the that') then 0.008 else 0 end as exact from rows)
+select id, fts_pos, vec_pos, round(rrf, 6) as rrf, round(rrf + bonus + exact, 6) as score from scored order by rrf + bonus + exact desc, rrf desc, indexed_at desc, id limit 10"""
+)
+def hybrid_search(spark, sf_dir):
+    """Keyword and vector candidates fused, and ranked by access history and exact match."""
+    d, e = t(spark, sf_dir, "documents"), t(spark, sf_dir, "embeddings")
+    rows = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), F.col("doc_id")).alias("title"), F.col("text").alias("content"), (NOW - 86400 * (F.col("doc_id") % 90)).alias("indexed_at"))
+    found = search.hybrid(search.keyword_candidates(d, QUERY, 10), search.vector_candidates(e, _first_vector(spark, sf_dir), 10), rows, search.access_stats(t(spark, sf_dir, "events")), QUERY, NOW, 10)
+    return found.select("id", F.col("fts_pos").cast("long").alias("fts_pos"), F.col("vec_pos").cast("long").alias("vec_pos"), six("rrf").alias("rrf"), six("score").alias("score"))
+
+
+@query(f"with s as (select *, id as i from ({_STATS})) select id, access_count, round({_BONUS.format(now=NOW).replace('coalesce(last_accessed, indexed_at)', 'last_accessed')}, 6) as bonus from s")
+def reinforcement_score(spark, sf_dir):
+    """The access bonus of every id of the log."""
+    s = search.access_stats(t(spark, sf_dir, "events"))
+    bonus = scores.reinforcement(F.lit(NOW), F.col("last_accessed"), F.lit(None).cast("long"), F.col("access_count"))
+    return s.select("id", "access_count", six(bonus).alias("bonus"))
+
+
+@query("select lang, case when contains(lower(source), 'the that') then 0.016 when contains(lower(text), 'the that') then 0.008 else 0.0 end as boost, count(*) as n from documents group by 1, 2")
+def exact_match_boost(spark, sf_dir):
+    """How many documents of each language hold the whole query."""
+    return t(spark, sf_dir, "documents").groupBy("lang", scores.exact_match(QUERY, F.col("source"), F.col("text")).alias("boost")).agg(F.count("*").alias("n"))
+
+
+_PATH = """case doc_id % 8 when 0 then 'context/' || source || '.md' when 1 then 'agent/learnings.md' when 2 then 'projects/' || source || '/decisions.md'
+ when 3 then 'projects/' || source || '/notes/learnings.md' when 4 then 'episodes/2026/' || doc_id || '.md' when 5 then 'projects/' || source || '/plan.md'
+ when 6 then 'archive/' || source || '.md' else 'misc/' || source || '.txt' end"""
+
+
+def _paths(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("path", F.expr(_PATH))
+
+
+@query(f"""
+with p as (select {_PATH} as path from documents),
+k as (select case when path like 'archive/%' or path not like '%.md' then null when path like 'context/%' then 'context' when path = 'agent/learnings.md' then 'learning'
+  when path like 'projects/%/decisions.md' then 'decision' when path like 'projects/%learnings.md' then 'learning' when path like 'projects/%' then 'context' when path like 'episodes/%' then 'episode' end as source_type,
+  case when path like 'context/%' then regexp_extract(path, '([^/]+)\\.md$', 1) when path like 'projects/%/plan.md' then 'plan' end as topic,
+  case when path like 'projects/%' then regexp_extract(path, '^projects/([^/]+)/', 1) end as project from p)
+select source_type, topic, project, count(*) as n from k group by all""")
+def doc_classify(spark, sf_dir):
+    """Documents by the classification of paths made from their ids."""
+    kind = ingest.classify(F.col("path"))
+    return _paths(t(spark, sf_dir, "documents")).select(kind.alias("k")).groupBy("k.source_type", "k.topic", "k.project").agg(F.count("*").alias("n"))
+
+
+_OLD = "select doc_id, sha256(case when doc_id % 7 = 0 then text || '!' else text end) as h from documents where doc_id % 5 <> 0 union all select doc_id + 100000000, 'x' from documents where doc_id % 11 = 0"
+
+
+@query(f"""
+with old as ({_OLD}), new as (select doc_id, sha256(text) as h from documents),
+s as (select case when o.doc_id is null then 'added' when n.doc_id is null then 'removed' when o.h = n.h then 'unchanged' else 'changed' end as status
+  from old o full join new n on o.doc_id = n.doc_id)
+select status, count(*) as n from s group by 1 union all select 'total', count(*) from s""")
+def upsert_status(spark, sf_dir):
+    """Counters of a reindex run against a snapshot with changed, missing and extra rows."""
+    d = t(spark, sf_dir, "documents")
+    new = d.select("doc_id", F.sha2("text", 256).alias("h"))
+    old = d.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.expr("case when doc_id % 7 = 0 then text || '!' else text end"), 256).alias("h"))
+    old = old.union(d.where("doc_id % 11 = 0").select(F.col("doc_id") + 100000000, F.lit("x")))
+    return ingest.counters(ingest.compare(old, new, "doc_id", "h"))
+
+
+@query(f"""
+with old as ({_OLD}), new as (select doc_id, sha256(text) as h from documents)
+select n.doc_id, n.h, case when o.doc_id is null then 1 else 0 end as fresh from new n left join old o on o.doc_id = n.doc_id and o.h = n.h""")
+def upsert_snapshot(spark, sf_dir):
+    """The snapshot after the run: which rows stayed and which are fresh."""
+    d = t(spark, sf_dir, "documents")
+    new = d.select("doc_id", F.sha2("text", 256).alias("h"), F.lit(1).alias("fresh"))
+    old = d.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.expr("case when doc_id % 7 = 0 then text || '!' else text end"), 256).alias("h"), F.lit(0).alias("fresh"))
+    old = old.union(d.where("doc_id % 11 = 0").select(F.col("doc_id") + 100000000, F.lit("x"), F.lit(0)))
+    return ingest.upsert(old, new, "doc_id", "h")
+
+
+@query("select sha256(text) as content_hash, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    """Groups of equal texts."""
+    return similarity.exact_duplicates(t(spark, sf_dir, "documents"))
+
+
+_SETS = "select doc_id as id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as s from documents"
+
+
+@query(f"""
+with sets as ({_SETS}), classes as (select id, s, min(id) over (partition by s) as class_id from sets),
+heads as (select id, s, len(s) as n from classes where id = class_id),
+pairs as (select a.id as a, b.id as b from heads a join heads b on a.id < b.id and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9
+  where len(list_intersect(a.s, b.s))::double / (a.n + b.n - len(list_intersect(a.s, b.s))) >= 0.8),
+ends as (select id, count(*) as n from (select a as id from pairs union all select b from pairs) group by id)
+select c.id, c.class_id, coalesce(e.n, 0) as n_links from classes c left join ends e on e.id = c.class_id""")
+def jaccard_near_duplicates(spark, sf_dir):
+    """Every document's class of equal token sets, and the classes within 0.8 of it."""
+    return similarity.near_duplicates(t(spark, sf_dir, "documents"))
+
+
+@query("""
+with b as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as s from benchmark),
+d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as s from documents),
+p as (select item_id, doc_id, len(list_intersect(b.s, d.s))::double / (len(b.s) + len(d.s) - len(list_intersect(b.s, d.s))) as j from b, d
+  where least(len(b.s), len(d.s)) >= 0.3 * greatest(len(b.s), len(d.s)))
+select item_id as id, arg_max(doc_id, {'j': j, 'k': -doc_id}) as match, round(max(j), 6) as similarity from p where j >= 0.3 group by 1""")
+def benchmark_best_match(spark, sf_dir):
+    """For each benchmark item the most similar document's token set at 0.3 or more."""
+    sets = [t(spark, sf_dir, n).select(F.col(i).alias("id"), text.token_set(F.col("text")).alias("tokens")) for n, i in (("benchmark", "item_id"), ("documents", "doc_id"))]
+    return similarity.best_match(*sets, threshold=0.3).select("id", "match", six("similarity").alias("similarity"))
+
+
+_EDGES = """v as (select min(vec_id) as id, embedding::double[] as v from embeddings group by 2),
+edge as (select a.id as a, b.id as b, list_dot_product(a.v, b.v) as c from v a join v b on a.id < b.id where list_dot_product(a.v, b.v) >= {cut})"""
+
+
+@query(f"with {_EDGES.format(cut=LINK_COSINE)} select a, b, round(c, 6) as cosine from edge")
+def cosine_pairs(spark, sf_dir):
+    """Pairs of distinct vectors at a cosine of 0.35 or more."""
+    return similarity.cosine_links(t(spark, sf_dir, "embeddings"), LINK_COSINE).select("a", "b", six("cosine").alias("cosine"))
+
+
+_THEMES = f"""with recursive {_EDGES.format(cut=THEME_COSINE)},
+link as (select a, b from edge union all select b, a from edge),
+reach(id, other) as (select a, a from link union select r.id, l.b from reach r join link l on l.a = r.other),
+label as (select id, min(other) as root from reach group by id),
+theme as (select root, id, count(*) over (partition by root) as n from label qualify n >= 3)"""
+
+
+def _themes(spark, sf_dir) -> DataFrame:
+    return themes.themes(similarity.cosine_links(t(spark, sf_dir, "embeddings"), THEME_COSINE))
+
+
+@query(_THEMES + " select root, n, id from theme")
+def theme_clusters(spark, sf_dir):
+    """Members of the components of three vectors or more."""
+    return _themes(spark, sf_dir)
+
+
+@query(_THEMES + """ select x.root, x.n, round(avg(list_dot_product(a.v, b.v)), 6) as cohesion
+from theme x join theme y on x.root = y.root and x.id < y.id join v a on a.id = x.id join v b on b.id = y.id group by 1, 2""")
+def cluster_cohesion(spark, sf_dir):
+    """Mean cosine over all member pairs of each theme."""
+    return themes.cohesion(_themes(spark, sf_dir), t(spark, sf_dir, "embeddings")).select("root", "n", six("cohesion").alias("cohesion"))
+
+
+_VALUES = "select vec_id as id, case when label % 5 > 0 then label % 5 end as value from embeddings"
+
+
+@query(_THEMES + f" select t.root, t.n, max(value) as max_value from theme t left join ({_VALUES}) x on x.id = t.id group by 1, 2 having not coalesce(max(value) < 3, false)")
+def cluster_gate(spark, sf_dir):
+    """Themes whose highest known value is not under 3."""
+    return themes.max_value(_themes(spark, sf_dir), t(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "case when label % 5 > 0 then label % 5 end as value"), 3)
+
+
+@query("""
+with v as (select case when (doc_id + quality) % 7 < 5 then (doc_id + quality) % 7 end as value, case when toxic = 1 then '2026-06-09' else '2026-06-01' end as day from labels),
+b as (select case when value is not null then value::varchar when day < '2026-06-08' then 'unknown_before' else 'unknown_after' end as bucket from v),
+e as (select unnest(['0', '1', '2', '3', '4', 'unknown_before', 'unknown_after']) as bucket)
+select e.bucket, count(b.bucket) as n from e left join b on b.bucket = e.bucket group by 1""")
+def value_histogram(spark, sf_dir):
+    """Values with two unknown buckets; empty buckets are there."""
+    v = t(spark, sf_dir, "labels").selectExpr("case when (doc_id + quality) % 7 < 5 then (doc_id + quality) % 7 end as value", "case when toxic = 1 then '2026-06-09' else '2026-06-01' end as day")
+    return themes.value_histogram(v, F.col("day"))
+
+
+_FLAG_ROWS = """select least(h, m) as a, greatest(h, m) as b, s from (
+  select sha256(text) as h, sha256(lower(text)) as m, n_chars as s from documents)"""
+
+
+@query(f"select count(*) as n, sum((a < b)::int)::bigint as distinct_sides from (select distinct a, b from ({_FLAG_ROWS}) where a not in (select least(sha256(text), sha256(lower(text))) from documents where doc_id % 3 = 0))")
+def flags_insert_ignore(spark, sf_dir):
+    """Flags of (text, lower-case text) pairs that are not known yet, once each."""
+    d = t(spark, sf_dir, "documents")
+    side = lambda c: F.struct(F.lit("documents").alias("path"), F.lit("2026-01-01").alias("date"), F.sha2(c, 256).alias("hash"))
+    pairs = lambda rows: flags.from_pairs(rows.select(side(F.col("text")).alias("a"), side(F.lower("text")).alias("b"), F.lit(1.0).alias("similarity")), "duplicate", "scan", NOW)
+    fresh = flags.insert_or_ignore(pairs(d.where("doc_id % 3 = 0")), pairs(d))
+    return fresh.agg(F.count("*").alias("n"), F.sum((F.col("entry_hash") < F.col("match_hash")).cast("long")).alias("distinct_sides"))
+
+
+_STATUS = "select event_id, user_id as flag_id, ts as tm, case event_type when 'click' then 'dismissed' when 'purchase' then 'superseded' else 'pending' end as status from events"
+
+
+@query(f"with e as ({_STATUS}) select flag_id, arg_max(status, {{'a': tm, 'b': event_id}}) as status from e group by 1")
+def flags_latest_status(spark, sf_dir):
+    """Each flag's status after the last of its events."""
+    t(spark, sf_dir, "events").createOrReplaceTempView("_events")
+    return flags.latest_status(spark.sql(_STATUS.replace("events", "_events")).withColumnRenamed("tm", "at"))
+
+
+@query(f"with e as (select *, lag(status) over (partition by flag_id order by tm, event_id) as was from ({_STATUS})) select status, was, count(*) as n from e where was is null or was <> status group by all")
+def flags_status_changes(spark, sf_dir):
+    """Transitions between statuses."""
+    t(spark, sf_dir, "events").createOrReplaceTempView("_events")
+    return flags.status_changes(spark.sql(_STATUS.replace("events", "_events")).withColumnRenamed("tm", "at")).groupBy("status", "was").agg(F.count("*").alias("n"))
+
+
+@query("""
+with q as (select vec_id as query, embedding::double[] as q, label from embeddings where vec_id % 100 = 0),
+r as (select query, q.label, vec_id as id, row_number() over (partition by query order by list_dot_product(embedding::double[], q) desc, vec_id) as pos, e.label = q.label as rel from embeddings e, q where vec_id <> query),
+s as (select query, coalesce(count(*) filter (rel and pos <= 5)::double / nullif(count(*) filter (rel), 0), 0) as recall, coalesce(1.0 / min(case when rel and pos <= 50 then pos end), 0) as rr from r group by query)
+select count(*) as queries, round(avg(recall), 6) as recall, round(avg(rr), 6) as mrr from s""")
+def retrieval_quality(spark, sf_dir):
+    """Recall at 5 and reciprocal rank of every hundredth vector as a query against all, labels being relevance."""
+    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
+    met = e.join(q, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("id"), scores.dot(F.col("embedding"), F.col("q")).alias("s"), (F.col("label") == F.col("wanted")).alias("rel"))
+    from pyspark.sql import Window
+
+    ranked = met.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "id"))).where("pos <= 50")
+    return evaluate.means(evaluate.per_query(ranked, met.where("rel"), 5)).select("queries", six("recall").alias("recall"), six("mrr").alias("mrr"))
+
+
+_GUARD = """select event_id, ts, event_type as rule, case when value > 60 then 'block' else 'allow' end as decision,
+ case when event_id % 9 = 0 then null else 'tool' || (user_id % 4) end as tool, '/home/p' || (user_id % 6) as cwd,
+ 'git  push  PROJ-' || (event_id % 50) || ' v' || (event_id % 3) as command from events"""
+
+
+def _guard(spark, sf_dir) -> DataFrame:
+    t(spark, sf_dir, "events").createOrReplaceTempView("_events")
+    return spark.sql(_GUARD.replace("from events", "from _events"))
+
+
+@query(f"""with g as ({_GUARD}) select case grouping_id(rule, tool, cwd) when 3 then 'rule' when 5 then 'tool' when 6 then 'cwd' else 'total' end as dimension,
+ case grouping_id(rule, tool, cwd) when 3 then rule when 5 then tool when 6 then cwd else 'all' end as value, count(*) as n
+from (select rule, coalesce(tool, 'none') as tool, cwd from g) group by grouping sets ((rule), (tool), (cwd), ())""")
+def log_counts(spark, sf_dir):
+    """Guard-log counts by rule, tool, folder and in total, in one pass."""
+    return events.counts(_guard(spark, sf_dir), ["rule", "tool", "cwd"])
+
+
+@query(f"""with g as (select *, regexp_replace(regexp_replace(command, '[A-Z]+-[0-9]+', 'TICKET', 'g'), '\\s+', ' ', 'g') as pattern from ({_GUARD}) where decision = 'block')
+select rule, pattern, count(*) as n, arg_min(command, {{'a': ts, 'b': event_id}}) as example, min(ts) as first_ts, max(ts) as last_ts from g group by 1, 2 having count(*) >= 2""")
+def log_repeats(spark, sf_dir):
+    """Blocked commands that recur but for ids and spaces."""
+    return events.repeats(_guard(spark, sf_dir))
+
+
+@query(f"with g as ({_GUARD}) select decision, count(*) as n from g where ts >= '2024-01-15' and rule = 'click' group by 1")
+def log_window(spark, sf_dir):
+    """Decisions of one rule since a day."""
+    return events.window(_guard(spark, sf_dir), "ts", "2024-01-15", "click").groupBy("decision").agg(F.count("*").alias("n"))
+
+
+RULES = [(r"PROJ-4\d", "block", "forties"), (r"v0$", "ask", "old version"), (r"PROJ-\d\b", "block", "short id")]
+
+
+@query(f"""with g as ({_GUARD}), d as (select case when regexp_matches(command, 'PROJ-4\\d') then 'forties' when regexp_matches(command, 'v0$') then 'old version' when regexp_matches(command, 'PROJ-\\d\\b') then 'short id' end as rule from g)
+select rule, case when rule is null then 'allow' when rule = 'old version' then 'ask' else 'block' end as decision, count(*) as n from d group by 1, 2""")
+def command_rules(spark, sf_dir):
+    """Commands by the first rule that matches."""
+    return _guard(spark, sf_dir).select(events.decide(F.col("command"), RULES).alias("d")).groupBy("d.rule", "d.decision").agg(F.count("*").alias("n"))
+
+
+@query("""with w as (select *, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn desc) as size, row_number() over (partition by conv_id order by turn desc) as rn from conversations)
+select conv_id, count(*) as turns, sum(length(left(text, 2000)))::bigint as chars from w where size <= 2000 or rn = 1 group by 1""")
+def transcript_budget(spark, sf_dir):
+    """Latest turns of each conversation within 2,000 characters."""
+    kept = events.keep_recent_turns(t(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 2000)
+    return kept.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text").cast("long")).alias("chars"))
+
+
+@query("select conv_id, count(*) as turns, count(*) filter (role = 'user') as user_turns from conversations group by 1 having count(*) >= 3 and count(*) filter (role = 'user') > 0")
+def transcript_signal(spark, sf_dir):
+    """Conversations worth a summary."""
+    return events.has_signal(t(spark, sf_dir, "conversations"), "conv_id")
+
+
+KEYWORDS = ("the", "tion", "des la", "er")
+
+
+@query(" union all ".join(f"select '{k}' as topic, count(*) as n from documents where regexp_matches(lower(text), '(^|[^a-z0-9-]){k}($|[^a-z0-9-])')" for k in KEYWORDS))
+def topic_keyword_hits(spark, sf_dir):
+    """Documents that hold each keyword as a whole word."""
+    d = t(spark, sf_dir, "documents")
+    hits = F.filter(F.array(*(F.when(text.keyword_hit(F.col("text"), k), F.lit(k)) for k in KEYWORDS)), lambda x: x.isNotNull())
+    every = spark.createDataFrame([(k,) for k in KEYWORDS], "topic string")
+    found = d.select(F.explode(hits).alias("topic")).groupBy("topic").agg(F.count("*").alias("c"))
+    return every.join(found, "topic", "left").select("topic", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
+
+
+_ENTRY = "'# Log' || chr(10) || '## 2026-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || ' First' || chr(10) || left(text, 400) || chr(10) || '## 2026-02-01' || chr(10) || source"
+
+
+@query("""with e as (select doc_id, '2026-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') as date, 'First' as title from documents union all select doc_id, '2026-02-01', null from documents)
+select date, title, count(*) as n from e group by all""")
+def entry_segmentation(spark, sf_dir):
+    """Dated entries of a Markdown file made of each document."""
+    body = F.expr(_ENTRY.replace("::varchar", "").replace("(doc_id % 28 + 1)", "cast(doc_id % 28 + 1 as string)").replace("chr(10)", "'\\n'").replace("left(text, 400)", "text"))
+    files = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), body.alias("content"))
+    return events.entries(files).groupBy("date", "title").agg(F.count("*").alias("n"))
+
+
+_SAMPLES = "select date_trunc('hour', ts) as sample, event_type as server, value as rss from events"
+
+
+@query(f"""with known as (select distinct sample from ({_SAMPLES}) order by 1 desc limit 240), per as (select sample, server, sum(rss) as rss from ({_SAMPLES}) semi join known using (sample) group by 1, 2),
+live as (select server from per where sample = (select max(sample) from known)) select server, round(avg(rss), 6) as mean, round(stddev_pop(rss), 6) as stdev, count(*) as n from per semi join live using (server) group by 1""")
+def server_cost(spark, sf_dir):
+    """Mean and deviation of each server over the last 240 samples."""
+    s = t(spark, sf_dir, "events").selectExpr("date_trunc('hour', ts) as sample", "event_type as server", "value as rss")
+    return telemetry.server_cost(s).select("server", six("mean").alias("mean"), six("stdev").alias("stdev"), "n")
+
+
+@query(f"""with per as (select sample, server, avg(rss) as rss, count(*) as copies from ({_SAMPLES}) group by 1, 2), b as (select server, avg(rss) as m, avg(copies) as c from per group by 1)
+select server, round(m, 6) as mean_rss, round(c, 6) as concurrency, round(m * c, 6) as lever from b order by m * c desc, server limit 1""")
+def biggest_lever(spark, sf_dir):
+    """The server with the largest mean size times concurrency."""
+    s = t(spark, sf_dir, "events").selectExpr("date_trunc('hour', ts) as sample", "event_type as server", "value as rss")
+    return telemetry.biggest_lever(s).select("server", *(six(c).alias(c) for c in ("mean_rss", "concurrency", "lever")))
+
+
+_REG = """case when var_pop(x) = 0 then 0 else regr_slope(y, x) end as slope, case when var_pop(x) = 0 then avg(y) else regr_intercept(y, x) end as intercept,
+ case when var_pop(x) = 0 or var_pop(y) = 0 then 0 else regr_r2(y, x) end as r2, count(*) as n"""
+
+
+@query(f"with r as (select l_returnflag, l_linestatus, {_REG} from (select *, l_quantity as x, l_extendedprice as y from lineitem) group by 1, 2) select l_returnflag, l_linestatus, round(slope, 6) as slope, round(intercept, 4) as intercept, round(r2, 6) as r2, n from r")
+def regression_by_group(spark, sf_dir):
+    """Price by quantity, by least squares."""
+    r = telemetry.regression(t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice")
+    return r.select("l_returnflag", "l_linestatus", six("slope").alias("slope"), F.round("intercept", 4).alias("intercept"), six("r2").alias("r2"), "n")
+
+
+@query("""with d as (select user_id, ts, event_id, value, coalesce(value - lag(value) over w, 0) > 0 as up from events window w as (partition by user_id order by ts, event_id)),
+r as (select *, sum((not up)::int) over (partition by user_id order by ts, event_id) as run from d), u as (select *, row_number() over w as n, min(value) over w as low from r where up window w as (partition by user_id, run order by ts, event_id))
+select user_id, round(arg_min(low, {'a': ts, 'b': event_id}), 6) as onset, min(ts) as reached from u where n = 3 group by 1""")
+def onset_runs(spark, sf_dir):
+    """Per user the first three growing values in a row, and the least of them."""
+    o = telemetry.onset_runs(t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", "value")
+    return o.select("user_id", six("onset").alias("onset"), "reached")
+
+
+@query(f"""with r as (select l_suppkey, {_REG} from (select *, l_quantity as x, l_extendedprice as y from lineitem) group by 1)
+select l_suppkey, case when slope > 0 then greatest(0, floor((30000000 - 1000000 - greatest(0, intercept)) / slope))::bigint end as sessions from r""")
+def session_ceiling(spark, sf_dir):
+    """How many units fit below a bound, projected from each supplier's regression."""
+    r = telemetry.regression(t(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return r.select("l_suppkey", scores.ceiling(F.lit(None), F.lit(30000000), F.col("slope"), F.col("intercept"), 1000000).alias("sessions"))
+
+
+_TREE = "select vec_id as pid, vec_id // 3 as ppid, vec_id % 40 = 0 as is_root, (label + 1) * 100 as rss, case when label % 2 = 0 then 's' || label end as server from embeddings"
+
+
+@query(f"""with recursive p as ({_TREE}), tree(pid, root) as (select pid, pid from p where is_root union all select p.pid, t.root from p join tree t on p.ppid = t.pid where not p.is_root and p.pid <> p.ppid)
+select root, count(*) as procs, sum(rss)::bigint as total, sum(case when p.pid = root then rss else 0 end)::bigint as own, sum(case when p.pid <> root and server is not null then rss else 0 end)::bigint as servers,
+ sum(case when p.pid <> root and server is null then rss else 0 end)::bigint as other from tree join p using (pid) group by 1""")
+def process_rollup(spark, sf_dir):
+    """Sizes below each root of a process forest."""
+    p = t(spark, sf_dir, "embeddings").selectExpr("vec_id as pid", "vec_id div 3 as ppid", "vec_id % 40 = 0 as is_root", "cast((label + 1) * 100 as bigint) as rss", "case when label % 2 = 0 then 's' || label end as server")
+    return telemetry.tree_rollup(p)
+
+
+@query("""select user_id, max(floor(epoch(ts))) filter (event_type = 'purchase')::bigint as last_progress, max(floor(epoch(ts)))::bigint as log_end,
+ coalesce(max(floor(epoch(ts))::bigint) - max(floor(epoch(ts))::bigint) filter (event_type = 'purchase') > 300, true) as stalled from events group by 1""")
+def stall_point(spark, sf_dir):
+    """Users whose last purchase is long before their last event."""
+    e = t(spark, sf_dir, "events").withColumn("progress", F.col("event_type") == "purchase")
+    return telemetry.stall_point(e, "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")))
+
+
+@query("""with w as (select user_id, count(*) over (partition by user_id order by floor(epoch(ts))::bigint range between 7200 preceding and current row) as n from events) select user_id, max(n) as burst from w group by 1 having max(n) >= 3""")
+def bursts(spark, sf_dir):
+    """Users with three events or more in two hours."""
+    e = t(spark, sf_dir, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return telemetry.bursts(e, "user_id", "at", 7200, 3)
+
+
+@query("""with n as (select user_id, floor(epoch(ts))::bigint as tm, event_id from events), s as (select *, coalesce(tm - lag(tm) over w > 7200, true)::int as new from n window w as (partition by user_id order by tm, event_id)),
+k as (select user_id, sum(new) over (partition by user_id order by tm, event_id) as session, tm from s)
+select user_id, max(session)::bigint as sessions, count(*) as n from k group by 1""")
+def user_sessions(spark, sf_dir):
+    """Sessions of each user, parted by two silent hours."""
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return events.sessionize(e, "user_id", "at", 7200).groupBy("user_id").agg(F.max("session").alias("sessions"), F.count("*").alias("n"))
+
+
+@query("""with m as (select o_custkey, date_trunc('month', o_orderdate) as month, avg((o_orderstatus = 'F')::int) as done from orders group by 1, 2)
+select o_custkey, month, round(avg(done) over (partition by o_custkey order by month rows between 2 preceding and current row), 6) as rolling from m""")
+def rolling_completion(spark, sf_dir):
+    """Share of finished orders, averaged over three months of each customer."""
+    m = t(spark, sf_dir, "orders").groupBy("o_custkey", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("done"))
+    return metrics.rolling_mean(m, "o_custkey", "month", "done").select("o_custkey", F.col("month").cast("timestamp_ntz").alias("month"), six("rolling").alias("rolling"))
+
+
+@query("""with p as (select plan, row_number() over (order by plan) as rank from (select distinct date_trunc('month', o_orderdate) as plan from orders)),
+i as (select distinct o_custkey as item, rank from orders join p on p.plan = date_trunc('month', o_orderdate)), s as (select item, rank - row_number() over (partition by item order by rank) as island from i),
+r as (select item, island, count(*) as n from s group by 1, 2) select item, max(n) as streak from r group by 1 having max(n) >= 3""")
+def chronic_carryover(spark, sf_dir):
+    """Customers with orders in three months running or more."""
+    from pyspark.sql import Window
+
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.date_trunc("month", "o_orderdate").alias("plan"))
+    plans = o.select("plan").distinct().withColumn("rank", F.row_number().over(Window.orderBy("plan")))  # a row for each month
+    return metrics.carryover(o, plans)
+
+
+_COMMITS = "select l_suppkey as repo, case when l_discount < 0.04 then 'fix' when l_tax > 0.07 then 'revert' else 'feature' end as kind, case when l_linenumber < 6 then l_partkey % 50 end as ticket from lineitem"
+
+
+@query(f"""with c as ({_COMMITS}), k as (select repo, ticket, count(*) filter (kind = 'fix') as fixes from c where ticket is not null group by 1, 2 having bool_or(kind = 'feature')), f as (select repo, avg(fixes) as m from k group by 1)
+select c.repo, count(*) as commits, round(avg((kind = 'fix')::int), 6) as fix_ratio, count(*) filter (kind = 'revert') as reverts, round(any_value(f.m), 6) as fixes_per_ticket from c left join f using (repo) group by 1""")
+def commit_scorecard(spark, sf_dir):
+    """Fix share, reverts and fixes per feature ticket of each repository."""
+    t(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
+    return metrics.scorecard(spark.sql(_COMMITS.replace("from lineitem", "from _lineitem")), "repo").select("repo", "commits", six("fix_ratio").alias("fix_ratio"), "reverts", six("fixes_per_ticket").alias("fixes_per_ticket"))
+
+
+@query("""with e as (select p_brand, p_size as lo, p_size + 2 as ml, p_size * 2 + 5 as hi from part), s as (select p_brand, sum((lo + 4 * ml + hi) / 6) as expected, sqrt(sum(((hi - lo) / 6) * ((hi - lo) / 6))) as deviation,
+ sum(ceil(((lo + 4 * ml + hi) / 6 + (hi - lo) / 6) * 2) / 2) as task_commitments from e group by 1)
+select p_brand, round(expected, 6) as expected, round(deviation, 6) as deviation, round(task_commitments, 6) as task_commitments, ceil(round((expected + deviation) * 2, 9)) / 2 as commitment from s""")
+def pert_estimates(spark, sf_dir):
+    """Three-point estimates summed by brand."""
+    p = t(spark, sf_dir, "part").selectExpr("p_brand", "p_size as low", "p_size + 2 as likely", "p_size * 2 + 5 as high")
+    return metrics.estimates(p, "p_brand").select("p_brand", *(six(c).alias(c) for c in ("expected", "deviation", "task_commitments")), F.col("commitment").cast("double").alias("commitment"))
+
+
+_RISK = "0.25 * least(10, l_quantity / 5) + 0.25 * least(10, l_discount * 100) + 0.2 * least(10, l_tax * 100) + 0.15 * least(10, l_linenumber) + 0.15 * least(10, l_extendedprice / 10000)"
+
+
+@query(f"with r as (select round({_RISK}, 9) as s from lineitem) select case when s < 3 then 'low' when s < 6 then 'medium' when s < 8 then 'high' else 'critical' end as label, count(*) as n, round(avg(s), 6) as mean from r group by 1")
+def risk_scores(spark, sf_dir):
+    """Weighted risk of line items, by label."""
+    c = F.col
+    s = F.round(scores.weighted_risk(c("l_quantity") / 5, c("l_discount") * 100, c("l_tax") * 100, c("l_linenumber"), c("l_extendedprice") / 10000), 9)
+    return t(spark, sf_dir, "lineitem").select(s.alias("s")).groupBy(scores.risk_label(c("s")).alias("label")).agg(F.count("*").alias("n"), six(F.avg("s")).alias("mean"))
+
+
+@query("select l_shipmode, p50, p85, median from (select l_returnflag as l_shipmode, quantile_disc(l_extendedprice, 0.5) as p50, quantile_disc(l_extendedprice, 0.85) as p85, round(median(l_extendedprice), 6) as median from lineitem group by 1)")
+def nearest_rank_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles of prices by flag."""
+    r = metrics.nearest_rank(t(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
+    return r.select(F.col("l_returnflag").alias("l_shipmode"), "p50", "p85", six("median").alias("median"))
+
+
+@query("""with c as (select distinct c_nationkey as k from customer where c_acctbal > 9000), s as (select distinct s_nationkey as k from supplier)
+select k, 'supplier' as missing_in from c anti join s using (k) union all select k, 'customer' from s anti join c using (k)""")
+def drift_warnings(spark, sf_dir):
+    """Nations of rich customers without suppliers, and the other way."""
+    c = t(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
+    return metrics.drift(c, t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k", ("customer", "supplier"))
+
+
+@query("""with o as (select distinct l_partkey as p, l_suppkey as s from lineitem where l_shipdate < '1996-01-01'), n as (select distinct l_partkey as p, l_suppkey as s from lineitem where l_shipdate >= '1995-01-01')
+select case when o.p is null then 'create' when n.p is null then 'delete' else 'update' end as action, count(*) as n from o full join n on o.p = n.p and o.s = n.s group by 1""")
+def sync_diff(spark, sf_dir):
+    """create, update and delete between two years' sets of keys."""
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_shipdate")
+    return metrics.three_way(rows.where("l_shipdate < '1996-01-01'"), rows.where("l_shipdate >= '1995-01-01'"), ["p", "s"]).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("""with o as (select o_custkey as k, max(o_totalprice) as a, case when count(*) > 8 then min(o_orderpriority) end as b from orders where o_orderkey % 2 = 0 group by 1),
+n as (select o_custkey as k, case when count(*) > 7 then max(o_totalprice) end as a, max(o_orderpriority) as b from orders where o_orderkey % 2 = 1 group by 1)
+select coalesce(n.k, o.k) as k, coalesce(n.a, o.a) as a, coalesce(n.b, o.b) as b from n full join o on o.k = n.k""")
+def snapshot_merge(spark, sf_dir):
+    """Two snapshots of customers merged field by field; what is not told stays as it was."""
+    o = t(spark, sf_dir, "orders")
+    old = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("a"), F.expr("case when count(*) > 8 then min(o_orderpriority) end").alias("b"))
+    new = o.where("o_orderkey % 2 = 1").groupBy(F.col("o_custkey").alias("k")).agg(F.expr("case when count(*) > 7 then max(o_totalprice) end").alias("a"), F.max("o_orderpriority").alias("b"))
+    return metrics.merge_snapshots(old, new, "k", ["a", "b"])
+
+
+@query("""select case when event_type = 'view' then 'orphan' when value > 90 then 'graduate' when user_id % 2 = 0 and date_diff('day', ts::date, date '2024-02-20') > 30 then 'prune' else 'keep' end as action, count(*) as n from events group by 1""")
+def memory_lifecycle(spark, sf_dir):
+    """What becomes of memory entries."""
+    e = t(spark, sf_dir, "events").select((F.col("event_type") != "view").alias("linked"), (F.col("value") > 90).alias("durable"), (F.col("user_id") % 2 == 0).alias("closed"), F.col("ts").cast("date").alias("updated"))
+    return metrics.lifecycle(e, F.lit("2024-02-20").cast("date")).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("""with f as (select lang as ext, n_chars as size, doc_id % 97 as born from documents) select ext, count(*) as files, sum(size)::bigint as bytes, round(sum(size) * 100.0 / (select sum(size) from f), 2) as share,
+ round(avg(size), 6) as mean_size, min(born) as oldest, max(born) as newest, count(distinct born) as times from f group by 1""")
+def extension_report(spark, sf_dir):
+    """Sizes by kind of file."""
+    f = t(spark, sf_dir, "documents").selectExpr("lang as ext", "n_chars as size", "doc_id % 97 as born")
+    return metrics.extension_report(f).withColumn("mean_size", six("mean_size"))
+
+
+@query("select o_orderpriority as status, count(*) as n from orders where o_orderpriority in ('5-LOW', '4-NOT SPECIFIED', '3-MEDIUM') group by 1")
+def forward_advance(spark, sf_dir):
+    """Items that may move forward to high: those below it."""
+    ranks = {"5-LOW": 0, "4-NOT SPECIFIED": 1, "3-MEDIUM": 2, "2-HIGH": 3, "1-URGENT": 4}
+    items = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("status"))
+    return metrics.advance(items, ranks, "2-HIGH").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("select page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') as title from pages")
+def html_title(spark, sf_dir):
+    """Titles of pages (an extension)."""
+    return t(spark, sf_dir, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"))
+
+
+@query("""with k as (select unnest(list_distinct(regexp_extract_all(command || ' and PROJ-' || (event_id % 7), '\\b[A-Z][A-Z0-9]+-[0-9]+\\b'))) as ticket from (""" + _GUARD + """)) select ticket, count(*) as n from k group by 1""")
+def ticket_mentions(spark, sf_dir):
+    """Distinct ticket ids of a command and its trailer."""
+    g = _guard(spark, sf_dir)
+    keys = text.ticket_keys(F.col("command"), F.concat(F.lit("and PROJ-"), (F.col("event_id") % 7).cast("string")))
+    return g.select(F.explode(keys).alias("ticket")).groupBy("ticket").agg(F.count("*").alias("n"))
+
+
+@query("""select u.user_id, u.event_id, (select max(p.ts) from events p where p.user_id = u.user_id and p.event_type = 'purchase' and p.ts <= u.ts) as last_purchase from events u where u.event_type = 'click'""")
+def clicks_as_of_purchase(spark, sf_dir):
+    """Each click with the last purchase before it (an extension: as-of join)."""
+    from pyspark.sql import Window
+
+    e = t(spark, sf_dir, "events")
+    win = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    seen = e.withColumn("last_purchase", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(win))
+    return seen.where("event_type = 'click'").select("user_id", "event_id", "last_purchase")
