@@ -1,0 +1,155 @@
+"""Smaller rules over work items, reports, logs and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from emberloom.functions import text
+
+
+def stale(episodes: DataFrame, now: Column, days: int) -> DataFrame:
+    """Episodes of the last days that are not promoted."""
+    return episodes.where((F.to_date("date") >= F.date_sub(now, days)) & ~F.col("promoted"))
+
+
+def same_or_unknown(a: Column, b: Column) -> Column:
+    """False only where both sides are known and differ."""
+    return a.isNull() | b.isNull() | (a == b)
+
+
+def project_of_folder(rows: DataFrame, watched: DataFrame, folder: str = "cwd") -> DataFrame:
+    """``project`` of each folder: the first watched path (by ``rank``) that is it or stands above it on a segment
+    boundary, else the folder's last segment. All ancestors of a folder are joined by equality."""
+    folders = rows.select(folder).distinct()
+    parts = F.split(F.col(folder), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = folders.select(folder, F.explode(above).alias("path")).join(watched.select("path", "project", "rank"), "path")
+    best = met.groupBy(folder).agg(F.min_by("project", "rank").alias("_project"))
+    found = rows.join(best, folder, "left")
+    return found.withColumn("project", F.coalesce("_project", text.basename(F.regexp_replace(folder, "/+$", "")))).drop("_project")
+
+
+def containing(needles: DataFrame, rows: DataFrame, needle: str, hay: str) -> DataFrame:
+    """Pairs in which the row's text holds the needle in either case: labels of an evaluation set resolved to
+    rows. The needles are a stated set of queries, tried against every row."""
+    return needles.join(rows, F.lower(F.col(hay)).contains(F.lower(F.col(needle)))).distinct()
+
+
+def cross_reference(reported: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``unmentioned`` items that no report names and ``phantom`` ones that only reports do."""
+    a, b = reported.select(key).distinct(), known.select(key).distinct()
+    return b.join(a, key, "left_anti").select(key, F.lit("unmentioned").alias("kind")).unionByName(a.join(b, key, "left_anti").select(key, F.lit("phantom").alias("kind")))
+
+
+def continuity(promised: DataFrame, done: DataFrame) -> DataFrame:
+    """Items (``item``, ``date``) promised in one report and done in a later one."""
+    d = done.groupBy("item").agg(F.max("date").alias("done"))
+    p = promised.groupBy("item").agg(F.min("date").alias("promised"))
+    return p.join(d, "item", "left").withColumn("kept", F.coalesce(F.col("done") > F.col("promised"), F.lit(False)))
+
+
+def request_rollup(log: DataFrame) -> DataFrame:
+    """Per request its lines, span, last status, errors, and whether its counters add up."""
+    rows = log.groupBy("session", "request").agg(
+        F.count("*").alias("lines"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.max_by("status", F.struct("ts", "line")).alias("status"),
+        F.sum((F.col("level") == "ERROR").cast("long")).alias("errors"),
+        F.max_by(F.struct("total", "done", "failed", "pending"), F.struct("ts", "line")).alias("c"),
+    )
+    return rows.select("*", F.coalesce(F.col("c.total") == F.col("c.done") + F.col("c.failed") + F.col("c.pending"), F.lit(False)).alias("adds_up")).drop("c")
+
+
+def reference_health(references: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFrame:
+    """dead, tool-miss, permission-gap or healthy for each reference (``server``, ``tool``)."""
+    live = tools.select("server").distinct().withColumn("_live", F.lit(True))
+    known = tools.select("server", "tool").distinct().withColumn("_tool", F.lit(True))
+    denied = calls.where("denied").select("server", "tool").distinct().withColumn("_denied", F.lit(True))
+    rows = references.join(live, "server", "left").join(known, ["server", "tool"], "left").join(denied, ["server", "tool"], "left")
+    state = F.when(F.col("_live").isNull(), "dead").when(F.col("_tool").isNull(), "tool-miss").when(F.col("_denied"), "permission-gap").otherwise("healthy")
+    return rows.withColumn("state", state).drop("_live", "_tool", "_denied")
+
+
+def release_audit(merged: DataFrame, tickets: DataFrame, version: str) -> DataFrame:
+    """Tickets merged since a tag against the tickets of a version: both, missing from the version, or not merged."""
+    a = merged.select("ticket").distinct().withColumn("_m", F.lit(True))
+    b = tickets.where(F.col("version") == version).select("ticket").distinct().withColumn("_v", F.lit(True))
+    state = F.when(F.col("_m").isNull(), "not merged").when(F.col("_v").isNull(), "not in the version").otherwise("released")
+    return a.join(b, "ticket", "full_outer").select("ticket", state.alias("state"))
+
+
+def open_threads(threads: DataFrame, comments: DataFrame) -> DataFrame:
+    """Per pull request its unresolved threads and the latest comment of the scanner."""
+    n = threads.groupBy("pr").agg(F.sum((~F.col("resolved")).cast("long")).alias("unresolved"))
+    last = comments.where(F.col("body").contains("scan")).groupBy("pr").agg(F.max_by("body", "at").alias("scan"))
+    return n.join(last, "pr", "full_outer").withColumn("unresolved", F.coalesce("unresolved", F.lit(0)))
+
+
+def signals(prs: DataFrame, now: Column) -> DataFrame:
+    """One row for each signal of a pull request; whole days of age count."""
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp("updated")) / 86400)
+    rules = [("stale", days >= 5), ("changes requested", F.col("review") == "CHANGES_REQUESTED"), ("ready", (F.col("review") == "APPROVED") & (F.col("ci") == "SUCCESS")), ("failing", F.col("ci") == "FAILURE")]
+    found = F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in rules)))
+    return prs.select("*", days.alias("days"), F.explode(found).alias("signal"))
+
+
+def digest_text(title: Column, items: Column, cap: int) -> Column:
+    """A digest for a reader: the title, a line for each item, cut to the cap with a count of what is left out."""
+    lines = F.transform(items, lambda x: F.concat(F.lit("- "), x))
+    whole = F.concat_ws("\n", title, F.array_join(lines, "\n"))
+    cut = F.concat(F.left(whole, F.lit(cap)), F.lit("\n… of "), F.size(items).cast("string"), F.lit(" items"))
+    return F.when(F.length(whole) > cap, cut).otherwise(whole)
+
+
+def top_with_rest(rows: DataFrame, order: list[Column], shown: int = 8) -> tuple[DataFrame, int]:
+    """The first rows, and how many more there are."""
+    return rows.orderBy(*order).limit(shown), max(0, rows.count() - shown)
+
+
+def observation(raw: Column, most: int = 20, chars: int = 400) -> Column:
+    """A model's JSON object as typed fields: lists of at most 20 texts, each collapsed and cut; a score out of
+    range is unknown."""
+    o = F.from_json(raw, "struct<summary:string,decisions:array<string>,learnings:array<string>,open_items:array<string>,value_score:string>")
+
+    def texts(name: str) -> Column:
+        some = F.filter(F.transform(F.coalesce(o[name], F.array().cast("array<string>")), lambda x: text.collapse(x, chars)), lambda x: F.length(x) > 0)
+        return F.slice(some, F.lit(1), F.lit(most)).alias(name)
+
+    return F.struct(text.collapse(o["summary"], chars).alias("summary"), texts("decisions"), texts("learnings"), texts("open_items"), text.value_score(o["value_score"]).alias("value_score"))
+
+
+def lint(files: DataFrame) -> DataFrame:
+    """Points of a skill document: front matter with name and description, a sound name, length, how much of it
+    speaks in the first person, and the share of rules that give a reason."""
+    front = text.front_matter(F.col("content"))
+    name, told = text.front_matter_field(front["block"], "name"), text.front_matter_field(front["block"], "description")
+    lines = F.filter(F.split(front["body"], "\n"), lambda x: F.length(F.trim(x)) > 0)
+    rules = F.filter(lines, lambda x: x.rlike(r"(?i)^\s*(?:[-*]|\d+\.)\s+.*\b(?:must|never|always|do not)\b"))
+    reasons = F.filter(rules, lambda x: x.rlike(r"(?i)\b(?:because|since|so that|otherwise|—)"))
+    ratio = F.when(F.size(rules) > 0, F.size(reasons) / F.size(rules)).otherwise(F.lit(1.0))
+    ok = lambda c, points: F.when(F.coalesce(c, F.lit(False)), points).otherwise(0)
+    parts = {
+        "front": ok(name.isNotNull() & told.isNotNull(), 30),
+        "naming": ok(name.rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$") & (F.length(name) <= 64), 20),
+        "size": ok(F.size(lines) <= 500, 15) + ok(F.length(told) <= 1024, 5),
+        "person": ok(~told.rlike(r"(?i)\b(?:I|my|we|our)\b"), 10),
+        "reasons": F.when(ratio >= 0.5, 20).when(ratio >= 0.25, 10).otherwise(0),
+    }
+    rows = files.select("path", *(c.alias(n) for n, c in parts.items()))
+    return rows.withColumn("score", sum((F.col(n) for n in parts), F.lit(0)))
+
+
+def banded(total: Column, bands: tuple[tuple[float, str], ...] = ((90, "strong"), (70, "sound"), (50, "weak")), low: str = "poor") -> Column:
+    """The label of the first band that the total reaches."""
+    chain = None
+    for least, name in bands:
+        chain = F.when(total >= least, name) if chain is None else chain.when(total >= least, name)
+    return chain.otherwise(low)
+
+
+def recent_activity(rows: DataFrame) -> DataFrame:
+    """Projects by activity (commits, pull requests and tickets), ties by commits."""
+    score = F.col("commits") + F.col("prs") + F.col("tickets")
+    return rows.withColumn("activity", score).orderBy(F.desc("activity"), F.desc("commits"), "project")

@@ -1,0 +1,86 @@
+"""The smaller rules, by hand."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from emberloom.functions import python
+from emberloom.operators import reports
+
+
+def test_python_functions(spark):
+    said = ['Sure: {"a": {"b": "}"}} and {"c": 1}', "none {bad", None, '{bad} then {"x": [1, "{"]}']
+    df = spark.createDataFrame([(x,) for x in said], "t string")
+    assert [r.j for r in df.select(python.balanced_json("t").alias("j")).collect()] == ['{"a": {"b": "}"}}', None, None, '{"x": [1, "{"]}']
+    words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "rational": "ration", "triplicate": "triplic", "hopeful": "hope", "goodness": "good", "revival": "reviv", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll"}
+    assert {w: python.porter(w) for w in words} == words
+    assert df.limit(1).select(python.stem_text(F.lit("Éclairs are RUNNING"))).first()[0] == "eclair ar run"
+    assert df.limit(1).select(python.fold_accents(F.lit("Ünïcode"))).first()[0] == "unicode"
+    rows = spark.createDataFrame([(1, "ab"), (2, None)], "id long, content string")
+    assert {r.id: list(r.embedding) for r in python.embed(rows, lambda: lambda texts: [[float(len(t))] for t in texts], prefix="q:").collect()} == {1: [4.0], 2: [2.0]}
+
+
+def test_project_of_folder(spark):
+    watched = spark.createDataFrame([("/w/app", "app", 1), ("/w", "all", 2)], "path string, project string, rank int")
+    rows = spark.createDataFrame([("/w/app/src",), ("/w/apple",), ("/x/own",), ("/w/app",)], "cwd string")
+    assert {r.cwd: r.project for r in reports.project_of_folder(rows, watched).collect()} == {"/w/app/src": "app", "/w/apple": "all", "/x/own": "own", "/w/app": "app"}
+
+
+def test_cross_reference_and_continuity(spark):
+    a, b = (spark.createDataFrame([(x,) for x in s], "k string") for s in ("ab", "bc"))
+    assert {(r.k, r.kind) for r in reports.cross_reference(a, b, "k").collect()} == {("a", "phantom"), ("c", "unmentioned")}
+    p = spark.createDataFrame([("x", 1), ("y", 2)], "item string, date int")
+    d = spark.createDataFrame([("x", 3), ("y", 2)], "item string, date int")
+    assert {r.item: r.kept for r in reports.continuity(p, d).collect()} == {"x": True, "y": False}
+
+
+def test_request_rollup(spark):
+    rows = [("s", "r", 1, 1, "RUN", "INFO", 3, 1, 0, 2), ("s", "r", 2, 5, "DONE", "ERROR", 3, 2, 1, 0), ("s", "q", 3, 1, "RUN", "INFO", 3, 1, 0, 0)]
+    log = spark.createDataFrame(rows, "session string, request string, line int, ts int, status string, level string, total int, done int, failed int, pending int")
+    assert {r.request: (r.lines, r.status, r.errors, r.adds_up) for r in reports.request_rollup(log).collect()} == {"r": (2, "DONE", 1, True), "q": (1, "RUN", 0, False)}
+
+
+def test_health_and_release(spark):
+    refs = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), ("gone", "x")], "server string, tool string")
+    tools = spark.createDataFrame([("a", "x"), ("a", "y")], "server string, tool string")
+    calls = spark.createDataFrame([("a", "y", True)], "server string, tool string, denied boolean")
+    assert {(r.server, r.tool): r.state for r in reports.reference_health(refs, calls, tools).collect()} == {("a", "x"): "healthy", ("a", "y"): "permission-gap", ("a", "z"): "tool-miss", ("gone", "x"): "dead"}
+    merged = spark.createDataFrame([("T-1",), ("T-2",)], "ticket string")
+    t = spark.createDataFrame([("T-1", "1.0"), ("T-3", "1.0"), ("T-2", "2.0")], "ticket string, version string")
+    assert {r.ticket: r.state for r in reports.release_audit(merged, t, "1.0").collect()} == {"T-1": "released", "T-2": "not in the version", "T-3": "not merged"}
+
+
+def test_signals_and_threads(spark):
+    prs = spark.createDataFrame([(1, "2026-01-01 00:00:00", "APPROVED", "SUCCESS"), (2, "2026-01-09 12:00:00", None, "FAILURE"), (3, "2026-01-09 12:00:00", None, None)], "pr int, updated string, review string, ci string").withColumn("updated", F.to_timestamp("updated"))
+    got = {(r.pr, r.signal) for r in reports.signals(prs, F.to_timestamp(F.lit("2026-01-10 00:00:00"))).collect()}
+    assert got == {(1, "stale"), (1, "ready"), (2, "failing")}
+    th = spark.createDataFrame([(1, True), (1, False)], "pr int, resolved boolean")
+    co = spark.createDataFrame([(1, 1, "scan old"), (1, 2, "scan new"), (2, 1, "scan x")], "pr int, at int, body string")
+    assert {r.pr: (r.unresolved, r.scan) for r in reports.open_threads(th, co).collect()} == {1: (1, "scan new"), 2: (0, "scan x")}
+
+
+def test_observation_digest_and_bands(spark):
+    raw = json.dumps({"summary": " a\n b ", "decisions": ["x", " "] + ["y"] * 30, "value_score": 7})
+    o = spark.range(1).select(reports.observation(F.lit(raw)).alias("o")).first().o
+    assert o.summary == "a b" and len(o.decisions) == 20 and o.learnings == [] and o.value_score is None
+    d = spark.range(1).select(reports.digest_text(F.lit("T"), F.array(F.lit("one"), F.lit("two")), 7).alias("d")).first().d
+    assert d == "T\n- one\n… of 2 items"
+    assert [r[0] for r in spark.createDataFrame([(95,), (70,), (10,)], "x int").select(reports.banded(F.col("x"))).collect()] == ["strong", "sound", "poor"]
+
+
+def test_lint(spark):
+    good = "---\nname: my-skill\ndescription: Checks things.\n---\n- You must test, because it breaks.\n"
+    bad = "---\nname: My Skill\n---\n- Never do it.\n- Always do that.\n"
+    rows = spark.createDataFrame([("g", good), ("b", bad), ("n", "nothing")], "path string, content string")
+    assert {r.path: r.score for r in reports.lint(rows).collect()} == {"g": 100, "b": 15, "n": 35}
+
+
+def test_stale_and_unknown_projects(spark):
+    e = spark.createDataFrame([("2026-01-05", False, "a"), ("2026-01-05", True, "a"), ("2025-12-01", False, None)], "date string, promoted boolean, project string")
+    assert reports.stale(e, F.lit("2026-01-10").cast("date"), 7).count() == 1
+    assert e.where(reports.same_or_unknown(F.col("project"), F.lit("b"))).count() == 1
+    rows = spark.createDataFrame([("p1", 1, 2, 0), ("p2", 2, 1, 0), ("p3", 0, 0, 9)], "project string, commits int, prs int, tickets int")
+    assert [r.project for r in reports.recent_activity(rows).collect()] == ["p3", "p2", "p1"]
+    top, rest = reports.top_with_rest(rows, [F.desc("commits")], 2)
+    assert top.count() == 2 and rest == 1
+    assert reports.containing(spark.createDataFrame([("P1",)], "n string"), rows, "n", "project").count() == 1
