@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberloom.functions import scores, text
-from emberloom.operators import evaluate, events, flags, ingest, metrics, search, similarity, telemetry, themes
+from emberloom.operators import evaluate, events, flags, ingest, metrics, reports, search, similarity, telemetry, themes
 
 NOW = 1_706_745_600  # 2024-02-01, behind the last event
 THEME_COSINE = 0.40  # no pair of the given vectors comes near the default
@@ -616,3 +616,72 @@ def clicks_as_of_purchase(spark, sf_dir):
     win = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
     seen = e.withColumn("last_purchase", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(win))
     return seen.where("event_type = 'click'").select("user_id", "event_id", "last_purchase")
+
+
+_LOG = """select user_id as session, user_id * 10 + event_id % 10 as request, event_id as line, ts, event_type as status,
+ case when value > 80 then 'ERROR' else 'INFO' end as level, 10 as total, event_id % 7 as done, event_id % 3 as failed, 10 - event_id % 7 - event_id % 3 - case when event_id % 11 = 0 then 1 else 0 end as pending from events"""
+
+
+@query(f"""with l as ({_LOG}), r as (select session, request, count(*) as lines, min(ts) as first_ts, max(ts) as last_ts, arg_max(status, {{'a': ts, 'b': line}}) as status, count(*) filter (level = 'ERROR') as errors,
+ arg_max(total = done + failed + pending, {{'a': ts, 'b': line}}) as adds_up from l group by 1, 2) select * from r""")
+def request_rollup(spark, sf_dir):
+    """Lines, span, last status, errors and counter integrity of each request of a log."""
+    t(spark, sf_dir, "events").createOrReplaceTempView("_events")
+    return reports.request_rollup(spark.sql(_LOG.replace("from events", "from _events")))
+
+
+@query("""with m as (select distinct l_orderkey as ticket from lineitem where l_shipdate >= '1996-01-01' and l_returnflag = 'N'), v as (select distinct o_orderkey as ticket from orders where o_orderpriority = '1-URGENT')
+select case when m.ticket is null then 'not merged' when v.ticket is null then 'not in the version' else 'released' end as state, count(*) as n from m full join v using (ticket) group by 1""")
+def release_audit(spark, sf_dir):
+    """Tickets merged since a day against those of a version."""
+    merged = t(spark, sf_dir, "lineitem").where("l_shipdate >= '1996-01-01' and l_returnflag = 'N'").select(F.col("l_orderkey").alias("ticket"))
+    tickets = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ticket"), F.col("o_orderpriority").alias("version"))
+    return reports.release_audit(merged, tickets, "1-URGENT").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("""with p as (select user_id as item, min(ts) as promised from events where event_type = 'click' group by 1), d as (select user_id as item, max(ts) as done from events where event_type = 'purchase' group by 1)
+select p.item, p.promised, d.done, coalesce(d.done > p.promised, false) as kept from p left join d using (item)""")
+def report_continuity(spark, sf_dir):
+    """What was promised first, and whether it was done later."""
+    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("ts").alias("date"), "event_type")
+    return reports.continuity(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"))
+
+
+@query("""with a as (select distinct user_id as k from events where event_type = 'view'), b as (select distinct c_custkey as k from customer where c_mktsegment = 'BUILDING')
+select k, 'unmentioned' as kind from b anti join a using (k) union all select k, 'phantom' from a anti join b using (k)""")
+def report_cross_reference(spark, sf_dir):
+    """Items without a report, and reports without an item."""
+    seen = t(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("k"))
+    known = t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"))
+    return reports.cross_reference(seen, known, "k")
+
+
+@query("""with p as (select *, floor((1706745600 - floor(epoch(ts))) / 86400)::bigint as days from events)
+select signal, count(*) as n, min(days) as least, max(days) as most from (
+  select 'stale' as signal, days from p where days >= 5 union all select 'changes requested', days from p where event_type = 'click'
+  union all select 'ready', days from p where event_type = 'purchase' and value > 50 union all select 'failing', days from p where value <= 50) group by 1""")
+def item_signals(spark, sf_dir):
+    """Signals of work items, one row each, counted."""
+    review = F.when(F.col("event_type") == "click", "CHANGES_REQUESTED").when(F.col("event_type") == "purchase", "APPROVED")
+    rows = t(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("updated"), review.alias("review"), F.when(F.col("value") > 50, "SUCCESS").otherwise("FAILURE").alias("ci"))
+    found = reports.signals(rows, F.timestamp_seconds(F.lit(NOW)))
+    return found.groupBy("signal").agg(F.count("*").alias("n"), F.min("days").alias("least"), F.max("days").alias("most"))
+
+
+@query("""with w as (select distinct '/' || split_part(url, '/', 3) as path, split_part(split_part(url, '/', 3), '.', 1) as project, min(page_id) over (partition by split_part(url, '/', 3)) as rank from pages where page_id % 2 = 0)
+select coalesce(w.project, 'en') as project, count(*) as n from (select distinct page_id, '/' || split_part(url, '/', 3) || '/x/en' as cwd from pages) p
+left join w on p.cwd = w.path || '/x/en' group by 1""")
+def project_of_folder(spark, sf_dir):
+    """Folders by the project whose path stands above them."""
+    host = F.split_part(F.col("url"), F.lit("/"), F.lit(3))
+    pages = t(spark, sf_dir, "pages")
+    watched = pages.where("page_id % 2 = 0").groupBy(F.concat(F.lit("/"), host).alias("path")).agg(F.min(F.split_part(host, F.lit("."), F.lit(1))).alias("project"), F.min("page_id").alias("rank"))
+    rows = pages.select("page_id", F.concat(F.lit("/"), host, F.lit("/x/en")).alias("cwd"))
+    return reports.project_of_folder(rows, watched).groupBy("project").agg(F.count("*").alias("n"))
+
+
+@query("""select b.item_id, count(*) as n from benchmark b join documents d on contains(lower(d.text), lower(b.text)) group by 1""")
+def ground_truth(spark, sf_dir):
+    """Rows that hold each label of an evaluation set."""
+    found = reports.containing(t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("label")), t(spark, sf_dir, "documents").select("doc_id", "text"), "label", "text")
+    return found.groupBy("item_id").agg(F.count("*").alias("n"))
