@@ -31,8 +31,8 @@ def classify(path: Column, watched: tuple[tuple[str, str], ...] = ()) -> Column:
     chain = chain.when(path.rlike(r"(?:^|/)episodes/(?:.*/)?[^/]+\.md$"), kind("episode"))
     for folder, project in watched:
         inside = path.startswith(folder.rstrip("/") + "/")
-        chain = chain.when(inside & path.endswith("/CLAUDE.md"), kind("project_claude_md", project=F.lit(project)))
-        chain = chain.when(inside & path.endswith("/README.md"), kind("project_readme", project=F.lit(project)))
+        for name, source_type in C.PROJECT_FILES.items():
+            chain = chain.when(inside & path.endswith(f"/{name}"), kind(source_type, project=F.lit(project)))
     return chain.otherwise(F.lit(None))
 
 
