@@ -10,7 +10,8 @@ then position (in the same text, too), is deleted, and its first occurrence stay
    ``MIN_WORDS`` words by itself. So every run of that many words holds a fingerprint that each copy of the run
    has, too.
 2. Positions of equal fingerprints are joined with the first position only (pre-aggregated by ``min``), never
-   with each other.
+   with each other; of several in one text that holds the first, each is joined with the one before it. A match
+   of a short pair whose neighbours differ on both sides cannot be part of a longer run and goes.
 3. A joined position gives a diagonal (document, earlier document, distance of positions). Along it the lines
    of both are compared, which extends the match both ways, and equal stretches of enough words are deleted.
 
@@ -22,7 +23,7 @@ names; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberloom.llm import scratch
@@ -43,13 +44,17 @@ def _doc(docs: DataFrame) -> list[Column]:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """``d``, ``h`` and the arrays ``u`` (hash of each line) and ``w`` (its words)."""
-    cut = docs.where(F.length("text") > 0).select(*_doc(docs), F.transform(_lines(F.col("text")), lambda x: F.trim(F.translate(x, "\n", ""))).alias("x"))
+    cut = docs.where(F.length("text") > 0).select(*_doc(docs), F.transform(_lines(F.col("text")), lambda x: F.trim(x, F.lit(" \n"))).alias("x"))
     words = F.transform("x", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
     return cut.select("d", "h", F.transform("x", lambda x: F.xxhash64(x)).alias("u"), words.alias("w"))
 
 
 def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``d``, ``h``, ``p`` and ``s``: the selected pairs and single lines, by position and hash."""
+    """``d``, ``h``, ``p``, ``s`` and ``c``: the selected pairs and single lines, by position and hash.
+
+    ``c`` holds 32 bits each of the lines before and behind a pair that is too short by itself, and is 0 for one
+    that is long enough.
+    """
     pair = F.transform("u", lambda x, i: F.xxhash64(x, F.get("u", i + 1)))
     both = F.transform("w", lambda x, i: x + F.coalesce(F.get("w", i + 1), F.lit(0)))
     made = lines.select("d", "h", "u", "w", pair.alias("s"), both.alias("c"))
@@ -62,10 +67,17 @@ def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         before = (i > 0) & (o <= F.get("o", i - 1))
         return (i < last) & (c > 0) & (after | before | (c >= min_words))
 
-    pairs = F.transform("o", lambda o, i: F.when(chosen(o, i), F.struct(i.alias("p"), F.get("s", i).alias("s"))))
-    ones = F.transform("w", lambda w, i: F.when(w >= min_words, F.struct(i.alias("p"), F.xxhash64(F.get("u", i), F.lit("alone")).alias("s"))))
+    half = F.lit(2**32 - 1)
+
+    def beside(i: Column) -> Column:
+        before = F.coalesce(F.get("u", F.when(i > 0, i - 1)), F.lit(1))
+        behind = F.coalesce(F.get("u", i + 2), F.lit(1))
+        return F.when(F.get("c", i) >= min_words, F.lit(0)).otherwise(F.shiftleft(before.bitwiseAND(half), 32).bitwiseOR(behind.bitwiseAND(half)))
+
+    pairs = F.transform("o", lambda o, i: F.when(chosen(o, i), F.struct(i.alias("p"), F.get("s", i).alias("s"), beside(i).alias("c"))))
+    ones = F.transform("w", lambda w, i: F.when(w >= min_words, F.struct(i.alias("p"), F.xxhash64(F.get("u", i), F.lit("alone")).alias("s"), F.lit(0).cast("long").alias("c"))))
     every = F.filter(F.concat(pairs, ones), lambda x: x.isNotNull())
-    return made.select("d", "h", F.explode(every).alias("f")).select("d", "h", "f.p", "f.s")
+    return made.select("d", "h", F.explode(every).alias("f")).select("d", "h", "f.p", "f.s", "f.c")
 
 
 def _runs(min_words: int) -> Column:
@@ -88,11 +100,23 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = scratch.stash(line_table(docs), "lines")
     prints = scratch.stash(fingerprints(lines, min_words), "prints")
     place = F.struct("d", "h", "p")
-    first = prints.groupBy("s").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("s", "f")
-    met = prints.join(first, "s").where(place > F.col("f"))
-    diagonals = met.select("d", "h", F.col("f.d").alias("d0"), F.col("f.h").alias("h0"), (F.col("p") - F.col("f.p")).alias("g")).distinct()
-    earlier = lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("u").alias("u0")).dropDuplicates(["d0", "h0"])
-    both = diagonals.join(lines.dropDuplicates(["d", "h"]), ["d", "h"]).join(earlier, ["d0", "h0"])
+    first = prints.groupBy("s").agg(F.min(F.struct("d", "h", "p", "c")).alias("f"), F.count("*").alias("n")).where("n > 1").select("s", "f")
+    met = prints.join(first, "s").where(place > F.struct("f.d", "f.h", "f.p"))
+    # a short pair is part of a run only if the lines before or behind it agree, too
+    apart = F.col("c").bitwiseXOR(F.col("f.c"))
+    met = met.where((F.col("c") == 0) | (F.shiftright(apart, 32) == 0) | (apart.bitwiseAND(F.lit(2**32 - 1)) == 0))
+    # written at once, so that nothing above the join keeps Spark from splitting its hot keys
+    met = scratch.stash(met.select("d", "h", "p", "s", F.col("f.d").alias("d0"), F.col("f.h").alias("h0"), F.col("f.p").alias("p0")), "met")
+    # within one text the position before serves as well as the first, and gives fewer distances
+    same = (F.col("d") == F.col("d0")) & (F.col("h") == F.col("h0"))
+    before = F.lag("p").over(Window.partitionBy("d", "h", "s").orderBy("p"))
+    own = met.where(same).distinct().withColumn("p0", F.coalesce(before, "p0"))
+    every = met.where(~same).union(own)
+    diagonals = scratch.stash(every.select("d", "h", "d0", "h0", (F.col("p") - F.col("p0")).alias("g")).distinct(), "diagonals")
+    wanted = diagonals.select("d", "h").union(diagonals.select("d0", "h0")).distinct()
+    some = scratch.stash(lines.join(wanted, ["d", "h"], "left_semi").dropDuplicates(["d", "h"]), "matched")
+    earlier = some.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("u").alias("u0"))
+    both = diagonals.join(some, ["d", "h"]).join(earlier, ["d0", "h0"])
     low = F.greatest(F.lit(0), "g")
     size = F.least(F.size("u"), F.size("u0") + F.col("g")) - low
     along = both.select("d", "h", low.alias("low"), F.slice("u", low + 1, size).alias("a"), F.slice("u0", low - F.col("g") + 1, size).alias("b"), F.slice("w", low + 1, size).alias("c"))
