@@ -9,11 +9,11 @@ then position (in the same text, too), is deleted, and its first occurrence stay
    first, many words counting as less; then hash) is a fingerprint, and so is each pair, and each line, that has
    ``MIN_WORDS`` words by itself. So every run of that many words holds a fingerprint that each copy of the run
    has, too.
-2. Positions of equal fingerprints are joined with the first position only (pre-aggregated by ``min``), never
-   with each other; of several in one text that holds the first, each is joined with the one before it. A match
+2. The first position of a fingerprint in each text is joined with the first position of all (pre-aggregated by
+   ``min``), and a later one in the same text with the one before it; positions never meet all others. A match
    of a short pair whose neighbours differ on both sides cannot be part of a longer run and goes.
-3. A joined position gives a diagonal (document, earlier document, distance of positions). Along it the lines
-   of both are compared, which extends the match both ways, and equal stretches of enough words are deleted.
+3. A joined position gives a diagonal (document, earlier document, distance of positions). Along it the lines of
+   both are compared, which extends the match both ways, and stretches of enough words around a match go.
 
 Defined cases: null text stays null, empty text stays empty, neither has lines; a null ``doc_id`` comes before
 all others; rows with equal ``doc_id`` and text are one document (each gets the same result); rows with equal
@@ -81,11 +81,11 @@ def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _runs(min_words: int) -> Column:
-    """Equal stretches of enough words on a diagonal, as an array of (first, last) positions.
+    """Equal stretches of enough words around the ``seeds`` of a diagonal, as an array of (first, last) positions.
 
     ``a`` and ``b`` are the lines of both documents from position ``low`` on, and ``c`` the words of each.
     """
-    close = f"if(acc.n >= {min_words}, concat(acc.out, array(named_struct('first', acc.start, 'last', acc.at - 1))), acc.out)"
+    close = f"if(acc.n >= {min_words} and exists(seeds, p -> p >= acc.start and p < acc.at), concat(acc.out, array(named_struct('first', acc.start, 'last', acc.at - 1))), acc.out)"
     return F.expr(f"""
         aggregate(arrays_zip(a, b, c),
           named_struct('start', low, 'at', low, 'n', 0, 'out', cast(array() as array<struct<first:int,last:int>>)),
@@ -99,27 +99,27 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``d``, ``h`` and ``runs``: the (first, last) positions to delete, of the documents that have some."""
     lines = scratch.stash(line_table(docs), "lines")
     prints = scratch.stash(fingerprints(lines, min_words), "prints")
-    place = F.struct("d", "h", "p")
     first = prints.groupBy("s").agg(F.min(F.struct("d", "h", "p", "c")).alias("f"), F.count("*").alias("n")).where("n > 1").select("s", "f")
-    met = prints.join(first, "s").where(place > F.struct("f.d", "f.h", "f.p"))
-    # a short pair is part of a run only if the lines before or behind it agree, too
-    apart = F.col("c").bitwiseXOR(F.col("f.c"))
-    met = met.where((F.col("c") == 0) | (F.shiftright(apart, 32) == 0) | (apart.bitwiseAND(F.lit(2**32 - 1)) == 0))
     # written at once, so that nothing above the join keeps Spark from splitting its hot keys
-    met = scratch.stash(met.select("d", "h", "p", "s", F.col("f.d").alias("d0"), F.col("f.h").alias("h0"), F.col("f.p").alias("p0")), "met")
-    # within one text the position before serves as well as the first, and gives fewer distances
-    same = (F.col("d") == F.col("d0")) & (F.col("h") == F.col("h0"))
-    before = F.lag("p").over(Window.partitionBy("d", "h", "s").orderBy("p"))
-    own = met.where(same).distinct().withColumn("p0", F.coalesce(before, "p0"))
-    every = met.where(~same).union(own)
-    diagonals = scratch.stash(every.select("d", "h", "d0", "h0", (F.col("p") - F.col("p0")).alias("g")).distinct(), "diagonals")
+    met = scratch.stash(prints.join(first.hint("merge"), "s"), "met")
+    scratch.drop(prints)
+    win = Window.partitionBy("d", "h", "s").orderBy("p")
+    before = F.lag(F.struct("d", "h", "p", "c")).over(win)
+    linked = met.select("d", "h", "p", "c", F.coalesce(before, "f").alias("e")).where(F.struct("d", "h", "p") > F.struct("e.d", "e.h", "e.p"))
+    # a short pair is part of a run only if the lines before or behind it agree, too
+    apart = F.col("c").bitwiseXOR(F.col("e.c"))
+    linked = linked.where((F.col("c") == 0) | (F.shiftright(apart, 32) == 0) | (apart.bitwiseAND(F.lit(2**32 - 1)) == 0))
+    keyed = linked.select("d", "h", F.col("e.d").alias("d0"), F.col("e.h").alias("h0"), (F.col("p") - F.col("e.p")).alias("g"), "p")
+    diagonals = scratch.stash(keyed.groupBy("d", "h", "d0", "h0", "g").agg(F.collect_set("p").alias("seeds")), "diagonals")
     wanted = diagonals.select("d", "h").union(diagonals.select("d0", "h0")).distinct()
-    some = scratch.stash(lines.join(wanted, ["d", "h"], "left_semi").dropDuplicates(["d", "h"]), "matched")
+    some = scratch.stash(lines.join(wanted.hint("merge"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"]), "matched")
+    scratch.drop(lines)
+    scratch.drop(met)
     earlier = some.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("u").alias("u0"))
-    both = diagonals.join(some, ["d", "h"]).join(earlier, ["d0", "h0"])
+    both = diagonals.join(some.hint("merge"), ["d", "h"]).join(earlier.hint("merge"), ["d0", "h0"])
     low = F.greatest(F.lit(0), "g")
     size = F.least(F.size("u"), F.size("u0") + F.col("g")) - low
-    along = both.select("d", "h", low.alias("low"), F.slice("u", low + 1, size).alias("a"), F.slice("u0", low - F.col("g") + 1, size).alias("b"), F.slice("w", low + 1, size).alias("c"))
+    along = both.select("d", "h", "seeds", low.alias("low"), F.slice("u", low + 1, size).alias("a"), F.slice("u0", low - F.col("g") + 1, size).alias("b"), F.slice("w", low + 1, size).alias("c"))
     found = along.select("d", "h", F.explode(_runs(min_words)).alias("r"))
     return found.groupBy("d", "h").agg(F.collect_set("r").alias("runs"))
 
@@ -128,7 +128,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The input with ``text`` cleaned, and ``n_lines`` and ``n_removed`` behind all its columns."""
     runs = scratch.stash(repeated_runs(docs, min_words), "deleted")
     d, h = _doc(docs)
-    joined = docs.select(F.struct(*docs.columns).alias("row"), d, h).join(runs, ["d", "h"], "left")
+    joined = docs.select(F.struct(*docs.columns).alias("row"), d, h).join(runs.hint("merge"), ["d", "h"], "left")
     lines = F.when(F.length("row.text") > 0, _lines(F.col("row.text"))).otherwise(F.array().cast("array<string>"))
     cut = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), lines).alias("all"), F.when(F.col("runs").isNull(), F.size(lines)).alias("whole"))
     kept = F.filter("all", lambda x, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
@@ -145,7 +145,7 @@ def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-#: The same result by the definition, with every pair of lines in place of the fingerprints.
+#: The same result by the definition: every pair of lines, against every earlier one.
 DIGEST_SQL = """
 with docs as (select distinct doc_id as d, text as t, md5(text) as h from documents where length(text) > 0),
 cut as (select d, h, string_split(regexp_replace(t, '(\\n|[.!?] )', '\\1' || chr(1), 'g'), chr(1)) as x from docs),
@@ -158,11 +158,9 @@ pair as (
 print as (
   select d, h, p, md5(u || chr(2) || v) as s from pair where v is not null and w + x > 0
   union all select d, h, p, md5(u || chr(3)) from line where w >= 30),
-place as (
-  select s, d, h, p, min(struct_pack(d := d, h := h, p := p)) over (partition by s) as f from print),
 diagonal as (
-  select distinct d, h, f.d as d0, f.h as h0, p - f.p as g from place
-  where struct_pack(d := d, h := h, p := p) > f),
+  select distinct a.d, a.h, b.d as d0, b.h as h0, a.p - b.p as g from print a join print b
+  on b.s = a.s and (b.d < a.d or b.d = a.d and (b.h < a.h or b.h = a.h and b.p < a.p))),
 equal as (
   select g.d, g.h, g.d0, g.h0, g.g, a.p, a.w,
     a.p - row_number() over (partition by g.d, g.h, g.d0, g.h0, g.g order by a.p) as island

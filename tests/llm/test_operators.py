@@ -362,6 +362,13 @@ def test_repeated_runs_go_and_first_ones_stay(spark):
     assert linededup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_a_repeat_within_a_text_goes_though_its_lines_were_seen_before(spark):
+    block = " ".join(f"Short line {i}." for i in range(12))
+    docs = spark.createDataFrame([(1, "Short line 3. Short line 4."), (2, f"{block} {block} end"), (3, "Is one. " * 40), (4, "Is one. Is one. x")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.deduplicate(docs).collect()}
+    assert got == {1: "Short line 3. Short line 4.", 2: f"{block} end", 3: "Is one. ", 4: "Is one. Is one. x"}
+
+
 def test_url_lists_as_of(spark):
     url = "http://user@WWW.Bad.example.com:8080/x/y"
     captures = spark.createDataFrame([(1, url, 5), (2, url, 10), (3, url, 19), (4, url, 20), (5, url, 300), (6, None, 10), (7, "nothing", 10), (8, "http://ok.org/", 10), (9, "http://other.example.com/", 45), (2, url, 10), (10, url, None)], "page_id long, url string, fetched int")
