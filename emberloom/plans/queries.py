@@ -131,7 +131,7 @@ def reinforcement_score(spark, sf_dir):
     return s.select("id", "access_count", six(bonus).alias("bonus"))
 
 
-@query("select lang, case when contains(lower(source), 'the that') then 0.016 when contains(lower(text), 'the that') then 0.008 else 0.0 end as boost, count(*) as n from documents group by 1, 2")
+@query("select lang, case when contains(lower(source), 'the that') then 0.016 when contains(lower(text), 'the that') then 0.008 else 0.0 end::double as boost, count(*) as n from documents group by 1, 2")
 def exact_match_boost(spark, sf_dir):
     """How many documents of each language hold the whole query."""
     return t(spark, sf_dir, "documents").groupBy("lang", scores.exact_match(QUERY, F.col("source"), F.col("text")).alias("boost")).agg(F.count("*").alias("n"))
