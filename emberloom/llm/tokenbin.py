@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberloom.llm import scratch
-from emberloom.llm.bpe import blocks
+from emberloom.llm.bpe import blocks, sizes
 
-MEMO_ROWS = 900_000
+MEMO_ROWS = 500_000
 BLOCK_IDS = 1 << 18
 BLOCK_CHARS = 2_000_000
 #: Stands for a null doc_id in a block.
@@ -183,9 +183,10 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in blocks([len(t) for t in texts], BLOCK_CHARS):
-                for doc_id, ids in zip(doc_ids[part], coder.encode(texts[part]), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
+                texts = [t or "" for t in batch.column(1)[part].to_pylist()]
+                for doc_id, ids in zip(doc_ids[part], coder.encode(texts), strict=True):
                     kept_docs.append(doc_id)
                     kept_ids.append(ids + end)
                     kept += len(ids) // 4 + 1
