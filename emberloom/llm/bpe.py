@@ -35,8 +35,8 @@ MARK = "\x01"
 #: What makes a text take the pattern: white space whose runs must be seen together, rare spaces, and MARK.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", MARK, *SPACES.replace(" ", "").replace("\n", ""))
 LONG = 200
-MEMO_ROWS = 500_000
-BLOCK_CHARS = 4_000_000
+MEMO_ROWS = 300_000
+BLOCK_CHARS = 2_000_000
 DECODE_IDS = 1_000_000
 
 _CONTRACT = """
@@ -280,7 +280,23 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """What :func:`decode` of :func:`encode` returns, by one Python worker for each task in place of two."""
+
+    def run(batches):
+        coder = _coder(ranks_path, pattern)
+        for batch in batches:
+            for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
+                ids = coder.encode([t or "" for t in batch.column(1)[part].to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[part], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())],
+                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode and decode every text; the digests of ids and decoded bytes."""
-    done = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    done = round_trip(docs, ranks_path, pattern)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

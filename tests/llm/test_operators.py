@@ -56,6 +56,8 @@ def test_byte_bpe_is_tiktokens(docs, local, spark):
         ids = np.array(coder.encode_ordinary(t or ""), "<u4")
         want[i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert Counter(map(tuple, bpe.digests(docs, RANKS, P.PATTERN).collect())) == want
+    two = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
+    assert Counter(map(tuple, two.collect())) == Counter(map(tuple, bpe.round_trip(docs, RANKS, P.PATTERN).collect()))
     assert bpe.digests(empty(spark), RANKS, P.PATTERN).count() == 0
 
 
