@@ -1,19 +1,17 @@
-"""Repeated runs of lines, found by winnowing over line hashes, as DataFrame expressions only.
+"""Repeated runs of lines, found by hashes of their shortest long enough stretches, as DataFrame expressions only.
 
 Lines end at a line end, and also behind a sentence mark and a space: scraped text has paragraphs as one line,
 and passages are pasted into them. A run is a stretch of consecutive lines; two runs match where their lines are
 equal but for spaces at the ends. A run of ``MIN_WORDS`` words or more that occurred before, by ``doc_id`` and
 then position (in the same text, too), is deleted, and its first occurrence stays.
 
-1. Hashes of lines, then of pairs of neighbouring lines. Of each two neighbouring pairs the least by (fewest
-   first, many words counting as less; then hash) is a fingerprint, and so is each pair, and each line, that has
-   ``MIN_WORDS`` words by itself. So every run of that many words holds a fingerprint that each copy of the run
-   has, too.
-2. The first position of a fingerprint in each text is joined with the first position of all (pre-aggregated by
-   ``min``), and a later one in the same text with the one before it; positions never meet all others. A match
-   of a short pair whose neighbours differ on both sides cannot be part of a longer run and goes.
-3. A joined position gives a diagonal (document, earlier document, distance of positions). Along it the lines of
-   both are compared, which extends the match both ways, and stretches of enough words around a match go.
+1. From each line, the stretch that just reaches ``MIN_WORDS`` words, and to each line, the one that just reaches
+   them backwards. Every longer run is the union of such stretches inside it, and each copy of the run has them,
+   too; their number is linear in the lines. Lines without words reach nothing: they count between others, and
+   before and behind a stretch as stretches of their own.
+2. A stretch is deleted where its hash has an earlier position: one ``min`` aggregate and one join with its
+   result. Positions never meet all others, and none needs to.
+3. Stretches that overlap or touch are merged by text.
 
 Defined cases: null text stays null, empty text stays empty, neither has lines; a null ``doc_id`` comes before
 all others; rows with equal ``doc_id`` and text are one document (each gets the same result); rows with equal
@@ -43,85 +41,73 @@ def _doc(docs: DataFrame) -> list[Column]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``d``, ``h`` and the arrays ``u`` (hash of each line) and ``w`` (its words)."""
+    """``d``, ``h``, ``n`` (lines) and, of the lines with words, the arrays ``p`` (position), ``w`` (words) and ``u`` (hash)."""
     cut = docs.where(F.length("text") > 0).select(*_doc(docs), F.transform(_lines(F.col("text")), lambda x: F.trim(x, F.lit(" \n"))).alias("x"))
-    words = F.transform("x", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
-    return cut.select("d", "h", F.transform("x", lambda x: F.xxhash64(x)).alias("u"), words.alias("w"))
 
+    def line(x: Column, i: Column) -> Column:
+        words = F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+        return F.struct(i.alias("p"), words.alias("w"), F.xxhash64(x).alias("u"))
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``d``, ``h``, ``p``, ``s`` and ``c``: the selected pairs and single lines, by position and hash.
-
-    ``c`` holds 32 bits each of the lines before and behind a pair that is too short by itself, and is 0 for one
-    that is long enough.
-    """
-    pair = F.transform("u", lambda x, i: F.xxhash64(x, F.get("u", i + 1)))
-    both = F.transform("w", lambda x, i: x + F.coalesce(F.get("w", i + 1), F.lit(0)))
-    made = lines.select("d", "h", "u", "w", pair.alias("s"), both.alias("c"))
-    order = F.zip_with("s", "c", lambda s, c: F.shiftleft(F.lit(127) - F.least(c, F.lit(127)).cast("long"), 56) + s.bitwiseAND(F.lit(2**56 - 1)))
-    made = made.select("d", "h", "u", "w", "s", "c", order.alias("o"))
-
-    def chosen(o: Column, i: Column) -> Column:
-        last, c = F.size("u") - 1, F.get("c", i)
-        after = (i + 1 < last) & (o <= F.get("o", i + 1))
-        before = (i > 0) & (o <= F.get("o", i - 1))
-        return (i < last) & (c > 0) & (after | before | (c >= min_words))
+    some = cut.select("d", "h", F.size("x").alias("n"), F.filter(F.transform("x", line), lambda z: z["w"] > 0).alias("z"))
+    return some.select("d", "h", "n", "z.p", "z.w", "z.u")
 
-    half = F.lit(2**32 - 1)
 
-    def beside(i: Column) -> Column:
-        before = F.coalesce(F.get("u", F.when(i > 0, i - 1)), F.lit(1))
-        behind = F.coalesce(F.get("u", i + 2), F.lit(1))
-        return F.when(F.get("c", i) >= min_words, F.lit(0)).otherwise(F.shiftleft(before.bitwiseAND(half), 32).bitwiseOR(behind.bitwiseAND(half)))
+_NEAR = 8
+#: From line i to line j, with the lines without words between them.
+_HASH = "xxhash64(get(u, i), slice(y, i + 2, j - i))"
 
-    pairs = F.transform("o", lambda o, i: F.when(chosen(o, i), F.struct(i.alias("p"), F.get("s", i).alias("s"), beside(i).alias("c"))))
-    ones = F.transform("w", lambda w, i: F.when(w >= min_words, F.struct(i.alias("p"), F.xxhash64(F.get("u", i), F.lit("alone")).alias("s"), F.lit(0).cast("long").alias("c"))))
-    every = F.filter(F.concat(pairs, ones), lambda x: x.isNotNull())
-    return made.select("d", "h", F.explode(every).alias("f")).select("d", "h", "f.p", "f.s", "f.c")
 
+def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``d``, ``h``, ``p``, ``q`` and ``s``: first and last position and hash of the shortest stretches of enough words.
 
-def _runs(min_words: int) -> Column:
-    """Equal stretches of enough words around the ``seeds`` of a diagonal, as an array of (first, last) positions.
-
-    ``a`` and ``b`` are the lines of both documents from position ``low`` on, and ``c`` the words of each.
+    ``e`` holds the end of the stretch from each line (the number of lines if there is none). As ends never
+    decrease, the stretches backwards from ``e[i]`` to ``e[i + 1] - 1`` begin at line ``i``.
     """
-    close = f"if(acc.n >= {min_words} and exists(seeds, p -> p >= acc.start and p < acc.at), concat(acc.out, array(named_struct('first', acc.start, 'last', acc.at - 1))), acc.out)"
-    return F.expr(f"""
-        aggregate(arrays_zip(a, b, c),
-          named_struct('start', low, 'at', low, 'n', 0, 'out', cast(array() as array<struct<first:int,last:int>>)),
-          (acc, x) -> if(x.a = x.b,
-            named_struct('start', acc.start, 'at', acc.at + 1, 'n', acc.n + x.c, 'out', acc.out),
-            named_struct('start', acc.at + 1, 'at', acc.at + 1, 'n', 0, 'out', {close})),
-          acc -> {close})""")
+    base = 2 * min_words  # a number holds lines * base + words
+
+    def reach(start: str, part: str) -> str:
+        return f"aggregate({part}, {start}, (acc, x) -> if(acc % {base} >= {min_words}, acc, acc + {base} + least(x, {min_words})))"
+
+    near = F.expr(f"transform(w, (x, i) -> {reach('0', f'slice(w, i + 1, {_NEAR})')})")
+    far = reach("a", f"slice(w, i + {_NEAR + 1}, {max(min_words - _NEAR, 0)})")
+    full = F.expr(f"transform(near, (a, i) -> if(a % {base} >= {min_words}, a, {far}))")
+    ends = F.expr(f"transform(full, (a, i) -> if(a % {base} >= {min_words}, i + cast(a div {base} as int) - 1, size(w)))")
+    linked = F.expr("transform(u, (x, i) -> xxhash64(x, get(p, i) - get(p, i - 1)))")
+    made = lines.select("*", near.alias("near")).select("*", full.alias("full"))
+    made = made.select("d", "h", "n", "p", "u", linked.alias("y"), ends.alias("e"))
+    every = F.expr(f"""
+        flatten(filter(transform(e, (x, i) -> if(x < size(e), concat(
+          transform(sequence(x, greatest(x, coalesce(get(e, i + 1), size(e)) - 1)),
+            j -> named_struct('p', get(p, i), 'q', get(p, j), 's', {_HASH})),
+          transform(filter(sequence(0, get(p, i) - coalesce(get(p, i - 1), -1) - 1), c -> c > 0),
+            c -> named_struct('p', get(p, i) - c, 'q', get(p, x), 's', xxhash64({_HASH.replace("j", "x")}, -c))),
+          flatten(transform(filter(sequence(x, greatest(x, coalesce(get(e, i + 1), size(e)) - 1)), j -> j < coalesce(get(e, i + 1), size(e))),
+            j -> transform(filter(sequence(0, coalesce(get(p, j + 1), n) - get(p, j) - 1), c -> c > 0),
+              c -> named_struct('p', get(p, i), 'q', get(p, j) + c, 's', xxhash64({_HASH}, c)))))), null)),
+          x -> x is not null))""")
+    return made.select("d", "h", F.explode(every).alias("f")).select("d", "h", "f.p", "f.q", "f.s")
+
+
+#: Stretches in order, as those that neither overlap nor touch.
+_MERGED = """
+    aggregate(sort_array(r), named_struct('out', cast(array() as array<struct<first:int,last:int>>), 'first', -2, 'last', -2),
+      (acc, x) -> if(x.first <= acc.last + 1,
+        named_struct('out', acc.out, 'first', acc.first, 'last', greatest(acc.last, x.last)),
+        named_struct('out', if(acc.last < 0, acc.out, concat(acc.out, array(named_struct('first', acc.first, 'last', acc.last)))), 'first', x.first, 'last', x.last)),
+      acc -> concat(acc.out, array(named_struct('first', acc.first, 'last', acc.last))))"""
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``d``, ``h`` and ``runs``: the (first, last) positions to delete, of the documents that have some."""
     lines = scratch.stash(line_table(docs), "lines")
     prints = scratch.stash(fingerprints(lines, min_words), "prints")
-    first = prints.groupBy("s").agg(F.min(F.struct("d", "h", "p", "c")).alias("f"), F.count("*").alias("n")).where("n > 1").select("s", "f")
+    scratch.drop(lines)
+    first = prints.groupBy("s").agg(F.min(F.struct("d", "h", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("s", "f")
     # written at once, so that nothing above the join keeps Spark from splitting its hot keys
-    met = scratch.stash(prints.join(first.hint("merge"), "s"), "met")
+    later = prints.join(first.hint("merge"), "s").where(F.struct("d", "h", "p") > F.col("f"))
+    met = scratch.stash(later.select("d", "h", F.struct(F.col("p").alias("first"), F.col("q").alias("last")).alias("r")), "met")
     scratch.drop(prints)
-    win = Window.partitionBy("d", "h", "s").orderBy("p")
-    before = F.lag(F.struct("d", "h", "p", "c")).over(win)
-    linked = met.select("d", "h", "p", "c", F.coalesce(before, "f").alias("e")).where(F.struct("d", "h", "p") > F.struct("e.d", "e.h", "e.p"))
-    # a short pair is part of a run only if the lines before or behind it agree, too
-    apart = F.col("c").bitwiseXOR(F.col("e.c"))
-    linked = linked.where((F.col("c") == 0) | (F.shiftright(apart, 32) == 0) | (apart.bitwiseAND(F.lit(2**32 - 1)) == 0))
-    keyed = linked.select("d", "h", F.col("e.d").alias("d0"), F.col("e.h").alias("h0"), (F.col("p") - F.col("e.p")).alias("g"), "p")
-    diagonals = scratch.stash(keyed.groupBy("d", "h", "d0", "h0", "g").agg(F.collect_set("p").alias("seeds")), "diagonals")
-    wanted = diagonals.select("d", "h").union(diagonals.select("d0", "h0")).distinct()
-    some = scratch.stash(lines.join(wanted.hint("merge"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"]), "matched")
-    scratch.drop(lines)
-    scratch.drop(met)
-    earlier = some.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("u").alias("u0"))
-    both = diagonals.join(some.hint("merge"), ["d", "h"]).join(earlier.hint("merge"), ["d0", "h0"])
-    low = F.greatest(F.lit(0), "g")
-    size = F.least(F.size("u"), F.size("u0") + F.col("g")) - low
-    along = both.select("d", "h", "seeds", low.alias("low"), F.slice("u", low + 1, size).alias("a"), F.slice("u0", low - F.col("g") + 1, size).alias("b"), F.slice("w", low + 1, size).alias("c"))
-    found = along.select("d", "h", F.explode(_runs(min_words)).alias("r"))
-    return found.groupBy("d", "h").agg(F.collect_set("r").alias("runs"))
+    return met.groupBy("d", "h").agg(F.collect_set("r").alias("r")).select("d", "h", F.expr(_MERGED).alias("runs"))
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -371,6 +372,21 @@ def test_a_repeat_within_a_text_goes_though_its_lines_were_seen_before(spark):
     assert got == {1: "Short line 3. Short line 4.", 2: f"{block} end", 3: "Is one. ", 4: "Is one. Is one. x"}
 
 
+def test_runs_go_whose_lines_were_first_seen_elsewhere(spark):
+    a, b, c = (" ".join([name] + ["word"] * 11) + ". " for name in "ABC")
+    docs = spark.createDataFrame([(1, a + b), (2, a + b + c), (3, "Other. " + a + b + c + "End.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.deduplicate(docs).collect()} == {1: a + b, 2: a + b + c, 3: "Other. End."}
+    dice = random.Random(11)
+    pool = [" ".join(["w"] * dice.choice([1, 4, 9, 14, 31])) + f" {i}" for i in range(14)] + ["", "", ""]
+    rows = [(i // 2, "".join(dice.choice(pool) + dice.choice(["\n", ". "]) for _ in range(dice.randint(1, 25)))) for i in range(0, 400, 2)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = con.execute(linededup.DIGEST_SQL).fetchall()
+    assert sorted(map(tuple, linededup.digest(made).collect())) == sorted(want)
+
+
 def test_url_lists_as_of(spark):
     url = "http://user@WWW.Bad.example.com:8080/x/y"
     captures = spark.createDataFrame([(1, url, 5), (2, url, 10), (3, url, 19), (4, url, 20), (5, url, 300), (6, None, 10), (7, "nothing", 10), (8, "http://ok.org/", 10), (9, "http://other.example.com/", 45), (2, url, 10), (10, url, None)], "page_id long, url string, fetched int")
