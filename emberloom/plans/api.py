@@ -194,8 +194,9 @@ def resolve_citations(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
     session id does; null if none does."""
     cited = evidence.select("citation").distinct()
     hit = F.when(F.col("citation").contains(text.basename(F.col("path"))), 0).when(F.length("session_id").cast("boolean") & F.col("citation").contains(F.col("session_id")), 1)
-    met = cited.join(F.broadcast(episodes.select("path", "session_id").limit(1000)), hit.isNotNull(), "left")  # a capped backlog
-    return met.groupBy("citation").agg(F.min_by("path", F.struct(hit, "path")).alias("path"))
+    met = episodes.select("path", "session_id").join(F.broadcast(cited), hit.isNotNull())  # every episode; the citations of proposals are few
+    first = met.groupBy("citation").agg(F.min_by("path", F.struct(hit, "path")).alias("path"))
+    return cited.join(first, "citation", "left")
 
 
 def validate_experience_proposal(m: Memory, proposals: DataFrame) -> DataFrame:

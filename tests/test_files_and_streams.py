@@ -111,6 +111,14 @@ def test_proposals(spark, memory):
     assert not got["dup"].ok and got["dup"].duplicate_of is not None
 
 
+def test_citations_of_any_of_many_episodes(spark):
+    episodes = spark.createDataFrame([(f"/m/e/2026-06-01-s{i:05}.md", f"s{i:05}") for i in range(1500)], "path string, session_id string")
+    cited = spark.createDataFrame([(f"session s{i:05}",) for i in range(1500)] + [("made-up",), ("s00007 beside 2026-06-01-s00009.md",)], "citation string")
+    got = {r.citation: r.path for r in api.resolve_citations(cited, episodes).collect()}
+    assert len(got) == 1502 and got["made-up"] is None and got["s00007 beside 2026-06-01-s00009.md"] == "/m/e/2026-06-01-s00009.md"
+    assert all(got[f"session s{i:05}"] == f"/m/e/2026-06-01-s{i:05}.md" for i in range(1500))
+
+
 def test_transcripts_and_process_tables(spark):
     lines = [json.dumps({"message": {"role": "user", "content": "hi"}}), json.dumps({"message": {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "tool", "x": 1}, {"type": "text", "text": "b"}]}}), "{bad", "", json.dumps({"role": "system", "content": "x"}), json.dumps({"role": "user", "content": []})]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
