@@ -139,9 +139,8 @@ class WordCoder:
             if len(self.memo) + len(made) <= MEMO_ROWS:
                 self.memo.update(made)
                 made = self.memo
-            memo = self.memo
-            for i in again:
-                out[i] = b"".join([memo.get(w) or made[w] for w in cut[i]])
+            for i in again:  # a word without ids is known, too
+                out[i] = b"".join([x if (x := get(w)) is not None else made[w] for w in cut[i]])
         return out
 
 

@@ -100,6 +100,15 @@ def test_token_words_are_the_librarys():
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want
 
 
+def test_words_without_ids_when_the_memo_is_full(monkeypatch):
+    monkeypatch.setattr(tokenbin, "MEMO_ROWS", 5)
+    coder = tokenbin.WordCoder(WORDS)
+    texts = ["a \u00a0 b \u2003 \x85", "new \u00a0 word \u2003", "\x85 a other", "\u2003"]
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(coder.encode([t])[0], "<u4").tolist() for t in texts] == want
+    assert len(coder.memo) == 5
+
+
 def naive_fingerprint(text, n=3):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
