@@ -5,9 +5,14 @@ Each task cuts its texts into pre-tokens, and the distinct new pre-tokens of a b
 table, contracts in every word the leftmost pair of minimum rank, and repeats until no word has a pair left.
 Decoding joins ids with the vocabulary and concatenates the pieces by an aggregate ordered by position.
 
-A memo of bounded size keeps what a worker has already encoded. Pre-tokens of more than ``LONG`` bytes would
-need a number of rows that grows with the square of their length, so they take a heap of pairs instead, with
-the same contraction order.
+A recursive query keeps the rows of all its rounds, so words go to it in slices of a bounded number of rows. For
+pre-tokens of more than ``LONG`` bytes, whose rounds would be too many, the query contracts all occurrences of the
+pair of minimum rank in one round, as far as contracting them one by one would have come before another pair was
+due, and is called again after a bounded number of rounds. The ids are the same.
+
+A memo of bounded size keeps what a worker has already encoded. A text of more than ``BLOCK_CHARS`` characters is
+cut and encoded some chunks at a time, and ids are decoded in slices of ``DECODE_IDS``, so that memory is bounded
+by those sizes and the longest single pre-token (some 60 bytes for each byte of it).
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; a null
 ``doc_id`` stays null; repeated rows each give a row; other columns of the input are not read. Texts are
@@ -17,8 +22,9 @@ encoded whole at any length.
 from __future__ import annotations
 
 import base64
+import contextlib
 import gc
-import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,9 +41,12 @@ MARK = "\x01"
 #: What makes a text take the pattern: white space whose runs must be seen together, rare spaces, and MARK.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", MARK, *SPACES.replace(" ", "").replace("\n", ""))
 LONG = 200
-MEMO_ROWS = 300_000
+MEMO_ROWS = 600_000
 BLOCK_CHARS = 2_000_000
+BLOCK_CHUNKS = 300_000
 DECODE_IDS = 1_000_000
+#: Rows that one recursive query may make in all its rounds.
+QUERY_ROWS = 6_000_000
 
 _CONTRACT = """
 with recursive state(kk, t, done) as (
@@ -56,7 +65,40 @@ with recursive state(kk, t, done) as (
 select kk >> 18 as w, t from state where done order by kk
 """
 
-#: The aggregate takes its rows from a sort by position; the one thread of the connection keeps that order.
+#: As above, but every occurrence of a word's pair of minimum rank at once, and ``rounds`` rounds at most. Rows that
+#: follow each other with that pair are a chain, of which each second one is the right part of the one before. From
+#: the left, the contractions end behind the first one that makes a pair of lower rank, which comes next then.
+_CONTRACT_LONG = """
+with recursive state(kk, t, n, done) as (
+  select kk, t, 0, false from words
+  union all
+  (with pairs as (
+     select kk, t, n, lead(kk) over win as nk, (t::bigint << 20) | lead(t) over win as pair
+     from state where not done and n < {rounds} window win as (order by kk)),
+   rated as (
+     select kk, t, n, case when kk >> 32 = nk >> 32 then m.merged end as r from pairs p left join merges m on m.pair = p.pair),
+   best as (select kk >> 32 as w, min(r) as x from rated group by 1),
+   hit as (select kk, t, n, x, coalesce(r = x, false) as f from rated join best on kk >> 32 = w),
+   chain as (select *, row_number() over (order by kk) - row_number() over (partition by f order by kk) as c from hit),
+   taken as (select *, f and row_number() over (partition by f, c order by kk) % 2 = 1 as g from chain),
+   beside as (
+     select *, lag(g) over win as g1, lag(g, 2) over win as g2, lag(t) over win as t1, lag(kk) over win as k1,
+       lead(t, 2) over win as t2, lead(kk, 2) over win as k2
+     from taken window win as (order by kk)),
+   stop as (
+     select kk >> 32 as w, min(kk) as last from beside
+     left join merges a on a.pair = (x::bigint << 20) | t2 and k2 >> 32 = kk >> 32
+     left join merges b on b.pair = (case when g2 then x else t1 end::bigint << 20) | x and k1 >> 32 = kk >> 32
+     where g and (a.merged < x or b.merged < x) group by 1)
+   select kk, case when g and (last is null or kk <= last) then x else t end, n + 1, x is null
+   from beside left join stop on w = kk >> 32
+   where not (coalesce(g1, false) and (last is null or k1 <= last)))
+)
+select kk, t, done from state where done or n = {rounds} order by kk
+"""
+
+#: An aggregate over rows sorted by position. The one thread of the connection keeps that order; an ``order by`` within
+#: the aggregate gives the same bytes in more than twice the time.
 _DECODE = """
 select d, string_agg(s, '') as s
 from (select d, p, s from ids join vocab on vocab.t = ids.t order by d, p) group by d order by d
@@ -92,6 +134,7 @@ class Coder:
         self.memo: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.made: set[str] = set()
+        self.words_whole = self.pieces.findall(" Word") == [" Word"]
 
     def _merges(self) -> None:
         """The merge table; the workers that only decode need none."""
@@ -111,63 +154,69 @@ class Coder:
         self.db.execute(f"create or replace table {name} as select * from fresh")
         self.db.unregister("fresh")
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, by the recursive query."""
-        if not words:
-            return []
-        self._merges()
+    def _rows(self, words: list[bytes], shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (number of the word and position, ``shift`` bits) and first tokens of some words."""
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         number = np.repeat(np.arange(len(words), dtype=np.int64), lens)
         place = np.arange(len(number), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
-        tokens = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        self._table("words", kk=(number << 18) | place, t=tokens)
-        got = self.db.execute(_CONTRACT).fetchnumpy()
-        flat = np.asarray(got["t"], dtype="<u4").tobytes()
-        ends = np.searchsorted(got["w"], np.arange(len(words) + 1)) * 4
-        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-    def _long(self, word: bytes) -> bytes:
-        """Ids of one very long word: a heap of (rank, position) over a linked list."""
-        ranks, tokens = self.ranks, [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        alive = [True] * len(word)
-        heap = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(word) and (rank := ranks.get(tokens[i] + tokens[j])) is not None:
-                heapq.heappush(heap, (rank, i, tokens[i], tokens[j]))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= len(word) or tokens[i] != a or tokens[j] != b:
-                continue
-            tokens[i], alive[j], after[i] = a + b, False, after[j]
-            if after[j] < len(word):
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([ranks[t] for t, x in zip(tokens, alive, strict=True) if x], dtype="<u4").tobytes()
+        return (number << shift) | place, self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, by the recursive query."""
+        self._merges()
+        out = []
+        for part in blocks([len(w) * (len(w) + 1) // 2 for w in words], QUERY_ROWS):
+            some = words[part]
+            kk, t = self._rows(some, 18)
+            self._table("words", kk=kk, t=t)
+            got = self.db.execute(_CONTRACT).fetchnumpy()
+            flat = np.asarray(got["t"], dtype="<u4").tobytes()
+            ends = np.searchsorted(got["w"], np.arange(len(some) + 1)) * 4
+            out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return out
+
+    def _contract_long(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each long word, by the query that takes all occurrences of a pair at once."""
+        self._merges()
+        out = []
+        for part in blocks(list(map(len, words)), QUERY_ROWS // 8):
+            some = words[part]
+            kk, t = self._rows(some, 32)
+            keys, ids = [], []
+            while len(kk):
+                self._table("words", kk=kk, t=t)
+                got = self.db.execute(_CONTRACT_LONG.format(rounds=max(1, QUERY_ROWS // len(kk)))).fetchnumpy()
+                done = np.asarray(got["done"], dtype=bool)
+                kk, t = np.asarray(got["kk"]), np.asarray(got["t"])
+                keys.append(kk[done])
+                ids.append(t[done])
+                kk, t = kk[~done], t[~done]
+            kk, t = np.concatenate(keys), np.concatenate(ids)
+            order = np.argsort(kk)
+            flat = t[order].astype("<u4").tobytes()
+            ends = np.searchsorted(kk[order] >> 32, np.arange(len(some) + 1)) * 4
+            out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return out
 
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        plain = [c if c == "\n" else c[1:] if c[:1] == MARK else " " + c for c in chunks]
-        cut = [[p.encode() for p in self.pieces.findall(c)] for c in plain]
+        cut = []
+        for c in chunks:
+            if self.words_whole and c.isascii() and c.isalpha():  # a space and letters are one pre-token
+                cut.append([(" " + c).encode()])
+            else:
+                plain = c if c == "\n" else c[1:] if c[:1] == MARK else " " + c
+                cut.append([p.encode() for p in self.pieces.findall(plain)])
         ids: dict[bytes, bytes] = {}
-        short = []
+        short, long = [], []
         for word in {p for ps in cut for p in ps}:
             rank = self.ranks.get(word)
             if rank is not None:
                 ids[word] = rank.to_bytes(4, "little")
-            elif len(word) > LONG:
-                ids[word] = self._long(word)
             else:
-                short.append(word)
+                (long if len(word) > LONG else short).append(word)
         ids.update(zip(short, self._contract(short), strict=True))
-        return {c: b"".join(map(ids.__getitem__, ps)) for c, ps in zip(chunks, cut, strict=True)}
+        ids.update(zip(long, self._contract_long(long), strict=True))
+        return {c: ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for c, ps in zip(chunks, cut, strict=True)}
 
     def _cut(self, text: str) -> list[str]:
         """The text's chunks. A text with plain single spaces and line ends needs no pattern: a chunk then stands
@@ -178,27 +227,33 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._cut(t) for t in texts]
+        if any(len(t) > BLOCK_CHARS for t in texts):
+            return [self._encode_some([self._cut(t)])[0] if len(t) <= BLOCK_CHARS else self._encode_very_long(t) for t in texts]
+        return self._encode_some([self._cut(t) for t in texts])
+
+    def _encode_very_long(self, text: str) -> bytes:
+        found, out = self.chunks.finditer(text), []
+        while some := [MARK + m[0] for m in itertools.islice(found, BLOCK_CHUNKS)]:
+            out += self._encode_some([some])
+        return b"".join(out)
+
+    def _encode_some(self, cut: list[list[str]]) -> list[bytes]:
+        """Ids of each list of chunks."""
         get, fresh, out, again = self.memo.get, set(), [], []
         for i, chunks in enumerate(cut):
             found = list(map(get, chunks))
             if None in found:
                 fresh.update([c for c, x in zip(chunks, found, strict=True) if x is None])
-                again.append(i)
+                again.append((i, found))
                 out.append(b"")
             else:
                 out.append(b"".join(found))
         if fresh:
             made = self._encode_chunks(list(fresh))
-            if len(self.memo) + len(made) <= MEMO_ROWS:
-                self.memo.update(made)
-                look = self.memo.__getitem__
-            else:
-                both = _Both(made)
-                both.rest = self.memo
-                look = both.__getitem__
-            for i in again:
-                out[i] = b"".join(map(look, cut[i]))
+            for i, found in again:
+                out[i] = b"".join([made[c] if x is None else x for c, x in zip(cut[i], found, strict=True)])
+            if (room := MEMO_ROWS - len(self.memo)) > 0:
+                self.memo.update(itertools.islice(made.items(), room))
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -206,21 +261,14 @@ class Coder:
         self._vocab()
         lens = [len(x) // 4 for x in ids]
         tokens = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
-        columns = {"d": np.repeat(np.arange(len(ids), dtype=np.int32), lens), "p": np.arange(len(tokens)), "t": tokens}
-        self.db.register("ids", pa.table(columns))
-        got = self.db.execute(_DECODE).fetchall()
-        self.db.unregister("ids")
-        out = [b""] * len(ids)
-        for d, s in got:
-            out[d] = s.encode("latin-1")
-        return out
-
-
-class _Both(dict):
-    """A block's own chunks, then the full memo."""
-
-    def __missing__(self, key):
-        return self.rest[key]
+        of, out = np.repeat(np.arange(len(ids), dtype=np.int32), lens), [[] for _ in ids]
+        for at in range(0, len(tokens), DECODE_IDS):
+            some = slice(at, at + DECODE_IDS)
+            self.db.register("ids", pa.table({"d": of[some], "p": np.arange(len(of[some])), "t": tokens[some]}))
+            for d, s in self.db.execute(_DECODE).fetchall():
+                out[d].append(s.encode("latin-1"))
+            self.db.unregister("ids")
+        return [b"".join(x) for x in out]
 
 
 _coders: dict[tuple, Coder] = {}
@@ -228,12 +276,23 @@ _coders: dict[tuple, Coder] = {}
 
 def _coder(ranks_path: str, pattern: str) -> Coder:
     if (ranks_path, pattern) not in _coders:
-        gc.disable()  # the memo holds no cycles, and walking it costs time
         _coders.clear()
         _coders[ranks_path, pattern] = Coder(load_ranks(ranks_path), pattern)
     return _coders[ranks_path, pattern]
 
 
+@contextlib.contextmanager
+def no_collection():
+    """Python's collector rests within one task: the memo holds no cycles, and walking it costs time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def sizes(column: pa.Array) -> list[int]:
     """Bytes of each value of a text or binary column, without making Python objects of the values."""
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -256,13 +315,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = _coder(ranks_path, pattern)
-        for batch in batches:
-            for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
-                ids = coder.encode([t or "" for t in batch.column(1)[part].to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+        with no_collection():
+            for batch in batches:
+                for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
+                    ids = coder.encode([t or "" for t in batch.column(1)[part].to_pylist()])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[part], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                        names=["doc_id", "n_tokens", "ids"],
+                    )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -272,10 +332,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = _coder(ranks_path, pattern)
-        for batch in batches:
-            for part in blocks(sizes(batch.column(2)), 4 * DECODE_IDS):
-                made = coder.decode(batch.column(2)[part].to_pylist())
-                yield pa.RecordBatch.from_arrays([*(c[part] for c in batch.columns), pa.array(made, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        with no_collection():
+            for batch in batches:
+                for part in blocks(sizes(batch.column(2)), 4 * DECODE_IDS):
+                    made = coder.decode(batch.column(2)[part].to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(c[part] for c in batch.columns), pa.array(made, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
@@ -285,13 +346,14 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = _coder(ranks_path, pattern)
-        for batch in batches:
-            for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
-                ids = coder.encode([t or "" for t in batch.column(1)[part].to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        with no_collection():
+            for batch in batches:
+                for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
+                    ids = coder.encode([t or "" for t in batch.column(1)[part].to_pylist()])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[part], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())],
+                        names=["doc_id", "n_tokens", "ids", "decoded"],
+                    )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
