@@ -1,17 +1,21 @@
 """Token ids in fixed-width bit-packed files, with block offsets for random access.
 
-Documents are range-partitioned and sorted by ``doc_id``; every partition becomes one file, and the files in
-the order of their first ``doc_id`` hold all ids in ascending document order. Each id takes the least number of
-bits that the vocabulary needs. A file is a row of blocks and a footer::
+Documents are range-partitioned and sorted by ``doc_id``; every partition becomes one file or more, and the files
+in the order of their first ``doc_id`` (and, of one partition, their number) hold all ids in ascending document
+order. Each id takes the least number of bits that the vocabulary needs. A file is a row of blocks and a footer::
 
     block   "EMTB" | bits u8 | n_docs u32 | n_ids u64 | doc_id i64 * n_docs | n_tokens u32 * n_docs | packed ids
     footer  "EMTF" | n_blocks u32 | block offset u64 * n_blocks | first id of block u64 * n_blocks
-            | first doc_id i64 | n_ids u64 | footer length u32 | "EMTE"
+            | first doc_id i64 | n_ids u64 | file number u32 | footer length u32 | "EMTE"
 
 and one line end follows each block and the footer, as Spark's text writer puts it there; it writes the bytes as
 they are to any file system that Spark can reach. Ids are packed with the lowest bit first, so that numpy packs
 and unpacks a block at once, and a reader finds any document by the footer's offsets.
 
+The writer starts a new file every ``FILE_RECORDS`` records. A file that has reached ``FILE_BYTES`` before is filled
+up with empty records, which take a line end each, so that no file grows with a partition: it has ``FILE_BYTES`` and
+one block at most, and a block ``BLOCK_IDS`` ids and one document at most.
+
 Encoding memoises words: the tokenizer drops white space and never joins over it, so a text is the sequence of
 its words cut at ASCII white space. The memo is bounded.
 
@@ -22,7 +26,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import gc
+import itertools
 import os
 import struct
 import zlib
@@ -31,17 +35,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberloom.llm import scratch
-from emberloom.llm.bpe import blocks, sizes
+from emberloom.llm.bpe import blocks, no_collection, sizes
 
 MEMO_ROWS = 500_000
 BLOCK_IDS = 1 << 18
 BLOCK_CHARS = 2_000_000
+FILE_RECORDS = 1_000
+FILE_BYTES = 128 << 20
 #: Stands for a null doc_id in a block.
 NO_ID = -(2**63)
-_HEAD, _FOOT, _END = "<4sBIQ", "<4sI", "<qQI4s"
+_HEAD, _FOOT, _END = "<4sBIQ", "<4sI", "<qQII4s"
 _HEAD_BYTES, _FOOT_BYTES, _END_BYTES = (struct.calcsize(x) for x in (_HEAD, _FOOT, _END))
 #: Marks that may follow a letter or digit; the tokenizer always cuts before them. Fixed values.
 _MARKS = b".,!?;:$%&*#|()"
@@ -119,28 +124,25 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        get, fresh, again, out, cut = self.memo.get, set(), [], [], []
+        get, fresh, again, out = self.memo.get, set(), [], []
         for i, text in enumerate(texts):
             if "<|" in text:  # may hold the tokenizer's own tokens, which are told by their case
                 out.append(self._library([text.encode()])[0])
-                cut.append([])
                 continue
             words = text.encode().lower().split()
             found = list(map(get, words))
-            cut.append(words)
             if None in found:
                 fresh.update([w for w, x in zip(words, found, strict=True) if x is None])
-                again.append(i)
+                again.append((i, words, found))
                 out.append(b"")
             else:
                 out.append(b"".join(found))
         if fresh:
             made = self._words(list(fresh))
-            if len(self.memo) + len(made) <= MEMO_ROWS:
-                self.memo.update(made)
-                made = self.memo
-            for i in again:  # a word without ids is known, too
-                out[i] = b"".join([x if (x := get(w)) is not None else made[w] for w in cut[i]])
+            for i, words, found in again:  # a word without ids is known, too
+                out[i] = b"".join([made[w] if x is None else x for w, x in zip(words, found, strict=True)])
+            if (room := MEMO_ROWS - len(self.memo)) > 0:
+                self.memo.update(itertools.islice(made.items(), room))
         return out
 
 
@@ -149,7 +151,6 @@ _coders: dict[str, WordCoder] = {}
 
 def _coder(path: str) -> WordCoder:
     if path not in _coders:
-        gc.disable()  # the memo holds no cycles, and walking it costs time
         _coders.clear()
         _coders[path] = WordCoder(path)
     return _coders[path]
@@ -168,40 +169,65 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
     def run(batches):
         coder = _coder(tokenizer_path)
         bits, end = bits_for(coder.vocab_size), int(end_id).to_bytes(4, "little")
-        offsets, firsts, total, place, first_doc = [], [], 0, 0, None
+        file = _File(bits)
         kept_docs, kept_ids, kept = [], [], 0
-
-        def flush():
-            nonlocal total, place, first_doc
-            data, n = _block(kept_docs, kept_ids, bits)
-            if first_doc is None:
-                first_doc = NO_ID if kept_docs[0] is None else kept_docs[0]
-            offsets.append(place)
-            firsts.append(total)
-            total, place = total + n, place + len(data) + 1
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
-
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
-                texts = [t or "" for t in batch.column(1)[part].to_pylist()]
-                for doc_id, ids in zip(doc_ids[part], coder.encode(texts), strict=True):
-                    kept_docs.append(doc_id)
-                    kept_ids.append(ids + end)
-                    kept += len(ids) // 4 + 1
-                    if kept >= BLOCK_IDS:
-                        yield flush()
-                        kept_docs, kept_ids, kept = [], [], 0
-        if kept_docs:
-            yield flush()
-        if offsets:
-            foot = struct.pack(_FOOT, b"EMTF", len(offsets)) + np.array(offsets, "<u8").tobytes() + np.array(firsts, "<u8").tobytes()
-            foot += struct.pack(_END, first_doc, total, len(foot) + _END_BYTES, b"EMTE")
-            yield pa.RecordBatch.from_arrays([pa.array([foot], pa.binary())], names=["data"])
+        with no_collection():
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
+                    texts = [t or "" for t in batch.column(1)[part].to_pylist()]
+                    for doc_id, ids in zip(doc_ids[part], coder.encode(texts), strict=True):
+                        kept_docs.append(doc_id)
+                        kept_ids.append(ids + end)
+                        kept += len(ids) // 4 + 1
+                        if kept >= BLOCK_IDS:
+                            yield _records([file.block(kept_docs, kept_ids)])
+                            kept_docs, kept_ids, kept = [], [], 0
+                            if file.full():
+                                yield _records(file.close(fill=True))
+                                file = _File(bits, file.number + 1)
+            if kept_docs:
+                yield _records([file.block(kept_docs, kept_ids)])
+            if file.offsets:
+                yield _records(file.close())
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     packed = ordered.mapInArrow(run, "data binary")
-    packed.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    lines = packed.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\n")
+    lines.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+class _File:
+    """Offsets and sums of the file that a task is writing."""
+
+    def __init__(self, bits: int, number: int = 0):
+        self.bits, self.number = bits, number
+        self.offsets: list[int] = []
+        self.firsts: list[int] = []
+        self.total = self.place = 0
+        self.first_doc = NO_ID
+
+    def block(self, doc_ids: list, ids: list[bytes]) -> bytes:
+        data, n = _block(doc_ids, ids, self.bits)
+        if not self.offsets and doc_ids[0] is not None:
+            self.first_doc = doc_ids[0]
+        self.offsets.append(self.place)
+        self.firsts.append(self.total)
+        self.total, self.place = self.total + n, self.place + len(data) + 1
+        return data
+
+    def full(self) -> bool:
+        return len(self.offsets) >= FILE_RECORDS - 1 or self.place >= FILE_BYTES
+
+    def close(self, fill: bool = False) -> list[bytes]:
+        """The last records: empty ones, where the writer has to start another file behind, and the footer."""
+        foot = struct.pack(_FOOT, b"EMTF", len(self.offsets)) + np.array(self.offsets, "<u8").tobytes() + np.array(self.firsts, "<u8").tobytes()
+        foot += struct.pack(_END, self.first_doc, self.total, self.number, len(foot) + _END_BYTES, b"EMTE")
+        return [b""] * ((FILE_RECORDS - 1 - len(self.offsets)) * fill) + [foot]
+
+
+def _records(data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["data"])
 
 
 def read_block(data: bytes, offset: int) -> tuple[np.ndarray, np.ndarray, bytes, int, int]:
@@ -218,7 +244,7 @@ def read_block(data: bytes, offset: int) -> tuple[np.ndarray, np.ndarray, bytes,
 
 def read_footer(data: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(block offsets, first id of each block, first doc_id, number of ids) of a whole file or its tail."""
-    first_doc, n_ids, length, magic = struct.unpack_from(_END, data, len(data) - 1 - _END_BYTES)
+    first_doc, n_ids, _, length, magic = struct.unpack_from(_END, data, len(data) - 1 - _END_BYTES)
     if magic != b"EMTE":
         raise ValueError("no footer")
     at = len(data) - 1 - length
@@ -237,7 +263,7 @@ def read_document(data: bytes, doc_id: int) -> np.ndarray | None:
     return None
 
 
-_TAIL = T.StructType([T.StructField("file", T.StringType()), T.StructField("first_doc", T.LongType()), T.StructField("n_ids", T.LongType())])
+_TAIL = "file string, first_doc long, n_ids long, number long"
 _ROWS = "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
@@ -252,7 +278,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     def tails(batches):
         for batch in batches:
             ends = [struct.unpack_from(_END, x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())], names=["file", "first_doc", "n_ids"])
+            columns = [pa.array([e[i] for e in ends], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["file", "first_doc", "n_ids", "number"])
 
     def rows(batches):
         for batch in batches:
@@ -273,7 +300,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     tail = files.where("length > 0").select("path", F.expr(f"substring(content, length - {_END_BYTES}, {_END_BYTES})").alias("tail"))
     before = 0
     starts = []
-    for r in sorted(tail.mapInArrow(tails, _TAIL).collect(), key=lambda r: (r.first_doc, r.file)):  # a row for each file
+    for r in sorted(tail.mapInArrow(tails, _TAIL).collect(), key=lambda r: (r.first_doc, r.number)):  # a row for each file; one doc_id is in one partition
         starts.append((r.file, before))
         before += r.n_ids
     known = spark.createDataFrame(starts, "file string, before long")
