@@ -12,7 +12,8 @@ A capture is tried by host, by site (the last two labels) and by host and first
 
 Defined cases: a null or unparsable url has no keys and is never listed; a null fetch day matches nothing; null
 keys, days or actions of list rows are ignored; repeated captures each give a row; an interval without an end
-lasts to ``LAST_DAY``; empty tables: no captures, no rows; no list, nothing is listed.
+stays open: its periods reach to the last day on which anything was fetched; empty tables: no captures, no rows; no
+list, nothing is listed.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD = 30
-#: The end of the time that a list without later entries is held to be in force for, in days of the data's clock.
-LAST_DAY = 360
+#: Days over which :func:`dated_captures` deals its captures.
+DAYS = 360
 
 
 def host_of(url: Column) -> Column:
@@ -42,38 +43,40 @@ def section_of(url: Column, host: Column) -> Column:
     return F.concat(host, F.lit("/"), F.regexp_extract(url, r"://[^/?#]*/([^/?#]*)", 1))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """``key``, ``since``, ``until`` (exclusive) and ``period``: when each key is listed."""
+def intervals(entries: DataFrame, last_day: int) -> DataFrame:
+    """``key``, ``since``, ``until`` (exclusive, null while open) and ``period``, for each period up to ``last_day``."""
     known = entries.where("key is not null and day is not null and action in ('add', 'remove')")
     daily = known.groupBy("key", "day").agg(F.max(F.col("action") == "remove").alias("gone"))
-    until = F.coalesce(F.lead("day").over(Window.partitionBy("key").orderBy("day")), F.lit(LAST_DAY + 1))
-    spans = daily.withColumn("until", until).where(~F.col("gone") & (F.col("until") > F.col("day")))
-    periods = F.sequence(F.floor(F.col("day") / PERIOD).cast("int"), F.floor((F.col("until") - 1) / PERIOD).cast("int"))
+    until = F.lead("day").over(Window.partitionBy("key").orderBy("day"))
+    spans = daily.withColumn("until", until).where(~F.col("gone") & (F.col("day") <= last_day))
+    end = F.least(F.coalesce(F.col("until") - 1, F.lit(last_day)), F.lit(last_day))
+    periods = F.sequence(F.floor(F.col("day") / PERIOD).cast("int"), F.floor(end / PERIOD).cast("int"))
     return spans.select("key", F.col("day").alias("since"), "until", F.explode(periods).alias("period"))
 
 
-def as_of(captures: DataFrame, entries: DataFrame, key: str, since: str) -> DataFrame:
+def as_of(captures: DataFrame, entries: DataFrame, key: str, since: str, last_day: int) -> DataFrame:
     """``captures`` with the start of the interval that lists column ``key`` on ``fetched``, or null."""
-    spans = intervals(entries).select(F.col("key").alias("_key"), F.col("since").alias(since), F.col("until").alias("_until"), F.col("period").alias("_period"))
+    spans = intervals(entries, last_day).select(F.col("key").alias("_key"), F.col("since").alias(since), F.col("until").alias("_until"), F.col("period").alias("_period"))
     own = F.floor(F.col("fetched") / PERIOD).cast("int")
-    on = (F.col(key) == F.col("_key")) & (own == F.col("_period")) & (F.col("fetched") >= F.col(since)) & (F.col("fetched") < F.col("_until"))
-    return captures.join(spans, on, "left").drop("_key", "_until", "_period")
+    held = (F.col("fetched") >= F.col(since)) & (F.col("_until").isNull() | (F.col("fetched") < F.col("_until")))
+    return captures.join(spans, (F.col(key) == F.col("_key")) & (own == F.col("_period")) & held, "left").drop("_key", "_until", "_period")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Each capture (``page_id``, ``url``, ``fetched``) against the entries active when it was fetched."""
     keyed = captures.select("page_id", "url", "fetched").withColumn("host", host_of(F.col("url")))
+    last_day = captures.agg(F.max("fetched")).first()[0]  # one number
     keyed = keyed.withColumn("site", site_of(F.col("host"))).withColumn("section", section_of(F.col("url"), F.col("host")))
     for key in ("host", "site", "section"):
         own = entries.where(F.col("kind") == key)
-        keyed = as_of(keyed, own, key, f"{key}_since")
+        keyed = as_of(keyed, own, key, f"{key}_since", -1 if last_day is None else last_day)
     listed = F.least("host_since", "site_since", "section_since")
     return keyed.select("page_id", "host", "fetched", "host_since", "site_since", "section_since", listed.isNotNull().alias("blocked"), listed.alias("active_since"))
 
 
 def dated_captures(pages: DataFrame) -> DataFrame:
     """Captures with a day each: the table has no times, so the id gives one."""
-    return pages.select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(LAST_DAY)).cast("int").alias("fetched"))
+    return pages.select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(DAYS)).cast("int").alias("fetched"))
 
 
 def derived_list(pages: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ entry as (
   select kind, key, cast((m * 7) % 300 as integer) + 100, 'remove' from seen union all
   select kind, key, cast((m * 7) % 300 as integer) + 130, 'add' from seen where m % 5 = 0),
 span as (
-  select kind, key, day as since, coalesce(lead(day) over (partition by kind, key order by day), 361) as till, gone from (
+  select kind, key, day as since, coalesce(lead(day) over (partition by kind, key order by day), 1000000) as till, gone from (
     select kind, key, day, bool_or(action = 'remove') as gone from entry group by kind, key, day)),
 held as (
   select k.page_id, k.host, k.fetched, h.since as host_since, s.since as site_since, c.since as section_since
