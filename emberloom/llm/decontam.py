@@ -6,8 +6,9 @@ every exact piece hit in a text; around each hit, Myers' bit-parallel algorithm
 the item to any substring of the window where it could lie, in arbitrary-width Python integers.
 
 Texts and items are compared in lower case with runs of white space as one space. Every text is searched whole
-against all items. The automaton goes to the tasks as a broadcast only up to ``BLOCK_CHARS`` characters of
-items; a larger benchmark is searched in several blocks of that size, one pass over the texts for each.
+against all items. The items go to the tasks as a broadcast only up to about ``BLOCK_CHARS`` characters; a larger
+benchmark is searched in several blocks of that size, one pass over the texts for each. The results of a pass are
+then written before the next block is made, so that driver and executors hold one block at a time.
 
 Defined cases: null or blank items match nothing; null or empty texts have no match; null ids stay null;
 repeated rows each give their matches; items of the same text each match; other columns are not read; an empty
@@ -19,11 +20,14 @@ from __future__ import annotations
 import functools
 import pickle
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberloom.llm import scratch
+
 RATE = 0.06
 BLOCK_CHARS = 8_000_000
 
@@ -126,23 +130,25 @@ def _matcher(shared) -> Matcher:
     return _matchers[data["key"]]
 
 
-def _blocks_of(benchmark: DataFrame, rate: float) -> list:
-    """Broadcasts of the items, about ``BLOCK_CHARS`` characters each: one for any benchmark of usual size."""
+def _blocks_of(benchmark: DataFrame, rate: float) -> Iterator[tuple]:
+    """(broadcast of about ``BLOCK_CHARS`` characters of items, whether there are more blocks than one), one by one."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.length(F.trim("text")) > 0)
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_blocks, out = max(1, -(-total // BLOCK_CHARS)), []
+    n_blocks = max(1, -(-total // BLOCK_CHARS))
     for b in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).orderBy("item_id", "text")
         listed = [(r.item_id, t) for r in own.toLocalIterator() if (t := normal(r.text))]
-        out.append(spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": pickle.dumps(listed), "rate": rate}))
-    return out
+        shared = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": pickle.dumps(listed), "rate": rate})
+        yield shared, n_blocks > 1
+        if n_blocks > 1:
+            shared.destroy()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``doc_id``, ``item_id`` and ``distance`` of every text that holds an item within its budget."""
     parts = []
-    for shared in _blocks_of(benchmark, rate):
+    for shared, many in _blocks_of(benchmark, rate):
 
         def run(batches, shared=shared):
             matcher = _matcher(shared)
@@ -153,14 +159,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "distance"])
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, distance long"))
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, distance long")
+        parts.append(scratch.stash(found, "matches") if many else found)
     return functools.reduce(DataFrame.union, parts)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows whose text holds no item, with all their columns; each row is judged where it is."""
     text = docs.columns.index("text")
-    for shared in _blocks_of(benchmark, rate):
+    for shared, many in _blocks_of(benchmark, rate):
 
         def run(batches, shared=shared):
             matcher = _matcher(shared)
@@ -168,4 +175,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RAT
                 yield batch.filter(pa.array([not matcher.search(normal(t)) for t in batch.column(text).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = scratch.stash(docs, "clean") if many else docs
     return docs
