@@ -12,8 +12,8 @@ the smallest hashes of their ids) and ``PAIRS`` pairs, so it is the same size fo
 every row.
 
 Defined cases: a null or empty text has all features zero and is scored like any; null ``doc_id`` or null
-label: not a training row; several labels of one id: the highest; repeated rows each give a row; other columns
-are not read; where the labels hold no pair, nothing can be ranked and every score is 0.7 (all are kept).
+label: not a training row; several labels of one id: the highest; several texts of a labelled id: the first in
+order of text is the training row; repeated rows each give a row; other columns are not read; where the labels hold no pair, nothing can be ranked and every score is 0.7 (all are kept).
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rows: int = FIT_ROWS
     ids = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality is not null")
     ids = ids.where(~held_out(F.col("doc_id"), mod)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])  # rows ids at most
+    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # rows ids at most
     found = with_features(chosen).join(F.broadcast(some), "doc_id").orderBy("doc_id").collect()  # rows feature rows at most
     return fit(np.array([r.x for r in found]).reshape(-1, N_FEATURES), np.array([r.quality > 0 for r in found], bool))
 
