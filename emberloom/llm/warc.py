@@ -4,12 +4,15 @@ Writing: one record for each capture. Of equal payloads the capture with the lar
 and the others are revisits that name it. Which payloads repeat is found from digests alone, pre-aggregated; a
 table of the repeated ones (usually small) then meets the captures, by broadcast only while Spark's own size
 threshold allows it and otherwise by a join that splits hot keys. Spark's text writer puts the records into
-files on any file system: its line separator is the blank line that ends a WARC record.
+files on any file system: its line separator is the blank line that ends a WARC record. An archive is bounded by
+bytes: ordinary captures (up to ``LARGE`` bytes) go ``RECORDS_PER_FILE`` to a file, and larger ones as many to a file
+as the largest of them allows within ``FILE_BYTES``.
 
 Reading: an archive is parsed by the lengths in its headers. The captures of one archive, sorted by URL key and
 time, are a run. Runs are written, dealt out by ranges of (URL key, time, id), so that a URL with very many
-captures is spread by time, and within each range a loser tree merges the runs' sorted parts. The ranges in order
-are the capture histories of the whole crawl.
+captures is spread by time, and within each range a loser tree merges the runs' sorted parts; a task holds its range
+as Arrow batches and makes Python rows of a few captures of each run at a time. The ranges in order are the capture
+histories of the whole crawl.
 
 Defined cases: a null html is an empty payload; empty payloads repeat each other like any; a null url has an
 empty key; rows with a null ``page_id`` are responses unless an equal payload has an id; rows repeated with the
@@ -30,7 +33,11 @@ from pyspark.sql import functions as F
 
 from emberloom.llm import scratch
 
-RECORDS_PER_FILE = 5_000
+RECORDS_PER_FILE = 1_000
+LARGE = 1 << 20
+FILE_BYTES = 1 << 30
+#: Rows that the merge makes of a run at a time.
+HEAD_ROWS = 256
 NAME = "urn:capture:page:"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -68,8 +75,19 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write the records of all captures under ``path``."""
-    records(pages).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Write the records of all captures under ``path``; no file holds more than about ``FILE_BYTES`` bytes."""
+    made, size = records(pages), F.octet_length("record")
+    held = F.octet_length(F.coalesce("html", F.lit(""))) + F.octet_length(F.coalesce("url", F.lit("")))
+    most = pages.select(held.alias("n")).where(F.col("n") > LARGE).agg(F.max("n")).first()[0]
+
+    def write(rows: DataFrame, per_file: int) -> None:
+        rows.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+
+    if most is None:
+        write(made, RECORDS_PER_FILE)
+    else:  # a record is its URL and payload and some hundred bytes
+        write(made.where(size <= LARGE + 65_536), RECORDS_PER_FILE)
+        write(made.where(size > LARGE + 65_536), max(1, FILE_BYTES // (most + 65_536)))
 
 
 def url_key(url: str) -> str:
@@ -177,13 +195,20 @@ def merge(runs: DataFrame) -> DataFrame:
     """All captures in order: by ``part``, then ``place`` in it. A range holds a part of every run, and fits in a
     task as any shuffle partition does."""
 
+    def rows_of(pieces: list[pa.RecordBatch]):
+        for piece in pieces:
+            for at in range(0, len(piece), HEAD_ROWS):
+                yield from zip(*(c.to_pylist() for c in piece.slice(at, HEAD_ROWS).columns), strict=True)
+
     def run(batches):
         part, found = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.setdefault(row[0], []).append(row)
+            at = 0
+            for name, n in zip(*_stretches(batch.column(0)), strict=True):
+                found.setdefault(name, []).append(batch.slice(at, n))
+                at += n
         out = []
-        for place, row in enumerate(LoserTree(list(found.values()), sort_key)):
+        for place, row in enumerate(LoserTree([rows_of(x) for x in found.values()], sort_key)):
             out.append((*row, part, place))
             if len(out) == 10_000:
                 yield _batch(out, [*_TYPES, pa.int64(), pa.int64()], [*_NAMES, "part", "place"])
@@ -196,6 +221,12 @@ def merge(runs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _INDEX + ", part long, place long")
 
 
+def _stretches(names: pa.Array) -> tuple[list[str], list[int]]:
+    """The values of a sorted column and how many rows each has."""
+    counts = names.value_counts()
+    return counts.field(0).to_pylist(), counts.field(1).to_pylist()
+
+
 def histories(pages: DataFrame) -> DataFrame:
     """Write the archives of all captures, read them back, and merge their index."""
     spark = pages.sparkSession
