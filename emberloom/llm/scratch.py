@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A table written here cuts lineage as a checkpoint does: after the loss of an executor, later jobs read the
-files again instead of recomputing. The folder is the session's ``spark.checkpoint.dir``; only where that is
-unset (local tests) is a temporary folder chosen.
+files again instead of recomputing. The folder is the session's ``spark.checkpoint.dir``. Only a local session, whose one
+machine is all there is, may leave it unset and gets a temporary folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {_KEY} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
