@@ -46,9 +46,9 @@ def _cut(text: Column) -> Column:
     return F.split(_marked(text), "\n", -1)
 
 
-def _whole_lines(text: Column) -> Column:
-    """The lines, which joined are the text: the line end behind a mark and a space is always one that was put there."""
-    cut = _cut(text)
+def _whole_lines(cut: Column) -> Column:
+    """Of the lines of :func:`_cut`, a column (an expression would be worked out again for each line), the lines which
+    joined are the text: the line end behind a mark and a space is always one that was put there."""
     put = lambda x: F.right(x, F.lit(2)).isin(". ", "! ", "? ")
     return F.transform(cut, lambda x, i: F.when((i == F.size(cut) - 1) | put(x), x).otherwise(F.concat(x, F.lit("\n"))))
 
@@ -144,7 +144,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     d, h = _doc(docs)
     joined = docs.select(F.struct(*docs.columns).alias("row"), d, h).join(runs.hint("merge"), ["d", "h"], "left")
     text = F.col("row.text")
-    cut = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), _whole_lines(text)).alias("all"))
+    cut = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), _cut(text)).alias("cut"))
+    cut = cut.select("row", "runs", _whole_lines(F.col("cut")).alias("all"))
     kept = F.filter("all", lambda x, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
     made = cut.select("row", "all", kept.alias("kept"))
     clean = F.when(F.col("all").isNull(), text).otherwise(F.array_join("kept", ""))
