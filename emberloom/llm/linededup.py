@@ -6,10 +6,11 @@ equal but for spaces at the ends. A run of ``MIN_WORDS`` words or more that occu
 then position (in the same text, too), is deleted, and its first occurrence stays.
 
 1. From each line, the stretch that just reaches ``MIN_WORDS`` words, and to each line, the one that just reaches
-   them backwards. Every longer run is the union of such stretches inside it, and each copy of the run has them,
-   too; their number is linear in the lines. Lines without words reach nothing: they count between others, and
-   before and behind a stretch as stretches of their own. This is winnowing with windows of one fingerprint: wider
-   windows keep fewer of them, but a minimum may first stand where the rest of the run does not, and the run is lost.
+   them backwards, found by windows over running sums of words. Every longer run is the union of such stretches
+   inside it, and each copy of the run has them, too; their number is linear in the lines. This is winnowing with
+   windows of one fingerprint: wider windows keep fewer of them, but a minimum may first stand where the rest of the
+   run does not, and the run is lost. A stretch is hashed from running sums, too: the exclusive or of its lines'
+   hashes, each rotated by its place in the stretch.
 2. Fingerprints that occur once leave, by a count and a join. Of the others, each position joins the first one: all
    behind it are deleted. Positions never meet all others, and none needs to.
 3. Stretches that overlap or touch are merged by text, which extends a match both ways to the whole run.
@@ -46,16 +47,20 @@ def _cut(text: Column) -> Column:
     return F.split(_marked(text), "\n", -1)
 
 
-def _whole_lines(cut: Column) -> Column:
-    """Of the lines of :func:`_cut`, a column (an expression would be worked out again for each line), the lines which
-    joined are the text: the line end behind a mark and a space is always one that was put there."""
-    put = lambda x: F.right(x, F.lit(2)).isin(". ", "! ", "? ")
-    return F.transform(cut, lambda x, i: F.when((i == F.size(cut) - 1) | put(x), x).otherwise(F.concat(x, F.lit("\n"))))
+_MARK = "\x01"
+
+
+def _whole_lines(text: Column) -> Column:
+    """The lines, which joined are the text. A text with the mark in it is cut by a pattern, in three times the time."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)).otherwise(F.split(marked, _MARK, -1))
 
 
 def _n_lines(text: Column) -> Column:
-    marked = _marked(text)
-    return F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit("\n"), F.lit(""))) + 1
+    found = [(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(end), F.lit("")))) / len(end) for end in ("\n", ". ", "! ", "? ")]
+    return sum(found, F.lit(1))
 
 
 def _doc(docs: DataFrame) -> list[Column]:
@@ -64,52 +69,42 @@ def _doc(docs: DataFrame) -> list[Column]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``d``, ``h``, ``n`` (lines) and, of the lines with words, the arrays ``p`` (position), ``w`` (words) and ``u`` (hash)."""
-    cut = docs.where(F.length("text") > 0).select(*_doc(docs), _cut(F.col("text")).alias("x"))
-
-    def line(raw: Column, i: Column) -> Column:
-        x = F.trim(raw)
-        words = F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(i.alias("p"), words.alias("w"), F.xxhash64(x).alias("u"))
+    """A row for each line: ``r`` (number of the row of ``docs``, which repeated documents don't share), ``d``, ``h``,
+    ``p`` (position), ``w`` (words, 0 in a blank line) and ``u`` (hash, rotated by the position)."""
+    known = docs.where(F.length("text") > 0).select(F.monotonically_increasing_id().alias("r"), *_doc(docs), "text")
+    rows = known.select("r", "d", "h", F.posexplode(_cut(F.col("text"))).alias("p", "x")).withColumn("x", F.trim("x"))
+    words = F.when(F.col("x") == "", 0).otherwise(F.octet_length("x") - F.octet_length(F.replace("x", F.lit(" "), F.lit(""))) + 1)
+    hashed = rows.select("r", "d", "h", "p", words.alias("w"), F.xxhash64("x").alias("u"))
+    return hashed.withColumn("u", F.expr("shiftleft(u, p % 64) | shiftrightunsigned(u, 64 - p % 64)"))
 
-    some = cut.select("d", "h", F.size("x").alias("n"), F.filter(F.transform("x", line), lambda z: z["w"] > 0).alias("z"))
-    return some.select("d", "h", "n", "z.p", "z.w", "z.u")
 
-
-_NEAR = 8
-#: From line i to line j, with the lines without words between them.
-_HASH = "xxhash64(get(u, i), slice(y, i + 2, j - i))"
+#: Room for positions below a number of words, in a key that orders lines by both.
+_ROOM = 1 << 32
 
 
 def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``d``, ``h``, ``p``, ``q`` and ``s``: first and last position and hash of the shortest stretches of enough words.
 
-    ``e`` holds the end of the stretch from each line (the number of lines if there is none). As ends never
-    decrease, the stretches backwards from ``e[i]`` to ``e[i + 1] - 1`` begin at line ``i``.
+    With ``b`` words before a line and ``a`` words up to its end, the stretch from a line ends at the last line with
+    fewer than ``b + min_words`` words before it, and the stretch to a line begins at the first one with more than
+    ``a - min_words`` words up to its end. Both are frames of a window by a key that rises with the position.
     """
-    base = 2 * min_words  # a number holds lines * base + words
-
-    def reach(start: str, part: str) -> str:
-        return f"aggregate({part}, {start}, (acc, x) -> if(acc % {base} >= {min_words}, acc, acc + {base} + least(x, {min_words})))"
-
-    near = F.expr(f"transform(w, (x, i) -> {reach('0', f'slice(w, i + 1, {_NEAR})')})")
-    far = reach("a", f"slice(w, i + {_NEAR + 1}, {max(min_words - _NEAR, 0)})")
-    full = F.expr(f"transform(near, (a, i) -> if(a % {base} >= {min_words}, a, {far}))")
-    ends = F.expr(f"transform(full, (a, i) -> if(a % {base} >= {min_words}, i + cast(a div {base} as int) - 1, size(w)))")
-    linked = F.expr("transform(u, (x, i) -> xxhash64(x, get(p, i) - get(p, i - 1)))")
-    made = lines.select("*", near.alias("near")).select("*", full.alias("full"))
-    made = made.select("d", "h", "n", "p", "u", linked.alias("y"), ends.alias("e"))
-    every = F.expr(f"""
-        flatten(filter(transform(e, (x, i) -> if(x < size(e), concat(
-          transform(sequence(x, greatest(x, coalesce(get(e, i + 1), size(e)) - 1)),
-            j -> named_struct('p', get(p, i), 'q', get(p, j), 's', {_HASH})),
-          transform(filter(sequence(0, get(p, i) - coalesce(get(p, i - 1), -1) - 1), c -> c > 0),
-            c -> named_struct('p', get(p, i) - c, 'q', get(p, x), 's', xxhash64({_HASH.replace("j", "x")}, -c))),
-          flatten(transform(filter(sequence(x, greatest(x, coalesce(get(e, i + 1), size(e)) - 1)), j -> j < coalesce(get(e, i + 1), size(e))),
-            j -> transform(filter(sequence(0, coalesce(get(p, j + 1), n) - get(p, j) - 1), c -> c > 0),
-              c -> named_struct('p', get(p, i), 'q', get(p, j) + c, 's', xxhash64({_HASH}, c)))))), null)),
-          x -> x is not null))""")
-    return made.select("d", "h", F.explode(every).alias("f")).select("d", "h", "f.p", "f.q", "f.s")
+    by = Window.partitionBy("r")
+    so_far = by.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("a", F.sum("w").over(so_far)).withColumn("y", F.bit_xor("u").over(so_far))
+    rows = rows.select("r", "d", "h", "p", (F.col("a") - F.col("w")).alias("b"), "a", F.col("y").bitwiseXOR(F.col("u")).alias("x"), "y")
+    ahead = by.orderBy((F.col("b") * _ROOM + F.col("p")).alias("k")).rangeBetween(0, min_words * _ROOM)
+    rows = rows.select("*", *(F.last(c).over(ahead).alias(f"e_{c}") for c in "pay"))
+    back = by.orderBy((F.col("a") * _ROOM + F.col("p")).alias("k")).rangeBetween(-min_words * _ROOM, 0)
+    rows = rows.select("*", *(F.first(c).over(back).alias(f"f_{c}") for c in ("p", "b", "x", "e_p")))
+    hashed = "xxhash64(shiftrightunsigned({c}, {p} % 64) | shiftleft({c}, 64 - {p} % 64), {q} - {p})"
+    onward = F.struct("p", F.col("e_p").alias("q"), F.expr(hashed.format(c="(e_y ^ x)", p="p", q="e_p")).alias("s"))
+    behind = F.struct(F.col("f_p").alias("p"), F.col("p").alias("q"), F.expr(hashed.format(c="(y ^ f_x)", p="f_p", q="p")).alias("s"))
+    some = F.array(
+        F.when(F.col("e_a") - F.col("b") >= min_words, onward),
+        F.when((F.col("a") - F.col("f_b") >= min_words) & (F.col("f_e_p") != F.col("p")), behind),  # not one of the others again
+    )
+    return rows.select("d", "h", F.explode(some).alias("z")).where("z is not null").select("d", "h", "z.p", "z.q", "z.s")
 
 
 #: Stretches in order, as those that neither overlap nor touch.
@@ -121,11 +116,15 @@ _MERGED = """
       acc -> concat(acc.out, array(named_struct('first', acc.first, 'last', acc.last))))"""
 
 
+#: What stays between the runs, with the end of the last line as one more run.
+_KEPT = """
+    flatten(transform(concat(runs, array(named_struct('first', size(all), 'last', size(all)))),
+      (x, i) -> slice(all, coalesce(get(runs, i - 1).last + 2, 1), x.first - coalesce(get(runs, i - 1).last + 1, 0))))"""
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``d``, ``h`` and ``runs``: the (first, last) positions to delete, of the documents that have some."""
-    lines = scratch.stash(line_table(docs), "lines")
-    prints = scratch.stash(fingerprints(lines, min_words), "prints")
-    scratch.drop(lines)
+    prints = scratch.stash(fingerprints(line_table(docs), min_words), "prints")
     again = scratch.stash(prints.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "again")
     # tables written at once: nothing above an exchange then keeps Spark from splitting the hot keys of a join
     found = scratch.stash(prints.join(again.hint("merge"), "s"), "found")
@@ -144,10 +143,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     d, h = _doc(docs)
     joined = docs.select(F.struct(*docs.columns).alias("row"), d, h).join(runs.hint("merge"), ["d", "h"], "left")
     text = F.col("row.text")
-    cut = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), _cut(text)).alias("cut"))
-    cut = cut.select("row", "runs", _whole_lines(F.col("cut")).alias("all"))
-    kept = F.filter("all", lambda x, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    made = cut.select("row", "all", kept.alias("kept"))
+    cut = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), _whole_lines(text)).alias("all"))
+    made = cut.select("row", "all", F.expr(_KEPT).alias("kept"))
     clean = F.when(F.col("all").isNull(), text).otherwise(F.array_join("kept", ""))
     columns = [clean.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     n_lines = F.when(F.length(text) > 0, _n_lines(text)).otherwise(0)
