@@ -23,4 +23,6 @@ MAX_FILE_BYTES = 1_048_576
 BM25_K1, BM25_B = 1.2, 0.75
 #: Kinds of observations, and the two files of a watched project by kind. Fixed values.
 SOURCE_TYPES = ("context", "learning", "decision", "project_claude_md", "project_readme", "agent", "episode")
+#: Files of a project below the memory root, by name.
+OWN_FILES = {"CLAUDE": "project_claude_md", "learnings": "learning", "decisions": "decision"}
 PROJECT_FILES = {"CLAUDE.md": "project_claude_md", "README.md": "project_readme"}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -107,10 +109,18 @@ def porter(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-@F.pandas_udf(T.StringType())
-def stem_text(text: pd.Series) -> pd.Series:
-    """Every word of a-z and 0-9 by its stem, accents folded: the text for a stemmed keyword search."""
-    return text.map(lambda t: None if t is None else " ".join(porter(w) for w in re.findall("[a-z0-9]+", fold(t))))
+STEMS = 200_000
+
+
+@functools.lru_cache(STEMS)
+def stem_word(word: str) -> str:
+    return porter(fold(word))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """Each word of an array by its stem, accents folded: the terms of a stemmed keyword search."""
+    return words.map(lambda found: None if found is None else [stem_word(w) for w in found])
 
 
 _models: dict = {}
@@ -119,12 +129,16 @@ _models: dict = {}
 def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], id_col: str = "id", text_col: str = "content", prefix: str = "") -> DataFrame:
     """``id`` and ``embedding`` of texts by a model that each Python worker loads once.
 
-    ``load`` returns a function from texts to vectors; ``prefix`` is the task's, as some models want one.
+    ``load`` returns a function from texts to vectors; ``prefix`` is the task's, as some models want one. A worker
+    keeps one model, and loads another where it is asked for one.
     """
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _models.setdefault("model", None) or load()
-        _models["model"] = model
+        if name not in _models:
+            _models.clear()
+            _models[name] = load()
+        model = _models[name]
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "embedding": model([prefix + (t or "") for t in batch["content"]])})
 

@@ -11,6 +11,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def words(text: Column) -> Column:
+    """All runs of letters and digits of any script in lower case, with repeats."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
@@ -84,7 +89,8 @@ def highlight(text: Column, terms: list[str]) -> Column:
 
 
 def is_slug(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:-[a-z0-9]+)*$"), F.lit(False))
+    """A project's short name: lower-case letters, digits and hyphens, the first one no hyphen."""
+    return F.coalesce(text.rlike(r"\A[a-z0-9][a-z0-9-]*\z"), F.lit(False))
 
 
 def entry_date(front: Column, path: Column) -> Column:
@@ -99,8 +105,8 @@ def keyword_hit(text: Column, keyword: str) -> Column:
 
 
 def normal_command(command: Column) -> Column:
-    """Ticket ids and runs of white space folded."""
-    return F.regexp_replace(F.regexp_replace(command, r"[A-Z]+-[0-9]+", "TICKET"), r"\s+", " ")
+    """Ticket ids folded to one form, and runs of spaces and tabs to a space; no command is an empty one."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(command, F.lit("")), r"[A-Z]+-[0-9]+", "XXX-NNN"), r"[ \t]+", " ")
 
 
 def ticket_keys(*texts: Column) -> Column:
@@ -109,8 +115,28 @@ def ticket_keys(*texts: Column) -> Column:
     return F.array_distinct(F.concat(*every))
 
 
-def server_name(command: Column) -> Column:
-    """A server's name from a command line: package scope, version, path, file ending and a trailing -server go."""
-    last = F.element_at(F.split(F.trim(command), r"\s+"), -1)
-    base = F.regexp_extract(F.regexp_replace(last, r"@[0-9][^/]*$", ""), r"([^/]*)$", 1)
-    return F.regexp_replace(F.regexp_replace(base, r"\.(?:js|py|ts|mjs)$", ""), r"(?:-mcp)?-server$", "")
+def server_base(name: Column) -> Column:
+    """A package or folder name without scope, version, platform and the given prefix of a vendor's packages."""
+    name = F.regexp_replace(F.regexp_replace(name, r"^@[^/]+/", ""), r"@.*$", "")
+    return F.regexp_replace(name, r"(?i)-(?:darwin|linux|win32)-(?:arm64|x64|x86_64).*$", "")
+
+
+def server_name(command: Column, known: tuple[tuple[str, str], ...] = (), prefix: str = "") -> Column:
+    """A server's name from its command line: a known mark (part of the command, name), else the package that a
+    runner starts (its flags left out), else the folder of an index script, else the path segment with ``mcp`` in
+    it, else the program. ``prefix`` is a start of names that goes."""
+    part = lambda pattern: F.nullif(F.regexp_extract(command, pattern, 1), F.lit(""))
+    words = F.filter(F.split(part(r"(?:npm exec|npx|uvx)\s+(.+)"), r"\s+"), lambda t: (t != "") & ~t.startswith("-"))
+    program = F.regexp_extract(F.split_part(command, F.lit(" "), F.lit(1)), r"([^/]*)$", 1)
+    found = F.coalesce(
+        F.get(words, F.lit(0)),
+        part(r"/([^/\s]+)/dist/index\.[mc]?[jt]s\b"),
+        part(r"/([^/\s]+)/index\.[mc]?[jt]s\b"),
+        part(r"(?i)/([^/\s]*mcp[^/\s]*)"),
+        F.nullif(program, F.lit("")),
+        F.lit("other"),
+    )
+    name = F.regexp_replace(server_base(found), f"^{prefix}", "") if prefix else server_base(found)
+    for mark, own in reversed(known):
+        name = F.when(command.contains(mark), own).otherwise(name)
+    return F.when(command.isNotNull(), name)

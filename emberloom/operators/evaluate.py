@@ -16,6 +16,15 @@ def per_query(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return queries.join(scored, "query", "left").select("query", F.coalesce(F.col("found") / F.col("n"), F.lit(0.0)).alias("recall"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
+def per_query_counts(ranked: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """The same from flags: ``ranked`` has ``query``, ``pos`` and ``rel``, ``totals`` the number ``n`` of relevant rows
+    of every ``query``, so that relevant rows need not be listed."""
+    hits = ranked.where("rel").groupBy("query").agg(F.sum((F.col("pos") <= k).cast("long")).alias("found"), F.min("pos").alias("first"))
+    rows = totals.join(hits, "query", "left")
+    recall = F.when(F.col("n") > 0, F.col("found") / F.col("n"))
+    return rows.select("query", F.coalesce(recall, F.lit(0.0)).alias("recall"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("rr"))
+
+
 def means(scored: DataFrame) -> DataFrame:
     """One row: ``queries``, ``recall`` and ``mrr``; no queries give zeros."""
     return scored.agg(F.count("*").alias("queries"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall"), F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"))

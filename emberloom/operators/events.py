@@ -15,9 +15,11 @@ def window(events: DataFrame, ts: str, cutoff: str, rule: str | None = None) ->
     return found if rule is None else found.where(F.col("rule") == rule)
 
 
-def counts(events: DataFrame, dims: list[str], default: str = "none") -> DataFrame:
-    """``dimension``, ``value``, ``n`` for each dimension and in total, by grouping sets over one scan."""
-    named = events.select(*(F.coalesce(F.col(d), F.lit(default)).alias(d) for d in dims))
+def counts(events: DataFrame, dims: list[str], missing: dict[str, str] | None = None) -> DataFrame:
+    """``dimension``, ``value``, ``n`` for each dimension and in total, by grouping sets over one scan. ``missing``
+    names what stands for null: none for a rule, unknown for any other dimension."""
+    missing = missing or {"rule": "none"}
+    named = events.select(*(F.coalesce(F.col(d), F.lit(missing.get(d, "unknown"))).alias(d) for d in dims))
     sets = [[F.col(d)] for d in dims] + [[]]
     found = named.groupingSets(sets, *dims).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
     width = len(dims)
@@ -28,11 +30,21 @@ def counts(events: DataFrame, dims: list[str], default: str = "none") -> DataFra
     return found.select(which.alias("dimension"), value.alias("value"), "n")
 
 
-def repeats(events: DataFrame, least: int = 2) -> DataFrame:
-    """Blocked commands that recur under one rule but for ids and spaces: count, first and last time, an example."""
-    blocked = events.where("decision = 'block'").withColumn("pattern", text.normal_command(F.col("command")))
-    found = blocked.groupBy("rule", "pattern").agg(F.count("*").alias("n"), F.min_by("command", F.struct("ts", "event_id")).alias("example"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return found.where(F.col("n") >= least)
+def repeats(events: DataFrame, least: int = 2, blocked: str = "BLOCKED") -> DataFrame:
+    """Blocked commands that recur under one rule but for ids and spaces: count, first and last time, and the first
+    of them as example; the most frequent come first."""
+    found = events.where(F.col("decision") == blocked).withColumn("pattern", text.normal_command(F.col("command")))
+    found = found.groupBy("rule", "pattern").agg(F.count("*").alias("n"), F.min_by("command", F.struct("ts", "event_id")).alias("example"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return found.where(F.col("n") >= least).orderBy(F.desc("n"), "rule", "pattern")
+
+
+def thresholds(events: DataFrame, slow_ms: int = 200, least: int = 3) -> DataFrame:
+    """Findings of a guard log by rule and kind: ``slow`` decisions, and rules that ``block`` often."""
+    slow = F.sum((F.col("duration_ms") > slow_ms).cast("long"))
+    blocks = F.sum((F.col("decision") == "BLOCKED").cast("long"))
+    rows = events.groupBy(F.coalesce("rule", F.lit("none")).alias("rule")).agg(slow.alias("slow"), F.max("duration_ms").alias("most_ms"), blocks.alias("blocks"))
+    kinds = F.array_compact(F.array(F.when(F.col("slow") > 0, "slow"), F.when(F.col("blocks") >= least, "frequent block")))
+    return rows.select("rule", "slow", "most_ms", "blocks", F.explode(kinds).alias("finding"))
 
 
 def decide(command: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -45,31 +57,55 @@ def decide(command: Column, rules: list[tuple[str, str, str]]) -> Column:
     return allowed if chain is None else chain.otherwise(allowed)
 
 
-def keep_recent_turns(turns: DataFrame, key: str, order: str, body: str, budget: int = C.TURN_BUDGET_CHARS) -> DataFrame:
-    """The latest turns of each conversation within a budget of characters; the last turn is always there, cut."""
+def keep_recent_turns(turns: DataFrame, key: str, order: str, role: str = "role", body: str = "text", budget: int = C.TURN_BUDGET_CHARS) -> DataFrame:
+    """``line``: the latest turns of each conversation as text for a reader, within a budget of characters.
+
+    A line is the role in capitals, the text and a blank line, all of which count; a longer line than the budget is
+    cut and marked. The latest turn is always there.
+    """
+    whole = F.concat(F.upper(role), F.lit(": "), F.coalesce(F.col(body), F.lit("")), F.lit("\n\n"))
+    line = F.when(F.length(whole) > budget, F.concat(F.left(whole, F.lit(budget)), F.lit("[truncated]\n\n"))).otherwise(whole)
     win = Window.partitionBy(key).orderBy(F.desc(order))
-    size = F.sum(F.length(F.coalesce(F.col(body), F.lit("")))).over(win.rowsBetween(Window.unboundedPreceding, 0))
-    marked = turns.withColumn("_size", size).withColumn("_rn", F.row_number().over(win))
-    kept = marked.where((F.col("_size") <= budget) | (F.col("_rn") == 1))
-    return kept.withColumn(body, F.left(F.col(body), F.lit(budget))).drop("_size", "_rn")
+    marked = turns.withColumn("line", line).withColumn("_size", F.sum(F.length("line")).over(win.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rn", F.row_number().over(win))
+    return marked.where((F.col("_size") <= budget) | (F.col("_rn") == 1)).drop("_size", "_rn")
+
+
+def distinct_counts(rows: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+    """Per key how many different values each column of ``names`` has, under the name given there."""
+    return rows.groupBy(key).agg(*(F.count_distinct(F.col(c)).alias(n) for c, n in names.items()))
+
+
+def enough_turns(turns: DataFrame, key: str, least: int = C.MIN_TURNS) -> DataFrame:
+    """Conversations with enough turns for an observation."""
+    return turns.groupBy(key).agg(F.count("*").alias("turns")).where(F.col("turns") >= least)
+
+
+#: What the observer says when there is nothing to say. A fixed value.
+NO_SIGNAL = "No significant decisions made."
+
+
+def has_signal(o: Column) -> Column:
+    """Whether an observation (see :func:`reports.observation`) holds anything worth an episode."""
+    lists = F.size(o["decisions"]) + F.size(o["corrections"]) + F.size(o["discoveries"]) + F.size(o["files_of_note"])
+    told = (F.length(o["summary"]) > 0) & (o["summary"] != NO_SIGNAL)
+    return F.coalesce((lists > 0) | told, F.lit(False))
 
 
-def has_signal(turns: DataFrame, key: str, least: int = C.MIN_TURNS) -> DataFrame:
-    """Conversations with enough turns and at least one of the user."""
-    found = turns.groupBy(key).agg(F.count("*").alias("turns"), F.sum((F.col("role") == "user").cast("long")).alias("user_turns"))
-    return found.where((F.col("turns") >= least) & (F.col("user_turns") > 0))
+#: A dated heading: the date alone, or the date, a dash and a title.
+_HEAD = r"##[^\S\n]+(\d{4}-\d{2}-\d{2})(?:[^\S\n]+—[^\S\n]+([^\n]+?))?[^\S\n]*"
 
 
 def entries(files: DataFrame, path: str = "path", body: str = "content") -> DataFrame:
-    """Dated entries of Markdown: a block runs from a heading ``## date`` to the next; path, date, title, body,
-    hash of the block, and its place in the file."""
-    blocks = F.split(F.concat(F.lit("\n"), F.col(body)), r"(?=\n##\s+\d{4}-\d{2}-\d{2})")
-    rows = files.select(F.col(path).alias("path"), F.posexplode(blocks).alias("place", "raw")).where(F.col("raw").rlike(r"\A\n##\s+\d{4}-\d{2}-\d{2}"))
-    raw = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    head = r"\A##\s+(\d{4}-\d{2}-\d{2})[ \t]*(?:[-–—:][ \t]*)?([^\n]*)"
-    cut = rows.select("path", "place", raw.alias("raw"))
-    title = F.nullif(F.trim(F.regexp_extract("raw", head, 2)), F.lit(""))
-    return cut.select("path", F.regexp_extract("raw", head, 1).alias("date"), title.alias("title"), F.regexp_replace(F.regexp_replace("raw", head, ""), r"^\s+", "").alias("body"), F.sha2("raw", 256).alias("hash"), "place")
+    """Dated entries of Markdown: a block runs from a heading ``## date`` or ``## date — title`` to the next one, and
+    other headings belong to the block. Path, date, title, body, hash of the block, and its place in the file."""
+    plain = F.concat(F.lit("\n"), F.regexp_replace(F.col(body), "\r\n", "\n"))
+    blocks = F.split(plain, rf"(?=\n{_HEAD}(?:\n|\z))")
+    rows = files.select(F.col(path).alias("path"), F.posexplode(blocks).alias("place", "raw")).where(F.col("raw").rlike(rf"\A\n{_HEAD}(?:\n|\z)"))
+    cut = rows.select("path", "place", F.regexp_replace("raw", r"\A\s+|\s+\z", "").alias("raw"))
+    first = F.split_part("raw", F.lit("\n"), F.lit(1))
+    rest = F.regexp_replace(F.substr("raw", F.length(first) + 1), r"\A\s+|\s+\z", "")
+    title = F.nullif(F.trim(F.regexp_extract(first, rf"\A{_HEAD}\z", 2)), F.lit(""))
+    return cut.select("path", F.regexp_extract(first, rf"\A{_HEAD}\z", 1).alias("date"), title.alias("title"), rest.alias("body"), F.sha2("raw", 256).alias("hash"), "place")
 
 
 def sessionize(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:

@@ -103,3 +103,60 @@ def extension_report(files: DataFrame) -> DataFrame:
     total = F.broadcast(files.agg(F.sum("size").alias("all")))  # one row
     rows = files.groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.avg("size").alias("mean_size"), F.min("born").alias("oldest"), F.max("born").alias("newest"), F.count_distinct("born").alias("times"))
     return rows.crossJoin(total).select("ext", "files", "bytes", F.round(F.col("bytes") * 100 / F.col("all"), 2).alias("share"), "mean_size", "oldest", "newest", "times")
+
+
+#: What marks a commit that cleans up after a tool. Fixed values.
+REACTIVE = r"SonarQube|sonar|[Ll]int|[Pp]rettier|[Cc]heckstyle|Copilot|unused import|unused variable|[Rr]emove unused"
+
+
+def commit_kinds(commits: DataFrame, author: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Commits of an author and a time (``since`` to ``until``, exclusive), merges left out, with ``is_fix``,
+    ``is_reactive`` and ``is_revert`` by their message."""
+    found = commits.where("parents < 2")
+    for column, on in (("author", author and F.col("author").contains(author)), ("since", since and (F.col("at") >= since)), ("until", until and (F.col("at") < until))):
+        found = found.where(on) if on is not None else found
+    m = F.col("message")
+    return found.select("*", m.rlike("(?m)^Fix").alias("is_fix"), m.rlike(REACTIVE).alias("is_reactive"), m.rlike("(?m)^Revert").alias("is_revert"))
+
+
+def sprint_drift(completed: DataFrame, sprint: DataFrame, most: float = 0.6) -> DataFrame:
+    """One row: ``total`` completions (``ticket``), ``sprint`` ones, the ``share`` of others, and ``warning``: more than
+    ``most`` of them, and nothing of the sprint."""
+    known = sprint.select("ticket").distinct().withColumn("_in", F.lit(True))
+    n = completed.join(known, "ticket", "left").agg(F.count("*").alias("total"), F.count("_in").alias("sprint"))
+    share = F.when(F.col("total") > 0, (F.col("total") - F.col("sprint")) / F.col("total")).otherwise(F.lit(0.0))
+    return n.select("total", "sprint", share.alias("share"), ((share > most) & (F.col("sprint") == 0)).alias("warning"))
+
+
+def stale_stack(stack: DataFrame, promoted: DataFrame, days: int = 5) -> DataFrame:
+    """``item`` and ``days`` of items (``item``, ``day``) that stood in the stack for ``days`` days or more and were never
+    a main action."""
+    seen = stack.groupBy("item").agg(F.count_distinct("day").alias("days")).where(F.col("days") >= days)
+    return seen.join(promoted.select("item").distinct(), "item", "left_anti")
+
+
+def blocker_stalls(blockers: DataFrame, days: int = 2) -> DataFrame:
+    """``person``, ``ticket`` and ``days`` of blockers (with ``day``) in plans more than ``days`` days apart."""
+    span = F.datediff(F.max("day"), F.min("day"))
+    return blockers.groupBy("person", "ticket").agg(span.alias("days")).where(F.col("days") > days)
+
+
+def open_work(items: DataFrame, key: str, most: int = 1) -> DataFrame:
+    """``key`` and ``n`` of those with more open items than ``most``: finish before you start."""
+    return items.where("open").groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def qa_bounces(transitions: DataFrame, in_flight: DataFrame | None = None) -> DataFrame:
+    """``ticket`` and ``bounces``: tickets that went back from test, of those in flight if they are given."""
+    back = transitions.where((F.col("from") == "In Test") & F.col("to").isin("In Progress", "Open"))
+    found = back.groupBy("ticket").agg(F.count("*").alias("bounces"))
+    return found if in_flight is None else found.join(in_flight.select("ticket"), "ticket", "left_semi")
+
+
+def priority_order(work: DataFrame, overloaded: bool = False) -> DataFrame:
+    """The day's items by kind (sprint, in progress, labelled defects, unassigned defects) and then priority and
+    ticket: seven at most, five after days that were too full."""
+    kinds = ("sprint", "in progress", "labelled defect", "unassigned defect")
+    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    rows = work.where(rank > 0).withColumn("rank", rank.cast("int"))
+    return rows.orderBy("rank", "priority", "ticket").limit(5 if overloaded else 7)

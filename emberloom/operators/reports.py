@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberloom.functions import text
+from emberloom.operators.scratch import written
 
 
 def stale(episodes: DataFrame, now: Column, days: int) -> DataFrame:
@@ -30,10 +36,49 @@ def project_of_folder(rows: DataFrame, watched: DataFrame, folder: str = "cwd")
     return found.withColumn("project", F.coalesce("_project", text.basename(F.regexp_replace(folder, "/+$", "")))).drop("_project")
 
 
+NEEDLE_CHARS = 8_000_000
+
+
 def containing(needles: DataFrame, rows: DataFrame, needle: str, hay: str) -> DataFrame:
-    """Pairs in which the row's text holds the needle in either case: labels of an evaluation set resolved to
-    rows. The needles are a stated set of queries, tried against every row."""
-    return needles.join(rows, F.lower(F.col(hay)).contains(F.lower(F.col(needle)))).distinct()
+    """Pairs in which the row's text holds the needle in either case: labels of an evaluation set resolved to rows.
+
+    The needles are a stated set of queries, tried against every row: an automaton over all of them passes each text
+    once. It goes to the tasks as a broadcast of about ``NEEDLE_CHARS`` characters; more needles make more blocks, and
+    the pairs of one are written before the next is made. An empty needle stands in every text; a null one in none.
+    """
+    spark = rows.sparkSession
+    listed = needles.where(F.col(needle).isNotNull()).select(F.lower(needle).alias("_needle")).distinct()
+    total = listed.agg(F.coalesce(F.sum(F.length("_needle")), F.lit(0))).first()[0]
+    blocks, found = max(1, -(-total // NEEDLE_CHARS)), []
+    kind = T.StructType([*rows.schema.fields, T.StructField("_needle", T.StringType())])
+    place = rows.columns.index(hay)
+    for b in range(blocks):
+        own = listed.where(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == b)
+        shared = spark.sparkContext.broadcast([r._needle for r in own.toLocalIterator()])
+
+        def run(batches, shared=shared):
+            automaton, blank = ahocorasick.Automaton(), "" in shared.value
+            for x in filter(None, shared.value):
+                automaton.add_word(x, x)
+            if len(automaton):
+                automaton.make_automaton()
+            for batch in batches:
+                of, said = [], []
+                for i, t in enumerate(batch.column(place).to_pylist()):
+                    met = {x for _, x in automaton.iter(t.lower())} if t and len(automaton) else set()
+                    if blank and t is not None:
+                        met.add("")
+                    of += [i] * len(met)
+                    said += sorted(met)
+                some = batch.take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(said, pa.string())], names=kind.names)
+
+        met = rows.mapInArrow(run, kind)
+        found.append(written(met, "met") if blocks > 1 else met)
+        if blocks > 1:
+            shared.destroy()
+    met = functools.reduce(DataFrame.union, found)
+    return needles.withColumn("_needle", F.lower(needle)).join(met, "_needle").drop("_needle").distinct()
 
 
 def cross_reference(reported: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -87,12 +132,24 @@ def open_threads(threads: DataFrame, comments: DataFrame) -> DataFrame:
     return n.join(last, "pr", "full_outer").withColumn("unresolved", F.coalesce("unresolved", F.lit(0)))
 
 
-def signals(prs: DataFrame, now: Column) -> DataFrame:
-    """One row for each signal of a pull request; whole days of age count."""
-    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp("updated")) / 86400)
-    rules = [("stale", days >= 5), ("changes requested", F.col("review") == "CHANGES_REQUESTED"), ("ready", (F.col("review") == "APPROVED") & (F.col("ci") == "SUCCESS")), ("failing", F.col("ci") == "FAILURE")]
+def days_since(now: Column, updated: Column) -> Column:
+    """Whole days since the last change."""
+    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(updated)) / 86400)
+
+
+def signals(prs: DataFrame, login: str) -> DataFrame:
+    """One row for each signal of a pull request: a review asked of ``login``, a failed check, a merge conflict.
+
+    ``prs`` has ``reviewers`` (logins), ``checks`` (structs of conclusion and state) and ``mergeable``.
+    """
+    bad = lambda c: F.coalesce(c.isin("FAILURE", "ERROR"), F.lit(False))
+    rules = [
+        ("review-requested", F.array_contains("reviewers", login)),
+        ("ci-failed", F.exists("checks", lambda x: bad(x["conclusion"]) | bad(x["state"]))),
+        ("merge-conflict", F.col("mergeable") == "CONFLICTING"),
+    ]
     found = F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in rules)))
-    return prs.select("*", days.alias("days"), F.explode(found).alias("signal"))
+    return prs.select("*", F.explode(found).alias("signal"))
 
 
 def digest_text(title: Column, items: Column, cap: int) -> Column:
@@ -108,37 +165,113 @@ def top_with_rest(rows: DataFrame, order: list[Column], shown: int = 8) -> tuple
     return rows.orderBy(*order).limit(shown), max(0, rows.count() - shown)
 
 
-def observation(raw: Column, most: int = 20, chars: int = 400) -> Column:
-    """A model's JSON object as typed fields: lists of at most 20 texts, each collapsed and cut; a score out of
-    range is unknown."""
-    o = F.from_json(raw, "struct<summary:string,decisions:array<string>,learnings:array<string>,open_items:array<string>,value_score:string>")
+def safe_text(value: Column, most: int) -> Column:
+    """Control characters and runs of white space as one space, trimmed and cut; no text is an empty one."""
+    plain = F.regexp_replace(F.regexp_replace(value, r"[\x00-\x1f]", " "), r"\s+", " ")
+    return F.coalesce(F.left(F.trim(plain), F.lit(most)), F.lit(""))
 
-    def texts(name: str) -> Column:
-        some = F.filter(F.transform(F.coalesce(o[name], F.array().cast("array<string>")), lambda x: text.collapse(x, chars)), lambda x: F.length(x) > 0)
-        return F.slice(some, F.lit(1), F.lit(most)).alias(name)
 
-    return F.struct(text.collapse(o["summary"], chars).alias("summary"), texts("decisions"), texts("learnings"), texts("open_items"), text.value_score(o["value_score"]).alias("value_score"))
+def observation(raw: Column, most: int = 20) -> Column:
+    """A model's JSON object as typed fields, whatever shape it has; null if it is no object.
+
+    Lists hold at most 20 texts of 500 characters, and a lone text counts as a list of one; files of note need a path
+    and a reason; the summary has 2,000 characters and the project 64; a score out of range is unknown.
+    """
+    v = F.try_parse_json(raw)
+    is_text = lambda x: F.schema_of_variant(x) == "STRING"
+    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    said = lambda x, path: F.when(is_text(get(x, path, "variant")), get(x, path, "string"))
+
+    def texts(name: str) -> Column:
+        many = F.filter(get(v, f"$.{name}", "array<variant>"), is_text)
+        listed = F.slice(F.transform(many, lambda x: safe_text(get(x, "$", "string"), 500)), 1, most)
+        one = safe_text(said(v, f"$.{name}"), 500)
+        none = F.array().cast("array<string>")
+        return F.coalesce(listed, F.when(one != "", F.array(one)), none).alias(name)
+
+    pairs = F.filter(get(v, "$.files_of_note", "array<variant>"), lambda x: said(x, "$.path").isNotNull() & said(x, "$.reason").isNotNull())
+    files = F.transform(pairs, lambda x: F.struct(safe_text(said(x, "$.path"), 500).alias("path"), safe_text(said(x, "$.reason"), 500).alias("reason")))
+    no_files = F.array().cast("array<struct<path:string,reason:string>>")
+    score = F.when(F.schema_of_variant(get(v, "$.value_score", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE)"), get(v, "$.value_score", "double"))
+    whole = F.when((score == F.floor(score)) & score.between(0, 4), score.cast("int"))
+    made = F.struct(
+        safe_text(said(v, "$.summary"), 2000).alias("summary"), F.nullif(safe_text(said(v, "$.project"), 64), F.lit("")).alias("project"),
+        texts("decisions"), texts("corrections"), texts("discoveries"),
+        F.coalesce(F.slice(files, 1, most), no_files).alias("files_of_note"), whole.alias("value_score"),
+    )
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), made)
+
+
+#: Fixed values of the document lint: keys of front matter, reserved words of names, first and second person in a
+#: description, marks of a reason, and the scores of the share of instructions that give one (up to a bound).
+DOCUMENTED_KEYS = (
+    "name", "description", "when_to_use", "argument-hint", "arguments", "disable-model-invocation", "user-invocable", "allowed-tools",
+    "disallowed-tools", "model", "effort", "context", "agent", "hooks", "paths", "shell",
+)
+RESERVED_WORDS = ("anthropic", "claude")
+PERSON = r"(?i)\bI can\b|\bI'll\b|\bI will\b|\bI help\b|\bI am\b|\bYou can\b|\bYou will\b|\bYou'll\b|\bHelps you\b|我可以|我能|我会|你可以|您可以"
+REASONS = "because|so that|to avoid|to prevent|to ensure|since |otherwise|this ensures|this prevents|which ensures|因为|以便|避免|防止|否则|以确保|从而|确保不"
+REASON_BANDS = ((0.0, 0), (0.25, 1), (0.50, 2))
+MOST_CHARS = 1536
 
 
 def lint(files: DataFrame) -> DataFrame:
-    """Points of a skill document: front matter with name and description, a sound name, length, how much of it
-    speaks in the first person, and the share of rules that give a reason."""
-    front = text.front_matter(F.col("content"))
-    name, told = text.front_matter_field(front["block"], "name"), text.front_matter_field(front["block"], "description")
-    lines = F.filter(F.split(front["body"], "\n"), lambda x: F.length(F.trim(x)) > 0)
-    rules = F.filter(lines, lambda x: x.rlike(r"(?i)^\s*(?:[-*]|\d+\.)\s+.*\b(?:must|never|always|do not)\b"))
-    reasons = F.filter(rules, lambda x: x.rlike(r"(?i)\b(?:because|since|so that|otherwise|—)"))
-    ratio = F.when(F.size(rules) > 0, F.size(reasons) / F.size(rules)).otherwise(F.lit(1.0))
-    ok = lambda c, points: F.when(F.coalesce(c, F.lit(False)), points).otherwise(0)
-    parts = {
-        "front": ok(name.isNotNull() & told.isNotNull(), 30),
-        "naming": ok(name.rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$") & (F.length(name) <= 64), 20),
-        "size": ok(F.size(lines) <= 500, 15) + ok(F.length(told) <= 1024, 5),
-        "person": ok(~told.rlike(r"(?i)\b(?:I|my|we|our)\b"), 10),
-        "reasons": F.when(ratio >= 0.5, 20).when(ratio >= 0.25, 10).otherwise(0),
-    }
-    rows = files.select("path", *(c.alias(n) for n, c in parts.items()))
-    return rows.withColumn("score", sum((F.col(n) for n in parts), F.lit(0)))
+    """The mechanical criteria of a skill document (``path``, ``content``), as far as rules decide them.
+
+    ``fields`` (0 to 2): front matter that parses, with known keys only, and a description; ``faults`` lists what is
+    wrong with it. ``name`` and ``name_ok``: the name, or else its folder's, of a-z, 0-9 and hyphens, without reserved
+    words. ``told_ok``: a description, not too long together with when to use it, in the third person.
+    ``instructions``, ``reasons`` and ``reason_score`` (0 to 3, null without instructions): bullets and steps outside
+    code and tables, and how many of them give a reason.
+    """
+    lines = F.split("content", "\n")
+    at = files.select("path", "content", lines.alias("l"))
+    ends = F.filter(F.transform("l", lambda x, i: F.when((i > 0) & (F.trim(x) == "---"), i)), lambda x: x.isNotNull())
+    at = at.withColumn("open", F.trim(F.get("l", F.lit(0))) == "---").withColumn("end", F.when(F.col("open"), F.get(ends, F.lit(0))))
+    at = at.withColumn("front", F.when(F.col("end").isNotNull(), F.slice("l", F.lit(2), F.col("end") - 1)))
+    top = F.filter("front", lambda x: (F.trim(x) != "") & ~x.rlike(r"^[# \t]"))
+    at = at.withColumn("top", top).withColumn("block", F.array_join("front", "\n"))
+    key = r"^([^\s:][^:]*):(?:\s|$)"
+
+    def value(name: str) -> Column:
+        found = rf"(?:\A|\n){name}:(?:[ \t]+([^\n]*))?((?:\n[ \t][^\n]*)*)"
+        first = F.trim(F.regexp_extract("block", found, 1))
+        rest = F.filter(F.transform(F.split(F.regexp_extract("block", found, 2), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\t", " "))), lambda x: x != "")
+        first = F.when(first.isin(">", ">-", "|", "|-"), "").otherwise(first)
+        return F.trim(F.concat_ws(" ", F.nullif(first, F.lit("")), F.array_join(rest, " ")))
+
+    keys = F.transform(F.filter("top", lambda x: x.rlike(key)), lambda x: F.trim(F.regexp_extract(x, key, 1)))
+    odd = F.filter(keys, lambda k: ~k.isin(*DOCUMENTED_KEYS))
+    faults = (
+        F.when(~F.col("open"), F.array(F.lit("no front matter")))
+        .when(F.col("end").isNull(), F.array(F.lit("front matter is not closed")))
+        .when(F.exists("top", lambda x: ~x.rlike(key)), F.array(F.lit("a line is not 'key: value'")))
+        .otherwise(F.transform(odd, lambda k: F.concat(F.lit("unknown key "), k)))
+    )
+    told = value("description")
+    at = at.withColumn("faults", faults).withColumn("told", told).withColumn("when", value("when_to_use"))
+    at = at.withColumn("own", F.trim(F.regexp_extract("block", r"(?:\A|\n)name:[ \t]+([^\n]*)", 1)))
+    name = F.coalesce(F.nullif("own", F.lit("")), F.regexp_extract("path", r"([^/]+)/[^/]*$", 1))
+    body = F.when(F.col("end").isNotNull(), F.slice("l", F.col("end") + 2, F.size("l"))).otherwise(F.col("l"))
+    fenced = F.transform(body, lambda x: F.when(F.regexp_replace(x, r"^\s+", "").startswith("```"), "```").otherwise(F.regexp_replace(x, r"\s+$", "")))
+    outside = F.regexp_replace(F.concat(F.array_join(fenced, "\n"), F.lit("\n```")), r"(?s)(?:\A|(?<=\n))```\n.*?(?:\n```(?=\n|\z)|\z)", "")
+    steps = F.filter(F.split(outside, "\n"), lambda x: x.rlike(r"^(?:[-*]\s+|\d+[.)]\s+)"))
+    at = at.withColumn("name", name).withColumn("steps", steps)
+    n, k = F.size("steps"), F.size(F.filter("steps", lambda x: F.lower(x).rlike(REASONS)))
+    band = F.lit(3)
+    for bound, score in reversed(REASON_BANDS):
+        band = F.when(k / n <= bound, score).otherwise(band)
+    return at.select(
+        "path",
+        F.when(F.size("faults") > 0, 0).when(F.col("told") == "", 1).otherwise(2).alias("fields"),
+        "faults",
+        "name",
+        (F.col("name").rlike(r"\A[a-z0-9-]{1,64}\z") & ~F.lower("name").rlike("|".join(RESERVED_WORDS))).alias("name_ok"),
+        ((F.col("told") != "") & (F.length("told") + F.length("when") <= MOST_CHARS) & ~F.col("told").rlike(PERSON)).alias("told_ok"),
+        n.alias("instructions"),
+        k.alias("reasons"),
+        F.when(n > 0, band).alias("reason_score"),
+    )
 
 
 def banded(total: Column, bands: tuple[tuple[float, str], ...] = ((90, "strong"), (70, "sound"), (50, "weak")), low: str = "poor") -> Column:
@@ -153,3 +286,64 @@ def recent_activity(rows: DataFrame) -> DataFrame:
     """Projects by activity (commits, pull requests and tickets), ties by commits."""
     score = F.col("commits") + F.col("prs") + F.col("tickets")
     return rows.withColumn("activity", score).orderBy(F.desc("activity"), F.desc("commits"), "project")
+
+
+#: Error codes of the download log by what they mean, and how many of them are normal. Fixed values.
+SATURATED, CRASHED, FAILED = "P3RM_GENERIC", "APP_02", "DLW_11"
+NOISE = {"HART_04": 5, "APP_01": 0, "APP_02": 1}
+
+
+def log_triage(log: DataFrame, stall_seconds: int = 300) -> DataFrame:
+    """``session`` and ``finding`` of a download log (``session``, ``ts`` in seconds, ``event``, ``code``, ``status``).
+
+    A request that started and never completed; three or more path worker errors; a crash at the start with no
+    download behind it; counters that stop well before the log does; no failed downloads although the request did not
+    complete; twenty or more failed downloads; progress behind an ERROR status.
+    """
+    ts = F.col("ts")
+    event = lambda name: F.col("event") == name
+    code = lambda name: F.coalesce(F.col("code") == name, F.lit(False))
+    many = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    last = lambda c: F.max(F.when(c, ts))
+    rows = log.groupBy("session").agg(
+        many(event("request.download.started")).alias("started"), many(event("request.download.completed")).alias("completed"),
+        many(code(SATURATED)).alias("saturated"), many(code(FAILED)).alias("failed"), F.min(F.when(code(CRASHED), ts)).alias("crashed"),
+        last(F.col("event").startswith("request.download") | event("batch.counter.increment")).alias("download"),
+        last(event("batch.counter.increment")).alias("counted"), F.min(F.when(F.col("status") == "ERROR", ts)).alias("wrong"), F.max(ts).alias("log_end"), F.min(ts).alias("log_start"),
+    )
+    stalled = (F.col("started") > 0) & (F.col("completed") == 0)
+    rules = [
+        ("stalled request", stalled),
+        ("path worker saturated", F.col("saturated") >= 3),
+        ("startup crash", (F.col("crashed") == F.col("log_start")) & F.coalesce(F.col("download") <= F.col("crashed"), F.lit(True))),
+        ("stall point", F.col("log_end") - F.col("counted") > stall_seconds),
+        ("downloads work", stalled & (F.col("failed") == 0)),
+        ("many failures", F.col("failed") >= 20),
+        ("status stuck", F.col("counted") > F.col("wrong")),
+    ]
+    found = F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in rules)))
+    return rows.select("session", F.explode(found).alias("finding"))
+
+
+def notable_codes(log: DataFrame) -> DataFrame:
+    """``session``, ``code``, ``n`` of error codes without the usual noise: lifecycle codes count only above their
+    normal number, consent ones only where a promise was not handled."""
+    noisy = F.lit(None).cast("int")
+    for name, normal in NOISE.items():
+        noisy = F.when(F.col("code") == name, normal).otherwise(noisy)
+    limit = F.coalesce(noisy, F.when(F.col("code").startswith("HART_"), 5), F.lit(0))
+    told = log.where(F.col("code").isNotNull() & ((F.col("code") != "APP_01") | F.col("message").contains("unhandled Promise rejection")))
+    return told.groupBy("session", "code").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+
+
+def counter_faults(batches: DataFrame) -> DataFrame:
+    """``batch`` and ``fault`` of batches whose counters cannot be right."""
+    c = F.col
+    rules = [
+        ("more done than there are", c("downloaded") + c("failed") > c("items")),
+        ("counted twice", c("downloaded") > c("items")),
+        ("verified before downloaded", c("verified") > c("downloaded")),
+        ("no completion", (c("downloaded") == c("items")) & ~c("completed")),
+    ]
+    found = F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in rules)))
+    return batches.select("batch", F.explode(found).alias("fault"))

@@ -2,15 +2,29 @@
 
 Keyword filters apply before the limit, and vector filters behind it: the vector positions are then counted anew
 over the rows that pass. Ties are always broken by id.
+
+A keyword query is read by splitting it: OR parts alternatives, AND their factors, NOT what a factor must not hold;
+words beside each other must all occur, and words in quotes in a row. Every phrase of the query that occurs adds to the
+score. Keywords are looked up in the texts themselves, or in an index of postings that :func:`write_index` keeps by
+hash of the term, so that a query reads the buckets of its own terms only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import math
+import operator
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberloom import config as C
-from emberloom.functions import scores, text
+from emberloom.functions import python, scores, text
+from emberloom.operators.scratch import written
 
 
 def pool_size(limit: int) -> int:
@@ -18,44 +32,119 @@ def pool_size(limit: int) -> int:
     return min(C.POOL_CAP, C.OVERSAMPLE * limit)
 
 
-def parse_query(query: str) -> list[list[str]]:
-    """A keyword query as alternatives of terms that must all occur: words are joined by AND, OR parts them.
-    Quotes and stray operators are dropped; a query without words gives no alternative."""
-    import re
+Query = list[list[list[list[tuple[str, ...]]]]]
 
-    found = []
-    for part in re.split(r"\bOR\b", query):
-        terms = re.findall(r"[a-z0-9]+", re.sub(r"\b(?:AND|NOT)\b", " ", part).lower())
-        if terms:
-            found.append(list(dict.fromkeys(terms)))
-    return found
 
+def parse_query(query: str, stem: Callable[[str], str] = str) -> Query:
+    """Alternatives of factors of groups of phrases: of a factor, all phrases of the first group must occur, and not
+    all of any further one. Empty where the query is not sound: an operator without words, an open quote, or a mark
+    outside quotes (brackets, too)."""
+    pieces = re.findall(r'"[^"]*"|[^\s"]+|"', query)
+    if any(x == '"' or (x[0] != '"' and re.search(r"[^\w\u0080-\U0010ffff]", x)) for x in pieces):
+        return []
+    out: Query = [[[[]]]]
+    for x in pieces:
+        if x == "OR":
+            out.append([[[]]])
+        elif x == "AND":
+            out[-1].append([[]])
+        elif x == "NOT":
+            out[-1][-1].append([])
+        elif phrase := tuple(stem(w) for w in re.findall(r"[^\W_]+", x.lower())):
+            out[-1][-1][-1].append(phrase)
+    return out if all(group for factors in out for groups in factors for group in groups) else []
 
-def bm25(docs: DataFrame, terms: list[str], every: bool = False, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
-    """``id`` and ``score`` of the rows that hold some term (or, with ``every``, all terms).
 
-    One scan counts words and terms of each row without shuffling text; document frequencies and the mean length
-    are one small aggregate, joined back as a single row. They count all rows; ``where`` filters candidates only.
-    """
-    words = text.tokens(F.col(text_col))
-    counted = docs.select(F.col(id_col).alias("id"), *([where.alias("_ok")] if where is not None else [F.lit(True).alias("_ok")]), words.alias("w"))
+def any_of(terms: list[str]) -> Query:
+    """The query that wants any of some terms."""
+    return [[[[(t,)]]] for t in terms]
+
+
+def phrases_of(query: Query) -> list[tuple[str, ...]]:
+    return list(dict.fromkeys(p for factors in query for groups in factors for group in groups for p in group))
+
+
+def _wanted(query: Query, there: dict[tuple[str, ...], Column]) -> Column:
+    whole = lambda group: functools.reduce(operator.and_, (there[p] for p in group))
+    factor = lambda groups: functools.reduce(operator.and_, (~whole(g) for g in groups[1:]), whole(groups[0]))
+    return functools.reduce(operator.or_, (functools.reduce(operator.and_, map(factor, factors)) for factors in query))
 
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter("w", lambda x: x == term))
 
-    tf = [occurrences(term) for term in terms]
-    rows = counted.select("id", "_ok", F.size("w").alias("n"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
-    joined = rows.where("_ok").crossJoin(F.broadcast(stats))  # one row
+def _scored(rows: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
+    """``id`` and ``score`` of rows with ``n`` (words) and ``tf0``, ... (occurrences of each phrase). ``stats`` is one
+    row: ``docs``, ``mean`` (words) and ``df0``, ..."""
+    phrases = phrases_of(query)
+    joined = rows.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    hits = F.lit(0)
-    for i in range(len(terms)):
+    for i in range(len(phrases)):
         f, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
         idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
         score = score + idf * f * (C.BM25_K1 + 1) / (f + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("n") / F.col("mean")))
-        hits = hits + (f > 0).cast("int")
-    need = len(terms) if every else 1
-    return joined.where(hits >= need).select("id", score.alias("score"))
+    there = {p: F.col(f"tf{i}") > 0 for i, p in enumerate(phrases)}
+    return joined.where(_wanted(query, there)).select("id", score.alias("score"))
+
+
+def _frequencies(rows: DataFrame, n: int) -> list[Column]:
+    return [F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(n)]
+
+
+def bm25(docs: DataFrame, query: Query, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None, words: Callable[[Column], Column] = text.tokens) -> DataFrame:
+    """``id`` and ``score`` of the rows that a query wants, found in their texts.
+
+    One scan counts words and phrases of each row without shuffling text, and leaves a narrow table; document
+    frequencies and the mean length are one small aggregate of it. They count all rows; ``where`` filters candidates.
+    """
+    phrases = phrases_of(query)
+    found = docs.select(F.col(id_col).alias("id"), (F.lit(True) if where is None else where).alias("_ok"), words(F.col(text_col)).alias("w"))
+
+    def occurrences(phrase: tuple[str, ...]) -> Column:
+        if len(phrase) == 1:
+            return F.size("w") - F.size(F.array_remove("w", phrase[0]))
+        rest = lambda i: functools.reduce(operator.and_, (F.get("w", i + j) == t for j, t in enumerate(phrase[1:], 1)))
+        return F.size(F.filter("w", lambda x, i: (x == phrase[0]) & rest(i)))
+
+    rows = written(found.select("id", "_ok", F.size("w").alias("n"), *(occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases))), "counts")
+    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *_frequencies(rows, len(phrases)))
+    return _scored(rows.where("_ok"), stats, query)
+
+
+def index_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Callable[[Column], Column] = text.tokens) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths): ``term``, ``id``, ``n`` and ``places`` of every term of every row; ``id`` and ``n`` of every row."""
+    found = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", F.size("w").alias("n"), "w")
+    rows = found.select("id", "n", F.posexplode("w").alias("place", "term"))
+    return rows.groupBy("term", "id", "n").agg(F.sort_array(F.collect_list("place")).alias("places")), found.select("id", "n")
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = 64, **how) -> None:
+    """Postings under ``path`` in folders by hash of their term, and the lengths of all rows."""
+    postings, lengths = index_terms(docs, **how)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
+
+
+def search_index(spark: SparkSession, path: str, query: Query, allowed: DataFrame | None = None) -> DataFrame:
+    """``id`` and ``score`` of the rows that a query wants, from an index: only the buckets of its terms are read.
+    Frequencies count all rows; ``allowed`` (``id``) filters candidates."""
+    phrases = phrases_of(query)
+    terms = sorted({t for p in phrases for t in p})
+    size = spark.read.parquet(f"{path}/stats").first()
+    listed = spark.createDataFrame([(t,) for t in terms], "term string")
+    buckets = [r.b for r in listed.select(F.pmod(F.xxhash64("term"), F.lit(size.buckets)).cast("int").alias("b")).distinct().collect()]
+    own = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    none = F.array().cast("array<int>")
+    places = {t: f"p{i}" for i, t in enumerate(terms)}
+    rows = own.groupBy("id", "n").agg(*(F.coalesce(F.first(F.when(F.col("term") == t, F.col("places")), ignorenulls=True), none).alias(c) for t, c in places.items()))
+
+    def shifted(term: str, by: int) -> Column:
+        return F.transform(places[term], lambda x: x - by)
+
+    def occurrences(phrase: tuple[str, ...]) -> Column:
+        return F.size(functools.reduce(F.array_intersect, (shifted(t, j) for j, t in enumerate(phrase))))
+
+    rows = written(rows.select("id", "n", *(occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases))), "counts")
+    stats = rows.agg(F.lit(size.docs).alias("docs"), F.lit(size["mean"]).alias("mean"), *_frequencies(rows, len(phrases)))
+    return _scored(rows if allowed is None else rows.join(allowed.select("id"), "id", "left_semi"), stats, query)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, limit: int) -> DataFrame:
@@ -64,17 +153,14 @@ def numbered(df: DataFrame, order: list[Column], name: str, limit: int) -> DataF
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def keyword_candidates(docs: DataFrame, query: str, limit: int, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``fts_pos``: the best rows for a query; an unusable query gives none."""
-    parts = parse_query(query)
-    if not parts:
+def keyword_candidates(docs: DataFrame, query: str, limit: int, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
+    """``id``, ``fts_pos``: the best rows for a query; an unusable query gives none. ``stemmed`` compares stems of words
+    of any script instead of runs of a-z and 0-9."""
+    parsed = parse_query(query, python.stem_word) if stemmed else parse_query(query)
+    if not parsed:
         return docs.sparkSession.createDataFrame([], "id long, score double, fts_pos int")
-    found = None
-    for terms in parts:
-        one = bm25(docs, terms, True, id_col, text_col, where)
-        found = one if found is None else found.union(one)
-    best = found.groupBy("id").agg(F.max("score").alias("score"))
-    return numbered(best, [F.desc("score"), F.asc("id")], "fts_pos", pool_size(limit))
+    words = (lambda c: python.stems(text.words(c))) if stemmed else text.tokens
+    return numbered(bm25(docs, parsed, id_col, text_col, where, words), [F.desc("score"), F.asc("id")], "fts_pos", pool_size(limit))
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -84,6 +170,34 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
     return numbered(near, [F.desc("cosine"), F.asc("id")], "vec_pos", k)
 
 
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """``query``, ``id``, ``cosine``, ``pos``: the ``k`` nearest unit vectors (``id``, ``v``) of each query (``query``, ``q``).
+
+    A stated query set against all rows, in blocks: a task multiplies one block of queries with one block of vectors
+    and keeps the ``k`` best of each query, so that no more than ``k`` rows for each query and block leave it.
+    """
+    n = vectors.count()
+    m = queries.count()
+    kv, kq = max(1, math.ceil(n / block_rows)), max(1, math.ceil(m / block_rows))
+    a = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(kv)).cast("int").alias("bv")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(kq - 1))))
+    b = queries.select(F.col("query").alias("id"), F.col("q").alias("v"), F.pmod(F.xxhash64("query"), F.lit(kq)).cast("int").alias("bq")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.lit(kv - 1))))
+    both = a.select("bv", "bq", "id", "v", F.lit(False).alias("asks")).unionByName(b.select("bv", "bq", "id", "v", F.lit(True).alias("asks")))
+
+    def best(table: pa.Table) -> pa.Table:
+        asks, ids = table["asks"].to_numpy(), table["id"].to_numpy()
+        if asks.all() or not asks.any():
+            return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        m = np.array(table["v"].to_pylist(), np.float64)
+        sims, rows = m[asks] @ m[~asks].T, ids[~asks]
+        some = np.lexsort((np.broadcast_to(rows, sims.shape), -sims), axis=1)[:, :k]
+        q = np.repeat(ids[asks], some.shape[1])
+        return pa.table({"query": q, "id": rows[some].ravel(), "cosine": np.take_along_axis(sims, some, 1).ravel()})
+
+    found = both.groupBy("bv", "bq").applyInArrow(best, "query long, id long, cosine double")
+    win = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    return found.withColumn("pos", F.row_number().over(win)).where(F.col("pos") <= k)
+
+
 def vector_candidates(vectors: DataFrame, query: list[float], limit: int, allowed: DataFrame | None = None) -> DataFrame:
     """``id``, ``vec_pos``: nearest first, then the filter, then positions over what passes."""
     near = nearest(vectors, query, pool_size(limit)).drop("vec_pos")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberloom import config as C
+from emberloom.functions import text
 from emberloom.operators.scratch import written
 
 
@@ -46,33 +50,81 @@ def last_samples(samples: DataFrame, order: list[str], n: int = C.WINDOW_SAMPLES
 
 
 def server_cost(samples: DataFrame, window: int = C.WINDOW_SAMPLES) -> DataFrame:
-    """``server``, ``mean``, ``stdev`` (population), ``n`` over the last samples, of servers in the latest one.
-
-    ``samples`` has ``sample`` (ordered), ``server``, ``rss``; a server's processes in one sample add up.
-    """
+    """``server``, ``mean``, ``stdev`` (population), ``n``: over every entry of the last samples, of the servers that
+    are in the latest one; the largest comes first. ``samples`` has ``sample`` (ordered), ``server``, ``rss``, a row
+    for each server of each session."""
     known = samples.select("sample").distinct().orderBy(F.desc("sample")).limit(window)
     recent = samples.join(F.broadcast(known), "sample")  # window rows at most
-    per = recent.groupBy("sample", "server").agg(F.sum("rss").alias("rss"))
     latest = F.broadcast(known.agg(F.max("sample").alias("sample")))  # one row
-    live = per.join(latest, "sample", "left_semi").select("server").distinct()
-    return per.join(live, "server", "left_semi").groupBy("server").agg(F.avg("rss").alias("mean"), F.stddev_pop("rss").alias("stdev"), F.count("*").alias("n"))
+    live = recent.join(latest, "sample", "left_semi").select("server").distinct()
+    found = recent.join(live, "server", "left_semi").groupBy("server").agg(F.avg("rss").alias("mean"), F.stddev_pop("rss").alias("stdev"), F.count("*").alias("n"))
+    return found.orderBy(F.desc("mean"), "server")
 
 
 def biggest_lever(samples: DataFrame) -> DataFrame:
-    """The server with the highest mean size times mean concurrency, over the samples in which it is."""
-    per = samples.groupBy("sample", "server").agg(F.avg("rss").alias("rss"), F.count("*").alias("copies"))
-    both = per.groupBy("server").agg(F.avg("rss").alias("mean_rss"), F.avg("copies").alias("concurrency"))
+    """The server with the highest mean size (over all its entries) times mean concurrency (entries in a sample, over
+    the samples in which it is)."""
+    per = samples.groupBy("sample", "server").agg(F.sum("rss").alias("rss"), F.count("*").alias("copies"))
+    both = per.groupBy("server").agg((F.sum("rss") / F.sum("copies")).alias("mean_rss"), F.avg("copies").alias("concurrency"))
     return both.withColumn("lever", F.col("mean_rss") * F.col("concurrency")).orderBy(F.desc("lever"), "server").limit(1)
 
 
+def most_sessions(samples: DataFrame) -> DataFrame:
+    """The most sessions of any sample (``sessions``), 0 where there is none."""
+    return samples.agg(F.greatest(F.coalesce(F.max("sessions"), F.lit(0)), F.lit(0)).alias("most"))
+
+
+def memory_of(sample: Column) -> Column:
+    """Bytes that are free, available and compressed, from a sample's page counts; missing counts are zero."""
+    count = lambda name: F.coalesce(sample[name], F.lit(0))
+    size = sample["page_size"]
+    available = sum((count(f"pages_{n}") for n in ("inactive", "speculative", "purgeable")), count("pages_free"))
+    return F.struct((count("pages_free") * size).alias("free_bytes"), (available * size).alias("available_bytes"), (count("pages_occupied_by_compressor") * size).alias("compressor_bytes"))
+
+
+@dataclass(frozen=True)
+class ProcessRules:
+    """Patterns that tell processes apart by their command lines. ``program`` starts an interactive session,
+    ``versions`` with the flags of a resumed session a forked one; ``helpers`` belong to no session; ``own`` is the
+    sampler itself. ``known`` servers are (part of the command, name)."""
+
+    program: str = r"/\.local/bin/agent(\s|$)"
+    versions: str = r"/versions/[\d.]+"
+    helpers: str = r" daemon run|--bg-pty-host|--bg-spare"
+    own: str = r"resource-sampler\.js"
+    known: tuple[tuple[str, str], ...] = ()
+    prefix: str = ""
+
+
+def process_kinds(processes: DataFrame, rules: ProcessRules = ProcessRules()) -> DataFrame:  # noqa: B008
+    """``kind`` (interactive, forked, infra, self, server or other), ``is_root`` and ``server`` (its name) of each
+    process by its ``command``."""
+    c = F.col("command")
+    forked = c.rlike(rules.versions) & c.rlike("--session-id") & c.rlike("--resume|--fork-session") & ~c.rlike("--bg-pty-host")
+    server = c.rlike(r"(?i)mcp") | c.contains("@modelcontextprotocol/")
+    for mark, _ in rules.known:
+        server = server | c.contains(mark)
+    kind = F.when(c.rlike(rules.own), "self").when(c.rlike(rules.program) & ~c.rlike(" daemon run"), "interactive").when(forked, "forked")
+    kind = kind.when(c.rlike(rules.helpers), "infra").when(server, "server").otherwise("other")
+    rows = processes.withColumn("kind", F.coalesce(kind, F.lit("other")))
+    name = F.when(F.col("kind") == "server", text.server_name(c, rules.known, rules.prefix))
+    return rows.withColumn("is_root", F.col("kind").isin("interactive", "forked")).withColumn("server", name)
+
+
+def kind_totals(processes: DataFrame) -> DataFrame:
+    """``kind``, ``procs`` and ``rss`` of the processes of :func:`process_kinds`; the sampler is left out."""
+    return processes.where("kind <> 'self'").groupBy("kind").agg(F.count("*").alias("procs"), F.sum("rss").alias("rss"))
+
+
 def process_roots(processes: DataFrame) -> DataFrame:
     """``pid``, ``root``: each process below a root (``is_root``), not crossing into another root's tree.
 
-    Pointers to parents double each round, so a tree of depth d takes log2(d) joins.
+    Pointers to parents double each round, so a tree of depth d takes log2(d) joins, and log2 of the number of
+    processes are enough: what has no root by then hangs on a cycle, and has none.
     """
     up = F.when(F.col("is_root"), F.col("pid")).otherwise(F.col("ppid"))
     now = written(processes.select("pid", up.alias("up"), "is_root"), "processes")
-    while True:
+    for _ in range(2 + math.ceil(math.log2(max(2, now.count())))):
         above = now.select(F.col("pid").alias("up"), F.col("up").alias("upper"))
         step = now.join(above, "up", "left").select("pid", F.coalesce("upper", F.lit(None).cast("long")).alias("up"), "is_root", F.col("up").alias("was"))
         step = written(step, "processes")

@@ -6,6 +6,7 @@ Nothing is written behind a reader's back: the access bump of a search is a tabl
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,7 +46,7 @@ def search_memory(m: Memory, query: str, query_vector: list[float] | None, now:
         where = where & (F.col("project") == project)
     o = m.observations
     body = o.withColumn("_body", F.concat_ws(" ", "title", "content", "topic") if "topic" in o.columns else F.concat_ws(" ", "title", "content"))
-    kw = search.keyword_candidates(body, query, limit, where, "id", "_body")
+    kw = search.keyword_candidates(body, query, limit, where, "id", "_body", stemmed=True)
     allowed = o.where(where).select("id")
     vec = m.spark.createDataFrame([], "id long, vec_pos int") if query_vector is None else search.vector_candidates(m.vectors, query_vector, limit, allowed)
     found = search.hybrid(kw, vec, o.select("id", "title", "content", "indexed_at"), search.access_stats(m.access), query, now, limit)
@@ -87,14 +88,21 @@ def get_recent_learnings(m: Memory, scope: str = "all", limit: int = 5, project:
 
 
 def append_learning(m: Memory, scope: str, content: str, date: str, project: str | None = None, title: str | None = None) -> DataFrame:
-    """The entry to append, and its best match of 0.8 or more among known entries (equal hashes are 1)."""
+    """The entry to append with its ``block`` of text and ``bytes``, and its best match of 0.8 or more among the
+    file's entries (equal hashes are 1)."""
     if scope == "project" and not project:
         raise ValueError("a project's learning needs a project")
+    if project is not None and not re.fullmatch(r"[a-z0-9][a-z0-9-]*", project):
+        raise ValueError("a project is named by lower-case letters, digits and hyphens")
     path = f"{m.root}/agent/learnings.md" if scope == "agent" else f"{m.root}/projects/{project}/learnings.md"
-    head = f"## {date}" + (f" {title}" if title else "")
-    fresh = m.spark.createDataFrame([(0, path, date, title, content, f"{head}\n\n{content}")], "id long, path string, date string, title string, body string, raw string")
+    title, content = title if title is not None else "Learning", content.strip()
+    raw = f"## {date} — {title}\n\n{content}"
+    block = f"\n\n{raw}\n"
+    row = (0, path, date, title, content, raw, block, len(block.encode()))
+    fresh = m.spark.createDataFrame([row], "id long, path string, date string, title string, body string, raw string, block string, bytes long")
     fresh = fresh.withColumn("hash", F.sha2("raw", 256))
-    known = entries_of(m).select(F.xxhash64("path", "place").alias("id"), "path", "date", "hash", "body")
+    own = entries_of(m).where(F.col("path").endswith(path.removeprefix("file:").lstrip("/")))
+    known = own.select(F.xxhash64("path", "place").alias("id"), "path", "date", "hash", "body")
     sets = [x.select("id", text.token_set(F.col("body")).alias("tokens")) for x in (fresh, known)]
     best = similarity.best_match(*sets)
     prior = known.select(F.col("id").alias("match"), F.col("path").alias("match_path"), F.col("date").alias("match_date"), F.col("hash").alias("match_hash"))
@@ -175,27 +183,56 @@ def scan_experience(m: Memory, episode_vectors: DataFrame, max_episodes: int = C
 
 def proposal_faults(p: Column) -> Column:
     """Messages of what is wrong with the shape of a proposal (a struct), empty if nothing is."""
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    minutes = p["estimated_weekly_savings_minutes"]
+    evidence, change = p["evidence"], p["proposed_change"]
     rules = [
-        (~text.is_slug(p["id"]), "id is not a dated slug"),
-        (~F.coalesce(p["priority"].isin("high", "medium", "low"), F.lit(False)), "priority is not known"),
-        (~F.coalesce(p["category"] == "experience", F.lit(False)), "category is not experience"),
-        (F.length(F.trim(F.coalesce(p["title"], F.lit("")))) == 0, "title is empty"),
-        (F.length(F.trim(F.coalesce(p["description"], F.lit("")))) == 0, "description is empty"),
-        (F.coalesce(F.size(p["evidence"]), F.lit(0)) < C.THEME_SIZE, "evidence names too few episodes"),
-        (F.length(F.trim(F.coalesce(p["proposed_change"]["content"], F.lit("")))) == 0, "the change has no content"),
-        (~F.coalesce(p["proposed_change"]["action"].isin("append", "create", "update"), F.lit(False)), "action is not known"),
-        (~F.coalesce(p["estimated_weekly_savings_minutes"] >= 0, F.lit(False)), "savings are not a number"),
+        (holds(p["id"].rlike(r"\AP\d{3}\z")), "id is not P and three digits"),
+        (holds(p["priority"].isin("HIGH", "MEDIUM", "LOW")), "priority is not HIGH, MEDIUM or LOW"),
+        (holds(p["category"] == "EXPERIENCE_LEARNING"), "category is not EXPERIENCE_LEARNING"),
+        (holds(F.length(p["title"]).between(1, 120)), "title is empty or longer than 120 characters"),
+        (holds(F.length(p["description"]) >= 50), "description is shorter than 50 characters"),
+        (holds((F.size(evidence) >= 2) & ~F.exists(evidence, lambda x: x.isNull())), "evidence is not two texts or more"),
+        (change.isNotNull(), "there is no proposed change"),
+        (change.isNull() | holds(F.length(change["file"]) > 0), "the change names no file"),
+        (change.isNull() | holds(change["action"] == "APPEND_LEARNING"), "the change's action is not APPEND_LEARNING"),
+        (holds((minutes == F.floor(minutes)) & minutes.between(0, 600)), "savings are not whole minutes from 0 to 600"),
     ]
-    return F.array_compact(F.array(*(F.when(bad, F.lit(message)) for bad, message in rules)))
+    return F.array_compact(F.array(*(F.when(~sound, F.lit(message)) for sound, message in rules)))
+
+
+def _paths_in(citation: Column) -> Column:
+    """Every piece of a citation that may be the path of a Markdown file: from a slash, or from where a word starts,
+    to an ending ``.md``."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(citation), F.lit(1)))
+    starts = F.filter(places, lambda i: (F.substr(citation, i, F.lit(1)) == "/") | (i == 1) | F.substr(citation, i - 1, F.lit(1)).rlike(r"[^A-Za-z0-9._/:-]"))
+    ends = F.filter(places, lambda i: F.substr(citation, i, F.lit(3)) == ".md")
+    pieces = F.flatten(F.transform(ends, lambda e: F.transform(F.filter(starts, lambda s: s <= e), lambda s: F.substr(citation, s, e - s + 3))))
+    return F.array_distinct(pieces)
+
+
+def _sessions_in(citation: Column) -> Column:
+    """Every run of parts joined by hyphens in the words of a citation: any of them may be a session's id."""
+    words = F.filter(F.split(citation, r"[^A-Za-z0-9_-]+"), lambda w: w != "")
+
+    def runs(word: Column) -> Column:
+        parts = F.split(word, "-")
+        places = F.sequence(F.lit(1), F.size(parts))
+        return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: F.array_join(F.slice(parts, i, j - i + 1), "-"))))
+
+    return F.array_distinct(F.flatten(F.transform(words, runs)))
 
 
 def resolve_citations(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
     """``citation``, ``path``: the first episode, in path order, whose path stands in the citation, or else whose
-    session id does; null if none does."""
+    session id does; null if none does. What a citation may name is cut out of it and joined by equality, so any
+    number of citations meets any number of episodes; ids are letters, digits, ``_`` and hyphens."""
     cited = evidence.select("citation").distinct()
-    hit = F.when(F.col("citation").contains(text.basename(F.col("path"))), 0).when(F.length("session_id").cast("boolean") & F.col("citation").contains(F.col("session_id")), 1)
-    met = episodes.select("path", "session_id").join(F.broadcast(cited), hit.isNotNull())  # every episode; the citations of proposals are few
-    first = met.groupBy("citation").agg(F.min_by("path", F.struct(hit, "path")).alias("path"))
+    bare = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    by_path = cited.select("citation", F.explode(_paths_in(F.col("citation"))).alias("k")).join(episodes.select(bare.alias("k"), "path"), "k").select("citation", "path", F.lit(0).alias("rank"))
+    known = episodes.where(F.length("session_id") > 0).select(F.col("session_id").alias("k"), "path")
+    by_session = cited.select("citation", F.explode(_sessions_in(F.col("citation"))).alias("k")).join(known, "k").select("citation", "path", F.lit(1).alias("rank"))
+    first = by_path.unionByName(by_session).groupBy("citation").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
     return cited.join(first, "citation", "left")
 
 

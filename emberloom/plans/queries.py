@@ -7,11 +7,12 @@ places, as the order of sums differs between engines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberloom.functions import scores, text
-from emberloom.operators import evaluate, events, flags, ingest, metrics, reports, search, similarity, telemetry, themes
+from emberloom.operators import evaluate, events, flags, ingest, metrics, reports, scratch, search, similarity, telemetry, themes
+from emberloom.plans import api
 
 NOW = 1_706_745_600  # 2024-02-01, behind the last event
 THEME_COSINE = 0.40  # no pair of the given vectors comes near the default
@@ -39,6 +40,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def made(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """Rows that a statement over one table makes, which Spark and DuckDB both read."""
+    return spark.sql(sql.replace(f"from {name}", "from {source}"), source=t(spark, sf_dir, name))
+
+
 def six(column):
     return F.round(column, 6)
 
@@ -61,7 +67,7 @@ def _bm25_sql(terms: list[str], need: int, where: str = "true") -> str:
 @query(_bm25_sql(TERMS, 1) + " select id, round(score, 6) as score, row_number() over (order by score desc, id) as pos from found order by score desc, id limit 10")
 def bm25_search(spark, sf_dir):
     """The ten best documents for three words, any of them."""
-    found = search.numbered(search.bm25(t(spark, sf_dir, "documents"), TERMS), [F.desc("score"), F.asc("id")], "pos", 10)
+    found = search.numbered(search.bm25(t(spark, sf_dir, "documents"), search.any_of(TERMS)), [F.desc("score"), F.asc("id")], "pos", 10)
     return found.select("id", six("score").alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -137,9 +143,10 @@ def exact_match_boost(spark, sf_dir):
     return t(spark, sf_dir, "documents").groupBy("lang", scores.exact_match(QUERY, F.col("source"), F.col("text")).alias("boost")).agg(F.count("*").alias("n"))
 
 
-_PATH = """case doc_id % 8 when 0 then 'context/' || source || '.md' when 1 then 'agent/learnings.md' when 2 then 'projects/' || source || '/decisions.md'
+_PATH = """case doc_id % 11 when 0 then 'context/' || source || '.md' when 1 then 'agent/learnings.md' when 2 then 'projects/' || source || '/decisions.md'
  when 3 then 'projects/' || source || '/notes/learnings.md' when 4 then 'episodes/2026/' || doc_id || '.md' when 5 then 'projects/' || source || '/plan.md'
- when 6 then 'archive/' || source || '.md' else 'misc/' || source || '.txt' end"""
+ when 6 then 'archive/' || source || '.md' when 7 then 'context/_index.md' when 8 then 'projects/' || source || '/CLAUDE.md' when 9 then 'agent/CLAUDE.md'
+ else 'context/deep/' || lang || '.md' end"""
 
 
 def _paths(docs: DataFrame) -> DataFrame:
@@ -147,12 +154,14 @@ def _paths(docs: DataFrame) -> DataFrame:
 
 
 @query(f"""
-with p as (select {_PATH} as path from documents),
-k as (select case when path like 'archive/%' or path not like '%.md' then null when path like 'context/%' then 'context' when path = 'agent/learnings.md' then 'learning'
-  when path like 'projects/%/decisions.md' then 'decision' when path like 'projects/%learnings.md' then 'learning' when path like 'projects/%' then 'context' when path like 'episodes/%' then 'episode' end as source_type,
-  case when path like 'context/%' then regexp_extract(path, '([^/]+)\\.md$', 1) when path like 'projects/%/plan.md' then 'plan' end as topic,
-  case when path like 'projects/%' then regexp_extract(path, '^projects/([^/]+)/', 1) end as project from p)
-select source_type, topic, project, count(*) as n from k group by all""")
+with p as (select {_PATH} as path from documents), f as (select path, string_split(path, '/') as part from p),
+k as (select path, case
+  when part[1] = 'archive' or path = 'context/_index.md' or right(path, 3) <> '.md' then null
+  when path = 'agent/CLAUDE.md' then 'agent' when path = 'agent/learnings.md' then 'learning' when part[1] = 'context' then 'context'
+  when part[1] = 'projects' and len(part) > 2 then case part[-1] when 'CLAUDE.md' then 'project_claude_md' when 'learnings.md' then 'learning' when 'decisions.md' then 'decision' end
+  when part[1] = 'episodes' then 'episode' end as source_type,
+  replace(part[-1], '.md', '') as stem, part from f)
+select source_type, case when source_type = 'context' then stem end as topic, case when source_type is not null and part[1] = 'projects' then part[2] end as project, count(*) as n from k group by all""")
 def doc_classify(spark, sf_dir):
     """Documents by the classification of paths made from their ids."""
     kind = ingest.classify(F.col("path"))
@@ -279,14 +288,16 @@ _FLAG_ROWS = """select least(h, m) as a, greatest(h, m) as b, s from (
   select sha256(text) as h, sha256(lower(text)) as m, n_chars as s from documents)"""
 
 
-@query(f"select count(*) as n, sum((a < b)::int)::bigint as distinct_sides from (select distinct a, b from ({_FLAG_ROWS}) where a not in (select least(sha256(text), sha256(lower(text))) from documents where doc_id % 3 = 0))")
+@query(f"""select left(a, 1) as bucket, count(*) as n, count(*) filter (a < b) as distinct_sides from (select distinct a, b from ({_FLAG_ROWS})
+ where (a, b) not in (select (least(sha256(text), sha256(lower(text))), greatest(sha256(text), sha256(lower(text)))) from documents where doc_id % 3 = 0)) group by 1""")
 def flags_insert_ignore(spark, sf_dir):
-    """Flags of (text, lower-case text) pairs that are not known yet, once each."""
+    """Flags of (text, lower-case text) pairs that are not known yet, once each, by the first digit of their hash."""
     d = t(spark, sf_dir, "documents")
     side = lambda c: F.struct(F.lit("documents").alias("path"), F.lit("2026-01-01").alias("date"), F.sha2(c, 256).alias("hash"))
     pairs = lambda rows: flags.from_pairs(rows.select(side(F.col("text")).alias("a"), side(F.lower("text")).alias("b"), F.lit(1.0).alias("similarity")), "duplicate", "scan", NOW)
     fresh = flags.insert_or_ignore(pairs(d.where("doc_id % 3 = 0")), pairs(d))
-    return fresh.agg(F.count("*").alias("n"), F.sum((F.col("entry_hash") < F.col("match_hash")).cast("long")).alias("distinct_sides"))
+    distinct = F.sum((F.col("entry_hash") < F.col("match_hash")).cast("long"))
+    return fresh.groupBy(F.left("entry_hash", F.lit(1)).alias("bucket")).agg(F.count("*").alias("n"), distinct.alias("distinct_sides"))
 
 
 _STATUS = "select event_id, user_id as flag_id, ts as tm, case event_type when 'click' then 'dismissed' when 'purchase' then 'superseded' else 'pending' end as status from events"
@@ -295,15 +306,13 @@ _STATUS = "select event_id, user_id as flag_id, ts as tm, case event_type when '
 @query(f"with e as ({_STATUS}) select flag_id, arg_max(status, {{'a': tm, 'b': event_id}}) as status from e group by 1")
 def flags_latest_status(spark, sf_dir):
     """Each flag's status after the last of its events."""
-    t(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    return flags.latest_status(spark.sql(_STATUS.replace("events", "_events")).withColumnRenamed("tm", "at"))
+    return flags.latest_status(made(spark, sf_dir, _STATUS, "events").withColumnRenamed("tm", "at"))
 
 
 @query(f"with e as (select *, lag(status) over (partition by flag_id order by tm, event_id) as was from ({_STATUS})) select status, was, count(*) as n from e where was is null or was <> status group by all")
 def flags_status_changes(spark, sf_dir):
     """Transitions between statuses."""
-    t(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    return flags.status_changes(spark.sql(_STATUS.replace("events", "_events")).withColumnRenamed("tm", "at")).groupBy("status", "was").agg(F.count("*").alias("n"))
+    return flags.status_changes(made(spark, sf_dir, _STATUS, "events").withColumnRenamed("tm", "at")).groupBy("status", "was").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -313,34 +322,34 @@ s as (select query, coalesce(count(*) filter (rel and pos <= 5)::double / nullif
 select count(*) as queries, round(avg(recall), 6) as recall, round(avg(rr), 6) as mrr from s""")
 def retrieval_quality(spark, sf_dir):
     """Recall at 5 and reciprocal rank of every hundredth vector as a query against all, labels being relevance."""
-    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
-    met = e.join(q, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("id"), scores.dot(F.col("embedding"), F.col("q")).alias("s"), (F.col("label") == F.col("wanted")).alias("rel"))
-    from pyspark.sql import Window
+    e = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    q = e.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"), F.col("label").alias("wanted"))
+    near = search.nearest_many(e.select("id", "v"), q.select("query", "q"), 51).where("id <> query")  # 50 and the query itself
+    win = Window.partitionBy("query").orderBy("pos")
+    ranked = near.join(e.select("id", "label"), "id").join(q.select("query", "wanted"), "query").select("query", F.row_number().over(win).alias("pos"), (F.col("label") == F.col("wanted")).alias("rel"))
+    sizes = e.groupBy("label").agg(F.count("*").alias("c"))
+    totals = q.join(sizes, q["wanted"] == sizes["label"]).select("query", (F.col("c") - 1).alias("n"))
+    return evaluate.means(evaluate.per_query_counts(ranked.where("pos <= 50"), totals, 5)).select("queries", six("recall").alias("recall"), six("mrr").alias("mrr"))
 
-    ranked = met.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "id"))).where("pos <= 50")
-    return evaluate.means(evaluate.per_query(ranked, met.where("rel"), 5)).select("queries", six("recall").alias("recall"), six("mrr").alias("mrr"))
 
-
-_GUARD = """select event_id, ts, event_type as rule, case when value > 60 then 'block' else 'allow' end as decision,
- case when event_id % 9 = 0 then null else 'tool' || (user_id % 4) end as tool, '/home/p' || (user_id % 6) as cwd,
- 'git  push  PROJ-' || (event_id % 50) || ' v' || (event_id % 3) as command from events"""
+_GUARD = """select event_id, ts, event_type as rule, case when value > 60 then 'BLOCKED' else 'ALLOWED' end as decision, cast(floor(value * 3) as bigint) as duration_ms,
+ case when event_id % 9 = 0 then null else 'tool' || (user_id % 4) end as tool, case when event_id % 7 > 0 then '/home/p' || (user_id % 6) end as cwd,
+ 'git  push' || chr(9) || ' PROJ-' || (event_id % 50) || ' v' || (event_id % 3) as command from events"""
 
 
 def _guard(spark, sf_dir) -> DataFrame:
-    t(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    return spark.sql(_GUARD.replace("from events", "from _events"))
+    return made(spark, sf_dir, _GUARD, "events")
 
 
 @query(f"""with g as ({_GUARD}) select case grouping_id(rule, tool, cwd) when 3 then 'rule' when 5 then 'tool' when 6 then 'cwd' else 'total' end as dimension,
  case grouping_id(rule, tool, cwd) when 3 then rule when 5 then tool when 6 then cwd else 'all' end as value, count(*) as n
-from (select rule, coalesce(tool, 'none') as tool, cwd from g) group by grouping sets ((rule), (tool), (cwd), ())""")
+from (select rule, coalesce(tool, 'unknown') as tool, coalesce(cwd, 'unknown') as cwd from g) group by grouping sets ((rule), (tool), (cwd), ())""")
 def log_counts(spark, sf_dir):
     """Guard-log counts by rule, tool, folder and in total, in one pass."""
     return events.counts(_guard(spark, sf_dir), ["rule", "tool", "cwd"])
 
 
-@query(f"""with g as (select *, regexp_replace(regexp_replace(command, '[A-Z]+-[0-9]+', 'TICKET', 'g'), '\\s+', ' ', 'g') as pattern from ({_GUARD}) where decision = 'block')
+@query(f"""with g as (select *, regexp_replace(regexp_replace(command, '[A-Z]+-[0-9]+', 'XXX-NNN', 'g'), '[ \\t]+', ' ', 'g') as pattern from ({_GUARD}) where decision = 'BLOCKED')
 select rule, pattern, count(*) as n, arg_min(command, {{'a': ts, 'b': event_id}}) as example, min(ts) as first_ts, max(ts) as last_ts from g group by 1, 2 having count(*) >= 2""")
 def log_repeats(spark, sf_dir):
     """Blocked commands that recur but for ids and spaces."""
@@ -363,18 +372,44 @@ def command_rules(spark, sf_dir):
     return _guard(spark, sf_dir).select(events.decide(F.col("command"), RULES).alias("d")).groupBy("d.rule", "d.decision").agg(F.count("*").alias("n"))
 
 
-@query("""with w as (select *, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn desc) as size, row_number() over (partition by conv_id order by turn desc) as rn from conversations)
-select conv_id, count(*) as turns, sum(length(left(text, 2000)))::bigint as chars from w where size <= 2000 or rn = 1 group by 1""")
+@query(f"""with g as ({_GUARD}), r as (select rule, count(*) filter (duration_ms > 200) as slow, max(duration_ms) as most_ms, count(*) filter (decision = 'BLOCKED') as blocks from g group by 1)
+select rule, slow, most_ms, blocks, 'slow' as finding from r where slow > 0 union all select rule, slow, most_ms, blocks, 'frequent block' from r where blocks >= 3""")
+def guard_findings(spark, sf_dir):
+    """Slow decisions and frequent blocks of a guard log by rule."""
+    return events.thresholds(_guard(spark, sf_dir))
+
+
+@query("""with l as (select *, upper(role) || ': ' || coalesce(text, '') || chr(10) || chr(10) as whole from conversations),
+c as (select *, case when length(whole) > 2000 then left(whole, 2000) || '[truncated]' || chr(10) || chr(10) else whole end as line from l),
+w as (select *, sum(length(line)) over (partition by conv_id order by turn desc) as size, row_number() over (partition by conv_id order by turn desc) as rn from c)
+select conv_id, count(*) as turns, sum(length(line))::bigint as chars, md5(string_agg(line, '' order by turn)) as said from w where size <= 2000 or rn = 1 group by 1""")
 def transcript_budget(spark, sf_dir):
-    """Latest turns of each conversation within 2,000 characters."""
-    kept = events.keep_recent_turns(t(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 2000)
-    return kept.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text").cast("long")).alias("chars"))
+    """The text of each conversation's latest turns within 2,000 characters, roles and blank lines included."""
+    kept = events.keep_recent_turns(t(spark, sf_dir, "conversations"), "conv_id", "turn", budget=2000)
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "")  # 2,000 characters and a line
+    return kept.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("line").cast("long")).alias("chars"), F.md5(said).alias("said"))
 
 
-@query("select conv_id, count(*) as turns, count(*) filter (role = 'user') as user_turns from conversations group by 1 having count(*) >= 3 and count(*) filter (role = 'user') > 0")
+@query("select conv_id, count(*) as turns from conversations group by 1 having count(*) >= 3")
 def transcript_signal(spark, sf_dir):
-    """Conversations worth a summary."""
-    return events.has_signal(t(spark, sf_dir, "conversations"), "conv_id")
+    """Conversations with enough turns for a summary."""
+    return events.enough_turns(t(spark, sf_dir, "conversations"), "conv_id")
+
+
+#: An observation as a model might return it: the text as summary, sometimes nothing to say, and fields of odd shapes.
+_SAID = """to_json(named_struct('summary', case when doc_id % 5 = 0 then 'No significant decisions made.' else text end, 'project', concat(' ', source),
+ 'decisions', case when doc_id % 5 = 1 then array(lang, source) end, 'corrections', case when doc_id % 5 = 2 then concat(lang, char(9), source) end, 'value_score', doc_id % 7))"""
+
+
+@query("""with o as (select doc_id, case when doc_id % 5 = 0 then 'No significant decisions made.' else left(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')), 2000) end as summary,
+ left(trim(source), 64) as project, case when doc_id % 5 = 1 then [lang, source] else [] end as decisions, case when doc_id % 5 = 2 then [lang || ' ' || source] else [] end as corrections,
+ case when doc_id % 7 <= 4 then (doc_id % 7)::int end as value_score from documents)
+select doc_id, md5(summary) as summary, project, array_to_string(decisions, '|') as decisions, array_to_string(corrections, '|') as corrections, value_score,
+ len(decisions) + len(corrections) > 0 or (summary <> '' and summary <> 'No significant decisions made.') as signal from o""")
+def observation_coercion(spark, sf_dir):
+    """Observations of every document brought into shape, and whether they hold anything."""
+    o = t(spark, sf_dir, "documents").select("doc_id", reports.observation(F.expr(_SAID)).alias("o"))
+    return o.select("doc_id", F.md5("o.summary").alias("summary"), "o.project", F.array_join("o.decisions", "|").alias("decisions"), F.array_join("o.corrections", "|").alias("corrections"), "o.value_score", events.has_signal(F.col("o")).alias("signal"))
 
 
 KEYWORDS = ("the", "tion", "des la", "er")
@@ -390,31 +425,37 @@ def topic_keyword_hits(spark, sf_dir):
     return every.join(found, "topic", "left").select("topic", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
 
 
-_ENTRY = "'# Log' || chr(10) || '## 2026-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || ' First' || chr(10) || left(text, 400) || chr(10) || '## 2026-02-01' || chr(10) || source"
+#: A Markdown file of each document: two entries, and headings that begin none.
+_ENTRY = """'# Log' || chr(10) || '## 2026-01-' || lpad(cast(doc_id % 28 + 1 as varchar(2)), 2, '0') || ' — ' || source || ' ' || chr(13) || chr(10) || chr(10) || text || chr(10)
+ || '## 2026-03-01 ' || lang || chr(10) || '## 2026-03-02: x' || chr(10) || '##  2026-02-01' || chr(10) || source || chr(10) || '### 2026-02-02' || chr(10)"""
 
 
-@query("""with e as (select doc_id, '2026-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') as date, 'First' as title from documents union all select doc_id, '2026-02-01', null from documents)
-select date, title, count(*) as n from e group by all""")
+@query(f"""with f as (select doc_id, replace({_ENTRY}, chr(13) || chr(10), chr(10)) as body from documents),
+l as (select doc_id, unnest(range(1, len(x) + 1)) as n, unnest(x) as line from (select doc_id, string_split(body, chr(10)) as x from f)),
+h as (select *, regexp_matches(line, '^##\\s+\\d{{4}}-\\d{{2}}-\\d{{2}}(?:\\s+—\\s+(.+?))?\\s*$') as head from l),
+e as (select *, sum(head::int) over (partition by doc_id order by n) as entry from h),
+b as (select doc_id, entry, arg_min(line, n) as first, regexp_replace(string_agg(line, chr(10) order by n), '^\\s+|\\s+$', '', 'g') as raw,
+  regexp_replace(coalesce(string_agg(line, chr(10) order by n) filter (not head), ''), '^\\s+|\\s+$', '', 'g') as body from e where entry > 0 group by 1, 2)
+select doc_id::varchar as path, regexp_extract(first, '\\d{{4}}-\\d{{2}}-\\d{{2}}') as date, nullif(trim(regexp_extract(first, '—\\s+(.+?)\\s*$', 1)), '') as title, sha256(raw) as hash, md5(body) as body from b""")
 def entry_segmentation(spark, sf_dir):
     """Dated entries of a Markdown file made of each document."""
-    body = F.expr(_ENTRY.replace("::varchar", "").replace("(doc_id % 28 + 1)", "cast(doc_id % 28 + 1 as string)").replace("chr(10)", "'\\n'").replace("left(text, 400)", "text"))
-    files = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), body.alias("content"))
-    return events.entries(files).groupBy("date", "title").agg(F.count("*").alias("n"))
+    files = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.expr(_ENTRY).alias("content"))
+    return events.entries(files).select("path", "date", "title", "hash", F.md5("body").alias("body"))
 
 
 _SAMPLES = "select date_trunc('hour', ts) as sample, event_type as server, value as rss from events"
 
 
-@query(f"""with known as (select distinct sample from ({_SAMPLES}) order by 1 desc limit 240), per as (select sample, server, sum(rss) as rss from ({_SAMPLES}) semi join known using (sample) group by 1, 2),
-live as (select server from per where sample = (select max(sample) from known)) select server, round(avg(rss), 6) as mean, round(stddev_pop(rss), 6) as stdev, count(*) as n from per semi join live using (server) group by 1""")
+@query(f"""with known as (select distinct sample from ({_SAMPLES}) order by 1 desc limit 240), recent as (select * from ({_SAMPLES}) semi join known using (sample)),
+live as (select distinct server from recent where sample = (select max(sample) from known)) select server, round(avg(rss), 6) as mean, round(stddev_pop(rss), 6) as stdev, count(*) as n from recent semi join live using (server) group by 1""")
 def server_cost(spark, sf_dir):
     """Mean and deviation of each server over the last 240 samples."""
     s = t(spark, sf_dir, "events").selectExpr("date_trunc('hour', ts) as sample", "event_type as server", "value as rss")
     return telemetry.server_cost(s).select("server", six("mean").alias("mean"), six("stdev").alias("stdev"), "n")
 
 
-@query(f"""with per as (select sample, server, avg(rss) as rss, count(*) as copies from ({_SAMPLES}) group by 1, 2), b as (select server, avg(rss) as m, avg(copies) as c from per group by 1)
-select server, round(m, 6) as mean_rss, round(c, 6) as concurrency, round(m * c, 6) as lever from b order by m * c desc, server limit 1""")
+@query(f"""with size as (select server, avg(rss) as m from ({_SAMPLES}) group by 1), many as (select server, avg(copies) as c from (select sample, server, count(*) as copies from ({_SAMPLES}) group by 1, 2) group by 1)
+select server, round(m, 6) as mean_rss, round(c, 6) as concurrency, round(m * c, 6) as lever from size join many using (server) order by m * c desc, server limit 1""")
 def biggest_lever(spark, sf_dir):
     """The server with the largest mean size times concurrency."""
     s = t(spark, sf_dir, "events").selectExpr("date_trunc('hour', ts) as sample", "event_type as server", "value as rss")
@@ -498,8 +539,6 @@ i as (select distinct o_custkey as item, rank from orders join p on p.plan = dat
 r as (select item, island, count(*) as n from s group by 1, 2) select item, max(n) as streak from r group by 1 having max(n) >= 3""")
 def chronic_carryover(spark, sf_dir):
     """Customers with orders in three months running or more."""
-    from pyspark.sql import Window
-
     o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.date_trunc("month", "o_orderdate").alias("plan"))
     plans = o.select("plan").distinct().withColumn("rank", F.row_number().over(Window.orderBy("plan")))  # a row for each month
     return metrics.carryover(o, plans)
@@ -512,8 +551,7 @@ _COMMITS = "select l_suppkey as repo, case when l_discount < 0.04 then 'fix' whe
 select c.repo, count(*) as commits, round(avg((kind = 'fix')::int), 6) as fix_ratio, count(*) filter (kind = 'revert') as reverts, round(any_value(f.m), 6) as fixes_per_ticket from c left join f using (repo) group by 1""")
 def commit_scorecard(spark, sf_dir):
     """Fix share, reverts and fixes per feature ticket of each repository."""
-    t(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
-    return metrics.scorecard(spark.sql(_COMMITS.replace("from lineitem", "from _lineitem")), "repo").select("repo", "commits", six("fix_ratio").alias("fix_ratio"), "reverts", six("fixes_per_ticket").alias("fixes_per_ticket"))
+    return metrics.scorecard(made(spark, sf_dir, _COMMITS, "lineitem"), "repo").select("repo", "commits", six("fix_ratio").alias("fix_ratio"), "reverts", six("fixes_per_ticket").alias("fixes_per_ticket"))
 
 
 @query("""with e as (select p_brand, p_size as lo, p_size + 2 as ml, p_size * 2 + 5 as hi from part), s as (select p_brand, sum((lo + 4 * ml + hi) / 6) as expected, sqrt(sum(((hi - lo) / 6) * ((hi - lo) / 6))) as deviation,
@@ -543,12 +581,12 @@ def nearest_rank_percentiles(spark, sf_dir):
     return r.select(F.col("l_returnflag").alias("l_shipmode"), "p50", "p85", six("median").alias("median"))
 
 
-@query("""with c as (select distinct c_nationkey as k from customer where c_acctbal > 9000), s as (select distinct s_nationkey as k from supplier)
-select k, 'supplier' as missing_in from c anti join s using (k) union all select k, 'customer' from s anti join c using (k)""")
+@query("""with c as (select distinct l_partkey as k from lineitem where l_quantity > 49), s as (select distinct p_partkey as k from part where p_size > 25)
+select k, 'part' as missing_in from c anti join s using (k) union all select k, 'lineitem' from s anti join c using (k)""")
 def drift_warnings(spark, sf_dir):
-    """Nations of rich customers without suppliers, and the other way."""
-    c = t(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
-    return metrics.drift(c, t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k", ("customer", "supplier"))
+    """Parts of large orders that are not large themselves, and the other way."""
+    c = t(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("k"))
+    return metrics.drift(c, t(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("k")), "k", ("lineitem", "part"))
 
 
 @query("""with o as (select distinct l_partkey as p, l_suppkey as s from lineitem where l_shipdate < '1996-01-01'), n as (select distinct l_partkey as p, l_suppkey as s from lineitem where l_shipdate >= '1995-01-01')
@@ -610,8 +648,6 @@ def ticket_mentions(spark, sf_dir):
 @query("""select u.user_id, u.event_id, (select max(p.ts) from events p where p.user_id = u.user_id and p.event_type = 'purchase' and p.ts <= u.ts) as last_purchase from events u where u.event_type = 'click'""")
 def clicks_as_of_purchase(spark, sf_dir):
     """Each click with the last purchase before it (an extension: as-of join)."""
-    from pyspark.sql import Window
-
     e = t(spark, sf_dir, "events")
     win = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
     seen = e.withColumn("last_purchase", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(win))
@@ -626,8 +662,7 @@ _LOG = """select user_id as session, user_id * 10 + event_id % 10 as request, ev
  arg_max(total = done + failed + pending, {{'a': ts, 'b': line}}) as adds_up from l group by 1, 2) select * from r""")
 def request_rollup(spark, sf_dir):
     """Lines, span, last status, errors and counter integrity of each request of a log."""
-    t(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    return reports.request_rollup(spark.sql(_LOG.replace("from events", "from _events")))
+    return reports.request_rollup(made(spark, sf_dir, _LOG, "events"))
 
 
 @query("""with m as (select distinct l_orderkey as ticket from lineitem where l_shipdate >= '1996-01-01' and l_returnflag = 'N'), v as (select distinct o_orderkey as ticket from orders where o_orderpriority = '1-URGENT')
@@ -656,16 +691,26 @@ def report_cross_reference(spark, sf_dir):
     return reports.cross_reference(seen, known, "k")
 
 
-@query("""with p as (select *, floor((1706745600 - floor(epoch(ts))) / 86400)::bigint as days from events)
-select signal, count(*) as n, min(days) as least, max(days) as most from (
-  select 'stale' as signal, days from p where days >= 5 union all select 'changes requested', days from p where event_type = 'click'
-  union all select 'ready', days from p where event_type = 'purchase' and value > 50 union all select 'failing', days from p where value <= 50) group by 1""")
+@query("""select signal, count(*) as n, min(event_id) as first_id from (
+  select 'review-requested' as signal, event_id from events where user_id % 5 = 1 or event_type = 'click'
+  union all select 'ci-failed', event_id from events where event_type = 'purchase' or value > 90
+  union all select 'merge-conflict', event_id from events where user_id % 4 = 2) group by 1""")
 def item_signals(spark, sf_dir):
-    """Signals of work items, one row each, counted."""
-    review = F.when(F.col("event_type") == "click", "CHANGES_REQUESTED").when(F.col("event_type") == "purchase", "APPROVED")
-    rows = t(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("updated"), review.alias("review"), F.when(F.col("value") > 50, "SUCCESS").otherwise("FAILURE").alias("ci"))
-    found = reports.signals(rows, F.timestamp_seconds(F.lit(NOW)))
-    return found.groupBy("signal").agg(F.count("*").alias("n"), F.min("days").alias("least"), F.max("days").alias("most"))
+    """Signals of pull requests, one row each, counted."""
+    e, user = t(spark, sf_dir, "events"), F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string"))
+    reviewers = F.when(F.col("event_type") == "click", F.array(F.lit("u1"), user)).otherwise(F.array(user))
+    check = lambda conclusion, state: F.struct(conclusion.cast("string").alias("conclusion"), state.cast("string").alias("state"))
+    checks = F.array(check(F.lit("SUCCESS"), F.lit(None)), check(F.when(F.col("event_type") == "purchase", "FAILURE"), F.when(F.col("value") > 90, "ERROR")))
+    mergeable = F.when(F.col("user_id") % 4 == 2, "CONFLICTING").when(F.col("user_id") % 4 == 1, "UNKNOWN")
+    found = reports.signals(e.select("event_id", reviewers.alias("reviewers"), checks.alias("checks"), mergeable.alias("mergeable")), "u1")
+    return found.groupBy("signal").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("select event_type, floor((1706745600 - floor(epoch(ts))) / 86400)::bigint as days, count(*) as n from events group by 1, 2")
+def days_stale(spark, sf_dir):
+    """Events by their age in whole days."""
+    e = t(spark, sf_dir, "events").select("event_type", reports.days_since(F.timestamp_seconds(F.lit(NOW)), F.col("ts").cast("timestamp")).alias("days"))
+    return e.groupBy("event_type", "days").agg(F.count("*").alias("n"))
 
 
 @query("""with w as (select distinct '/' || split_part(url, '/', 3) as path, split_part(split_part(url, '/', 3), '.', 1) as project, min(page_id) over (partition by split_part(url, '/', 3)) as rank from pages where page_id % 2 = 0)
@@ -685,3 +730,163 @@ def ground_truth(spark, sf_dir):
     """Rows that hold each label of an evaluation set."""
     found = reports.containing(t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("label")), t(spark, sf_dir, "documents").select("doc_id", "text"), "label", "text")
     return found.groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+_WORDS = "select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents"
+_PHRASE = "len(list_filter(range(1, len(w)), lambda i: w[i] = '{a}' and w[i + 1] = '{b}'))"
+
+
+@query(f"""with d as ({_WORDS}), n as (select id, len(w) as n, {_PHRASE.format(a='of', b='the')} as tf0, len(list_filter(w, lambda x: x = 'tion')) as tf1, len(list_filter(w, lambda x: x = 'eau')) as tf2 from d),
+s as (select count(*) as docs, avg(n) as mean, {', '.join(f'sum((tf{i} > 0)::int) as df{i}' for i in range(3))} from n)
+select id, round({' + '.join(f'ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / mean))' for i in range(3))}, 6) as score from n, s where tf0 > 0 and not tf1 > 0 or tf2 > 0""")
+def phrase_search(spark, sf_dir):
+    """All documents with two words in a row and without a third, or with a fourth, and their scores."""
+    found = search.bm25(t(spark, sf_dir, "documents"), search.parse_query('"of the" NOT tion OR eau'))
+    return found.select("id", six("score").alias("score"))
+
+
+@query(_bm25_sql(TERMS, 1) + " select id, round(score, 6) as score from found")
+def index_search(spark, sf_dir):
+    """All documents with any of three words, from an index of postings that is written first."""
+    path = scratch.new_path(spark, "index")
+    search.write_index(t(spark, sf_dir, "documents"), path)
+    return search.search_index(spark, path, search.any_of(TERMS)).select("id", six("score").alias("score"))
+
+
+_ENTRIES = "select doc_id as id, source as path, '2026-01-' || lpad(cast(doc_id % 28 + 1 as varchar(2)), 2, '0') as date, sha256(text) as hash, doc_id as place from documents"
+
+
+@query(f"""with e as ({_ENTRIES}), f as (select a.path as source_path, a.date as entry_date, case when a.id % 9 = 0 then 'edited' else a.hash end as entry_hash, b.path as match_path, b.date as match_date, b.hash as match_hash,
+ case when a.id % 4 = 0 then 'dismissed' else 'pending' end as status from e a join e b on b.id = a.id + 1 where a.id % 3 = 0)
+select f.entry_hash, f.match_hash, a.place as entry_place, b.place as match_place from f join e a on a.path = f.source_path and a.date = f.entry_date and a.hash = f.entry_hash
+ join e b on b.path = f.match_path and b.date = f.match_date and b.hash = f.match_hash where f.status = 'pending'""")
+def flags_relocate(spark, sf_dir):
+    """Pending flags with the places where both of their entries are now; those with an edited side are gone."""
+    sha = "sha2(text, 256)"
+    e = t(spark, sf_dir, "documents").selectExpr("doc_id as id", "source as path", "'2026-01-' || lpad(cast(doc_id % 28 + 1 as string), 2, '0') as date", f"{sha} as hash", "doc_id as place")
+    a = e.where("id % 3 = 0").selectExpr("id + 1 as next", "path as source_path", "date as entry_date", "case when id % 9 = 0 then 'edited' else hash end as entry_hash", "case when id % 4 = 0 then 'dismissed' else 'pending' end as status")
+    b = e.selectExpr("id as next", "path as match_path", "date as match_date", "hash as match_hash")
+    return flags.relocate(a.join(b, "next"), e).select("entry_hash", "match_hash", "entry_place", "match_place")
+
+
+@query("""select vec_id as id, round(case when label = 0 then -embedding[1]::double else embedding[1]::double end, 6) as x from embeddings
+ union all select vec_id + 1000000, round(-embedding[1]::double, 6) from embeddings where label = 0 and vec_id % 2 = 0""")
+def vector_replace(spark, sf_dir):
+    """Vectors after those of one label, and some that were not there, have been embedded again."""
+    v = t(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "cast(embedding[0] as double) as x", "label")
+    again = v.where("label = 0").selectExpr("id", "-x as x")
+    fresh = again.union(again.where("id % 2 = 0").selectExpr("id + 1000000", "x"))
+    return ingest.replace_vectors(v.select("id", "x"), fresh).select("id", six("x").alias("x"))
+
+
+@query(f"""with s as (select user_id as id, ts from events union all select distinct user_id, timestamp '2024-02-01' from events where event_type = 'purchase')
+select id, count(*) as access_count, max(floor(epoch(ts)))::bigint as last_accessed from s group by 1""")
+def access_bump(spark, sf_dir):
+    """The access log's sums after some ids have been returned by a search."""
+    e = t(spark, sf_dir, "events")
+    hits = e.where("event_type = 'purchase'").select(F.col("user_id").alias("id")).distinct()
+    bump = api.access_bump(hits, NOW).select("user_id", F.col("ts").cast("timestamp"))
+    return search.access_stats(e.select("user_id", F.col("ts").cast("timestamp")).unionByName(bump)).select("id", "access_count", "last_accessed")
+
+
+_NOTE = """case when doc_id % 6 > 0 then '---' || chr(10) || 'project: "' || source || '"' || chr(10) || case when doc_id % 4 > 0 then 'date: 2026-02-0' || cast(doc_id % 9 + 1 as varchar(2)) || chr(10) else '' end
+ || 'value_score: ' || cast(doc_id % 7 as varchar(2)) || chr(10) || '---' || chr(10) else '' end || case when doc_id % 5 > 0 then '# Note of ' || lang || ' ' || chr(10) else '' end
+ || '## Summary' || chr(10) || replace(substr(text, 1, 500), '#', '') || chr(10) || '## Next' || chr(10) || 'x'"""
+
+
+@query(f"""with n as (select doc_id, {_NOTE} as note, 'e/2026-03-0' || (doc_id % 9 + 1) || '-' || doc_id || '.md' as path from documents),
+f as (select *, regexp_extract(note, '^---\\n((?s:.*?))\\n---\\n', 1) as block, regexp_replace(note, '^---\\n(?s:.*?)\\n---\\n', '') as body from n)
+select doc_id, nullif(regexp_extract(block, '(?m)^project: "(.*)"$', 1), '') as project, case when regexp_extract(block, '(?m)^value_score: (\\d)$', 1) in ('0', '1', '2', '3', '4') then regexp_extract(block, '(?m)^value_score: (\\d)$', 1)::int end as value_score,
+ coalesce(nullif(regexp_extract(block, '(?m)^date: (\\S+)$', 1), ''), path[3:12]) as date, coalesce(nullif(regexp_extract(body, '(?m)^# (.+?) *$', 1), ''), split_part(path, '/', 2)) as title,
+ md5(left(regexp_replace(regexp_extract(body, '(?s)## Summary\\n(.*)\\n## Next', 1), '^\\s+|\\s+$', '', 'g'), 300)) as summary, md5(case when length(body) > 240 then left(body, 240) || '…' else body end) as snippet from f""")
+def note_fields(spark, sf_dir):
+    """Front matter, date, title, summary and snippet of a Markdown note made of each document."""
+    n = t(spark, sf_dir, "documents").select("doc_id", F.expr(_NOTE).alias("note"), F.expr("concat('e/2026-03-0', doc_id % 9 + 1, '-', doc_id, '.md')").alias("path")).withColumn("f", text.front_matter(F.col("note")))
+    block, body = F.col("f.block"), F.col("f.body")
+    get = lambda name: text.front_matter_field(block, name)
+    return n.select("doc_id", get("project").alias("project"), text.value_score(get("value_score")).alias("value_score"), text.entry_date(get("date"), F.col("path")).alias("date"), text.title_of(body, F.col("path")).alias("title"), F.md5(text.summary_of(body)).alias("summary"), F.md5(text.char_snippet(body)).alias("snippet"))
+
+
+_EPISODES = "select '2026-0' || (doc_id % 3 + 4) || '-1' || (doc_id % 10) as date, case when (doc_id + quality) % 6 < 5 then ((doc_id + quality) % 6)::int end as value_score, 's' || doc_id as session_id, 'e/' || doc_id || '.md' as path, toxic = 1 as promoted from labels"
+
+
+@query(f"with e as ({_EPISODES}) select row_number() over (order by coalesce(value_score, 4) desc, date desc, path) as place, path from e where not promoted order by 1 limit 50")
+def backlog_order(spark, sf_dir):
+    """The fifty episodes that a live scan of a long backlog takes."""
+    some = themes.backlog(_episodes(spark, sf_dir), 50, live=True)
+    return search.numbered(some, [F.desc(F.coalesce("value_score", F.lit(4))), F.desc("date"), F.asc("path")], "place", 50).select(F.col("place").cast("long").alias("place"), "path")
+
+
+def _episodes(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "labels").selectExpr("concat('2026-0', doc_id % 3 + 4, '-1', doc_id % 10) as date", "case when (doc_id + quality) % 6 < 5 then cast((doc_id + quality) % 6 as int) end as value_score", "concat('s', doc_id) as session_id", "concat('e/', doc_id, '.md') as path", "toxic = 1 as promoted")
+
+
+@query(f"with e as ({_EPISODES}) select date, session_id, count(*) over () as n from e where date >= '2026-05-12' and not promoted order by date desc, session_id desc limit 20")
+def stale_episodes(spark, sf_dir):
+    """The latest of the episodes of some weeks that have not been promoted, by date and session, and how many there are."""
+    found = reports.stale(_episodes(spark, sf_dir), F.lit("2026-06-30").cast("date"), 49)
+    n = F.broadcast(found.agg(F.count("*").alias("n")))  # one row
+    return found.crossJoin(n).orderBy(F.desc("date"), F.desc("session_id")).limit(20).select("date", "session_id", "n")
+
+
+_COMMANDS = """case label when 0 then 'npx -y @scope/slack-mcp@1.2.0 --port ' || vec_id when 1 then 'node /srv/t' || (vec_id % 5) || '-mcp/dist/index.js' when 2 then '/home/u/.local/bin/agent --x'
+ when 3 then '/opt/versions/1.2.' || (vec_id % 3) || ' --session-id a --resume' when 4 then '/home/u/.local/bin/agent daemon run' when 5 then 'node /x/resource-sampler.js'
+ when 6 then '/opt/bin/mcp-files-darwin-arm64 --root /' when 7 then 'uvx mcp-time@latest' when 8 then 'node /tools/mcp-sonar/index.mjs' else '/usr/bin/python serve.py' end"""
+
+
+@query(f"""with p as (select vec_id as pid, label, {_COMMANDS} as command from embeddings)
+select case label when 2 then 'interactive' when 3 then 'forked' when 4 then 'infra' when 5 then 'self' when 9 then 'other' else 'server' end as kind,
+ case label when 0 then 'slack-mcp' when 1 then 't' || (pid % 5) || '-mcp' when 6 then 'mcp-files' when 7 then 'mcp-time' when 8 then 'mcp-sonar' end as server, count(*) as n from p group by all""")
+def process_kinds(spark, sf_dir):
+    """Processes by kind and server, told by their command lines."""
+    p = t(spark, sf_dir, "embeddings").select(F.expr(_COMMANDS).alias("command"))
+    return telemetry.process_kinds(p).groupBy("kind", "server").agg(F.count("*").alias("n"))
+
+
+@query("""select vec_id, (vec_id % 100 + 1) * 4096 as free_bytes, (vec_id % 100 + 1 + case when vec_id % 3 > 0 then label else 0 end + vec_id % 7 + 5) * 4096 as available_bytes, label * 2 * 4096 as compressor_bytes from embeddings""")
+def memory_arithmetic(spark, sf_dir):
+    """Free, available and compressed bytes from page counts."""
+    m = t(spark, sf_dir, "embeddings").selectExpr("vec_id", "named_struct('page_size', 4096L, 'pages_free', vec_id % 100 + 1, 'pages_inactive', case when vec_id % 3 > 0 then cast(label as bigint) end, 'pages_speculative', vec_id % 7, 'pages_purgeable', 5L, 'pages_occupied_by_compressor', cast(label as bigint) * 2) as m")
+    return m.select("vec_id", telemetry.memory_of(F.col("m")).alias("b")).select("vec_id", "b.*")
+
+
+@query("""with p as (select user_id % 40 as project, count(*) filter (event_type = 'click') as commits, count(*) filter (event_type = 'view') as prs, count(*) filter (event_type = 'signup') as tickets from events group by 1),
+r as (select *, row_number() over (order by commits + prs + tickets desc, commits desc, project) as place from p)
+select place, project, commits + prs + tickets as activity, (select count(*) from p) - 8 as more from r where place <= 8""")
+def top_projects(spark, sf_dir):
+    """The eight most active projects, and how many more there are."""
+    count = lambda kind: F.count(F.when(F.col("event_type") == kind, 1))
+    p = t(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("project")).agg(count("click").alias("commits"), count("view").alias("prs"), count("signup").alias("tickets"))
+    order = [F.desc("activity"), F.desc("commits"), F.asc("project")]
+    top, more = reports.top_with_rest(reports.recent_activity(p), order)
+    return search.numbered(top, order, "place", 8).select(F.col("place").cast("long").alias("place"), "project", "activity", F.lit(more).cast("long").alias("more"))
+
+
+@query("select conv_id, count(distinct role) as roles, count(distinct left(text, 3)) as files from conversations group by 1")
+def distinct_projects(spark, sf_dir):
+    """Distinct roles and first letters of each conversation."""
+    return events.distinct_counts(t(spark, sf_dir, "conversations").withColumn("start", F.left("text", F.lit(3))), "conv_id", {"role": "roles", "start": "files"})
+
+
+@query("select case when s >= 90 then 'strong' when s >= 70 then 'sound' when s >= 50 then 'weak' else 'poor' end as band, count(*) as n from (select l_quantity * 2 as s from lineitem) group by 1")
+def quality_bands(spark, sf_dir):
+    """Scores by the band that they reach."""
+    return t(spark, sf_dir, "lineitem").groupBy(reports.banded(F.col("l_quantity") * 2).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("""with was as (select o_custkey as item, max(o_orderpriority) as status from orders where o_orderkey % 2 = 0 group by 1), now as (select distinct o_custkey as item from orders where o_orderkey % 3 = 0)
+select coalesce(was.status, 'new') as status, count(*) as n from now left join was using (item) group by 1""")
+def plan_items(spark, sf_dir):
+    """The next list of items with the status that each had before."""
+    o = t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "item")
+    was = o.where("o_orderkey % 2 = 0").groupBy("item").agg(F.max("o_orderpriority").alias("status"))
+    now = o.where("o_orderkey % 3 = 0").select("item").distinct().withColumn("status", F.lit("new"))
+    return metrics.plan_items(was, now, "item").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("select count(distinct case when n > 1 then h end) as twice, max(s)::bigint as most from (select count(*) over (partition by sha256(text)) as n, sha256(text) as h, count(*) over (partition by source) as s from documents)")
+def most_sessions(spark, sf_dir):
+    """Texts that occur twice or more, and the most documents of any source."""
+    d = t(spark, sf_dir, "documents")
+    most = telemetry.most_sessions(d.groupBy("source").agg(F.count("*").alias("sessions")))
+    return similarity.exact_duplicates(d).agg(F.count("*").alias("twice")).crossJoin(most)  # a row each

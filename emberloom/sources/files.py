@@ -47,14 +47,16 @@ def markdown(spark: SparkSession, root: str, exclude: str | None = None, recursi
     return found.select("path", F.unix_timestamp("modificationTime").alias("modified"), "length", F.decode("content", "utf-8").alias("content"))
 
 
-def candidates(spark: SparkSession, memory: str, extra: list[str] = ()) -> DataFrame:
-    """All files that an index run looks at: each root with its exclusions, and single files of watched projects."""
+def candidates(spark: SparkSession, memory: str, watched: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """All files that an index run looks at: each root with its exclusions, and the documentation files of watched
+    projects, (folder, project), as far as they are there."""
     parts = [
         markdown(spark, f"{memory}/context"),
         markdown(spark, f"{memory}/projects"),
         markdown(spark, f"{memory}/agent", r"(?:^|/)_legacy"),
         markdown(spark, f"{memory}/episodes", r"(?:^|/)_"),
     ]
+    extra = [f"{folder.rstrip('/')}/{name}" for folder, _ in watched for name in C.PROJECT_FILES]
     parts += [markdown(spark, p) for p in extra if exists(spark, p)]
     return functools.reduce(DataFrame.unionByName, parts).dropDuplicates(["path"])
 
@@ -74,12 +76,17 @@ def episodes(files: DataFrame) -> DataFrame:
     )
 
 
+#: A line of the topic index. Fixed format.
+_TOPIC = r"^-\s+\*\*([^*]+)\*\*\s+—\s+keywords:\s+([^—]+)—\s+file:\s+(\S+)"
+
+
 def topic_index(lines: DataFrame, line: str = "value") -> DataFrame:
-    """``name``, ``keywords``, ``file`` of index lines ``- name (a, b) -> file.md``; other lines are skipped."""
-    pattern = r"^\s*[-*]\s+\**([A-Za-z0-9_-]+)\**\s*\(([^)]*)\)\s*(?:->|→|:)\s*`?([A-Za-z0-9_./-]+\.md)`?"
-    found = lines.where(F.col(line).rlike(pattern))
-    words = F.filter(F.transform(F.split(F.regexp_extract(line, pattern, 2), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    return found.select(F.regexp_extract(line, pattern, 1).alias("name"), words.alias("keywords"), F.regexp_extract(line, pattern, 3).alias("file"))
+    """``name``, ``keywords``, ``file`` of index lines ``- **name** — keywords: a, b — file: name.md``; other lines
+    are skipped."""
+    found = lines.where(F.col(line).rlike(_TOPIC))
+    get = lambda i: F.trim(F.regexp_extract(line, _TOPIC, i))
+    words = F.filter(F.transform(F.split(get(2), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return found.select(get(1).alias("name"), words.alias("keywords"), get(3).alias("file"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -93,16 +100,18 @@ def sample_guard(samples: DataFrame) -> DataFrame:
 
 
 def transcript(lines: DataFrame, line: str = "value") -> DataFrame:
-    """``role`` and ``text`` of transcript lines: a message's content is a string or a list of blocks, of which
-    the text blocks count. Only the user's and the assistant's turns with some text stay."""
+    """``role`` and ``text`` of transcript lines, by the entry's type. A message's content is a string or a list of
+    blocks, of which the text blocks count, each trimmed. Only turns of the user and the assistant with some text stay."""
     v = F.try_parse_json(F.col(line))
-    role = F.coalesce(F.try_variant_get(v, "$.message.role", "string"), F.try_variant_get(v, "$.role", "string"))
-    whole = F.coalesce(F.try_variant_get(v, "$.message.content", "variant"), F.try_variant_get(v, "$.content", "variant"))
+    role = F.try_variant_get(v, "$.type", "string")
+    told = lambda x: F.when(F.schema_of_variant(x) != "VOID", x)
+    whole = F.coalesce(told(F.try_variant_get(v, "$.message.content", "variant")), told(F.try_variant_get(v, "$.content", "variant")))
     plain = F.when(F.schema_of_variant(whole) == "STRING", F.try_variant_get(whole, "$", "string"))
+    bare = lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")
     parts = F.from_json(F.to_json(whole), "array<struct<type:string,text:string>>")
-    blocks = F.array_join(F.transform(F.filter(parts, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
-    rows = lines.select(role.alias("role"), F.coalesce(plain, blocks).alias("text"))
-    return rows.where(F.col("role").isin("user", "assistant") & (F.length(F.trim("text")) > 0))
+    blocks = F.transform(F.filter(parts, lambda b: b["type"] == "text"), lambda b: bare(F.coalesce(b["text"], F.lit(""))))
+    rows = lines.select(role.alias("role"), F.coalesce(bare(plain), F.array_join(F.filter(blocks, lambda x: x != ""), "\n")).alias("text"))
+    return rows.where(F.col("role").isin("user", "assistant") & (F.length("text") > 0))
 
 
 def process_table(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -115,7 +124,44 @@ def process_table(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def counters(report: Column, names: dict[str, str]) -> Column:
     """A struct of named whole numbers of a ``name: value`` report; a missing counter is null."""
-    return F.struct(*(F.try_to_number(F.nullif(F.regexp_extract(report, rf"(?m)^\s*\"?{label}\"?:\s+(\d+)", 1), F.lit("")), F.lit("9" * 18)).cast("long").alias(name) for name, label in names.items()))
+    return F.struct(*(F.try_to_number(F.nullif(F.regexp_extract(report, rf"(?im)^[^:\n]*{label}[^:\n]*:\s*(\d+)", 1), F.lit("")), F.lit("9" * 18)).cast("long").alias(name) for name, label in names.items()))
+
+
+#: Counters of the memory report by our names. "Compressions" must not match "Decompressions". Fixed values.
+MEMORY_COUNTERS = {
+    "pages_free": "Pages free", "pages_active": "Pages active", "pages_inactive": "Pages inactive", "pages_speculative": "Pages speculative",
+    "pages_wired": "Pages wired down", "pages_purgeable": "Pages purgeable", "pages_occupied_by_compressor": "Pages occupied by compressor",
+    "pages_stored_in_compressor": "Pages stored in compressor", "c_pageins": "Pageins", "c_pageouts": "Pageouts", "c_swapins": "Swapins",
+    "c_swapouts": "Swapouts", "c_compressions": r"\bCompressions", "c_decompressions": "Decompressions",
+}
+PAGE_SIZE = 16384
+
+
+def memory_report(report: Column) -> Column:
+    """Page size (16,384 where it is not told) and page counts of a memory report."""
+    size = F.coalesce(F.nullif(F.regexp_extract(report, r"page size of (\d+) bytes", 1), F.lit("")).cast("long"), F.lit(PAGE_SIZE).cast("long"))
+    counts = counters(report, MEMORY_COUNTERS)
+    return F.struct(size.alias("page_size"), *(counts[name].alias(name) for name in MEMORY_COUNTERS))
+
+
+def _numbers(report: Column, pattern: str, names: list[str]) -> Column:
+    get = lambda i: F.nullif(F.regexp_extract(report, pattern, i), F.lit("")).try_cast("double")
+    return F.struct(*(get(i).alias(name) for i, name in enumerate(names, 1)))
+
+
+def swap_usage(report: Column) -> Column:
+    """Megabytes of swap in total, used and free; null where the report has another form."""
+    return _numbers(report, r"total\s*=\s*([\d.]+)M\s+used\s*=\s*([\d.]+)M\s+free\s*=\s*([\d.]+)M", ["swap_total_mb", "swap_used_mb", "swap_free_mb"])
+
+
+def load_average(report: Column) -> Column:
+    """The load over one, five and fifteen minutes; null where the report has another form."""
+    return _numbers(report, r"([\d.]+)\s+([\d.]+)\s+([\d.]+)", ["load1", "load5", "load15"])
+
+
+def memory_size(report: Column) -> Column:
+    """Bytes of memory, or null."""
+    return F.trim(F.regexp_replace(report, r"\s+", " ")).try_cast("double").cast("long")
 
 
 def log_export(spark: SparkSession, path: str, variants: dict[str, list[str]]) -> DataFrame:
@@ -146,3 +192,15 @@ def topic_file(spark: SparkSession, folder: str, name: str) -> str | None:
     if not re.fullmatch(r"[A-Za-z0-9_-]+", name) or not exists(spark, f"{folder}/{name}.md"):
         return None
     return markdown(spark, f"{folder}/{name}.md").first().content
+
+
+def project_config(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(folder, project) of the watched projects that a JSON file lists; no file, or none that can be read, is an
+    empty list, and entries without both fields are skipped."""
+    if not exists(spark, path):
+        return []
+    kind = "struct<path:string,slug:string>"
+    whole = small_text(spark, path).agg(F.array_join(F.collect_list("value"), "\n").alias("t"))  # one small file
+    listed = F.when(F.ltrim("t").startswith("["), F.from_json("t", f"array<{kind}>")).otherwise(F.from_json("t", f"struct<projects:array<{kind}>>")["projects"])
+    rows = whole.select(F.explode(listed).alias("p")).where("p.path is not null and p.slug is not null")
+    return [(r.path, r.slug) for r in rows.select("p.*").collect()]

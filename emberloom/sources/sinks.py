@@ -3,23 +3,46 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def publish(df: DataFrame, table: str) -> str:
-    """Write a new version beside the old one and then move the pointer; readers see one or the other."""
-    version = f"{table}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    pointer = df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1)
-    pointer.write.mode("overwrite").json(f"{table}/_current")
-    return version
+    """Write a new version beside the old ones, and then a pointer with the next number: a pointer is never changed or
+    removed, so readers always find a whole version, the old one or the new one."""
+    spark, name = df.sparkSession, f"{table}/v-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    _mark(spark, table, _latest(spark, table)[0] + 1, name.rsplit("/", 1)[1])
+    return name
 
 
 def published(spark: SparkSession, table: str) -> DataFrame:
-    """The version that the pointer names."""
-    return spark.read.parquet(spark.read.schema("version string").json(f"{table}/_current").first().version)
+    """The version that the pointer with the highest number names."""
+    number, version = _latest(spark, table)
+    if not number:
+        raise FileNotFoundError(f"nothing is published under {table}")
+    return spark.read.parquet(f"{table}/{version}")
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _latest(spark: SparkSession, table: str) -> tuple[int, str]:
+    """(number, version) of the last pointer, an empty file ``n.version`` below ``_pointers``; (0, "") before the first."""
+    target, system = _files(spark, f"{table}/_pointers")
+    if not system.exists(target):
+        return 0, ""
+    found = [s.getPath().getName().split(".", 1) for s in system.listStatus(target)]
+    return max(((int(n), v) for n, v in found), default=(0, ""))
+
+
+def _mark(spark: SparkSession, table: str, number: int, version: str) -> None:
+    target, system = _files(spark, f"{table}/_pointers/{number}.{version}")
+    system.create(target, False).close()
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -44,6 +67,19 @@ def flush_pending(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.select("e.*", (F.col("e.scope").isin("agent", "project") & (F.length(F.trim("e.content")) > 0)).alias("ok")).withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
-def clear_owned(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
-    """The nested fields of one owner removed."""
-    return df.withColumn(column, F.col(column).dropFields(*fields))
+def clear_owned(df: DataFrame, column: str, fields: list[str], lists: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """The nested fields of one owner removed, and of each of ``lists`` the items that are the owner's."""
+    out = F.col(column).dropFields(*fields) if fields else F.col(column)
+    for name, owned in (lists or {}).items():
+        out = out.withField(name, F.filter(F.col(column)[name], _not(owned)))
+    return df.withColumn(column, out)
+
+
+def _not(owned: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: ~F.coalesce(owned(x), F.lit(False))
+
+
+def append_samples(df: DataFrame, path: str) -> None:
+    """A sampler's log: one JSON line for each sample, in folders by day of ``ts``, so that a reader of the last hours
+    lists only those."""
+    df.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)

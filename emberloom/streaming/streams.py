@@ -22,17 +22,15 @@ def file_changes(spark: SparkSession, root: str, per_batch: int = 1000) -> DataF
     return found.select("path", F.unix_timestamp("modificationTime").alias("modified"), "length", F.decode("content", "utf-8").alias("content"))
 
 
-def index_stream(changes: DataFrame, table: str, checkpoint: str, now: Callable[[], int]):
+def index_stream(changes: DataFrame, table: str, checkpoint: str, now: Callable[[], int], root: str = ""):
     """Upsert each batch of changed files into the published table, and run until the input is used up."""
 
     def upsert(batch: DataFrame, _: int) -> None:
-        fresh = ingest.parse_files(batch, now())
+        fresh = ingest.parse_files(batch, now(), root)
         latest = fresh.groupBy("source_path").agg(F.max_by(F.struct(*fresh.columns), "file_mtime").alias("r")).select("r.*")
         try:
             old = sinks.published(batch.sparkSession, table)
-        except Exception as missing:  # the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
+        except FileNotFoundError:  # the first batch
             sinks.publish(latest, table)
             return
         stay = old.join(latest.select("source_path"), "source_path", "left_anti")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,12 +53,37 @@ def test_exact_match(spark):
     assert [get(q) for q in (" title ", "BODY", "none", "  ")] == [0.016, 0.008, 0, 0]
 
 
-def test_keyword_query(spark):
-    docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue dog"), (4, None)], "doc_id long, text string")
+def test_keyword_query(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue dog"), (4, None), (5, "a blue fox and a red dog")], "doc_id long, text string")
     ids = lambda q: [r.id for r in search.keyword_candidates(docs, q, 5).orderBy("fts_pos").collect()]
-    assert ids("red") == [2, 1] and ids("red fox") == [1] and set(ids("fox OR blue")) == {1, 3} and ids('"" AND') == []
+    search.write_index(docs, str(tmp_path / "index"), buckets=3)
+    want = {
+        "red": {1, 2, 5}, "red fox": {1, 5}, "fox OR blue": {1, 3, 5}, "red NOT fox": {2}, "dog NOT red OR fox": {1, 3, 5}, '"red dog"': {2, 5}, '"blue fox" red': {5},
+        "red AND dog NOT blue": {2}, "dog NOT red blue": {2, 3}, '"red red"': {2}, "fox-red": set(), "NOT red": set(), '"red': set(), '"" AND': set(), "(red)": set(), "none": set(),
+    }
+    for q, found in want.items():
+        assert set(ids(q)) == found, q
+        if parsed := search.parse_query(q):
+            got = {r.id: round(r.score, 9) for r in search.search_index(spark, str(tmp_path / "index"), parsed).collect()}
+            assert got == {r.id: round(r.score, 9) for r in search.bm25(docs, parsed).collect()}
+    assert ids("red")[0] == 2
     where = search.keyword_candidates(docs, "red", 5, F.col("doc_id") == 1).collect()
     assert [(r.id, r.fts_pos) for r in where] == [(1, 1)]
+    words = spark.createDataFrame([(1, "Running écoles"), (2, "he runs"), (3, "run on")], "doc_id long, text string")
+    stemmed = lambda q: {r.id for r in search.keyword_candidates(words, q, 5, stemmed=True).collect()}
+    assert stemmed("run") == {1, 2, 3} and stemmed("ecole") == {1} and stemmed("runs NOT he") == {1, 3}
+
+
+def test_many_nearest(spark):
+    dice = np.random.default_rng(3)
+    v = dice.normal(size=(90, 5))
+    v[7] = v[3]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    queries = rows.where("id % 9 = 3").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    for block in (16, 4096):
+        got = {(r.query, r.pos): r.id for r in search.nearest_many(rows, queries, 4, block).collect()}
+        want = {(q, p): i for q in range(3, 90, 9) for p, i in enumerate(sorted(range(90), key=lambda i: (-float(v[q] @ v[i]), i))[:4], 1)}
+        assert got == want
 
 
 def test_vector_filter_is_behind_the_limit(spark):
@@ -167,6 +193,10 @@ def test_server_cost_and_lever(spark):
     s = spark.createDataFrame([(1, "a", 400_000), (2, "a", 600_000), (1, "gone", 900_000), (1, "gone", 900_000)], "sample long, server string, rss long")
     assert [tuple(r) for r in telemetry.server_cost(s).collect()] == [("a", 500_000.0, 100_000.0, 2)]
     assert telemetry.biggest_lever(s).first().server == "gone"
+    many = spark.createDataFrame([(1, "a", 100)] * 3 + [(2, "a", 400)], "sample long, server string, rss long")
+    assert tuple(telemetry.server_cost(many).first()) == ("a", 175.0, pytest.approx(129.9038), 4)
+    assert tuple(telemetry.biggest_lever(many).first()) == ("a", 175.0, 2.0, 350.0)
+    assert telemetry.most_sessions(spark.createDataFrame([(3,), (7,)], "sessions int")).first().most == 7
 
 
 def test_process_tree(spark):
@@ -176,17 +206,41 @@ def test_process_tree(spark):
     assert got == {1: (4, 28, 10, 11, 7), 5: (2, 17, 8, 0, 9)}
 
 
+def test_processes_on_a_cycle_have_no_root(spark):
+    rows = [(1, 3, False, 1, None), (2, 1, False, 1, None), (3, 2, False, 1, None), (9, 0, True, 1, None), (10, 9, False, 2, None)]
+    p = spark.createDataFrame(rows, "pid long, ppid long, is_root boolean, rss long, server string")
+    assert {r.pid: r.root for r in telemetry.process_roots(p).collect()} == {9: 9, 10: 9}
+
+
+def test_process_kinds(spark):
+    rules = telemetry.ProcessRules(known=(("/own/tool/", "own"),))
+    want = {
+        "/home/u/.local/bin/agent --x": ("interactive", None),
+        "/opt/versions/1.2.3 --session-id a --resume": ("forked", None),
+        "/opt/versions/1.2.3 --session-id a --resume --bg-pty-host": ("infra", None),
+        "/home/u/.local/bin/agent daemon run": ("infra", None),
+        "node resource-sampler.js": ("self", None),
+        "npx -y slack-mcp-server": ("server", "slack-mcp-server"),
+        "node /own/tool/run.js": ("server", "own"),
+        "caffeinate": ("other", None),
+    }
+    rows = spark.createDataFrame([(c, 10) for c in want], "command string, rss long")
+    found = telemetry.process_kinds(rows, rules)
+    assert {r.command: (r.kind, r.server) for r in found.collect()} == want
+    assert {r.kind: (r.procs, r.rss) for r in telemetry.kind_totals(found).collect()} == {"interactive": (1, 10), "forked": (1, 10), "infra": (2, 20), "server": (2, 20), "other": (1, 10)}
+
+
 def test_ceiling(spark):
     get = lambda onset, slope, b: one(spark, scores.ceiling(F.lit(onset).cast("int"), F.lit(10 * 1024**3), F.lit(slope), F.lit(b)))
     assert get(5, 1.0, 0.0) == 5 and get(None, float(1024**3), -7.0) == 8 and get(None, 0.0, 0.0) is None and get(None, 1e9, 9e10) == 0
 
 
 def test_entries(spark):
-    body = "# Log\n\n## 2026-04-15 Second\n\nText two.\n\n## 2026-04-01\nText one.\n"
+    body = "# Log\n\n##  2026-04-15  —  Second \r\n\r\nText two.\n## 2026-04-16 Not one\n## 2026-04-17: nor this\nmore\n\n## 2026-04-01\nText one.\n"
     files = spark.createDataFrame([("a.md", body), ("b.md", "none"), ("c.md", None)], "path string, content string")
     got = events.entries(files).orderBy("place").collect()
-    assert [(r.date, r.title, r.body) for r in got] == [("2026-04-15", "Second", "Text two."), ("2026-04-01", None, "Text one.")]
-    twice = events.entries(spark.createDataFrame([("a", "## 2026-04-01 x\ny\n\n## 2026-04-01 x\ny\n")], "path string, content string")).collect()
+    assert [(r.date, r.title, r.body) for r in got] == [("2026-04-15", "Second", "Text two.\n## 2026-04-16 Not one\n## 2026-04-17: nor this\nmore"), ("2026-04-01", None, "Text one.")]
+    twice = events.entries(spark.createDataFrame([("a", "## 2026-04-01 — x\ny\n\n## 2026-04-01 — x\ny\n")], "path string, content string")).collect()
     assert twice[0].hash == twice[1].hash
 
 
@@ -204,15 +258,33 @@ def test_front_matter(spark):
 
 def test_small_text_functions(spark):
     assert one(spark, text.word_snippet(F.lit("a  b"), 2)) == "a b…" and one(spark, text.word_snippet(F.lit("a b"), 2)) == "a b"
-    assert one(spark, text.is_slug(F.lit("2026-01-02-a-b"))) and not one(spark, text.is_slug(F.lit("a")))
+    assert [one(spark, text.is_slug(F.lit(x))) for x in ("my-project", "2026-x", "-a", "A", "a b", "")] == [True, True, False, False, False, False]
+    assert one(spark, text.normal_command(F.lit("a \t b\nAB-12 x"))) == "a b\nXXX-NNN x" and one(spark, text.normal_command(F.lit(None).cast("string"))) == ""
     assert one(spark, text.entry_date(F.lit(None).cast("string"), F.lit("x/2026-03-04-s.md"))) == "2026-03-04"
     assert one(spark, text.collapse(F.lit("a\x00\n  b c"), 3)) == "a b"
-    assert one(spark, text.server_name(F.lit("npx -y @scope/figma-mcp-server@1.2.0"))) == "figma"
+    names = {
+        "npx -y @scope/slack-mcp@1.2.0 --port 1": "slack-mcp",
+        "npm exec sonar-mcp-darwin-arm64": "sonar-mcp",
+        "node /x/issue-tool/dist/index.js": "issue-tool",
+        "node /a/b/own-mcp/index.mjs --flag": "own-mcp",
+        "/opt/bin/mcp-files --root /": "mcp-files",
+        "/usr/bin/python serve.py": "python",
+        "node /srv/my-tool/dist/index.js": "ours",
+        "uvx vendor-time": "time",
+    }
+    rows = spark.createDataFrame([(c,) for c in names] + [(None,)], "c string").select("c", text.server_name(F.col("c"), (("/srv/my-tool/", "ours"),), "vendor-").alias("n"))
+    assert {r.c: r.n for r in rows.collect()} == {**names, None: None}
 
 
 def test_classification(spark):
-    paths = {"context/java.md": ("context", "java", None), "archive/context/java.md": None, "agent/identity.md": ("agent", None, None), "projects/web/notes/learnings.md": ("learning", None, "web"), "projects/web/decisions.md": ("decision", None, "web"), "episodes/2026/x.md": ("episode", None, None), "w/CLAUDE.md": ("project_claude_md", None, "own"), "w/other.md": None, "context/a.txt": None}
-    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", ingest.classify(F.col("p"), (("w", "own"),)).alias("k")).collect()
+    below = {
+        "context/java.md": ("context", "java", None), "context/deep/er.md": ("context", "er", None), "context/_index.md": None, "archive/context/java.md": None,
+        "projects/archive/learnings.md": ("learning", None, "archive"), "agent/CLAUDE.md": ("agent", None, None), "agent/identity.md": None, "agent/learnings.md": ("learning", None, None),
+        "projects/web/notes/learnings.md": ("learning", None, "web"), "projects/web/decisions.md": ("decision", None, "web"), "projects/web/CLAUDE.md": ("project_claude_md", None, "web"),
+        "projects/web/plan.md": None, "projects/learnings.md": None, "episodes/2026/a.md": ("episode", None, None), "context/x.txt": None,
+    }
+    paths = {f"/m/{p}": k for p, k in below.items()} | {"/w/CLAUDE.md": ("project_claude_md", None, "own"), "/w/README.md": ("project_readme", None, "own"), "/w/docs/README.md": None, "/other/context/java.md": None}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", ingest.classify(F.col("p"), "/m", (("/w", "own"),)).alias("k")).collect()
     assert {r.p: None if r.k is None else tuple(r.k) for r in rows} == paths
 
 
@@ -221,12 +293,27 @@ def test_upsert(spark):
     new = spark.createDataFrame([("a", "1", 2), ("b", "9", 2), ("d", "4", 2)], "source_path string, content_hash string, v int")
     assert {r.source_path: r.status for r in ingest.compare(old, new).collect()} == {"a": "unchanged", "b": "changed", "c": "removed", "d": "added"}
     assert {r.source_path: r.v for r in ingest.upsert(old, new).collect()} == {"a": 1, "b": 2, "d": 2}
+    ids = ingest.upsert(old.withColumn("id", F.col("content_hash").cast("long")), new, keep=["id"])
+    assert {r.source_path: (r.v, r.id) for r in ids.collect()} == {"a": (1, 1), "b": (2, 2), "d": (2, None)}
+    vectors, fresh = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string"), spark.createDataFrame([(2, "z"), (3, "n")], "id int, v string")
+    assert {tuple(r) for r in ingest.replace_vectors(vectors, fresh).collect()} == {(1, "x"), (2, "z"), (3, "n")}
+    assert tuple(ingest.rebuild_report(vectors, fresh.limit(1)).first()) == (2, 1)
 
 
 def test_turn_budget(spark):
-    turns = spark.createDataFrame([(1, 1, "aaaa"), (1, 2, "bbb"), (1, 3, "cc"), (2, 1, "x" * 20)], "c long, n long, body string")
-    got = {(r.c, r.n): r.body for r in events.keep_recent_turns(turns, "c", "n", "body", 6).collect()}
-    assert got == {(1, 3): "cc", (1, 2): "bbb", (2, 1): "x" * 6}
+    turns = spark.createDataFrame([(1, 1, "user", "aaaa"), (1, 2, "user", "bbb"), (1, 3, "bot", "cc"), (2, 1, "bot", "x" * 20), (2, 0, "bot", "x")], "c long, n long, role string, text string")
+    got = {(r.c, r.n): r.line for r in events.keep_recent_turns(turns, "c", "n", budget=20).collect()}
+    assert got == {(1, 3): "BOT: cc\n\n", (1, 2): "USER: bbb\n\n", (2, 1): "BOT: " + "x" * 15 + "[truncated]\n\n"}
+    assert [tuple(r) for r in events.enough_turns(turns, "c").collect()] == [(1, 3)]
+
+
+def test_guard_log(spark):
+    rows = [(1, 1, "r", "t", "/a", "BLOCKED", "push AB-1", 10), (2, 2, "r", None, "/a", "BLOCKED", "push  AB-22", 300), (3, 3, None, "t", None, "ALLOWED", "x", 5), (4, 4, "s", "t", "/a", "BLOCKED", None, 5), (5, 5, "r", "t", "/a", "BLOCKED", "y", 5)]
+    log = spark.createDataFrame(rows, "event_id int, ts int, rule string, tool string, cwd string, decision string, command string, duration_ms int")
+    got = {(r.dimension, r.value): r.n for r in events.counts(log, ["rule", "tool", "cwd"]).collect()}
+    assert got[("rule", "none")] == 1 and got[("tool", "unknown")] == 1 and got[("cwd", "unknown")] == 1 and got[("total", "all")] == 5
+    assert [(r.rule, r.pattern, r.n, r.example) for r in events.repeats(log).collect()] == [("r", "push XXX-NNN", 2, "push AB-1")]
+    assert {(r.rule, r.finding, r.most_ms, r.blocks) for r in events.thresholds(log).collect()} == {("r", "slow", 300, 3), ("r", "frequent block", 300, 3)}
 
 
 def test_metrics(spark):
