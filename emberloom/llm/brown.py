@@ -4,23 +4,30 @@ Words get classes by exchange clustering; a token's probability is the class tra
 the word from its class. Counts cover every training text:
 
 1. word counts, added up per task and then over tasks, into a table of the whole vocabulary;
-2. the ``CLUSTERED`` most frequent words (a documented size of the model) are clustered: the counts of their
-   bigrams, with one symbol for the document end and one for all other words, are summed over the corpus
-   (``(CLUSTERED + 2)**2`` numbers at most), and the exchange moves one word at a time to the class that raises
-   the likelihood most;
-3. all other words, unknown ones included, share one more class and differ by their own counts.
-
-Scoring: transitions and the words of a bounded dictionary (the most frequent words of at most ``WORD_BYTES``
-bytes, ``DICTIONARY`` at most, cut at a step of their counts) are scored where the text is; every other word leaves as (row, word, count in text) and
-meets its count in a join with the vocabulary table. So no word's count is dropped, and the frequent words, which
-would be hot keys, never enter the join.
+2. the dictionary: words of at most ``WORD_BYTES`` bytes that occur ``LEAST`` times or more (fewer contexts tell
+   nothing of a word's class), the most frequent ``DICTIONARY`` of them at most, cut at a step of their counts. It is
+   what tasks hold in memory, and so has a bound;
+3. classes of the ``SEED`` most frequent words: the counts of their bigrams, with one symbol for the document end and
+   one for all other words, are summed over the corpus (``(SEED + 2)**2`` numbers at most), and the exchange moves
+   one word at a time to the class that raises the likelihood most;
+4. classes of all other words of the dictionary: a second pass over the corpus counts how often each stands behind
+   and before each class, tables join those counts by word, and each word goes to the class where the likelihood of
+   its contexts gains most, in parallel for all words;
+5. transitions: a third pass counts the pairs of classes with every word of the dictionary in its class. Words outside
+   the dictionary, unknown ones included, share one more class and differ by their own counts.
+
+Scoring: transitions and the words of the dictionary are scored where the text is; every other word leaves as (row,
+word, count in text) and meets its count in a join with the vocabulary table. So no word's count is dropped, and the
+frequent words, which would be hot keys, never enter the join.
 
 Smoothing: add one for emissions (each class has one unit for unseen words only where it may emit them, the
 class of all others) and a Dirichlet prior of ``PRIOR`` class unigrams for transitions.
 
 Defined cases: a null text counts as empty and is scored as its end token alone; null ``doc_id`` is a training
 row with ``held_out`` null; repeated rows count and are scored each; other columns are not read; with no
-training rows all counts are zero and the score is the uniform one of the formulas.
+training rows all counts are zero and the score is the uniform one of the formulas. Rows are named by partition and
+place while they are scored: the input has to come in the same order whenever a task is run again, as it does from
+files; write other inputs first.
 """
 
 from __future__ import annotations
@@ -36,9 +43,10 @@ from pyspark.sql import functions as F
 
 from emberloom.llm import scratch
 
-CLUSTERED = 1024
+SEED = 1024
 CLASSES = 48
 DICTIONARY = 200_000
+LEAST = 5
 WORD_BYTES = 48
 PRIOR = 20.0
 PASSES = 12
@@ -74,10 +82,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def bigram_counts(docs: DataFrame, number: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring symbols over all rows: ``number`` words, then the end, then any other word."""
-    spark, n = docs.sparkSession, len(number) + 2
-    shared = spark.sparkContext.broadcast(number)  # CLUSTERED words at most
+def bigram_counts(docs: DataFrame, symbol: dict[bytes, int], n: int) -> np.ndarray:
+    """``n`` x ``n`` counts of neighbouring symbols over all rows. Of the symbols, the last but one is the end and the
+    last one is every word that ``symbol`` does not have."""
+    shared = docs.sparkSession.sparkContext.broadcast(symbol)  # DICTIONARY words at most
 
     def run(batches):
         get, end, other = shared.value.get, n - 2, n - 1
@@ -95,11 +103,91 @@ def bigram_counts(docs: DataFrame, number: dict[bytes, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["k", "c"])
 
     rows = docs.select("text").mapInArrow(run, "k int, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    table, out = rows.toPandas(), np.zeros(n * n, np.int64)
+    table, out = rows.toPandas(), np.zeros(n * n, np.int64)  # n * n rows at most
     out[table.k.to_numpy(np.int64)] = table.c.to_numpy(np.int64)
     return out.reshape(n, n)
 
 
+def context_counts(docs: DataFrame, words: list[bytes], label: np.ndarray) -> DataFrame:
+    """``w`` (place in ``words``, of those behind the seed), ``ctx`` and ``n``: how often the word stands behind class
+    ``ctx``, and (numbers from k + 2 on) before class ``ctx - k - 2``. ``label`` has the classes of the seed words."""
+    k, seed = int(label.max(initial=-1)) + 1, len(label)
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # DICTIONARY words at most
+    # by place + 1: class of the word, and the class of all others at 0
+    of = np.concatenate([[k + 1], label, np.full(len(words) - seed, k + 1)]).astype(np.int64)
+    width = 2 * (k + 2)
+
+    def run(batches):
+        get, kept, n_kept = shared.value.get, [], 0
+
+        def counted(symbols: list[int]):
+            s = np.array(symbols, np.int64)
+            cls = np.where(s < 0, k, of[np.maximum(s, 0)])
+            at = np.flatnonzero(s > seed)
+            base = (s[at] - 1) * width
+            return np.unique(np.concatenate([base + cls[at - 1], base + k + 2 + cls[at + 1]]), return_counts=True)
+
+        def rows():
+            codes, inverse = np.unique(np.concatenate([c for c, _ in kept]), return_inverse=True)
+            sums = np.bincount(inverse, np.concatenate([n for _, n in kept])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(codes // width), pa.array(codes % width), pa.array(sums)], names=["w", "ctx", "n"])
+
+        for batch in batches:
+            symbols = [-1]
+            for text in batch.column(0).to_pylist():
+                symbols += [get(w, -1) + 1 for w in tokens(text or "")]
+                symbols.append(-1)
+                if len(symbols) > 500_000:
+                    kept.append(counted(symbols))
+                    symbols = [-1]
+            if len(symbols) > 1:
+                kept.append(counted(symbols))
+            n_kept = sum(len(c) for c, _ in kept)
+            if n_kept > 3_000_000:
+                yield rows()
+                kept = []
+        if kept:
+            yield rows()
+
+    made = docs.select("text").mapInArrow(run, "w long, ctx long, n long")
+    return made.groupBy("w", "ctx").agg(F.sum("n").alias("n"))
+
+
+def gains(pair: np.ndarray, behind: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What the likelihood of the class bigrams ``pair`` gains when words of these contexts (a row each) join each of
+    the classes (all but the last two, which are the end and the others)."""
+    k = len(pair) - 2
+    p, own = pair[:k], np.arange(k)
+    d = pair[own, own]
+    wide = (_nlogn(p[None] + before[:, None, :]) - _nlogn(p)[None]).sum(axis=2)
+    tall = (_nlogn(pair[:, :k].T[None] + behind[:, None, :]) - _nlogn(pair[:, :k].T)[None]).sum(axis=2)
+    o, i = before[:, :k], behind[:, :k]
+    both = _nlogn(d + o + i) - _nlogn(d + o) - _nlogn(d + i) + _nlogn(d)
+    row, col = pair.sum(axis=1)[:k], pair.sum(axis=0)[:k]
+    total = _nlogn(row + before.sum(axis=1, keepdims=True)) - _nlogn(row) + _nlogn(col + behind.sum(axis=1, keepdims=True)) - _nlogn(col)
+    return wide + tall + both - total
+
+
+def assign(contexts: DataFrame, pair: np.ndarray) -> DataFrame:
+    """``w`` and ``class``: of each word the class with the highest gain, ties going to the lowest."""
+    n = len(pair)
+    pair = pair.astype(np.float64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                found = np.zeros((len(part), 2 * n))
+                of = np.repeat(np.arange(len(part)), [len(x) for x in part.column(1)])
+                found[of, part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                best = gains(pair, found[:, :n], found[:, n:]).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best)], names=["w", "class"])
+
+    each = F.collect_list(F.struct("ctx", "n"))  # 2 * (CLASSES + 2) at most
+    rows = contexts.groupBy("w").agg(each.alias("z")).select("w", "z.ctx", "z.n")
+    return rows.mapInArrow(run, "w long, class long")
+
+
 def _pairs(symbols: list[int], n: int) -> np.ndarray:
     s = np.array(symbols, np.int64)
     return np.bincount(s[:-1] * n + s[1:], minlength=n * n)
@@ -110,7 +198,7 @@ def _nlogn(x: np.ndarray) -> np.ndarray:
 
 
 def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
-    """Class of each clustered word. The last two symbols of ``counts`` keep classes of their own.
+    """Class of each seed word. The last two symbols of ``counts`` keep classes of their own.
 
     Starts from the words dealt to classes by rank, and takes words by rank; a word moves to the class with the
     highest likelihood, ties going to the lowest class, until a pass moves none.
@@ -153,28 +241,23 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -
 
 
 class Model:
-    """What a task needs: bounded by ``DICTIONARY``, ``CLUSTERED`` and ``CLASSES``."""
+    """What a task needs: bounded by ``DICTIONARY`` and ``CLASSES``. ``top`` has the dictionary's words and counts,
+    ``label`` their classes, ``classes`` the counts of pairs of classes, with the end's and the others' behind."""
 
-    def __init__(self, total: int, distinct: int, top: list[tuple[bytes, int]], end_count: int, number: dict[bytes, int], label: np.ndarray, pairs: np.ndarray):
+    def __init__(self, total: int, distinct: int, top: list[tuple[bytes, int]], end_count: int, label: np.ndarray, classes: np.ndarray):
         self.total, self.distinct = total, distinct
-        k = int(label.max(initial=-1)) + 1
+        k = len(classes) - 2
         self.end_class, self.other_class = k, k + 1
-        full = np.concatenate([label, [k, k + 1]]).astype(np.int64)
-        onehot = np.zeros((len(full), k + 2))
-        onehot[np.arange(len(full)), full] = 1
-        classes = onehot.T @ pairs @ onehot
         self.class_totals = classes.sum(axis=0)  # a class as the second of a pair: each token once
         prior = (self.class_totals + 1) / (self.class_totals.sum() + k + 2)
         self.transition = np.log10((classes + PRIOR * prior) / (classes.sum(axis=1) + PRIOR)[:, None])
         members = np.bincount(label, minlength=k)
-        self.other_size = distinct - len(number) - (end_count > 0)
-        self.other_norm = self.class_totals[k + 1] + self.other_size + 1
-        words = [w for w, _ in top]
-        self.number = {w: i for i, w in enumerate(words)}
+        other_size = distinct - len(top) - (end_count > 0)
+        self.other_norm = self.class_totals[k + 1] + other_size + 1
+        self.number = {w: i for i, (w, _) in enumerate(top)}
         self.counts = np.array([c for _, c in top], np.int64)
-        self.classes = np.array([label[number[w]] if w in number else k + 1 for w in words] or [], np.int64)
-        norm = np.array([self.other_norm if c == k + 1 else self.class_totals[c] + members[c] for c in self.classes.tolist()])
-        self.emission = np.log10((self.counts + 1) / norm) if len(words) else np.zeros(0)
+        self.classes = label
+        self.emission = np.log10((self.counts + 1) / (self.class_totals[label] + members[label]))
         self.base_norm = total + distinct + 1
         self.base = np.log10((self.counts + 1) / self.base_norm)
         self.end_base, self.end_known = float(np.log10((end_count + 1) / self.base_norm)), int(end_count > 0)
@@ -199,7 +282,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     vocab = scratch.stash(word_counts(train), "words")
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = vocab.where(F.col("word") == F.lit(END)).select("c").first()
-    short = vocab.where((F.col("word") != F.lit(END)) & (F.octet_length("word") <= WORD_BYTES))
+    short = vocab.where((F.col("word") != F.lit(END)) & (F.octet_length("word") <= WORD_BYTES) & (F.col("c") >= LEAST))
     # the step of a logarithmic histogram above which at most DICTIONARY words lie: some hundred rows, no sort
     step = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
     sizes = sorted(((r.step, r.n) for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -207,9 +290,17 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     least = min((s for (s, _), n in zip(sizes, sums, strict=True) if n <= DICTIONARY), default=None)
     found = short.where(step >= least).toPandas() if least is not None else None  # DICTIONARY rows at most
     top = [] if found is None else sorted(zip(map(bytes, found.word), found.c.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
-    number = {w: i for i, (w, _) in enumerate(top[:CLUSTERED])}
-    pairs = bigram_counts(train, number)
-    return Model(total, distinct, top, end.c if end else 0, number, exchange(pairs), pairs), vocab
+    words = [w for w, _ in top]
+    pairs = bigram_counts(train, {w: i for i, w in enumerate(words[:SEED])}, min(SEED, len(words)) + 2)
+    label = exchange(pairs)
+    k = int(label.max(initial=-1)) + 1
+    if len(words) > len(label):
+        onehot = np.eye(k + 2)[np.concatenate([label, [k, k + 1]])]
+        near = assign(context_counts(train, words, label), onehot.T @ pairs @ onehot).toPandas()  # DICTIONARY rows at most
+        label = np.concatenate([label, np.zeros(len(words) - len(label), np.int64)])
+        label[near.w.to_numpy()] = near["class"].to_numpy()
+    classes = bigram_counts(train, dict(zip(words, label.tolist(), strict=True)), k + 2)
+    return Model(total, distinct, top, end.c if end else 0, label, classes), vocab
 
 
 def score(docs: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:

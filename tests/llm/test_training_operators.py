@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -72,6 +73,19 @@ def test_byte_bpe_of_odd_characters():
     assert coder.decode(ids) == [t.encode() for t in texts]
 
 
+def test_byte_bpe_of_long_words_and_texts(monkeypatch):
+    for name, value in (("BLOCK_CHARS", 3000), ("BLOCK_CHUNKS", 40), ("DECODE_IDS", 50), ("QUERY_ROWS", 20_000), ("MEMO_ROWS", 100)):
+        monkeypatch.setattr(bpe, name, value)
+    coder = bpe.Coder(bpe.load_ranks(RANKS), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    dice = random.Random(7)
+    texts = ["".join(dice.choices("abcdefghij", k=n)) for n in (201, 500, 900)] + ["".join(dice.choices("ing th", k=4000)), "a" * 5000, "long" * 700, "é" * 400 + "aaab" * 90]
+    texts += [" ".join("".join(dice.choices("abcdeé\n", k=5)) for _ in range(2000)), "", "short"]
+    ids = coder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode_ordinary(t) for t in texts]
+    assert coder.decode(ids) == [t.encode() for t in texts] and len(coder.memo) == 100
+
+
 def test_token_files_round_trip(docs, local, spark):
     coder = tokenbin.WordCoder(WORDS)
     want, start = [], 0
@@ -84,6 +98,18 @@ def test_token_files_round_trip(docs, local, spark):
     assert tokenbin.offsets_and_digests(empty(spark), WORDS, 1).count() == 0
 
 
+def test_token_files_are_bounded(docs, spark, monkeypatch):
+    want = sorted(map(tuple, tokenbin.offsets_and_digests(docs, WORDS, 1).collect()), key=str)
+    for name, value in (("FILE_RECORDS", 4), ("FILE_BYTES", 300), ("BLOCK_IDS", 40)):
+        monkeypatch.setattr(tokenbin, name, value)
+    path = tokenbin.scratch.new_path(spark, "tokens")
+    tokenbin.write_files(docs, path, WORDS, 1)
+    files = [r.content for r in spark.read.format("binaryFile").load(path).collect()]
+    found = [tokenbin.read_footer(x) for x in files]
+    assert len(files) > 8 and max(len(o) for o, _, _, _ in found) <= 3
+    assert sorted(map(tuple, tokenbin.read_files(spark, path).collect()), key=str) == want
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 16, 17, 31])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype(np.uint32)
@@ -181,26 +207,75 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
-def test_brown_counts_and_probability(spark, docs, local, monkeypatch):
-    monkeypatch.setattr(brown, "DICTIONARY", 6)
-    monkeypatch.setattr(brown, "CLUSTERED", 4)
+def naive_brown(texts, model):
+    """The score of each text by the definition, from the model's classes and pure counts of the training texts."""
+    k = len(model.transition) - 2
+    cls = {brown.END: k, **{w: int(model.classes[i]) for w, i in model.number.items()}}
+    train = [[brown.END, *brown.tokens(t or ""), brown.END] for t in texts]
+    c = Counter(w for t in train for w in t[1:])
+    pairs = Counter((cls.get(a, k + 1), cls.get(b, k + 1)) for t in train for a, b in zip(t, t[1:]))
+    second = [sum(n for (_, b), n in pairs.items() if b == j) for j in range(k + 2)]
+    first = [sum(n for (a, _), n in pairs.items() if a == j) for j in range(k + 2)]
+    members = Counter(cls.get(w, k + 1) for w in c)
+
+    def score(text):
+        total, was = 0.0, k
+        for w in [*brown.tokens(text or ""), brown.END]:
+            now = cls.get(w, k + 1)
+            prior = (second[now] + 1) / (sum(second) + k + 2)
+            total += math.log10((pairs[was, now] + brown.PRIOR * prior) / (first[was] + brown.PRIOR))
+            if now != k:
+                total += math.log10((c[w] + 1) / (second[now] + members[now] + (now == k + 1)))
+            was = now
+        return total
+
+    return score
+
+
+def test_brown_against_its_definition(spark, docs, local, monkeypatch):
+    monkeypatch.setattr(brown, "DICTIONARY", 8)
+    monkeypatch.setattr(brown, "LEAST", 2)
+    monkeypatch.setattr(brown, "SEED", 4)
     monkeypatch.setattr(brown, "CLASSES", 2)
-    c = Counter()
-    for i, t in local:
-        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
-            c.update(brown.tokens(t or ""))
-            c[brown.END] += 1
+    train = [t for i, t in local if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in [*brown.tokens(t or ""), brown.END])
     total, distinct = sum(c.values()), len(c)
-    want = Counter()
+    fold = brown.held_out(F.col("doc_id"), 7)
+    model, _ = brown.fit(docs.where(fold.isNull() | ~fold))
+    assert 4 < len(model.number) <= 8
+    score, want = naive_brown(train, model), Counter()
     for i, t in local:
         words = [*brown.tokens(t or ""), brown.END]
         base = sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in words)
-        want[i, None if i is None else zlib.crc32(str(i).encode()) % 7 == 2, len(words), sum(c[w] > 0 for w in words), total, round(base, 6)] += 1
+        want[i, None if i is None else zlib.crc32(str(i).encode()) % 7 == 2, len(words), sum(c[w] > 0 for w in words), total, round(base, 6), round(score(t), 6)] += 1
     got = brown.scores(docs).collect()
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
     assert brown.scores(empty(spark)).count() == 0
 
 
+def likelihood(classes):
+    return brown._nlogn(classes).sum() - brown._nlogn(classes.sum(axis=0)).sum() - brown._nlogn(classes.sum(axis=1)).sum()
+
+
+def test_words_behind_the_seed_go_to_their_best_class(spark):
+    dice = random.Random(2)
+    words = [b"a", b"b", b"c", b"d", b"e", b"f", b"g"]
+    texts = [" ".join(dice.choice("aceg" if j % 2 else "bdf") for j in range(dice.randint(1, 9))) for _ in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    label = np.array([0, 1, 0, 1])
+    pairs = brown.bigram_counts(docs, {w: i for i, w in enumerate(words[:4])}, 6)
+    onehot = np.eye(4)[[0, 1, 0, 1, 2, 3]]
+    start = onehot.T @ pairs @ onehot
+    got = {r.w: r["class"] for r in brown.assign(brown.context_counts(docs, words, label), start).collect()}
+    for w in (4, 5, 6):
+        each = []
+        for k in (0, 1):
+            symbol = {b"a": 0, b"b": 1, b"c": 0, b"d": 1, words[w]: k}
+            each.append(likelihood(brown.bigram_counts(docs, symbol, 4).astype(float)))
+        assert got[w] == int(np.argmax(each))
+    assert set(got) == {4, 5, 6} and got[4] == got[6] == 0 and got[5] == 1
+
+
 def test_brown_model_is_a_distribution_and_exchange_helps():
     dice = np.random.default_rng(0)
     counts = np.zeros((10, 10), np.int64)
@@ -209,9 +284,9 @@ def test_brown_model_is_a_distribution_and_exchange_helps():
     counts[9, 8] = counts[8, 9] = 5
     label = brown.exchange(counts, classes=2)
     assert sorted(map(sorted, ([i for i in range(8) if label[i] == k] for k in (0, 1)))) == [[0, 2, 4, 6], [1, 3, 5, 7]]
-    number = {bytes([97 + i]): i for i in range(8)}
-    top = [(w, int(counts[:, i].sum())) for w, i in number.items()] + [(b"rare", 3), (b"rarer", 2)]
-    model = brown.Model(4010, 11, top, 5, number, label, counts)
+    onehot = np.eye(4)[np.concatenate([label, [2, 3]])]
+    top = [(bytes([97 + i]), int(counts[:, i].sum())) for i in range(8)]
+    model = brown.Model(4010, 11, top, 5, label, onehot.T @ counts @ onehot)
     emission = {}
     for c, e in zip(model.classes, model.emission, strict=True):
         emission[c] = emission.get(c, 0) + 10**e
@@ -232,6 +307,17 @@ def test_quality_on_held_out_labels(spark):
     assert kept.columns == [*docs.columns, "score"] and 0 < kept.count() < docs.count()
 
 
+def test_quality_is_the_rankers_of_all_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    good = {r.doc_id: r.quality > 0 for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in texts}
+    ids = sorted(good)
+    ranker = quality.fit(np.array([quality.features(texts[i]) for i in ids]), np.array([good[i] for i in ids]))
+    want = {i: float(ranker.score(quality.features(t)[None])[0]) for i, t in texts.items()}
+    got = quality.scores(docs, labels).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-8) and all(r.predicted == (r.score >= 0.7) for r in got)
+
+
 def test_quality_without_pairs_keeps_all(spark, docs):
     labels = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, quality int")
     assert quality.keep_good(docs, labels).count() == docs.count()
@@ -341,6 +427,20 @@ def test_archives_and_histories(spark):
     assert warc.histories(pages.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    for name, value in (("LARGE", 2000), ("FILE_BYTES", 200_000), ("RECORDS_PER_FILE", 10), ("HEAD_ROWS", 3)):
+        monkeypatch.setattr(warc, name, value)
+    rows = [(i, f"http://h{i % 4}/", str(i) * (40_000 if i % 20 == 0 else 5)) for i in range(100, 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.scratch.new_path(spark, "archives")
+    warc.write_archives(pages, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    assert max(f.length for f in files) <= 200_000 and sum(f.length > 100_000 for f in files) == 5
+    got = warc.histories(pages).orderBy("part", "place").collect()
+    assert sorted(r.page_id for r in got) == list(range(100, 200)) and {r.payload_bytes for r in got} == {15, 120_000}
+    assert [r.urlkey for r in got] == sorted(r.urlkey for r in got)
+
+
 def test_loser_tree():
     dice = random.Random(4)
     for k in range(0, 9):
@@ -408,3 +508,18 @@ def test_url_lists_as_of(spark):
     assert got == Counter(want)
     assert urlfilter.evaluate(captures.limit(0), entries).count() == 0
     assert not any(r.blocked for r in urlfilter.evaluate(captures, entries.limit(0)).collect())
+
+
+def test_open_entries_hold_on_any_later_day(spark):
+    captures = spark.createDataFrame([(1, "http://a.b/", 99), (2, "http://a.b/", 400), (3, "http://a.b/", 19_000), (4, "http://c.d/", 19_723), (5, "http://c.d/", 19_500)], "page_id long, url string, fetched int")
+    entries = spark.createDataFrame([("host", "a.b", 100, "add"), ("host", "c.d", 19_600, "add"), ("host", "c.d", 30_000, "remove")], "kind string, key string, day int, action string")
+    assert {r.page_id: r.host_since for r in urlfilter.evaluate(captures, entries).collect()} == {1: None, 2: 100, 3: 100, 4: 19_600, 5: None}
+
+
+def test_lines_are_whole(spark):
+    dice = random.Random(3)
+    texts = ["".join(dice.choices([". ", ".", " ", "\n", "a", "! ", "?", "\r", "\x01"][: 8 + i % 2], k=dice.randint(1, 25))) for i in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = rows.select("text", linededup._whole_lines(F.col("text")).alias("x"), linededup._n_lines(F.col("text")).alias("n"))
+    for r in rows.collect():
+        assert "".join(r.x) == r.text and len(r.x) == r.n and r.x == re.split(r"(?<=\n)|(?<=[.!?] )", r.text)
