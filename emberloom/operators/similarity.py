@@ -15,50 +15,55 @@ from emberloom.operators.scratch import written
 
 
 def token_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``class_id`` (the smallest id with the same token set) and ``tokens`` of every row."""
+    """``id``, ``class_id`` (the smallest id with the same token set) and ``tokens`` of every row. Texts are taken
+    apart once: the sets are written before their classes are found."""
     sets = docs.select(F.col(id_col).alias("id"), F.array_sort(text.token_set(F.col(text_col))).alias("tokens"))
-    sets = sets.withColumn("h", F.sha2(F.array_join("tokens", " "), 256))
+    sets = written(sets.withColumn("h", F.sha2(F.array_join("tokens", " "), 256)), "sets")
     first = sets.groupBy("h").agg(F.min("id").alias("class_id"))
     return sets.join(first, "h").select("id", "class_id", "tokens")
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """``id``, ``tokens``, ``n`` and one row for each ``token`` of the set's prefix, rarest tokens first.
+    """``id``, ``n`` (tokens), and one row for each ``token`` of the set's prefix, rarest tokens first, with ``left``:
+    how many tokens there are from it on.
 
-    Two sets at or above the threshold share a token in their first n - ceil(threshold * n) + 1.
+    Two sets at or above the threshold share a token in their first n - ceil(threshold * n) + 1. Tokens of one set
+    alone come first in it and meet nothing: they count, and are dropped before anything is sorted.
     """
-    words = sets.select("id", F.explode("tokens").alias("token"))
-    df = words.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = words.join(df, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    n = F.size("t")
-    keep = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
-    cut = ranked.select("id", n.alias("n"), F.slice("t", F.lit(1), keep).alias("p"))
-    return cut.select("id", "n", F.explode("p").alias("x")).select("id", "n", F.col("x.token").alias("token"))
+    words = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    df = words.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = words.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    own = keep - (F.col("n") - F.size("t"))
+    cut = ranked.where(own > 0).select("id", "n", F.size("t").alias("of"), F.posexplode(F.slice("t", F.lit(1), own)).alias("i", "x"))
+    return cut.select("id", "n", F.col("x.token").alias("token"), (F.col("of") - F.col("i")).alias("left"))
 
 
 def jaccard_join(left: DataFrame, right: DataFrame | None = None, threshold: float = C.LEXICAL_DUPLICATE) -> DataFrame:
     """``a``, ``b``, ``similarity`` of the pairs of distinct sets at or above the threshold.
 
     ``left`` and ``right`` have ``id`` and ``tokens``; without ``right``, pairs within ``left`` with a < b. A shared
-    prefix token and the length bound give candidates, which are verified on the sets. Sets without tokens equal
-    each other; within one table they are a single class, and between two tables they are added as pairs of 1.
+    prefix token gives candidates, of which those stay that are of like length and have enough tokens left from the
+    shared one on (a pair's first shared token has them); they are verified on the sets. Sets without tokens equal
+    each other; within one table they are a single class, and between two tables each of ``left`` is paired with the
+    first of ``right``.
     """
     solo = right is None
     both = left.select("id", "tokens", F.lit(0).alias("side")) if solo else left.select("id", "tokens", F.lit(0).alias("side")).union(right.select("id", "tokens", F.lit(1).alias("side")))
     named = both.withColumn("id", F.struct("side", "id"))
     marks = written(prefixes(named.where(F.size("tokens") > 0), threshold), "prefixes")
-    a = marks.select(F.col("id").alias("a"), F.col("n").alias("na"), "token")
-    b = marks.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token")
+    a, b = (marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"), "token") for x in "ab")
     near = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+    enough = F.least("la", "lb") >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
     order = F.col("a") < F.col("b") if solo else (F.col("a.side") == 0) & (F.col("b.side") == 1)
-    found = a.join(b, "token").where(order & near).select("a", "b").distinct()
+    found = a.join(b, "token").where(order & near & enough).select("a", "b").distinct()
     sets = named.select("id", "tokens")
     full = found.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     pairs = full.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), text.jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
     if solo:
         return pairs
-    none = [x.where(F.size("tokens") == 0).select(F.col("id").alias(n)) for x, n in ((left, "a"), (right, "b"))]
-    return pairs.union(none[0].join(none[1], F.lit(True)).select("a", "b", F.lit(1.0)))
+    first = F.broadcast(right.where(F.size("tokens") == 0).agg(F.min("id").alias("b")).where("b is not null"))  # one row
+    return pairs.union(left.where(F.size("tokens") == 0).select(F.col("id").alias("a")).crossJoin(first).select("a", "b", F.lit(1.0)))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = C.LEXICAL_DUPLICATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -890,3 +890,115 @@ def most_sessions(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     most = telemetry.most_sessions(d.groupBy("source").agg(F.count("*").alias("sessions")))
     return similarity.exact_duplicates(d).agg(F.count("*").alias("twice")).crossJoin(most)  # a row each
+
+
+_SKILL = """case doc_id % 6 when 0 then '' else '---' || chr(10) end || case doc_id % 6 when 1 then 'colour: red' || chr(10) when 2 then 'name: Bad Name' || chr(10) else 'name: ' || source || chr(10) end
+ || case doc_id % 6 when 3 then 'model: x' || chr(10) when 4 then 'description: >' || chr(10) || '  I can help.' || chr(10) || '  ' || lang || chr(10) else 'description: checks ' || lang || chr(10) end
+ || case doc_id % 6 when 5 then '' else '---' || chr(10) end || '- one because' || chr(10) || '* ' || replace(substr(text, 1, 300), chr(10), chr(10) || '- ') || chr(10) || '```' || chr(10) || '- code' || chr(10) || '```' || chr(10) || '3) so that' || chr(10)"""
+
+
+@query(f"""with d as (select doc_id, {_SKILL} as content, source from documents),
+l as (select doc_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(content, chr(10)) as x from d)),
+e as (select doc_id, min(i) filter (i > 0 and line = '---') as close, bool_or(i = 0 and line = '---') as open from l group by 1),
+b as (select l.*, e.open, case when open then close end as close from l join e using (doc_id)),
+steps as (select doc_id, count(*) as n, count(*) filter (regexp_matches(lower(line), 'because|so that|to avoid|to prevent|to ensure|since |otherwise|this ensures|this prevents|which ensures')) as k
+ from b where (close is null or i > close) and regexp_matches(rtrim(line), '^(?:[-*]\\s+|\\d+[.)]\\s+)') and line <> '- code' group by 1)
+select doc_id, case when doc_id % 6 in (0, 5, 1) then 0 when doc_id % 6 = 3 then 1 else 2 end as fields, doc_id % 6 not in (2) as name_ok, doc_id % 6 in (1, 2) as told_ok,
+ n as instructions, k as reasons, case when k = 0 then 0 when k::double / n <= 0.25 then 1 when k::double / n <= 0.5 then 2 else 3 end as reason_score from d join steps using (doc_id) where doc_id % 6 <> 5""")
+def lint_documents(spark, sf_dir):
+    """The lint of a skill document made of each document, as far as its front matter is closed."""
+    d = t(spark, sf_dir, "documents").where("doc_id % 6 <> 5").select("doc_id", F.concat(F.lit("s/own/"), F.col("doc_id")).alias("path"), F.expr(_SKILL).alias("content"))
+    found = reports.lint(d.select("path", "content"))
+    cut = found.select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), *found.columns[1:])
+    return cut.select("doc_id", "fields", "name_ok", "told_ok", *(F.col(c).cast("long").alias(c) for c in ("instructions", "reasons")), "reason_score")
+
+
+_DOWNLOADS = """select user_id as session, cast(floor(epoch(ts)) as bigint) as ts, case event_type when 'click' then 'request.download.started' when 'view' then 'batch.counter.increment' when 'signup' then 'request.download.completed' else 'x' end as event,
+ case when value > 85 then 'P3RM_GENERIC' when value > 60 then 'DLW_11' when value < 5 then 'APP_02' end as code, case when value between 50 and 52 then 'ERROR' end as status from events"""
+
+
+@query(f"""with l as ({_DOWNLOADS}), s as (select session, count(*) filter (event = 'request.download.started') as started, count(*) filter (event = 'request.download.completed') as completed, count(*) filter (code = 'P3RM_GENERIC') as saturated,
+ count(*) filter (code = 'DLW_11') as failed, min(ts) filter (code = 'APP_02') as crashed, max(ts) filter (event like 'request.download%' or event = 'batch.counter.increment') as download, max(ts) filter (event = 'batch.counter.increment') as counted,
+ min(ts) filter (status = 'ERROR') as wrong, max(ts) as log_end, min(ts) as log_start from l group by 1)
+select session, unnest(list_filter([case when started > 0 and completed = 0 then 'stalled request' end, case when saturated >= 3 then 'path worker saturated' end, case when crashed = log_start and coalesce(download <= crashed, true) then 'startup crash' end,
+ case when log_end - counted > 300 then 'stall point' end, case when started > 0 and completed = 0 and failed = 0 then 'downloads work' end, case when failed >= 20 then 'many failures' end, case when counted > wrong then 'status stuck' end], lambda x: x is not null)) as finding from s""")
+def log_triage(spark, sf_dir):
+    """What a download log made of each user's events shows."""
+    e = t(spark, sf_dir, "events").withColumn("epoch_s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    return reports.log_triage(spark.sql(_DOWNLOADS.replace("cast(floor(epoch(ts)) as bigint)", "epoch_s").replace("from events", "from {source}"), source=e))
+
+
+@query(f"with l as ({_DOWNLOADS}) select session, code, count(*) as n from l where code is not null group by 1, 2 having count(*) > case when code = 'APP_02' then 1 else 0 end")
+def notable_codes(spark, sf_dir):
+    """Error codes of that log that are not its usual noise."""
+    e = t(spark, sf_dir, "events").withColumn("epoch_s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    log = spark.sql(_DOWNLOADS.replace("cast(floor(epoch(ts)) as bigint)", "epoch_s").replace("from events", "from {source}"), source=e)
+    return reports.notable_codes(log.withColumn("message", F.lit("")))
+
+
+_MESSAGES = "select lang as author, doc_id as day, case when doc_id % 7 = 0 then 2 else 1 end as parents, case doc_id % 5 when 0 then 'Fix: ' || source when 1 then 'Revert ' || source when 2 then 'Add' || chr(10) || 'Fix lint of ' || source else substr(text, 1, 60) end as message from documents"
+
+
+@query(f"""with m as ({_MESSAGES}) select author, count(*) as n, count(*) filter (regexp_matches(message, '(?m)^Fix')) as fixes, count(*) filter (regexp_matches(message, 'SonarQube|sonar|[Ll]int|[Pp]rettier|[Cc]heckstyle|Copilot|unused import|unused variable|[Rr]emove unused')) as reactive,
+ count(*) filter (regexp_matches(message, '(?m)^Revert')) as reverts from m where parents < 2 and day >= 100 and day < 900 group by 1""")
+def commit_kinds(spark, sf_dir):
+    """Fixes, clean-ups and reverts of commits made of documents, merges left out, by author."""
+    found = metrics.commit_kinds(made(spark, sf_dir, _MESSAGES, "documents").withColumnRenamed("day", "at"), since=100, until=900)
+    return found.groupBy("author").agg(F.count("*").alias("n"), F.sum(F.col("is_fix").cast("long")).alias("fixes"), F.sum(F.col("is_reactive").cast("long")).alias("reactive"), F.sum(F.col("is_revert").cast("long")).alias("reverts"))
+
+
+@query("""with c as (select distinct o_custkey as ticket from orders where o_orderstatus = 'F'), s as (select c_custkey as ticket from customer where c_mktsegment = 'BUILDING')
+select count(*) as total, count(s.ticket) as sprint, (count(*) - count(s.ticket))::double / count(*) as share, (count(*) - count(s.ticket))::double / count(*) > 0.6 and count(s.ticket) = 0 as warning from c left join s using (ticket)""")
+def sprint_drift(spark, sf_dir):
+    """How much of what was completed was of the sprint."""
+    done = t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("ticket")).distinct()
+    return metrics.sprint_drift(done, t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("ticket")))
+
+
+@query("""with s as (select user_id as item, count(distinct ts::date) as days from events where event_type = 'view' group by 1 having count(distinct ts::date) >= 5)
+select item, days from s where item not in (select user_id from events where event_type = 'purchase' and value > 80)""")
+def stale_stack(spark, sf_dir):
+    """Items on five days or more that were never taken up."""
+    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("ts").cast("date").alias("day"), "event_type", "value")
+    return metrics.stale_stack(e.where("event_type = 'view'"), e.where("event_type = 'purchase' and value > 80"))
+
+
+@query("select user_id % 50 as person, event_type as ticket, date_diff('day', min(ts)::date, max(ts)::date) as days from events where value > 97 group by 1, 2 having date_diff('day', min(ts)::date, max(ts)::date) > 2")
+def blocker_stalls(spark, sf_dir):
+    """Blockers that stand for more than two days."""
+    e = t(spark, sf_dir, "events").where("value > 97").select((F.col("user_id") % 50).alias("person"), F.col("event_type").alias("ticket"), F.col("ts").cast("date").alias("day"))
+    return metrics.blocker_stalls(e).withColumn("days", F.col("days").cast("long"))
+
+
+@query("select o_custkey as who, count(*) as n from orders where o_orderstatus = 'O' group by 1 having count(*) > 1")
+def open_work(spark, sf_dir):
+    """Customers with more than one open order."""
+    return metrics.open_work(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("who"), (F.col("o_orderstatus") == "O").alias("open")), "who")
+
+
+@query("""with m as (select user_id as ticket, event_type as "to", lag(event_type) over (partition by user_id order by ts, event_id) as "from" from events)
+select ticket, count(*) as bounces from m where "from" = 'purchase' and "to" = 'click' and ticket % 2 = 0 group by 1""")
+def qa_bounces(spark, sf_dir):
+    """Tickets that went back from test, of those in flight."""
+    win = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    name = lambda c: F.when(c == "purchase", "In Test").when(c == "click", "In Progress").otherwise(c)
+    m = t(spark, sf_dir, "events").select(F.col("user_id").alias("ticket"), name(F.col("event_type")).alias("to"), name(F.lag("event_type").over(win)).alias("from"))
+    return metrics.qa_bounces(m, m.where("ticket % 2 = 0").select("ticket").distinct())
+
+
+@query("""with w as (select case o_orderpriority when '1-URGENT' then 1 when '2-HIGH' then 2 when '3-MEDIUM' then 3 else 4 end as rank, o_orderstatus as priority, o_orderkey as ticket from orders where o_orderpriority <> '5-LOW')
+select rank, priority, ticket from w order by 1, 2, 3 limit 7""")
+def priority_order(spark, sf_dir):
+    """The seven items of the day."""
+    kinds = {"1-URGENT": "sprint", "2-HIGH": "in progress", "3-MEDIUM": "labelled defect", "4-NOT SPECIFIED": "unassigned defect"}
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("o_orderpriority")]
+    return metrics.priority_order(t(spark, sf_dir, "orders").select(kind.alias("kind"), F.col("o_orderstatus").alias("priority"), F.col("o_orderkey").alias("ticket"))).select("rank", "priority", "ticket")
+
+
+@query("""with b as (select l_orderkey * 10 + l_linenumber as batch, l_quantity::bigint as items, case when l_linenumber = 2 then l_quantity::bigint else (l_quantity - l_linenumber)::bigint + 2 end as downloaded, l_linenumber - 1 as failed, (l_tax * 700)::bigint as verified, l_linestatus = 'F' as completed from lineitem)
+select fault, count(*) as n from (select unnest(list_filter([case when downloaded + failed > items then 'more done than there are' end, case when downloaded > items then 'counted twice' end, case when verified > downloaded then 'verified before downloaded' end,
+ case when downloaded = items and not completed then 'no completion' end], lambda x: x is not null)) as fault from b) group by 1""")
+def counter_faults(spark, sf_dir):
+    """Counters that cannot be right."""
+    b = t(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as batch", "cast(l_quantity as bigint) as items", "case when l_linenumber = 2 then cast(l_quantity as bigint) else cast(l_quantity - l_linenumber as bigint) + 2 end as downloaded", "l_linenumber - 1 as failed", "cast(round(l_tax * 700) as bigint) as verified", "l_linestatus = 'F' as completed")
+    return reports.counter_faults(b).groupBy("fault").agg(F.count("*").alias("n"))

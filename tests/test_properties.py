@@ -34,5 +34,7 @@ def test_pools(limit):
 
 @given(st.text(max_size=40))
 def test_any_query_is_parsed(query):
-    for terms in search.parse_query(query):
-        assert terms and all(t.isalnum() for t in terms)
+    for factors in search.parse_query(query):
+        assert factors and all(groups and all(groups) for groups in factors)
+    for phrase in search.phrases_of(search.parse_query(query)):
+        assert phrase and all(t.isalnum() for t in phrase)
