@@ -24,4 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as files under :func:`new_path`, read again."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table made by :func:`written` that nothing will read any more."""
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(df._written_path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberloom import config as C
 from emberloom.functions import text
-from emberloom.operators.scratch import written
+from emberloom.operators.scratch import dropped, written
 
 
 def deltas(samples: DataFrame, key: str, order: list[str], counter: str) -> DataFrame:
@@ -129,7 +129,8 @@ def process_roots(processes: DataFrame) -> DataFrame:
         step = now.join(above, "up", "left").select("pid", F.coalesce("upper", F.lit(None).cast("long")).alias("up"), "is_root", F.col("up").alias("was"))
         step = written(step, "processes")
         changed = step.where("not (up <=> was)").limit(1).count()
-        now = step.select("pid", "up", "is_root")
+        dropped(now)
+        now = step
         if not changed:
             break
     roots = now.where("is_root").select(F.col("pid").alias("root"))

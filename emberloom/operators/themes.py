@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberloom import config as C
-from emberloom.operators.scratch import written
+from emberloom.operators.scratch import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,16 +16,19 @@ def components(edges: DataFrame) -> DataFrame:
     shorten by half a round; rounds are written out, and stop when no label changed.
     """
     links = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")), "labels")
+    now = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")), "labels")
     while True:
+        labels = now.select("id", "root")
         near = links.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         step = labels.join(near, "id", "left").select("id", F.col("root").alias("was"), F.least("root", "low").alias("low"))
         jump = step.select(F.col("id").alias("low"), F.col("low").alias("lower"))
         new = written(step.join(jump, "low", "left").select("id", "was", F.least("low", "lower").alias("root")), "labels")
         changed = new.where("root <> was").limit(1).count()
-        labels = new.select("id", "root")
+        dropped(now)
+        now = new
         if not changed:
-            return labels
+            dropped(links)
+            return now.select("id", "root")
 
 
 def themes(edges: DataFrame, min_size: int = C.THEME_SIZE) -> DataFrame:

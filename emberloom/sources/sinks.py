@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -12,18 +13,31 @@ from pyspark.sql import functions as F
 def publish(df: DataFrame, table: str) -> str:
     """Write a new version beside the old ones, and then a pointer with the next number: a pointer is never changed or
     removed, so readers always find a whole version, the old one or the new one."""
-    spark, name = df.sparkSession, f"{table}/v-{uuid.uuid4().hex}"
-    df.write.parquet(name)
-    _mark(spark, table, _latest(spark, table)[0] + 1, name.rsplit("/", 1)[1])
-    return name
-
-
-def published(spark: SparkSession, table: str) -> DataFrame:
-    """The version that the pointer with the highest number names."""
-    number, version = _latest(spark, table)
-    if not number:
+    folder = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table}/{folder}")
+    _point(df.sparkSession, table, {"": folder})
+    return f"{table}/{folder}"
+
+
+def publish_parts(df: DataFrame, table: str, part: str) -> None:
+    """Write new versions of the parts of a table that ``df`` has rows of, whole, and a pointer to them and to all other
+    parts as they were. ``part`` is a column of few values, which the table itself does not keep."""
+    spark, folder = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.partitionBy(part).parquet(f"{table}/{folder}")
+    target, system = _files(spark, f"{table}/{folder}")
+    made = [s.getPath().getName() for s in system.listStatus(target) if s.isDirectory()]
+    _point(spark, table, _parts(spark, table) | {name.split("=", 1)[1]: f"{folder}/{name}" for name in made})
+
+
+def published(spark: SparkSession, table: str, parts: list[str] | None = None) -> DataFrame:
+    """The version (or, of a table in parts, the version of each part or of some) that the last pointer names."""
+    found = _parts(spark, table)
+    if not found:
         raise FileNotFoundError(f"nothing is published under {table}")
-    return spark.read.parquet(f"{table}/{version}")
+    some = [p for k, p in found.items() if parts is None or k in parts]
+    if some:
+        return spark.read.parquet(*(f"{table}/{p}" for p in some))
+    return spark.read.parquet(f"{table}/{next(iter(found.values()))}").limit(0)
 
 
 def _files(spark: SparkSession, path: str):
@@ -31,18 +45,38 @@ def _files(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _latest(spark: SparkSession, table: str) -> tuple[int, str]:
-    """(number, version) of the last pointer, an empty file ``n.version`` below ``_pointers``; (0, "") before the first."""
+def _last(spark: SparkSession, table: str) -> int:
+    """Number of the last pointer; 0 before the first."""
     target, system = _files(spark, f"{table}/_pointers")
-    if not system.exists(target):
-        return 0, ""
-    found = [s.getPath().getName().split(".", 1) for s in system.listStatus(target)]
-    return max(((int(n), v) for n, v in found), default=(0, ""))
+    return max((int(s.getPath().getName().split(".")[0]) for s in system.listStatus(target)), default=0) if system.exists(target) else 0
 
 
-def _mark(spark: SparkSession, table: str, number: int, version: str) -> None:
-    target, system = _files(spark, f"{table}/_pointers/{number}.{version}")
-    system.create(target, False).close()
+def _parts(spark: SparkSession, table: str) -> dict[str, str]:
+    """The folder of each part that the last pointer names."""
+    number = _last(spark, table)
+    if not number:
+        return {}
+    target, system = _files(spark, f"{table}/_pointers/{number}.json")
+    stream = system.open(target)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, table: str, parts: dict[str, str]) -> None:
+    """Write the next pointer under another name and rename it, so that no reader finds half of one."""
+    number = _last(spark, table) + 1
+    draft, system = _files(spark, f"{table}/_drafts/{uuid.uuid4().hex}")
+    stream = system.create(draft, False)
+    try:
+        stream.write(bytearray(json.dumps(parts).encode()))
+    finally:
+        stream.close()
+    target, _ = _files(spark, f"{table}/_pointers/{number}.json")
+    system.mkdirs(target.getParent())
+    if not system.rename(draft, target):
+        raise FileExistsError(f"pointer {number} of {table} is there already: another writer was first")
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -22,21 +22,26 @@ def file_changes(spark: SparkSession, root: str, per_batch: int = 1000) -> DataF
     return found.select("path", F.unix_timestamp("modificationTime").alias("modified"), "length", F.decode("content", "utf-8").alias("content"))
 
 
-def index_stream(changes: DataFrame, table: str, checkpoint: str, now: Callable[[], int], root: str = ""):
-    """Upsert each batch of changed files into the published table, and run until the input is used up."""
+def index_stream(changes: DataFrame, table: str, checkpoint: str, now: Callable[[], int], root: str = "", parts: int = 64):
+    """Upsert each batch of changed files into the published table, and run until the input is used up. The table is kept
+    in parts by hash of the path, of which a batch rewrites only those that it touches."""
 
     def upsert(batch: DataFrame, _: int) -> None:
+        spark, part = batch.sparkSession, F.pmod(F.xxhash64("source_path"), F.lit(parts)).cast("string")
         fresh = ingest.parse_files(batch, now(), root)
-        latest = fresh.groupBy("source_path").agg(F.max_by(F.struct(*fresh.columns), "file_mtime").alias("r")).select("r.*")
+        latest = fresh.groupBy("source_path").agg(F.max_by(F.struct(*fresh.columns), "file_mtime").alias("r")).select("r.*").persist()
+        touched = [r.p for r in latest.select(part.alias("p")).distinct().collect()]  # parts at most
         try:
-            old = sinks.published(batch.sparkSession, table)
+            old = sinks.published(spark, table, touched)
         except FileNotFoundError:  # the first batch
-            sinks.publish(latest, table)
-            return
+            old = latest.limit(0)
         stay = old.join(latest.select("source_path"), "source_path", "left_anti")
         same = old.join(latest.select("source_path", "content_hash"), ["source_path", "content_hash"], "left_semi")
         new = latest.join(old.select("source_path", "content_hash"), ["source_path", "content_hash"], "left_anti")
-        sinks.publish(stay.unionByName(same.select(*stay.columns)).unionByName(new), table)
+        whole = stay.unionByName(same.select(*stay.columns)).unionByName(new)
+        if touched:
+            sinks.publish_parts(whole.withColumn("_part", part), table, "_part")
+        latest.unpersist()
 
     return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
