@@ -74,18 +74,47 @@ def collapse(text: Column, limit: int) -> Column:
 
 
 def word_snippet(text: Column, words: int = 32) -> Column:
-    """The first words with an ellipsis where the result differs in length from the text."""
-    short = F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda x: x != ""), 1, words), " ")
+    """The first words with an ellipsis where the result is shorter than the text."""
+    short = F.array_join(F.slice(F.split(text, r"\s+", -1), 1, words), " ")
     return F.when(F.length(short) < F.length(text), F.concat(short, F.lit("…"))).otherwise(short)
 
 
+def hit_snippet(text: Column, terms: list[str], words: int = 32, marks: tuple[str, str] = ("<mark>", "</mark>")) -> Column:
+    """A window of words that begins a quarter before the first hit of a term, with the hits in marks and an ellipsis
+    where the text goes on; the first words where there is no hit."""
+    cut = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    bare = F.transform(cut, lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    hit = F.get(F.filter(F.transform(bare, lambda x, i: F.when(x.isin(*terms), i)), lambda i: i.isNotNull()), F.lit(0))
+    start = F.greatest(F.lit(0), F.least(hit - words // 4, F.size(cut) - words))
+    marked = F.transform(F.slice(cut, start + 1, F.lit(words)), lambda x: highlight(x, terms, marks))
+    before, behind = F.when(start > 0, "…").otherwise(""), F.when(start + words < F.size(cut), "…").otherwise("")
+    return F.when(hit.isNull(), word_snippet(text, words)).otherwise(F.concat(before, F.array_join(marked, " "), behind))
+
+
 def char_snippet(text: Column, chars: int = 240) -> Column:
     return F.when(F.length(text) > chars, F.concat(F.left(text, F.lit(chars)), F.lit("…"))).otherwise(text)
 
 
-def highlight(text: Column, terms: list[str]) -> Column:
-    """Whole-word hits of the terms in brackets."""
-    return F.regexp_replace(text, rf"(?i)\b({'|'.join(terms)})\b", "[$1]")
+def highlight(text: Column, terms: list[str], marks: tuple[str, str] = ("[", "]")) -> Column:
+    """Whole-word hits of the terms between marks."""
+    return F.regexp_replace(text, rf"(?iu)\b({'|'.join(terms)})\b", f"{marks[0]}$1{marks[1]}")
+
+
+#: Keys of an episode's front matter that count. Fixed values.
+FRONT_KEYS = ("date", "session_id", "project", "turns", "promoted", "value_score", "value_source", "value_rubric_version", "value_model")
+
+
+def front_matter_map(block: Column) -> Column:
+    """The known keys of a front-matter block with their values as text: true and false in lower case, whole numbers
+    without leading zeros, no empty values, no score out of range. A key that is there twice has its last value."""
+    lines = F.filter(F.split(block, r"\r?\n"), lambda x: F.contains(x, F.lit(":")))
+    value = lambda x: F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1))
+    plain = lambda v: F.when(F.lower(v).isin("true", "false"), F.lower(v)).when(v.rlike(r"^\d+$"), F.regexp_replace(v, r"^0+(?=\d)", "")).otherwise(v)
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), plain(value(x)).alias("v")))
+    known = F.filter(pairs, lambda p: p["k"].isin(*FRONT_KEYS) & (p["v"] != ""))
+    keys = F.array_distinct(F.transform(known, lambda p: p["k"]))
+    last = F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(known, lambda p: p["k"] == k), -1)["v"].alias("v")))
+    return F.map_from_entries(F.filter(last, lambda p: (p["k"] != "value_score") | p["v"].rlike("^[0-4]$")))
 
 
 def is_slug(text: Column) -> Column:

@@ -160,3 +160,9 @@ def priority_order(work: DataFrame, overloaded: bool = False) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
     rows = work.where(rank > 0).withColumn("rank", rank.cast("int"))
     return rows.orderBy("rank", "priority", "ticket").limit(5 if overloaded else 7)
+
+
+def estimate_bias(rows: DataFrame, key: str, actual: str = "actual", estimate: str = "estimate") -> DataFrame:
+    """``key`` and ``bias``: the median of actual over estimated; rows without an estimate, or of zero, are left out."""
+    known = rows.where((F.col(estimate) > 0) & F.col(actual).isNotNull())
+    return known.groupBy(key).agg(F.median(F.col(actual) / F.col(estimate)).alias("bias"))

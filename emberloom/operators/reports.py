@@ -94,9 +94,10 @@ def continuity(promised: DataFrame, done: DataFrame) -> DataFrame:
     return p.join(d, "item", "left").withColumn("kept", F.coalesce(F.col("done") > F.col("promised"), F.lit(False)))
 
 
-def request_rollup(log: DataFrame) -> DataFrame:
-    """Per request its lines, span, last status, errors, and whether its counters add up."""
-    rows = log.groupBy("session", "request").agg(
+def request_rollup(log: DataFrame, keys: tuple[str, ...] = ("session", "request")) -> DataFrame:
+    """Per request (or whatever ``keys`` name: a session, a batch) its lines, span, last status, errors, and whether the
+    counters of its latest line add up."""
+    rows = log.groupBy(*keys).agg(
         F.count("*").alias("lines"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
@@ -152,12 +153,30 @@ def signals(prs: DataFrame, login: str) -> DataFrame:
     return prs.select("*", F.explode(found).alias("signal"))
 
 
-def digest_text(title: Column, items: Column, cap: int) -> Column:
-    """A digest for a reader: the title, a line for each item, cut to the cap with a count of what is left out."""
-    lines = F.transform(items, lambda x: F.concat(F.lit("- "), x))
-    whole = F.concat_ws("\n", title, F.array_join(lines, "\n"))
-    cut = F.concat(F.left(whole, F.lit(cap)), F.lit("\n… of "), F.size(items).cast("string"), F.lit(" items"))
-    return F.when(F.length(whole) > cap, cut).otherwise(whole)
+def digest_line(agent: Column, status: Column, run_at: Column, items: Column, labels: dict[str, str]) -> Column:
+    """A queued run in one line: its label and day, and what it flagged. ``items`` are structs of ``pr_number``,
+    ``title``, ``type``, ``key``, ``days_stale`` and ``status``, of which an agent's have some."""
+    named = F.lit(None).cast("string")
+    for name, label in labels.items():
+        named = F.when(agent == name, label).otherwise(named)
+    head = F.concat(F.coalesce(named, agent), F.lit(" ("), F.coalesce(F.left(run_at, F.lit(10)), F.lit("unknown")), F.lit("): "))
+    n = F.coalesce(F.size(items), F.lit(0))
+    join = lambda f: F.array_join(F.transform(items, f), ", ")
+    prs = join(lambda x: F.concat(F.lit("#"), x["pr_number"].cast("string"), F.lit(' "'), x["title"], F.lit('" ('), x["type"], F.lit(")")))
+    stale = join(lambda x: F.concat(x["key"], F.lit(" "), x["days_stale"].cast("string"), F.lit("d stale ("), x["status"], F.lit(")")))
+    said = F.when(status == "error", "ERROR — skipped run").when(n <= 0, "nothing flagged")
+    said = said.when(agent == "pr-surveillance", F.concat(n.cast("string"), F.lit(" flagged — "), prs)).when(agent == "sprint-staleness", stale)
+    return F.concat(head, said.otherwise(F.concat(n.cast("string"), F.lit(" item(s)"))))
+
+
+def digest(entries: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """``text``: the digest of the runs in a queue (``agent``, ``status``, ``run_at``, ``items``) in order of time; no row
+    where there are none. A queue holds the runs since the last session."""
+    line = digest_line(*(F.col(c) for c in ("agent", "status", "run_at", "items")), labels or {})
+    rows = entries.select(F.struct(F.coalesce("run_at", F.lit("")).alias("at"), line.alias("line")).alias("x"))
+    found = rows.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("x")).alias("l")).where("n > 0")
+    head = F.concat(F.lit("[Background Digest — "), F.col("n").cast("string"), F.lit(" run(s) since last session]"))
+    return found.select(F.concat_ws("\n", head, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
 
 
 def top_with_rest(rows: DataFrame, order: list[Column], shown: int = 8) -> tuple[DataFrame, int]:

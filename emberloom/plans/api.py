@@ -50,7 +50,9 @@ def search_memory(m: Memory, query: str, query_vector: list[float] | None, now:
     allowed = o.where(where).select("id")
     vec = m.spark.createDataFrame([], "id long, vec_pos int") if query_vector is None else search.vector_candidates(m.vectors, query_vector, limit, allowed)
     found = search.hybrid(kw, vec, o.select("id", "title", "content", "indexed_at"), search.access_stats(m.access), query, now, limit)
-    return found.withColumn("snippet", text.word_snippet(F.col("content")))
+    terms = sorted({t for phrase in search.phrases_of(search.parse_query(query)) for t in phrase})
+    words = text.word_snippet(F.col("content"))
+    return found.withColumn("snippet", F.when(F.col("fts_pos").isNotNull(), text.hit_snippet(F.col("content"), terms)).otherwise(words) if terms else words)
 
 
 def access_bump(results: DataFrame, now: int) -> DataFrame:

@@ -1002,3 +1002,25 @@ def counter_faults(spark, sf_dir):
     """Counters that cannot be right."""
     b = t(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as batch", "cast(l_quantity as bigint) as items", "case when l_linenumber = 2 then cast(l_quantity as bigint) else cast(l_quantity - l_linenumber as bigint) + 2 end as downloaded", "l_linenumber - 1 as failed", "cast(round(l_tax * 700) as bigint) as verified", "l_linestatus = 'F' as completed")
     return reports.counter_faults(b).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query("select l_returnflag, round(median(l_extendedprice / (l_quantity * 1500)), 6) as bias from lineitem where l_quantity > 0 group by 1")
+def estimate_bias(spark, sf_dir):
+    """Prices against an estimate by quantity."""
+    rows = t(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("actual"), (F.col("l_quantity") * 1500).alias("estimate"))
+    return metrics.estimate_bias(rows, "l_returnflag").select("l_returnflag", six("bias").alias("bias"))
+
+
+@query(f"""with l as ({_LOG}), r as (select session, count(*) as lines, min(ts) as first_ts, max(ts) as last_ts, arg_max(status, {{'a': ts, 'b': line}}) as status, count(*) filter (level = 'ERROR') as errors,
+ arg_max(total = done + failed + pending, {{'a': ts, 'b': line}}) as adds_up from l group by 1) select * from r""")
+def session_rollup(spark, sf_dir):
+    """The same of each session of the log."""
+    return reports.request_rollup(made(spark, sf_dir, _LOG, "events"), ("session",))
+
+
+@query("""select doc_id, regexp_replace(source, '^0+([0-9])', '\\1') as project, case when doc_id % 7 <= 4 then (doc_id % 7)::varchar end as value_score, case when doc_id % 2 = 0 then 'true' else 'false' end as promoted, 3 + (doc_id % 7 <= 4)::int as n from documents""")
+def front_matter_values(spark, sf_dir):
+    """Known front-matter values of a block made of each document."""
+    block = F.expr("concat('project: ', source, '\n', 'value_score: 0', doc_id % 7, '\n', 'turns: x\nturns: 007\nother: 1\ndate:\nno colon\npromoted: ', if(doc_id % 2 = 0, 'True', 'FALSE'))")
+    rows = t(spark, sf_dir, "documents").select("doc_id", text.front_matter_map(block).alias("m"))
+    return rows.select("doc_id", *(F.col("m")[k].alias(k) for k in ("project", "value_score", "promoted")), F.size("m").alias("n"))

@@ -77,8 +77,14 @@ def test_observation_digest_and_bands(spark):
     assert a.decisions[:3] == ["x", "", "y" * 500] and len(a.decisions) == 20 and [tuple(f) for f in a.files_of_note] == [("p", "r")]
     assert (b.summary, b.project, b.decisions, b.files_of_note, b.value_score) == ("", None, [], [], None) and c.value_score is None
     assert [r.s for r in rows.where("o is not null").select(events.has_signal(F.col("o")).alias("s")).collect()] == [True, False, False]
-    d = spark.range(1).select(reports.digest_text(F.lit("T"), F.array(F.lit("one"), F.lit("two")), 7).alias("d")).first().d
-    assert d == "T\n- one\n… of 2 items"
+    item = "struct<pr_number:int,title:string,type:string,key:string,days_stale:int,status:string>"
+    queue = [("pr-surveillance", "ok", "2026-01-02T03:04", [(7, "Fix", "ci-failed", None, None, None)]), ("sprint-staleness", "ok", None, [(None, None, None, "T-1", 4, "Open"), (None, None, None, "T-2", 9, "Open")]), ("x", "error", "2026-01-03T00:00", []), ("y", "ok", "2026-01-04T00:00", None), ("z", "ok", "2026-01-05T00:00", [(1, "", "", "", 1, "")])]
+    d = reports.digest(spark.createDataFrame(queue, f"agent string, status string, run_at string, items array<{item}>"), {"pr-surveillance": "Reviews"})
+    assert d.first().text.split("\n") == ["[Background Digest — 5 run(s) since last session]", "sprint-staleness (unknown): T-1 4d stale (Open), T-2 9d stale (Open)", 'Reviews (2026-01-02): 1 flagged — #7 "Fix" (ci-failed)', "x (2026-01-03): ERROR — skipped run", "y (2026-01-04): nothing flagged", "z (2026-01-05): 1 item(s)"]
+    assert reports.digest(spark.createDataFrame([], f"agent string, status string, run_at string, items array<{item}>")).count() == 0
+    long = " ".join(f"w{i}" for i in range(100)) + " Hit, end"
+    cut = spark.createDataFrame([(long,), ("a hit",), ("none here",), (None,)], "t string").select(text.hit_snippet(F.col("t"), ["hit"], 8).alias("s"))
+    assert [r.s for r in cut.collect()] == ["…w94 w95 w96 w97 w98 w99 <mark>Hit</mark>, end", "a <mark>hit</mark>", "none here", None]
     assert [r[0] for r in spark.createDataFrame([(95,), (70,), (10,)], "x int").select(reports.banded(F.col("x"))).collect()] == ["strong", "sound", "poor"]
 
 
