@@ -69,15 +69,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
+    """``doc_id``, ``fp`` (the fingerprint as a signed long) and ``h`` (a hash of the text) of every row."""
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             made = np.array([fingerprint(shingle_hashes(t, words_per_shingle)) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), batch.column(2)], names=["doc_id", "fp", "h"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, fp long, h long")
 
 
 def _bit_table(fps: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ def _values(fps: np.ndarray, group: list[int]) -> np.ndarray:
 
 
 def candidate_counts(nodes: DataFrame, groups: list[list[int]]) -> np.ndarray:
-    """Estimated pairs per partition at thresholds 0, 1 and 2, from histograms over all nodes.
+    """Estimated pairs per partition at thresholds 0 and 1, from histograms over all nodes.
 
     A histogram takes the first 16 bits of a group at most (a bound on its size); further bits count as even.
     """
@@ -148,18 +148,17 @@ def candidate_counts(nodes: DataFrame, groups: list[list[int]]) -> np.ndarray:
 
     rows = nodes.select("fp").mapInArrow(run, "part int, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n"))
     table = rows.toPandas()  # m x 65536 rows at most
-    out = np.zeros((len(groups), 3))
+    out = np.zeros((len(groups), 2))
     for i, w in enumerate(width):
         h = np.zeros(1 << w)
         own = table[table.part == i]
         h[own["value"].to_numpy(np.int64)] = own.n.to_numpy(np.float64)
         at = np.arange(1 << w)
         one = sum(h[at ^ (1 << b)] for b in range(w))
-        two = (sum(one[at ^ (1 << b)] for b in range(w)) - w * h) / 2
         thin = 2.0 ** -(len(groups[i]) - w)
         extra = len(groups[i]) - w
-        near = [h @ h / 2, h @ one / 2, h @ two / 2]
-        out[i] = [near[0] * thin, (near[0] * (1 + extra) + near[1]) * thin, (near[0] * (1 + extra + extra * (extra - 1) / 2) + near[1] * (1 + extra) + near[2]) * thin]
+        near = [h @ h / 2, h @ one / 2]
+        out[i] = [near[0] * thin, (near[0] * (1 + extra) + near[1]) * thin]
     return out
 
 
@@ -290,26 +289,35 @@ def _bucket_edges(fp, own, starts, cut, lo, hi, distance) -> list[tuple[int, int
     return out
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words_per_shingle: int = 3) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
+def _rooted(docs: DataFrame, distance: int, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id``, ``fp`` and ``h`` (hash of the text) of every row; ``fp``, ``root`` and the smallest ``first`` of every
+    fingerprint)."""
     prints = scratch.stash(fingerprints(docs, words_per_shingle), "fingerprints")
-    nodes = scratch.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = scratch.stash(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("doc_id").alias("low")), "nodes")
     n = nodes.count()
     m = next((m for m, most in PARTS if n <= most), 2)
     groups = group_bits(bit_correlations(nodes), m)
     thresholds = allocate(candidate_counts(nodes, groups), distance)
     labels = components(links(nodes, groups, thresholds, distance))
     linked = nodes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    root = F.coalesce("root", "fp")
-    smallest = linked.groupBy(root.alias("root")).agg(F.min("first").alias("component_id"))
-    ids = linked.select("fp", root.alias("root")).join(smallest, "root").select("fp", "component_id")
+    return prints, linked.select("fp", F.coalesce("root", "fp").alias("root"), "first", "low")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words_per_shingle: int = 3) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
+    prints, nodes = _rooted(docs, distance, words_per_shingle)
+    smallest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    ids = nodes.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(ids, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, distance: int = DISTANCE, words_per_shingle: int = 3) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each component, once; rows without an id cannot be told apart
-    by one, and all stay."""
-    found = near_duplicates(docs, distance, words_per_shingle)
-    ids = scratch.stash(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """The document with the smallest ``doc_id`` of each component, once. Several texts of one ``doc_id`` are several
+    documents, told apart by a hash of the text; rows without an id all stay."""
+    prints, nodes = _rooted(docs.where("doc_id is not null"), distance, words_per_shingle)
+    first = nodes.groupBy("root").agg(F.min("first").alias("k"))
+    kept = scratch.stash(first.select(F.col("k.doc_id").alias("i"), F.col("k.h").alias("t")).distinct(), "kept")
+    known = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"))
+    own = known.join(kept, ["i", "t"], "left_semi").dropDuplicates(["i", "t"]).select("row.*")
+    return own.union(docs.where("doc_id is null"))

@@ -181,6 +181,15 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    words = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnop", k=40))
+    rows = [(3, words(1)), (5, words(1)), (5, words(2)), (5, words(2)), (5, words(3)), (7, words(3)), (None, words(1)), (9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("t", F.lit(2))
+    got = simhash.keep_one_of_each(docs, 3, 5)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, words(1)), (5, words(2)), (5, words(3)), (None, words(1)), (9, None)])
+
+
 def test_hot_bucket_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
     dice = random.Random(6)
