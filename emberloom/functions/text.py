@@ -144,10 +144,19 @@ def ticket_keys(*texts: Column) -> Column:
     return F.array_distinct(F.concat(*every))
 
 
+#: What a server's command line shows: the package a runner starts, the folder of an index script (built or not), a path
+#: segment with mcp in it; and what goes from a name: scope, version, platform. Fixed values.
+PACKAGE = r"(?:npm exec|npx|uvx)\s+(.+)"
+SCRIPTS = (r"/([^/\s]+)/dist/index\.[mc]?[jt]s\b", r"/([^/\s]+)/index\.[mc]?[jt]s\b")
+SEGMENT = r"(?i)/([^/\s]*mcp[^/\s]*)"
+SCOPE, VERSION, PLATFORM = r"^@[^/]+/", r"@.*$", r"(?i)-(?:darwin|linux|win32)-(?:arm64|x64|x86_64).*$"
+
+
 def server_base(name: Column) -> Column:
-    """A package or folder name without scope, version, platform and the given prefix of a vendor's packages."""
-    name = F.regexp_replace(F.regexp_replace(name, r"^@[^/]+/", ""), r"@.*$", "")
-    return F.regexp_replace(name, r"(?i)-(?:darwin|linux|win32)-(?:arm64|x64|x86_64).*$", "")
+    """A package or folder name without scope, version and platform."""
+    for part in (SCOPE, VERSION, PLATFORM):
+        name = F.regexp_replace(name, part, "")
+    return name
 
 
 def server_name(command: Column, known: tuple[tuple[str, str], ...] = (), prefix: str = "") -> Column:
@@ -155,13 +164,12 @@ def server_name(command: Column, known: tuple[tuple[str, str], ...] = (), prefix
     runner starts (its flags left out), else the folder of an index script, else the path segment with ``mcp`` in
     it, else the program. ``prefix`` is a start of names that goes."""
     part = lambda pattern: F.nullif(F.regexp_extract(command, pattern, 1), F.lit(""))
-    words = F.filter(F.split(part(r"(?:npm exec|npx|uvx)\s+(.+)"), r"\s+"), lambda t: (t != "") & ~t.startswith("-"))
+    words = F.filter(F.split(part(PACKAGE), r"\s+"), lambda t: (t != "") & ~t.startswith("-"))
     program = F.regexp_extract(F.split_part(command, F.lit(" "), F.lit(1)), r"([^/]*)$", 1)
     found = F.coalesce(
         F.get(words, F.lit(0)),
-        part(r"/([^/\s]+)/dist/index\.[mc]?[jt]s\b"),
-        part(r"/([^/\s]+)/index\.[mc]?[jt]s\b"),
-        part(r"(?i)/([^/\s]*mcp[^/\s]*)"),
+        *map(part, SCRIPTS),
+        part(SEGMENT),
         F.nullif(program, F.lit("")),
         F.lit("other"),
     )

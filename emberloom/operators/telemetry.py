@@ -86,7 +86,7 @@ def memory_of(sample: Column) -> Column:
 class ProcessRules:
     """Patterns that tell processes apart by their command lines. ``program`` starts an interactive session,
     ``versions`` with the flags of a resumed session a forked one; ``helpers`` belong to no session; ``own`` is the
-    sampler itself. ``known`` servers are (part of the command, name)."""
+    sampler itself. ``known`` servers are (part of the command, name). The defaults are fixed values."""
 
     program: str = r"/\.local/bin/agent(\s|$)"
     versions: str = r"/versions/[\d.]+"
