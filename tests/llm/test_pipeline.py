@@ -1,9 +1,16 @@
-"""The pipeline's stages on sf0.001, each on what its predecessor kept."""
+"""The pipeline's stages on sf0.001, each on what its predecessor kept, and the whole of it against brute force."""
 
+import random
 import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import tiktoken
+from test_training_operators import naive_components, naive_distance, naive_fingerprint
 
 import corpus_pipeline
-from emberloom.llm import decontam
+from emberloom.llm import bpe, decontam, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +36,65 @@ def test_stages(spark):
         before = now
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in last} == set(before) and all(len(r.ids) == 4 * r.n_tokens for r in last)
+
+
+def naive_line_dedup(texts):
+    """Every pair of positions: where equal lines run on for 30 words or more, the later ones go."""
+    raw = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in texts.items()}
+    units = {i: [x.strip(" \n") for x in lines] for i, lines in raw.items()}
+    gone = {i: set() for i in texts}
+    for i in texts:
+        for j in texts:
+            if i > j:
+                continue
+            a, b = units[i], units[j]
+            for q in range(len(a)):
+                for p in range(q + 1 if i == j else 0, len(b)):
+                    k = 0
+                    while q + k < len(a) and p + k < len(b) and a[q + k] == b[p + k]:
+                        k += 1
+                    if sum(x.count(" ") + 1 for x in b[p : p + k] if x) >= 30:
+                        gone[j] |= set(range(p, p + k))
+    return {i: "".join(x for n, x in enumerate(lines) if n not in gone[i]) for i, lines in raw.items()}
+
+
+def test_pipeline_by_its_definition(spark, tmp_path):
+    dice, words = random.Random(4), [f"word{i}" for i in range(60)]
+    line = lambda: " ".join(dice.choices(words, k=dice.randint(4, 12))).capitalize() + dice.choice([". ", ".\n"])
+    passage = "".join(line() for _ in range(6))
+    items = {n: " ".join(dice.choices(words, k=9)) for n in range(4)}
+    texts, good = {}, {}
+    for i in range(1, 61):
+        good[i] = i % 3 > 0
+        body = "".join(line() for _ in range(dice.randint(4, 9)))
+        texts[i] = body if good[i] else "!!! ".join(body.upper().split()[:20]) + " $$$ 99 %%% 1 2 3 4 !!!"
+    for i in (10, 20, 35, 50):
+        texts[i] = texts[i] + passage + "The end."
+    texts[7] = line() + line()  # too short for the lines to go
+    texts[22], texts[40] = texts[7], texts[7].lower()
+    for n, i in enumerate((5, 14, 26, 59)):
+        texts[i] += items[n].replace("word1", "Word1").replace("word", "wrd", 1 + n % 2) + " and more."
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(g), 0) for i, g in good.items()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    ids = [i for i in sorted(good) if zlib.crc32(str(i).encode()) % 4 != 2]
+    ranker = quality.fit(np.array([quality.features(texts[i]) for i in ids]), np.array([good[i] for i in ids]))
+    kept = {i: t for i, t in texts.items() if ranker.score(quality.features(t)[None])[0] >= 0.7}
+    assert 0 < len(kept) < len(texts)
+    clean = naive_line_dedup(kept)
+    assert clean != kept
+    prints = {i: naive_fingerprint(t, 5) for i, t in clean.items()}
+    root = naive_components(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(root[prints[i]], i)
+    single = {i: clean[i] for i in first.values()}
+    assert len(single) < len(clean)
+    leaks = lambda t: any(naive_distance(decontam.normal(x), decontam.normal(t)) <= decontam.budget(len(decontam.normal(x))) for x in items.values())
+    last = {i: t for i, t in single.items() if not leaks(t)}
+    assert len(last) < len(single)
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = {i: np.array(coder.encode_ordinary(t), "<u4").tobytes() for i, t in last.items()}
+    assert {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
