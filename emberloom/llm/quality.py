@@ -4,16 +4,17 @@ A labelled good document is preferred to a labelled bad one. The chance that a i
 ``sigmoid(w . (x_a - x_b))``, so the weights come from logistic loss on feature differences without an
 intercept. A document's strength is ``w . x``; strengths have no zero of their own, so the cut is a quantile of
 the training strengths: the share of bad documents among the labels. The reported score is
-``sigmoid(strength - cut + logit(0.7))``: 0.7 or more is at or above the cut.
+``sigmoid(strength - cut + logit(0.7))``: 0.7 or more is at or above the cut. Share and quantile are of all labelled
+documents outside the held-out fold, and exact: histograms narrow the place of the quantile down.
 
 Features are read from the whole text: length, shares of character kinds, word shape, repetition of words and
 lines. Language, source and ids are not features. The fit takes at most ``FIT_ROWS`` labelled rows (those with
-the smallest hashes of their ids) and ``PAIRS`` pairs, so it is the same size for any corpus; scoring covers
-every row.
+the smallest hashes of their ids) and ``PAIRS`` pairs, so it is the same size for any corpus; the cut and the
+scores cover every row.
 
 Defined cases: a null or empty text has all features zero and is scored like any; null ``doc_id`` or null
 label: not a training row; several labels of one id: the highest; several texts of a labelled id: the first in
-order of text is the training row; repeated rows each give a row; other columns are not read; where the labels hold no pair, nothing can be ranked and every score is 0.7 (all are kept).
+order of text is the training row, and the weakest counts for the cut; repeated rows each give a row; other columns are not read; where the labels hold no pair, nothing can be ranked and every score is 0.7 (all are kept).
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from emberloom.llm import scratch
 from emberloom.llm.brown import held_out
 
 FIT_ROWS = 12_000
@@ -93,9 +96,12 @@ class Ranker:
         return np.clip((x - self.middle) / self.scale, -6, 6) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        return self.score_of(self.strength(x))
+
+    def score_of(self, strength: np.ndarray) -> np.ndarray:
         shift = np.log(CUT_SCORE / (1 - CUT_SCORE))
         # rounding keeps what is at the cut at the cut
-        return np.round(1 / (1 + np.exp(-np.clip(self.strength(x) - self.cut + shift, -40, 40))), 9)
+        return np.round(1 / (1 + np.exp(-np.clip(strength - self.cut + shift, -40, 40))), 9)
 
 
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS) -> Ranker:
@@ -134,39 +140,85 @@ def with_features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rows: int = FIT_ROWS) -> Ranker:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rows: int = FIT_ROWS) -> tuple[Ranker, DataFrame]:
+    """The ranker fitted on at most ``rows`` labelled documents outside the held-out fold, and all labels of it."""
     ids = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality is not null")
     ids = ids.where(~held_out(F.col("doc_id"), mod)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # rows ids at most
     found = with_features(chosen).join(F.broadcast(some), "doc_id").orderBy("doc_id").collect()  # rows feature rows at most
-    return fit(np.array([r.x for r in found]).reshape(-1, N_FEATURES), np.array([r.quality > 0 for r in found], bool))
+    return fit(np.array([r.x for r in found]).reshape(-1, N_FEATURES), np.array([r.quality > 0 for r in found], bool)), ids
+
+
+def kth(values: DataFrame, k: int, few: int = 10_000) -> float:
+    """The value of column ``v`` that has ``k`` before it in order: each round counts the values in 1,024 equal steps and
+    goes on with the step that it lies in."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    while low < high:
+        inside = values.where(F.col("v").between(low, high))
+        step = F.least(F.floor((F.col("v") - low) / ((high - low) / 1024)), F.lit(1023))
+        counts = inside.groupBy(step.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()  # 1,024 rows
+        for r in counts:
+            if k < r.n:
+                break
+            k -= r.n
+        low, high = r.low, r.high
+        if r.n <= few:
+            return sorted(x.v for x in values.where(F.col("v").between(low, high)).collect())[k]  # few rows
+    return low
+
+
+def settle(ranker: Ranker, strengths: DataFrame, ids: DataFrame) -> Ranker:
+    """The ranker with its cut at the share of bad ones of all labelled documents. ``strengths``: ``doc_id``, ``v``."""
+    known = scratch.stash(strengths.groupBy("doc_id").agg(F.min("v").alias("v")).join(ids, "doc_id"), "strengths")
+    n, bad = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") <= 0).cast("long")), F.lit(0))).first()
+    if ranker.weights.any() and 0 < bad < n:
+        ranker.cut = float((kth(known, bad - 1) + kth(known, bad)) / 2)
+    scratch.drop(known)
+    return ranker
 
 
 def scores(docs: DataFrame, labels: DataFrame, mod: int = 4) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row."""
-    ranker = train(docs, labels, mod)
+    ranker, ids = train(docs, labels, mod)
 
-    def run(batches):
+    def measure(batches):
+        for batch in batches:
+            x = np.array([features(t or "") for t in batch.column(1).to_pylist()]).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranker.strength(x), pa.float64())], names=["doc_id", "v"])
+
+    rows = scratch.stash(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id long, v double"), "measured")
+    settled = settle(ranker, rows, ids)
+
+    def score(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            x = np.array([features(t or "") for t in texts]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranker.score(x), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(settled.score_of(batch.column(1).to_numpy()), pa.float64())], names=["doc_id", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     keep = F.when(F.col("score") >= CUT_SCORE, 1).otherwise(0)
+    found = rows.mapInArrow(score, "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), "score", keep.alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, mod: int = 4) -> DataFrame:
-    """The rows whose own text scores at or above the cut, with all their columns."""
-    ranker = train(docs, labels, mod)
-    text = docs.columns.index("text")
-
-    def run(batches):
+    """The rows whose own text scores at or above the cut, with all their columns. They are written with their strengths,
+    so that no text is measured twice."""
+    ranker, ids = train(docs, labels, mod)
+    names, text, name = docs.columns, docs.columns.index("text"), "_strength"
+    while name in names:
+        name += "_"
+    kind = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def measure(batches):
         for batch in batches:
             x = np.array([features(t or "") for t in batch.column(text).to_pylist()]).reshape(-1, N_FEATURES)
-            yield batch.filter(pa.array(ranker.score(x) >= CUT_SCORE))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranker.strength(x), pa.float64())], names=kind.names)
+
+    rows = scratch.stash(docs.mapInArrow(measure, kind), "measured")
+    settled = settle(ranker, rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("v")), ids)
+
+    def choose(batches):
+        for batch in batches:
+            good = settled.score_of(batch.column(len(names)).to_numpy()) >= CUT_SCORE
+            yield batch.filter(pa.array(good)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(choose, docs.schema)

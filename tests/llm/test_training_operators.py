@@ -327,6 +327,19 @@ def test_quality_is_the_rankers_of_all_rows(spark):
     assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-8) and all(r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_the_cut_is_of_all_labels(spark, monkeypatch):
+    dice = np.random.default_rng(5)
+    v = np.concatenate([dice.normal(size=4000), np.zeros(500), [1e6]])
+    values = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3)
+    assert [quality.kth(values, k, few=7) for k in (0, 1999, 2200, 4499, 4500)] == np.sort(v)[[0, 1999, 2200, 4499, 4500]].tolist()
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    ranker, ids = quality.train(docs, labels, rows=60)
+    rows = [(r.doc_id, float(ranker.strength(quality.features(r.text or "")[None])[0]), r.quality) for r in docs.join(ids, "doc_id").collect()]
+    order, bad = sorted(x for _, x, _ in rows), sum(q <= 0 for _, _, q in rows)
+    settled = quality.settle(ranker, spark.createDataFrame([r[:2] for r in rows], "doc_id long, v double"), ids)
+    assert settled.cut == (order[bad - 1] + order[bad]) / 2 and len(rows) > 200
+
+
 def test_quality_without_pairs_keeps_all(spark, docs):
     labels = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, quality int")
     assert quality.keep_good(docs, labels).count() == docs.count()
