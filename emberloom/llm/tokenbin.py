@@ -163,13 +163,13 @@ def _block(doc_ids: list, ids: list[bytes], bits: int) -> tuple[bytes, int]:
     return head + names + np.array([len(x) // 4 for x in ids], dtype="<u4").tobytes() + pack(flat, bits), len(flat)
 
 
-def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES, block_ids: int = BLOCK_IDS) -> None:
     """Encode every text, append ``end_id``, and write the files in ascending ``doc_id`` order."""
 
     def run(batches):
         coder = _coder(tokenizer_path)
         bits, end = bits_for(coder.vocab_size), int(end_id).to_bytes(4, "little")
-        file = _File(bits)
+        file = _File(bits, file_records, file_bytes)
         kept_docs, kept_ids, kept = [], [], 0
         with no_collection():
             for batch in batches:
@@ -180,12 +180,12 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
                         kept_docs.append(doc_id)
                         kept_ids.append(ids + end)
                         kept += len(ids) // 4 + 1
-                        if kept >= BLOCK_IDS:
+                        if kept >= block_ids:
                             yield _records([file.block(kept_docs, kept_ids)])
                             kept_docs, kept_ids, kept = [], [], 0
                             if file.full():
                                 yield _records(file.close(fill=True))
-                                file = _File(bits, file.number + 1)
+                                file = _File(bits, file_records, file_bytes, file.number + 1)
             if kept_docs:
                 yield _records([file.block(kept_docs, kept_ids)])
             if file.offsets:
@@ -194,14 +194,14 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     packed = ordered.mapInArrow(run, "data binary")
     lines = packed.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\n")
-    lines.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.option("maxRecordsPerFile", file_records).text(path)
 
 
 class _File:
     """Offsets and sums of the file that a task is writing."""
 
-    def __init__(self, bits: int, number: int = 0):
-        self.bits, self.number = bits, number
+    def __init__(self, bits: int, most_records: int, most_bytes: int, number: int = 0):
+        self.bits, self.most_records, self.most_bytes, self.number = bits, most_records, most_bytes, number
         self.offsets: list[int] = []
         self.firsts: list[int] = []
         self.total = self.place = 0
@@ -217,13 +217,13 @@ class _File:
         return data
 
     def full(self) -> bool:
-        return len(self.offsets) >= FILE_RECORDS - 1 or self.place >= FILE_BYTES
+        return len(self.offsets) >= self.most_records - 1 or self.place >= self.most_bytes
 
     def close(self, fill: bool = False) -> list[bytes]:
         """The last records: empty ones, where the writer has to start another file behind, and the footer."""
         foot = struct.pack(_FOOT, b"EMTF", len(self.offsets)) + np.array(self.offsets, "<u8").tobytes() + np.array(self.firsts, "<u8").tobytes()
         foot += struct.pack(_END, self.first_doc, self.total, self.number, len(foot) + _END_BYTES, b"EMTE")
-        return [b""] * ((FILE_RECORDS - 1 - len(self.offsets)) * fill) + [foot]
+        return [b""] * ((self.most_records - 1 - len(self.offsets)) * fill) + [foot]
 
 
 def _records(data: list[bytes]) -> pa.RecordBatch:

@@ -98,12 +98,10 @@ def test_token_files_round_trip(docs, local, spark):
     assert tokenbin.offsets_and_digests(empty(spark), WORDS, 1).count() == 0
 
 
-def test_token_files_are_bounded(docs, spark, monkeypatch):
+def test_token_files_are_bounded(docs, spark):
     want = sorted(map(tuple, tokenbin.offsets_and_digests(docs, WORDS, 1).collect()), key=str)
-    for name, value in (("FILE_RECORDS", 4), ("FILE_BYTES", 300), ("BLOCK_IDS", 40)):
-        monkeypatch.setattr(tokenbin, name, value)
     path = tokenbin.scratch.new_path(spark, "tokens")
-    tokenbin.write_files(docs, path, WORDS, 1)
+    tokenbin.write_files(docs, path, WORDS, 1, file_records=4, file_bytes=300, block_ids=40)
     files = [r.content for r in spark.read.format("binaryFile").load(path).collect()]
     found = [tokenbin.read_footer(x) for x in files]
     assert len(files) > 8 and max(len(o) for o, _, _, _ in found) <= 3
