@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberloom.llm import bpe, brown, crosstok, decontam, linededup, media, negatives, quality, simhash, tokenbin, urlfilter, warc
+from emberloom.llm import bpe, brown, crosstok, decontam, jaccard, linededup, media, negatives, quality, simhash, tokenbin, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document: links at a Jaccard of 85 % of its 4-word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negatives near the positives of every hundredth vector; a seventh of the labels is moved on by one."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -85,7 +90,7 @@ def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_url_lists, op3_jpeg, op4_brown_lm, op5_decontamination, op6_warc, op7_line_dedup, op8_simhash, op9_token_files, op10_byte_bpe, op12_hard_negatives, op13_cross_tokenizer)
+    for f in (op1_quality, op2_url_lists, op3_jpeg, op4_brown_lm, op5_decontamination, op6_warc, op7_line_dedup, op8_simhash, op9_token_files, op10_byte_bpe, op11_jaccard_join, op12_hard_negatives, op13_cross_tokenizer)
 }
 
-SQL: dict[str, str] = {"op2_url_lists": urlfilter.EVALUATE_SQL, "op6_warc": warc.HISTORIES_SQL, "op7_line_dedup": linededup.DIGEST_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL}
+SQL: dict[str, str] = {"op2_url_lists": urlfilter.EVALUATE_SQL, "op6_warc": warc.HISTORIES_SQL, "op7_line_dedup": linededup.DIGEST_SQL, "op11_jaccard_join": jaccard.JACCARD_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL}
