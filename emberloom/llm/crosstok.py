@@ -19,6 +19,7 @@ and return each; a null ``doc_id`` stays null; other columns are not read; an em
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,12 @@ MEMO_PIECES = 400_000
 MEMO_WINDOWS = 400_000
 MEMO_LENGTH = 48
 BLOCK_CHARS = 1 << 22
+LEARN_CHARS = 1 << 16
 BLOCK_PAIRS = 1 << 21
 TASK_PAIRS = 1 << 20
+_NEW = (b"new", b"new")
+#: A space that no piece begins before.
+_UNCUT = re.compile(r"^ |\s ")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -63,6 +68,7 @@ class Aligner:
         self.n_b = len(pieces)
         self.kind = np.uint32 if len(names) * self.n_b < 1 << 32 else np.uint64
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.sizes_a, self.sizes_b = self.len_a.tolist(), self.len_b.tolist()
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
         self.pieces: dict[str, tuple[bytes, bytes] | None] = {}
         self.windows: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
@@ -76,7 +82,7 @@ class Aligner:
             *before, last = self.pieces_of(body) if body else [""]
             return [*before, last + text[len(body) :]]
         parts, out, held = text.split(" "), [], []
-        if "" not in parts and not any(x[-1].isspace() for x in parts):
+        if not _UNCUT.search(text):
             return parts
         for x in parts:
             held.append(x)
@@ -85,65 +91,129 @@ class Aligner:
                 held = []
         return [*out, " ".join(held)] if held else out
 
+    def _of_one(self, x: str) -> tuple[bytes, bytes] | None:
+        i, j = self.a.encode(" " + x, add_special_tokens=False).ids, self.b.encode(x)
+        same = b" " + x.encode() == b"".join([self.bytes_a[t] for t in i]) == b"".join([self.bytes_b[t] for t in j])
+        return (np.array(i, "<u4").tobytes(), np.array(j, "<u4").tobytes()) if same else None
+
+    def _of_many(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of pieces as those of one text, taken apart by the lengths of their bytes; one by one where these differ."""
+        text = " ".join(parts)
+        ids = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<u4"), np.array(self.b.encode(text), "<u4")
+        lens = np.cumsum([len(x.encode()) + 1 for x in parts])
+        cuts = []
+        for own, size, known in zip(ids, (self.len_a, self.len_b), (self.bytes_a, self.bytes_b), strict=True):
+            ends = np.cumsum(size[own])
+            at = np.searchsorted(ends, lens)
+            if ends[-1] != lens[-1] or (ends[at] != lens).any() or b"".join([known[t] for t in own.tolist()]) != b" " + text.encode():
+                return [self._of_one(x) for x in parts]
+            cuts.append((4 * (at + 1)).tolist())
+        a, b = (x.tobytes() for x in ids)
+        rows = zip([0, *cuts[0]], cuts[0], [0, *cuts[1]], cuts[1], strict=False)
+        return [(a[s:e], b[u:v]) for s, e, u, v in rows]
+
     def _learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
         """Ids by A and B (unsigned 32-bit) of new pieces; None where the bytes are not the piece's."""
-        made = {}
-        a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in parts], add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1)
-        for x, i, j in zip(parts, a, b, strict=True):
-            want = b" " + x.encode()
-            same = want == b"".join([self.bytes_a[t] for t in i]) == b"".join([self.bytes_b[t] for t in j])
-            made[x] = (np.array(i, "<u4").tobytes(), np.array(j, "<u4").tobytes()) if same else None
+        alone = [x for x in parts if "▁" in x or not x or x[-1].isspace() or not self.cut]
+        rest = parts if not alone else sorted(set(parts) - set(alone))
+        made = {x: self._of_one(x) for x in alone}
+        for part in blocks([len(x) for x in rest], LEARN_CHARS):
+            made |= zip(rest[part], self._of_many(rest[part]), strict=True)
+        for x, ids in made.items():
             if len(x) <= MEMO_LENGTH and len(self.pieces) < MEMO_PIECES:
-                self.pieces[x] = made[x]
+                self.pieces[x] = ids
         return made
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids by A and by B of the space and each text; None for texts without tokens."""
         cut = [self.pieces_of(t) if t else [] for t in texts]
-        memo = self.pieces
-        new = list({x for parts in cut for x in parts if x not in memo})
-        other = self._learn(new) if new else {}
+        known = self.pieces.get
+        found = [[known(x, _NEW) for x in parts] for parts in cut]
+        missing = {x for parts, own in zip(cut, found, strict=True) if _NEW in own for x, ids in zip(parts, own, strict=True) if ids is _NEW}
+        other = self._learn(list(missing)) if missing else {}
         out = []
-        for parts in cut:
-            found = [memo[x] if x in memo else other[x] for x in parts]
-            if not found or None in found:
+        for parts, own in zip(cut, found, strict=True):
+            if _NEW in own:
+                own = [other[x] if ids is _NEW else ids for x, ids in zip(parts, own, strict=True)]
+            if not own or None in own:
                 out.append(None)
             else:
-                a, b = zip(*found, strict=True)
+                a, b = zip(*own, strict=True)
                 out.append((b"".join(a), b"".join(b)))
         return out
 
     def _window(self, a: bytes, b: bytes) -> tuple[str, bytes]:
-        """Groups as text, and links, of a window's ids."""
-        i, j = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-        end_a, end_b = np.cumsum(self.len_a[i]), np.cumsum(self.len_b[j])
-        _, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        groups, s, u = [], 0, 0
-        for e, v in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(f"{','.join(map(str, i[s:e].tolist()))}|{','.join(map(str, j[u:v].tolist()))}")
-            s, u = e, v
-        links = i[at_a].astype(self.kind) * self.kind(self.n_b) + j[at_b].astype(self.kind)
-        return ";".join(groups), links.tobytes()
-
-    def align(self, a: bytes, b: bytes) -> tuple[str, np.ndarray]:
-        """Groups as text, and the links as numbers (A id times B's size plus B id), of a text's ids."""
+        """Groups as text, and links, of a window's ids: two pointers over the ends of the tokens."""
+        i, j = memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist()
+        size_a, size_b, n_b, groups, links = self.sizes_a, self.sizes_b, self.n_b, [], []
+        s = u = v = end_a = end_b = 0
+        for e, x in enumerate(i, 1):
+            end_a += size_a[x]
+            while end_b < end_a:
+                end_b += size_b[j[v]]
+                v += 1
+            if end_a == end_b:
+                groups.append(f"{','.join(map(str, i[s:e]))}|{','.join(map(str, j[u:v]))}")
+                links.append(x * n_b + j[v - 1])
+                s, u = e, v
+        return ";".join(groups), np.array(links, self.kind).tobytes()
+
+    def _aligned_window(self, a: bytes, b: bytes) -> tuple[str, bytes]:
+        got = self.windows.get((a, b))
+        if got is None:
+            got = self._window(a, b)
+            if len(a) + len(b) <= 8 * MEMO_LENGTH and len(self.windows) < MEMO_WINDOWS:
+                self.windows[a, b] = got
+        return got
+
+    def align(self, texts: list[tuple[bytes, bytes]]) -> Iterator[tuple[str, np.ndarray]]:
+        """Groups as text, and the links as numbers (A id times B's size plus B id), of each text's ids.
+
+        The texts stand behind each other, and windows are cut in all of them at once. Windows of few tokens are told apart
+        by their ids, packed into two numbers, so that each different one is looked up once.
+        """
+        a, b = (b"".join(x) for x in zip(*texts, strict=True))
         i, j = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
         start_a, start_b = (np.cumsum(n) - n for n in (self.len_a[i], self.len_b[j]))
         by_space_a, by_space_b = np.flatnonzero(self.space_a[i]), np.flatnonzero(self.space_b[j])
         _, x, y = np.intersect1d(start_a[by_space_a], start_b[by_space_b], assume_unique=True, return_indices=True)
-        cut_a, cut_b = (4 * by_space_a[x]).tolist(), (4 * by_space_b[y]).tolist()
-        memo, text, links = self.windows, [], []
-        for s, e, u, v in zip(cut_a, [*cut_a[1:], len(a)], cut_b, [*cut_b[1:], len(b)], strict=True):
-            key = (a[s:e], b[u:v])
-            got = memo.get(key)
-            if got is None:
-                got = self._window(*key)
-                if e - s + v - u <= 8 * MEMO_LENGTH and len(memo) < MEMO_WINDOWS:
-                    memo[key] = got
-            text.append(got[0])
-            links.append(got[1])
-        return ";".join(text), np.frombuffer(b"".join(links), self.kind)
+        cut_a, cut_b = by_space_a[x], by_space_b[y]
+        size_a, size_b = np.diff(np.append(cut_a, len(i))), np.diff(np.append(cut_b, len(j)))
+        few = (size_a <= 4) & (size_b <= 4)
+        code = np.empty(len(few), np.int64)
+        code[few] = _pairs(_packed(i, cut_a[few], size_a[few]), _packed(j, cut_b[few], size_b[few]))
+        n_few = int(code[few].max(initial=-1)) + 1
+        code[~few] = n_few + np.arange((~few).sum())
+        first = np.empty(n_few + (~few).sum(), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        spans = zip(*((4 * x[first]).tolist() for x in (cut_a, cut_a + size_a, cut_b, cut_b + size_b)), strict=True)
+        windows = [self._aligned_window(a[s:e], b[u:v]) for s, e, u, v in spans]
+        links = np.frombuffer(b"".join([w[1] for w in windows]), self.kind)
+        n_links = np.array([len(w[1]) for w in windows], np.int64) // links.itemsize
+        begins = np.cumsum(n_links) - n_links
+        counts = n_links[code]
+        ends = np.cumsum(counts)
+        flat = links[np.repeat(begins[code] - (ends - counts), counts) + np.arange(counts.sum())]
+        lengths = np.cumsum([len(t[0]) // 4 for t in texts])
+        last = np.searchsorted(cut_a, lengths)
+        strings, codes, at, link = [w[0] for w in windows], code.tolist(), 0, 0
+        for to, to_link in zip(last.tolist(), ends[last - 1].tolist(), strict=True):
+            yield ";".join([strings[c] for c in codes[at:to]]), flat[link:to_link]
+            at, link = to, to_link
+
+
+def _packed(ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct runs of up to four ids (under 2**32 each) from the given places."""
+    out = np.zeros(len(at), np.int64)
+    for k in range(4):
+        own = np.where(sizes > k, ids[np.minimum(at + k, len(ids) - 1)].astype(np.int64) + 1, 0)
+        out = np.unique(out << 33 | own, return_inverse=True)[1] if k else own
+    return out
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on of the distinct pairs."""
+    return np.unique(x << 32 | y, return_inverse=True)[1].astype(np.int64)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -168,12 +238,14 @@ def alignments(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         with no_collection():
             for batch in batches:
                 for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
-                    rows = []
-                    for ids in coder.encode([t or "" for t in batch.column(1)[part].to_pylist()]):
+                    rows, encoded = [], coder.encode([t or "" for t in batch.column(1)[part].to_pylist()])
+                    known = [ids for ids in encoded if ids]
+                    aligned = coder.align(known) if known else iter(())
+                    for ids in encoded:
                         if ids is None:
                             rows.append((0, 0, 0, 0, "", b"", b""))
                             continue
-                        groups, links = coder.align(*ids)
+                        groups, links = next(aligned)
                         pairs, times = np.unique(links, return_counts=True)
                         digest = hashlib.sha256(groups.encode()).hexdigest()
                         n_groups = groups.count(";") + 1
