@@ -1,27 +1,29 @@
-"""Repeated runs of lines, found by hashes of their shortest long enough stretches, as DataFrame expressions only.
-
-Lines end at a line end, and also behind a sentence mark and a space: scraped text has paragraphs as one line,
-and passages are pasted into them. A run is a stretch of consecutive lines; two runs match where their lines are
-equal but for spaces at the ends. A run of ``MIN_WORDS`` words or more that occurred before, by ``doc_id`` and
-then position (in the same text, too), is deleted, and its first occurrence stays.
-
-1. From each line, the stretch that just reaches ``MIN_WORDS`` words, and to each line, the one that just reaches
-   them backwards, found by windows over running sums of words. Every longer run is the union of such stretches
-   inside it, and each copy of the run has them, too; their number is linear in the lines. This is winnowing with
-   windows of one fingerprint: wider windows keep fewer of them, but a minimum may first stand where the rest of the
-   run does not, and the run is lost. A stretch is hashed from running sums, too: the exclusive or of its lines'
-   hashes, each rotated by its place in the stretch.
-2. Fingerprints that occur once leave, by a count and a join. Of the others, each position joins the first one: all
-   behind it are deleted. Positions never meet all others, and none needs to.
-3. Stretches that overlap or touch are merged by text, which extends a match both ways to the whole run.
-
-Hashes stand for lines and stretches: 64 bits, so that two of n different stretches are taken for equal with a chance
-of about n * n / 2**65.
-
-Defined cases: null text stays null, empty text stays empty, neither has lines; a null ``doc_id`` comes before
+"""Repeated runs of lines, found by winnowing, as DataFrame expressions only.
+
+Units are lines; a line also ends behind a sentence mark and a space, and a long sentence behind words that end in
+``e``, as scraped text has paragraphs as one line and passages are pasted into the middle of them. Where a unit ends
+depends on its sentence alone. Units are equal where they are equal but for white space at their ends; those without
+words are skipped, wherever they stand. Words are what stands between ASCII white space.
+
+1. Winnowing. Of the units that begin within ``WINDOW`` words, the one with the least hash is a window minimum. Its
+   fingerprint hashes the units that begin within ``PRINT`` words from it. A stretch is the least number of units with
+   ``STRETCH`` words or more, from a unit on or up to one; the fingerprint of its first window's minimum lies within it,
+   in every copy. So texts without a fingerprint that occurs twice have no repeated stretch, and leave here.
+2. Positions. In the others, each stretch joins the first one that is equal to it, by ``doc_id`` and then position (in
+   the same text, too); all behind it are repeats. Positions never meet all others, and none needs to.
+3. Extension. Repeated stretches that overlap or touch grow together to runs, which so reach both ways as far as units
+   are equal. Then both ends go on by words into the units that differ, as far as these agree with those beside the
+   first occurrence of the outermost stretch.
+4. Runs of ``MIN_WORDS`` words or more are deleted, and first occurrences stay.
+
+Every passage of which ``STRETCH`` words are whole units and ``MIN_WORDS`` words are in all is found. Hashes of whole
+lists of units stand for stretches: 64 bits, so that two of n different ones are taken for equal with a chance of about
+n * n / 2**65.
+
+Defined cases: null text stays null, empty text stays empty, neither has units; a null ``doc_id`` comes before
 all others; rows with equal ``doc_id`` and text are one document (each gets the same result); rows with equal
-``doc_id`` and other text are ordered by a hash of the text; other columns stay as they are, whatever their
-names; an empty table gives no rows.
+``doc_id`` and other text are ordered by the MD5 of the text; other columns stay as they are, whatever their
+names; an empty table gives no rows. Blank units inside a run go with it, and those beside it stay.
 """
 
 from __future__ import annotations
@@ -32,161 +34,224 @@ from pyspark.sql import functions as F
 from emberloom.llm import scratch
 
 MIN_WORDS = 30
+STRETCH = 20
+WINDOW = 8
+PRINT = STRETCH - WINDOW
+LONG = 90
 _LEAST = -(2**63)
-
-
-def _marked(text: Column) -> Column:
-    """The text with a line end behind each sentence mark and space. Plain replacements take a third of a pattern's time."""
-    for mark in (". ", "! ", "? "):
-        text = F.replace(text, F.lit(mark), F.lit(mark + "\n"))
-    return text
-
-
-def _cut(text: Column) -> Column:
-    """The lines without the line ends that they had."""
-    return F.split(_marked(text), "\n", -1)
-
-
 _MARK = "\x01"
+_SPACE = " \t\n\x0b\x0c\r"
+_ENDS = ("\n", ". ", "! ", "? ")
 
 
-def _whole_lines(text: Column) -> Column:
-    """The lines, which joined are the text. A text with the mark in it is cut by a pattern, in three times the time."""
+def _pieces(text: Column) -> Column:
+    """The units, which joined are the text. Plain replacements take a third of a pattern's time, and so only a text that has
+    their mark in it is cut by patterns."""
     marked = text
-    for end in ("\n", ". ", "! ", "? "):
+    for end in _ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)).otherwise(F.split(marked, _MARK, -1))
+    long = lambda x: F.octet_length(x) > LONG
+    finer = F.transform(F.split(marked, _MARK, -1), lambda x: F.when(long(x), F.replace(x, F.lit("e "), F.lit("e " + _MARK))).otherwise(x))
+    by_pattern = F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)
+    finer_by_pattern = F.flatten(F.transform(by_pattern, lambda x: F.when(long(x), F.split(x, "(?<=e )", -1)).otherwise(F.array(x))))
+    return F.when(F.contains(text, F.lit(_MARK)), finer_by_pattern).otherwise(F.split(F.array_join(finer, _MARK), _MARK, -1))
 
 
-def _n_lines(text: Column) -> Column:
-    found = [(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(end), F.lit("")))) / len(end) for end in ("\n", ". ", "! ", "? ")]
-    return sum(found, F.lit(1))
+def _n_words(x: Column) -> Column:
+    """Words of a trimmed unit."""
+    odd = F.contains(x, F.lit("  "))
+    for c in _SPACE[1:]:
+        odd = odd | F.contains(x, F.lit(c))
+    spaces = F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    return F.when(x == "", 0).when(odd, F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(spaces + 1).cast("long")
 
 
 def _doc(docs: DataFrame) -> list[Column]:
     """The columns that tell documents apart, in order."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.xxhash64("text").alias("h")]
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """A row for each line: ``r`` (number of the row of ``docs``, which repeated documents don't share), ``d``, ``h``,
-    ``p`` (position), ``w`` (words, 0 in a blank line) and ``u`` (hash, rotated by the position)."""
-    known = docs.where(F.length("text") > 0).select(F.monotonically_increasing_id().alias("r"), *_doc(docs), "text")
-    rows = known.select("r", "d", "h", F.posexplode(_cut(F.col("text"))).alias("p", "x")).withColumn("x", F.trim("x"))
-    words = F.when(F.col("x") == "", 0).otherwise(F.octet_length("x") - F.octet_length(F.replace("x", F.lit(" "), F.lit(""))) + 1)
-    hashed = rows.select("r", "d", "h", "p", words.alias("w"), F.xxhash64("x").alias("u"))
-    return hashed.withColumn("u", F.expr("shiftleft(u, p % 64) | shiftrightunsigned(u, 64 - p % 64)"))
-
-
-#: Room for positions below a number of words, in a key that orders lines by both.
-_ROOM = 1 << 32
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.unhex(F.md5("text")).alias("h")]
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``d``, ``h``, ``p``, ``q`` and ``s``: first and last position and hash of the shortest stretches of enough words.
+def unit_table(texts: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each unit with words of ``text``: ``p`` (place among all units), ``x`` (trimmed), ``u`` (its hash), ``k`` (place
+    among these rows), and ``b`` and ``a``, the words of the text before it and up to its end.
 
-    With ``b`` words before a line and ``a`` words up to its end, the stretch from a line ends at the last line with
-    fewer than ``b + min_words`` words before it, and the stretch to a line begins at the first one with more than
-    ``a - min_words`` words up to its end. Both are frames of a window by a key that rises with the position.
+    ``by`` has the columns that tell the rows of ``texts`` apart; it is dealt out by some of them already.
     """
-    by = Window.partitionBy("r")
-    so_far = by.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("a", F.sum("w").over(so_far)).withColumn("y", F.bit_xor("u").over(so_far))
-    rows = rows.select("r", "d", "h", "p", (F.col("a") - F.col("w")).alias("b"), "a", F.col("y").bitwiseXOR(F.col("u")).alias("x"), "y")
-    ahead = by.orderBy((F.col("b") * _ROOM + F.col("p")).alias("k")).rangeBetween(0, min_words * _ROOM)
-    rows = rows.select("*", *(F.last(c).over(ahead).alias(f"e_{c}") for c in "pay"))
-    back = by.orderBy((F.col("a") * _ROOM + F.col("p")).alias("k")).rangeBetween(-min_words * _ROOM, 0)
-    rows = rows.select("*", *(F.first(c).over(back).alias(f"f_{c}") for c in ("p", "b", "x", "e_p")))
-    hashed = "xxhash64(shiftrightunsigned({c}, {p} % 64) | shiftleft({c}, 64 - {p} % 64), {q} - {p})"
-    onward = F.struct("p", F.col("e_p").alias("q"), F.expr(hashed.format(c="(e_y ^ x)", p="p", q="e_p")).alias("s"))
-    behind = F.struct(F.col("f_p").alias("p"), F.col("p").alias("q"), F.expr(hashed.format(c="(y ^ f_x)", p="f_p", q="p")).alias("s"))
-    some = F.array(
-        F.when(F.col("e_a") - F.col("b") >= min_words, onward),
-        F.when((F.col("a") - F.col("f_b") >= min_words) & (F.col("f_e_p") != F.col("p")), behind),  # not one of the others again
-    )
-    return rows.select("d", "h", F.explode(some).alias("z")).where("z is not null").select("d", "h", "z.p", "z.q", "z.s")
-
-
-#: Stretches in order, as those that neither overlap nor touch.
-_MERGED = """
-    aggregate(sort_array(r), named_struct('out', cast(array() as array<struct<first:int,last:int>>), 'first', -2, 'last', -2),
-      (acc, x) -> if(x.first <= acc.last + 1,
-        named_struct('out', acc.out, 'first', acc.first, 'last', greatest(acc.last, x.last)),
-        named_struct('out', if(acc.last < 0, acc.out, concat(acc.out, array(named_struct('first', acc.first, 'last', acc.last)))), 'first', x.first, 'last', x.last)),
-      acc -> concat(acc.out, array(named_struct('first', acc.first, 'last', acc.last))))"""
-
-
-#: What stays between the runs, with the end of the last line as one more run.
-_KEPT = """
-    flatten(transform(concat(runs, array(named_struct('first', size(all), 'last', size(all)))),
-      (x, i) -> slice(all, coalesce(get(runs, i - 1).last + 2, 1), x.first - coalesce(get(runs, i - 1).last + 1, 0))))"""
-
-
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``d``, ``h`` and ``runs``: the (first, last) positions to delete, of the documents that have some."""
-    prints = scratch.stash(fingerprints(line_table(docs), min_words), "prints")
-    again = scratch.stash(prints.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "again")
+    rows = texts.select(*by, F.posexplode(_pieces(F.col("text"))).alias("p", "x")).withColumn("x", F.btrim("x", F.lit(_SPACE)))
+    rows = rows.select("*", F.xxhash64("x").alias("u"), _n_words(F.col("x")).alias("w")).where("w > 0")
+    order = Window.partitionBy(*by).orderBy("p")
+    rows = rows.select("*", F.row_number().over(order).alias("k"), F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"))
+    return rows.withColumn("b", F.col("a") - F.col("w")).drop("w")
+
+
+def fingerprints(texts: DataFrame, by: list[str]) -> DataFrame:
+    """``f`` of every window minimum, with the columns of ``by``."""
+    rows = unit_table(texts, by).select(*by, "p", "u", "a", "b")
+    order = Window.partitionBy(*by).orderBy("b")
+    own = order.rangeBetween(0, PRINT - 1)
+    enough = F.max("a").over(own) - F.col("b") >= PRINT
+    rows = rows.select(*by, "p", "u", "b", F.when(enough, F.xxhash64(F.collect_list("u").over(own))).alias("f"))
+    least = F.min_by(F.struct("p", "f"), F.struct("u", -F.col("p"))).over(order.rangeBetween(0, WINDOW - 1))
+    rows = rows.select(*by, "b", least.alias("m"))
+    fresh = F.coalesce(F.lag("m.p").over(order) != F.col("m.p"), F.lit(True))  # minima never move back
+    return rows.select(*by, "m.f", fresh.alias("fresh")).where("fresh and f is not null").drop("fresh")
+
+
+def stretches(texts: DataFrame, by: list[str]) -> DataFrame:
+    """``d``, ``h`` and each stretch from a unit on (``onward``) and up to one: ``s`` (hash), first and last place among the units
+    with words (``k1``, ``k2``) and among all (``p1``, ``p2``), words before it and up to its end (``b1``, ``a2``), and the unit
+    with words that stands before it, or behind it if it leads up to a unit."""
+    rows = unit_table(texts, by)
+    place = Window.partitionBy(*by).orderBy("b")
+    rows = rows.select("*", F.lag("x").over(place).alias("before"), F.lead("x").over(place).alias("behind"))
+    ahead, back = place.rangeBetween(0, STRETCH - 1), Window.partitionBy(*by).orderBy("a").rangeBetween(-(STRETCH - 1), 0)
+    ends, begins = F.max(F.struct("k", "p", "a")).over(ahead), F.min(F.struct("k", "p", "b")).over(back)
+    hashes = [F.xxhash64(F.collect_list("u").over(frame)).alias(c) for frame, c in ((ahead, "s"), (back, "t"))]
+    rows = rows.select("d", "h", "k", "p", "a", "b", "before", "behind", ends.alias("e"), begins.alias("g"), *hashes)
+    names = ("onward", "s", "k1", "p1", "b1", "k2", "p2", "a2", "beside")
+    of = lambda onward, *columns: F.struct(*(c.alias(n) for c, n in zip((F.lit(onward), *map(F.col, columns)), names, strict=True)))
+    onward, up_to = of(True, "s", "k", "p", "b", "e.k", "e.p", "e.a", "before"), of(False, "t", "g.k", "g.p", "g.b", "k", "p", "a", "behind")
+    some = F.array(F.when(F.col("e.a") - F.col("b") >= STRETCH, onward), F.when(F.col("a") - F.col("g.b") >= STRETCH, up_to))
+    return rows.select("d", "h", F.explode(some).alias("y")).where("y is not null").select("d", "h", "y.*")
+
+
+def _agreeing(x: str, y: str, last: bool) -> Column:
+    """How many words of two units agree, from their ends or beginnings on."""
+    words = [F.split(F.coalesce(F.col(c), F.lit("")), r"[\x20\x09-\x0D]+") for c in (x, y)]
+    a, b = (F.reverse(w) if last else w for w in words)
+    same = F.zip_with(a, b, lambda i, j: F.coalesce((i == j) & (i != ""), F.lit(False)))
+    at = F.array_position(same, F.lit(False))
+    return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("long")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """``d``, ``h`` and ``runs``: what to delete of the documents that have some, as first and last place of units and words
+    of the units before and behind."""
+    known = docs.where(F.length("text") > 0).select(*_doc(docs), "text")
+    dealt = known.withColumn("r", F.monotonically_increasing_id()).repartition("r")
+    prints = scratch.stash(fingerprints(dealt, ["r", "d", "h"]).drop("r"), "prints")
+    again = scratch.stash(prints.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "again")
     # tables written at once: nothing above an exchange then keeps Spark from splitting the hot keys of a join
-    found = scratch.stash(prints.join(again.hint("merge"), "s"), "found")
+    some = scratch.stash(prints.join(again.hint("merge"), "f").select("d", "h").distinct(), "some")
     scratch.drop(prints)
-    first = scratch.stash(found.groupBy("s").agg(F.min(F.struct("d", "h", "p")).alias("f")), "first")
-    later = found.join(first.hint("merge"), "s").where(F.struct("d", "h", "p") > F.col("f"))
-    met = scratch.stash(later.select("d", "h", F.struct(F.col("p").alias("first"), F.col("q").alias("last")).alias("r")), "met")
-    for table in (again, found, first):
+    near = known.join(some.hint("merge"), ["d", "h"]).withColumn("r", F.monotonically_increasing_id())
+    parts = scratch.stash(stretches(near, ["d", "h", "r"]), "stretches")
+    keys = parts.groupBy("onward", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "k1")).alias("first")).where("n > 1")
+    keys = scratch.stash(keys.select("onward", "s", "first"), "keys")
+    found = scratch.stash(parts.join(keys.hint("merge"), ["onward", "s"]), "found")
+    is_first = F.struct("d", "h", "k1") == F.col("first")
+    first = scratch.stash(found.where(is_first).groupBy("onward", "s").agg(F.first("beside").alias("beside_first")), "first")
+    later = found.where(~is_first).join(first.hint("merge"), ["onward", "s"])
+    more = F.when(F.col("onward"), _agreeing("beside", "beside_first", True)).otherwise(_agreeing("beside", "beside_first", False))
+    met = scratch.stash(later.select("d", "h", "onward", "k1", "p1", "b1", "k2", "p2", "a2", more.alias("more")), "met")
+    for table in (again, some, parts, keys, found, first):
         scratch.drop(table)
-    return met.groupBy("d", "h").agg(F.collect_set("r").alias("r")).select("d", "h", F.expr(_MERGED).alias("runs"))
-
-
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The input with ``text`` cleaned, and ``n_lines`` and ``n_removed`` behind all its columns."""
-    runs = scratch.stash(repeated_runs(docs, min_words), "deleted")
+    by = Window.partitionBy("d", "h").orderBy("k1", "k2", "onward")
+    ended = F.max("k2").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = met.withColumn("new", F.coalesce((F.col("k1") > ended + 1).cast("int"), F.lit(1)))
+    rows = rows.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.max_by(F.when(F.col("onward"), F.col("more")), F.when(F.col("onward"), -F.col("k1")))
+    behind = F.max_by(F.when(~F.col("onward"), F.col("more")), F.when(~F.col("onward"), F.col("k2")))
+    runs = rows.groupBy("d", "h", "run").agg(
+        F.min("p1").alias("first"), F.max("p2").alias("last"), before.alias("before"), behind.alias("behind"), (F.max("a2") - F.min("b1")).alias("words")
+    )
+    runs = runs.where(F.col("words") + F.col("before") + F.col("behind") >= MIN_WORDS)
+    made = runs.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("first", "last", "before", "behind"))).alias("runs"))
+    made = scratch.stash(made, "deleted")
+    scratch.drop(met)
+    return made
+
+
+#: What stays between the runs: the units there, without the words that the runs before and behind go on into. The end of
+#: the last unit is one more run.
+_KEPT = r"""
+    transform(concat(runs, array(named_struct('first', size(all), 'last', size(all), 'before', 0L, 'behind', 0L))),
+      (x, i) -> regexp_replace(
+        regexp_replace(
+          array_join(slice(all, coalesce(get(runs, i - 1).last + 2, 1), x.first - coalesce(get(runs, i - 1).last + 1, 0)), ''),
+          concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]++){', coalesce(get(runs, i - 1).behind, 0), '}'), ''),
+        if(x.before = 0, '(?!)', concat('[^\\x20\\x09-\\x0D]++(?:[\\x20\\x09-\\x0D]++[^\\x20\\x09-\\x0D]++){0,', x.before - 1, '}[\\x20\\x09-\\x0D]*+$')), ''))"""
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The input with ``text`` cleaned, and ``n_lines`` (units), ``n_removed`` (whole ones) behind all its columns."""
+    runs = repeated_runs(docs)
     d, h = _doc(docs)
     joined = docs.select(F.struct(*docs.columns).alias("row"), d, h).join(runs.hint("merge"), ["d", "h"], "left")
     text = F.col("row.text")
-    cut = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), _whole_lines(text)).alias("all"))
-    made = cut.select("row", "all", F.expr(_KEPT).alias("kept"))
-    clean = F.when(F.col("all").isNull(), text).otherwise(F.array_join("kept", ""))
+    cut = joined.select("row", "runs", F.when(F.length(text) > 0, _pieces(text)).alias("all"))
+    gone = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    sizes = [F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0).cast("long")).alias("n_removed")]
+    clean = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(F.expr(_KEPT), ""))
     columns = [clean.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    n_lines = F.when(F.length(text) > 0, _n_lines(text)).otherwise(0)
-    removed = F.when(F.col("all").isNull(), 0).otherwise(F.size("all") - F.size("kept"))
-    return made.select(*columns, n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return cut.select(*columns, *sizes)
 
 
-def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document: lines, lines removed, and length and MD5 of the text that stays."""
-    done = deduplicate(docs.select("doc_id", "text"), min_words)
+def digest(docs: DataFrame) -> DataFrame:
+    """Per document: units, units removed, and length and MD5 of the text that stays."""
+    done = deduplicate(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-#: The same result by the definition: every pair of lines, against every earlier one.
-DIGEST_SQL = """
+#: The same result without fingerprints: every stretch of every text, as the list of its units.
+DIGEST_SQL = r"""
 with docs as (select distinct doc_id as d, text as t, md5(text) as h from documents where length(text) > 0),
-cut as (select d, h, string_split(regexp_replace(t, '(\\n|[.!?] )', '\\1' || chr(1), 'g'), chr(1)) as x from docs),
-piece as (select d, h, unnest(range(len(x))) as p, unnest(x) as raw from cut),
-unit as (select *, trim(replace(raw, chr(10), '')) as u from piece),
-line as (select *, case when u = '' then 0 else length(u) - length(replace(u, ' ', '')) + 1 end as w from unit),
-pair as (
-  select d, h, p, u, w, lead(u) over win as v, lead(w) over win as x
-  from line window win as (partition by d, h order by p)),
-print as (
-  select d, h, p, md5(u || chr(2) || v) as s from pair where v is not null and w + x > 0
-  union all select d, h, p, md5(u || chr(3)) from line where w >= 30),
-diagonal as (
-  select distinct a.d, a.h, b.d as d0, b.h as h0, a.p - b.p as g from print a join print b
-  on b.s = a.s and (b.d < a.d or b.d = a.d and (b.h < a.h or b.h = a.h and b.p < a.p))),
-equal as (
-  select g.d, g.h, g.d0, g.h0, g.g, a.p, a.w,
-    a.p - row_number() over (partition by g.d, g.h, g.d0, g.h0, g.g order by a.p) as island
-  from diagonal g join line a on a.d = g.d and a.h = g.h
-  join line b on b.d = g.d0 and b.h = g.h0 and b.p = a.p - g.g and b.u = a.u),
+sentence as (
+  select d, h, unnest(range(len(x))) as i, unnest(x) as s
+  from (select d, h, string_split(regexp_replace(t, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) as x from docs)),
+part as (
+  select d, h, i, unnest(range(len(x))) as j, unnest(x) as raw
+  from (select *, string_split(case when strlen(s) > 90 then replace(s, 'e ', 'e ' || chr(1)) else s end, chr(1)) as x from sentence)),
+piece as (select d, h, raw, row_number() over (partition by d, h order by i, j) - 1 as p from part),
+word as (select *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as x from piece),
+unit as (
+  select d, h, p, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as ws, len(ws) as w,
+    row_number() over (partition by d, h order by p) as k, sum(w) over (partition by d, h order by p) as a, a - w as b
+  from word where x <> ''),
+place as (
+  select *, lag(ws) over o as before, lead(ws) over o as behind from unit window o as (partition by d, h order by p)),
+stretch as (
+  select d, h, true as onward, k as k1, p as p1, b as b1, max(k) over f as k2, max(p) over f as p2, max(a) over f as a2,
+    md5(cast(list(x) over f as varchar)) as s, before as beside
+  from place window f as (partition by d, h order by b range between 0 preceding and 19 following)
+  union all
+  select d, h, false, min(k) over f, min(p) over f, min(b) over f, k, p, a, md5(cast(list(x) over f as varchar)), behind
+  from place window f as (partition by d, h order by a range between 19 preceding and 0 following)),
+enough as (select * from stretch where a2 - b1 >= 20),
+earliest as (select onward, s, arg_min(struct_pack(v := beside), (coalesce(d, -9223372036854775808), h, k1)).v as beside0,
+    min((coalesce(d, -9223372036854775808), h, k1)) as began from enough group by onward, s having count(*) > 1),
+met as (
+  select l.*, list_reverse(beside) as r, list_reverse(beside0) as r0, beside0
+  from enough l join earliest f on f.s = l.s and f.onward = l.onward and (coalesce(d, -9223372036854775808), h, k1) <> began),
+counted as (
+  select *, coalesce(len(list_filter(range(1, least(len(beside), len(beside0)) + 1), lambda i:
+    case when onward then r[1:i] = r0[1:i] else beside[1:i] = beside0[1:i] end)), 0) as more from met),
+marked as (
+  select *, case when k1 > max(k2) over (partition by d, h order by k1, k2, onward rows between unbounded preceding and 1 preceding) + 1
+    then 1 else 0 end as fresh from counted),
+grown as (select *, sum(fresh) over (partition by d, h order by k1, k2, onward rows unbounded preceding) as run from marked),
 run as (
-  select d, h, min(p) as low, max(p) as high from equal group by d, h, d0, h0, g, island having sum(w) >= 30),
-gone as (select distinct l.d, l.h, l.p from line l join run r on r.d = l.d and r.h = l.h and l.p between r.low and r.high),
+  select d, h, run, min(p1) as low, max(p2) as high, arg_min(more, k1) filter (where onward) as before,
+    arg_max(more, k2) filter (where not onward) as behind, max(a2) - min(b1) as n
+  from grown group by d, h, run having n + before + behind >= 30),
+numbered as (
+  select *, row_number() over (partition by d, h order by low) as n_run from run),
+kept as (
+  select p.d, p.h, p.p, p.raw, (select count(*) from run r where r.d is not distinct from p.d and r.h = p.h and r.low <= p.p) as gap,
+    exists (select 1 from run r where r.d is not distinct from p.d and r.h = p.h and p.p between r.low and r.high) as gone
+  from piece p),
+gap as (select d, h, gap, coalesce(string_agg(raw, '' order by p) filter (where not gone), '') as t, count(*) as n, count(*) filter (where gone) as m
+  from kept group by d, h, gap),
+cut as (
+  select g.d, g.h, g.gap, g.n, g.m, case when coalesce(r.behind, 0) = 0 then g.t
+    else regexp_replace(g.t, '^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){' || r.behind || '}', '') end as t, coalesce(q.before, 0) as before
+  from gap g left join numbered r on r.d is not distinct from g.d and r.h = g.h and r.n_run = g.gap
+  left join numbered q on q.d is not distinct from g.d and q.h = g.h and q.n_run = g.gap + 1),
 clean as (
-  select l.d, l.h, count(*) as n_lines, count(g.p) as n_removed,
-    coalesce(string_agg(l.raw, '' order by l.p) filter (where g.p is null), '') as t
-  from line l left join gone g on g.d = l.d and g.h = l.h and g.p = l.p group by l.d, l.h)
-select o.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+  select d, h, sum(n) as n_lines, sum(m) as n_removed, string_agg(case when before = 0 then t
+    else regexp_replace(t, '[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,' || (before - 1) || '}[\x20\x09-\x0D]*$', '') end, '' order by gap) as t
+  from cut group by d, h)
+select o.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed,
   length(coalesce(c.t, o.text)) as n_chars, md5(coalesce(c.t, o.text)) as text_md5
-from documents o left join clean c on c.d = o.doc_id and c.h = md5(o.text)
+from documents o left join clean c on c.d is not distinct from o.doc_id and c.h = md5(o.text)
 """

@@ -38,24 +38,47 @@ def test_stages(spark):
     assert {r.doc_id for r in last} == set(before) and all(len(r.ids) == 4 * r.n_tokens for r in last)
 
 
-def naive_line_dedup(texts):
-    """Every pair of positions: where equal lines run on for 30 words or more, the later ones go."""
-    raw = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in texts.items()}
-    units = {i: [x.strip(" \n") for x in lines] for i, lines in raw.items()}
-    gone = {i: set() for i in texts}
-    for i in texts:
-        for j in texts:
-            if i > j:
+def naive_line_dedup(texts, stretch=20, least=30):
+    """Every stretch of units against all earlier ones; runs of them go, with words that agree at both ends."""
+    units, first, starts = {}, {}, {}
+    for i in sorted(texts):
+        raw = [y for x in re.split(r"(?<=\n)|(?<=[.!?] )", texts[i]) for y in (re.split("(?<=e )", x) if len(x.encode()) > 90 else [x])]
+        own = [(p, x.split()) for p, x in enumerate(raw) if x.split()]
+        units[i] = raw, own
+        for k in range(len(own)):
+            for onward in (True, False):
+                e = k
+                while 0 <= e < len(own) and sum(len(x) for _, x in own[min(k, e) : max(k, e) + 1]) < stretch:
+                    e += 1 if onward else -1
+                if 0 <= e < len(own):
+                    low, high = min(k, e), max(k, e)
+                    key = onward, tuple(" ".join(x) for _, x in own[low : high + 1])
+                    first.setdefault(key, (i, low, high))
+                    starts.setdefault(i, []).append((low, high, onward, key))
+    agree = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    out = {}
+    for i, (raw, own) in units.items():
+        runs = []
+        for low, high, onward, key in sorted(starts.get(i, []), key=lambda x: x[:3]):
+            j, f, g = first[key]
+            if (j, f) == (i, low):
                 continue
-            a, b = units[i], units[j]
-            for q in range(len(a)):
-                for p in range(q + 1 if i == j else 0, len(b)):
-                    k = 0
-                    while q + k < len(a) and p + k < len(b) and a[q + k] == b[p + k]:
-                        k += 1
-                    if sum(x.count(" ") + 1 for x in b[p : p + k] if x) >= 30:
-                        gone[j] |= set(range(p, p + k))
-    return {i: "".join(x for n, x in enumerate(lines) if n not in gone[i]) for i, lines in raw.items()}
+            if runs and low <= runs[-1][1] + 1:
+                runs[-1][1] = max(runs[-1][1], high)
+            else:
+                runs.append([low, high, 0, 0])
+            side = lambda d, n: units[d][1][n][1] if 0 <= n < len(units[d][1]) else []
+            if onward and low == runs[-1][0]:
+                runs[-1][2] = agree(side(i, low - 1)[::-1], side(j, f - 1)[::-1])
+            if not onward and high == runs[-1][1]:
+                runs[-1][3] = agree(side(i, high + 1), side(j, g + 1))
+        text, at, skip = "", 0, 0
+        for low, high, before, behind in [r for r in runs if sum(len(x) for _, x in own[r[0] : r[1] + 1]) + r[2] + r[3] >= least]:
+            gap = re.sub(r"^(\s*\S+){%d}" % skip, "", "".join(raw[at : own[low][0]]))
+            text += re.sub(r"\S+(\s+\S+){0,%d}\s*$" % (before - 1), "", gap) if before else gap
+            at, skip = own[high][0] + 1, behind
+        out[i] = text + re.sub(r"^(\s*\S+){%d}" % skip, "", "".join(raw[at:]))
+    return out
 
 
 def test_pipeline_by_its_definition(spark, tmp_path):

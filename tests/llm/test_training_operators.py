@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from emberloom.llm import bpe, brown, components, decontam, linededup, media, quality, simhash, tokenbin, urlfilter, warc
+from emberloom.llm import bpe, brown, components, decontam, media, quality, simhash, tokenbin, urlfilter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -468,54 +468,6 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
 
 
-PASSAGE = " ".join(f"Word{i} goes on and on here." for i in range(8))
-
-
-def test_repeated_runs_go_and_first_ones_stay(spark):
-    texts = [
-        f"An opening of its own. {PASSAGE} And an end.\nMore.",
-        f"Another text. With words. {PASSAGE}",
-        "A short line.\nA short line.\nNot enough words.",
-        "A short line.\nother",
-        None,
-        "",
-        f"{PASSAGE} {PASSAGE} tail",
-        "\n\n\n",
-    ]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "first of all " + PASSAGE)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("u", F.lit("mine")).withColumn("runs", F.lit(2)).withColumn("all", F.lit(3))
-    got = {r.doc_id: r for r in linededup.deduplicate(docs).collect()}
-    assert len(got) == len(rows) and got[1].u == "mine" and got[1].runs == 2
-    assert got[None].text == rows[-1][1]
-    assert got[0].text == "An opening of its own. Word0 goes on and on here. And an end.\nMore."  # its first line there is new
-    assert got[1].text == "Another text. With words. " and got[1].n_removed == 8
-    assert got[2].text == texts[2] and got[3].text == texts[3] and got[4].text is None and got[5].text == ""
-    assert "Word5" not in got[6].text and got[7].text == texts[7]
-    assert linededup.deduplicate(docs.limit(0)).count() == 0
-
-
-def test_a_repeat_within_a_text_goes_though_its_lines_were_seen_before(spark):
-    block = " ".join(f"Short line {i}." for i in range(12))
-    docs = spark.createDataFrame([(1, "Short line 3. Short line 4."), (2, f"{block} {block} end"), (3, "Is one. " * 40), (4, "Is one. Is one. x")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linededup.deduplicate(docs).collect()}
-    assert got == {1: "Short line 3. Short line 4.", 2: f"{block} end", 3: "Is one. ", 4: "Is one. Is one. x"}
-
-
-def test_runs_go_whose_lines_were_first_seen_elsewhere(spark):
-    a, b, c = (" ".join([name] + ["word"] * 11) + ". " for name in "ABC")
-    docs = spark.createDataFrame([(1, a + b), (2, a + b + c), (3, "Other. " + a + b + c + "End.")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in linededup.deduplicate(docs).collect()} == {1: a + b, 2: a + b + c, 3: "Other. End."}
-    dice = random.Random(11)
-    pool = [" ".join(["w"] * dice.choice([1, 4, 9, 14, 31])) + f" {i}" for i in range(14)] + ["", "", ""]
-    rows = [(i // 2, "".join(dice.choice(pool) + dice.choice(["\n", ". "]) for _ in range(dice.randint(1, 25)))) for i in range(0, 400, 2)]
-    made = spark.createDataFrame(rows, "doc_id long, text string")
-    con = duckdb.connect()
-    con.execute("create table documents (doc_id bigint, text varchar)")
-    con.executemany("insert into documents values (?, ?)", rows)
-    want = con.execute(linededup.DIGEST_SQL).fetchall()
-    assert sorted(map(tuple, linededup.digest(made).collect())) == sorted(want)
-
-
 def test_url_lists_as_of(spark):
     url = "http://user@WWW.Bad.example.com:8080/x/y"
     captures = spark.createDataFrame([(1, url, 5), (2, url, 10), (3, url, 19), (4, url, 20), (5, url, 300), (6, None, 10), (7, "nothing", 10), (8, "http://ok.org/", 10), (9, "http://other.example.com/", 45), (2, url, 10), (10, url, None)], "page_id long, url string, fetched int")
@@ -534,12 +486,3 @@ def test_open_entries_hold_on_any_later_day(spark):
     captures = spark.createDataFrame([(1, "http://a.b/", 99), (2, "http://a.b/", 400), (3, "http://a.b/", 19_000), (4, "http://c.d/", 19_723), (5, "http://c.d/", 19_500)], "page_id long, url string, fetched int")
     entries = spark.createDataFrame([("host", "a.b", 100, "add"), ("host", "c.d", 19_600, "add"), ("host", "c.d", 30_000, "remove")], "kind string, key string, day int, action string")
     assert {r.page_id: r.host_since for r in urlfilter.evaluate(captures, entries).collect()} == {1: None, 2: 100, 3: 100, 4: 19_600, 5: None}
-
-
-def test_lines_are_whole(spark):
-    dice = random.Random(3)
-    texts = ["".join(dice.choices([". ", ".", " ", "\n", "a", "! ", "?", "\r", "\x01"][: 8 + i % 2], k=dice.randint(1, 25))) for i in range(500)]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string")
-    rows = rows.select("text", linededup._whole_lines(F.col("text")).alias("x"), linededup._n_lines(F.col("text")).alias("n"))
-    for r in rows.collect():
-        assert "".join(r.x) == r.text and len(r.x) == r.n and r.x == re.split(r"(?<=\n)|(?<=[.!?] )", r.text)
