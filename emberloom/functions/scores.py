@@ -23,12 +23,10 @@ def reinforcement(now: Column, last_accessed: Column, indexed_at: Column, access
     return C.REINFORCEMENT * (F.exp(-age / C.DECAY_DAYS) + often) / 2
 
 
-def exact_match(query: str, title: Column, content: Column) -> Column:
+def exact_match(query: str | Column, title: Column, content: Column) -> Column:
     """A bonus where the whole query stands in the title, or else in the content; a blank query gives none."""
-    q = query.strip().lower()
-    if not q:
-        return F.lit(0.0)
-    found = F.when(F.lower(title).contains(q), F.lit(C.TITLE_BONUS)).when(F.lower(content).contains(q), F.lit(C.CONTENT_BONUS))
+    q = F.lower(F.trim(F.lit(query.strip()) if isinstance(query, str) else query))
+    found = F.when(q == "", F.lit(0.0)).when(F.lower(title).contains(q), F.lit(C.TITLE_BONUS)).when(F.lower(content).contains(q), F.lit(C.CONTENT_BONUS))
     return found.otherwise(F.lit(0.0))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,16 +83,22 @@ def word_snippet(text: Column, words: int = 32) -> Column:
     return F.when(F.length(short) < F.length(text), F.concat(short, F.lit("…"))).otherwise(short)
 
 
-def hit_snippet(text: Column, terms: list[str], words: int = 32, marks: tuple[str, str] = ("<mark>", "</mark>")) -> Column:
-    """A window of words that begins a quarter before the first hit of a term, with the hits in marks and an ellipsis
-    where the text goes on; the first words where there is no hit."""
+def hit_snippet(text: Column, terms: list[str], words: int = 32, marks: tuple[str, str] = ("<mark>", "</mark>"), prefixes: list[str] | None = None, stems: Callable[[Column], Column] | None = None) -> Column:
+    """A window of words that begins a quarter before the first hit of a term (or of a word that begins with one of some
+    prefixes), with the hits in marks and an ellipsis where the text goes on; the first words where there is no hit. With
+    ``stems``, terms and prefixes are stems and words are compared by theirs."""
     cut = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     bare = F.transform(cut, lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    hit = F.get(F.filter(F.transform(bare, lambda x, i: F.when(x.isin(*terms), i)), lambda i: i.isNotNull()), F.lit(0))
-    start = F.greatest(F.lit(0), F.least(hit - words // 4, F.size(cut) - words))
-    marked = F.transform(F.slice(cut, start + 1, F.lit(words)), lambda x: highlight(x, terms, marks))
+    bare = bare if stems is None else stems(bare)
+    is_hit = lambda x: functools.reduce(operator.or_, [x.startswith(p) for p in prefixes or []], x.isin(*terms) if terms else F.lit(False))
+    hits = F.transform(bare, lambda x: F.coalesce(is_hit(x), F.lit(False)))
+    first = F.array_position(hits, F.lit(True)).cast("int") - 1
+    start = F.greatest(F.lit(0), F.least(first - words // 4, F.size(cut) - words))
+    both = F.slice(F.arrays_zip(cut.alias("word"), hits.alias("hit")), start + 1, F.lit(words))
+    shown = lambda x: F.regexp_replace(x, r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", f"$1{marks[0]}$2{marks[1]}$3")
+    marked = F.transform(both, lambda x: F.when(x["1"], shown(x["0"])).otherwise(x["0"]))
     before, behind = F.when(start > 0, "…").otherwise(""), F.when(start + words < F.size(cut), "…").otherwise("")
-    return F.when(hit.isNull(), word_snippet(text, words)).otherwise(F.concat(before, F.array_join(marked, " "), behind))
+    return F.when(F.coalesce(first, F.lit(-1)) < 0, word_snippet(text, words)).otherwise(F.concat(before, F.array_join(marked, " "), behind))
 
 
 def char_snippet(text: Column, chars: int = 240) -> Column:

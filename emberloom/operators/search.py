@@ -3,10 +3,8 @@
 Keyword filters apply before the limit, and vector filters behind it: the vector positions are then counted anew
 over the rows that pass. Ties are always broken by id.
 
-A keyword query is read by splitting it: OR parts alternatives, AND their factors, NOT what a factor must not hold;
-words beside each other must all occur, and words in quotes in a row. Every phrase of the query that occurs adds to the
-score. Keywords are looked up in the texts themselves, or in an index of postings that :func:`write_index` keeps by
-hash of the term, so that a query reads the buckets of its own terms only.
+Keyword queries are read by :mod:`emberloom.operators.fulltext`; they are looked up in the texts themselves or in an index of
+segments.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ from __future__ import annotations
 import functools
 import math
 import operator
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +21,7 @@ from pyspark.sql import functions as F
 
 from emberloom import config as C
 from emberloom.functions import python, scores, text
+from emberloom.operators import fulltext
 from emberloom.operators.scratch import written
 
 
@@ -32,119 +30,30 @@ def pool_size(limit: int) -> int:
     return min(C.POOL_CAP, C.OVERSAMPLE * limit)
 
 
-Query = list[list[list[list[tuple[str, ...]]]]]
-
-
-def parse_query(query: str, stem: Callable[[str], str] = str) -> Query:
-    """Alternatives of factors of groups of phrases: of a factor, all phrases of the first group must occur, and not
-    all of any further one. Empty where the query is not sound: an operator without words, an open quote, or a mark
-    outside quotes (brackets, too)."""
-    pieces = re.findall(r'"[^"]*"|[^\s"]+|"', query)
-    if any(x == '"' or (x[0] != '"' and re.search(r"[^\w\u0080-\U0010ffff]", x)) for x in pieces):
-        return []
-    out: Query = [[[[]]]]
-    for x in pieces:
-        if x == "OR":
-            out.append([[[]]])
-        elif x == "AND":
-            out[-1].append([[]])
-        elif x == "NOT":
-            out[-1][-1].append([])
-        elif phrase := tuple(stem(w) for w in re.findall(r"[^\W_]+", x.lower())):
-            out[-1][-1][-1].append(phrase)
-    return out if all(group for factors in out for groups in factors for group in groups) else []
-
-
-def any_of(terms: list[str]) -> Query:
-    """The query that wants any of some terms."""
-    return [[[[(t,)]]] for t in terms]
-
-
-def phrases_of(query: Query) -> list[tuple[str, ...]]:
-    return list(dict.fromkeys(p for factors in query for groups in factors for group in groups for p in group))
-
-
-def _wanted(query: Query, there: dict[tuple[str, ...], Column]) -> Column:
-    whole = lambda group: functools.reduce(operator.and_, (there[p] for p in group))
-    factor = lambda groups: functools.reduce(operator.and_, (~whole(g) for g in groups[1:]), whole(groups[0]))
-    return functools.reduce(operator.or_, (functools.reduce(operator.and_, map(factor, factors)) for factors in query))
-
-
-def _scored(rows: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
-    """``id`` and ``score`` of rows with ``n`` (words) and ``tf0``, ... (occurrences of each phrase). ``stats`` is one
-    row: ``docs``, ``mean`` (words) and ``df0``, ..."""
-    phrases = phrases_of(query)
-    joined = rows.crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        f, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
-        idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (C.BM25_K1 + 1) / (f + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("n") / F.col("mean")))
-    there = {p: F.col(f"tf{i}") > 0 for i, p in enumerate(phrases)}
-    return joined.where(_wanted(query, there)).select("id", score.alias("score"))
-
-
-def _frequencies(rows: DataFrame, n: int) -> list[Column]:
-    return [F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(n)]
-
-
-def bm25(docs: DataFrame, query: Query, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None, words: Callable[[Column], Column] = text.tokens) -> DataFrame:
+def bm25(docs: DataFrame, query: fulltext.Query, id_col: str = "doc_id", text_cols: tuple[str, ...] = ("text",), where: Column | None = None, words: Callable[[Column], Column] = text.tokens) -> DataFrame:
     """``id`` and ``score`` of the rows that a query wants, found in their texts.
 
     One scan counts words and phrases of each row without shuffling text, and leaves a narrow table; document
     frequencies and the mean length are one small aggregate of it. They count all rows; ``where`` filters candidates.
     """
-    phrases = phrases_of(query)
-    found = docs.select(F.col(id_col).alias("id"), (F.lit(True) if where is None else where).alias("_ok"), words(F.col(text_col)).alias("w"))
-
-    def occurrences(phrase: tuple[str, ...]) -> Column:
-        if len(phrase) == 1:
-            return F.size("w") - F.size(F.array_remove("w", phrase[0]))
-        rest = lambda i: functools.reduce(operator.and_, (F.get("w", i + j) == t for j, t in enumerate(phrase[1:], 1)))
-        return F.size(F.filter("w", lambda x, i: (x == phrase[0]) & rest(i)))
-
-    rows = written(found.select("id", "_ok", F.size("w").alias("n"), *(occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases))), "counts")
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *_frequencies(rows, len(phrases)))
-    return _scored(rows.where("_ok"), stats, query)
-
-
-def index_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Callable[[Column], Column] = text.tokens) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths): ``term``, ``id``, ``n`` and ``places`` of every term of every row; ``id`` and ``n`` of every row."""
-    found = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", F.size("w").alias("n"), "w")
-    rows = found.select("id", "n", F.posexplode("w").alias("place", "term"))
-    return rows.groupBy("term", "id", "n").agg(F.sort_array(F.collect_list("place")).alias("places")), found.select("id", "n")
-
-
-def write_index(docs: DataFrame, path: str, buckets: int = 64, **how) -> None:
-    """Postings under ``path`` in folders by hash of their term, and the lengths of all rows."""
-    postings, lengths = index_terms(docs, **how)
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
-
-
-def search_index(spark: SparkSession, path: str, query: Query, allowed: DataFrame | None = None) -> DataFrame:
-    """``id`` and ``score`` of the rows that a query wants, from an index: only the buckets of its terms are read.
+    phrases = fulltext.phrases_of(query)
+    names = {c: f"w{i}" for i, c in enumerate(text_cols)}
+    cut = [words(F.coalesce(F.col(c), F.lit(""))).alias(w) for c, w in names.items()]
+    found = docs.select(F.col(id_col).alias("id"), (F.lit(True) if where is None else where).alias("_ok"), *cut)
+    n = functools.reduce(operator.add, map(F.size, names.values()))
+    counts = [fulltext.occurrences(p, {c: F.col(w) for c, w in names.items()}).alias(f"tf{i}") for i, p in enumerate(phrases)]
+    rows = written(found.select("id", "_ok", n.alias("n"), *counts), "counts")
+    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *fulltext.frequencies(rows, len(phrases)))
+    return fulltext.scored(rows.where("_ok"), stats, query)
+
+
+def search_index(spark: SparkSession, index: fulltext.Index, query: fulltext.Query, allowed: DataFrame | None = None) -> DataFrame:
+    """``id`` and ``score`` of the rows that a query wants, from an index: only the row groups with its terms are read.
     Frequencies count all rows; ``allowed`` (``id``) filters candidates."""
-    phrases = phrases_of(query)
-    terms = sorted({t for p in phrases for t in p})
-    size = spark.read.parquet(f"{path}/stats").first()
-    listed = spark.createDataFrame([(t,) for t in terms], "term string")
-    buckets = [r.b for r in listed.select(F.pmod(F.xxhash64("term"), F.lit(size.buckets)).cast("int").alias("b")).distinct().collect()]
-    own = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    none = F.array().cast("array<int>")
-    places = {t: f"p{i}" for i, t in enumerate(terms)}
-    rows = own.groupBy("id", "n").agg(*(F.coalesce(F.first(F.when(F.col("term") == t, F.col("places")), ignorenulls=True), none).alias(c) for t, c in places.items()))
-
-    def shifted(term: str, by: int) -> Column:
-        return F.transform(places[term], lambda x: x - by)
-
-    def occurrences(phrase: tuple[str, ...]) -> Column:
-        return F.size(functools.reduce(F.array_intersect, (shifted(t, j) for j, t in enumerate(phrase))))
-
-    rows = written(rows.select("id", "n", *(occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases))), "counts")
-    stats = rows.agg(F.lit(size.docs).alias("docs"), F.lit(size["mean"]).alias("mean"), *_frequencies(rows, len(phrases)))
-    return _scored(rows if allowed is None else rows.join(allowed.select("id"), "id", "left_semi"), stats, query)
+    found, size = fulltext.found_in_index(spark, index, query)
+    rows = written(found, "counts")
+    stats = rows.agg(*size, *fulltext.frequencies(rows, len(fulltext.phrases_of(query))))
+    return fulltext.scored(rows if allowed is None else rows.join(allowed.select("id"), "id", "left_semi"), stats, query)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, limit: int) -> DataFrame:
@@ -153,14 +62,25 @@ def numbered(df: DataFrame, order: list[Column], name: str, limit: int) -> DataF
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def keyword_candidates(docs: DataFrame, query: str, limit: int, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
+def keyword_candidates(
+    docs: DataFrame, query: str, limit: int, where: Column | None = None, id_col: str = "doc_id", text_cols: tuple[str, ...] = ("text",), stemmed: bool = False, index: fulltext.Index | None = None
+) -> DataFrame:
     """``id``, ``fts_pos``: the best rows for a query; an unusable query gives none. ``stemmed`` compares stems of words
-    of any script instead of runs of a-z and 0-9."""
-    parsed = parse_query(query, python.stem_word) if stemmed else parse_query(query)
-    if not parsed:
+    of any script instead of runs of a-z and 0-9. ``index`` has the same words of the same columns, and is then read instead."""
+    parsed = fulltext.parse(query, python.stem_word if stemmed else str, text_cols)
+    if parsed is None:
         return docs.sparkSession.createDataFrame([], "id long, score double, fts_pos int")
-    words = (lambda c: python.stems(text.words(c))) if stemmed else text.tokens
-    return numbered(bm25(docs, parsed, id_col, text_col, where, words), [F.desc("score"), F.asc("id")], "fts_pos", pool_size(limit))
+    if index is None:
+        found = bm25(docs, parsed, id_col, text_cols, where, stemmed_words if stemmed else text.tokens)
+    else:
+        allowed = None if where is None else docs.where(where).select(F.col(id_col).alias("id"))
+        found = search_index(docs.sparkSession, index, parsed, allowed)
+    return numbered(found, [F.desc("score"), F.asc("id")], "fts_pos", pool_size(limit))
+
+
+def stemmed_words(column: Column) -> Column:
+    """The words of a stemmed search."""
+    return python.stems(text.words(column))
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -224,3 +144,18 @@ def hybrid(keyword: DataFrame, vector: DataFrame, docs: DataFrame, stats: DataFr
     bonus = scores.reinforcement(F.lit(now), F.col("last_accessed"), F.col("indexed_at"), F.col("access_count"))
     scored = rows.select("id", "title", "content", "indexed_at", "fts_pos", "vec_pos", fused.alias("rrf"), (fused + bonus + scores.exact_match(query, F.col("title"), F.col("content"))).alias("score"))
     return scored.orderBy(F.desc("score"), F.desc("rrf"), F.desc("indexed_at"), F.asc("id")).limit(limit)
+
+
+def hybrid_many(keyword: DataFrame, vector: DataFrame, queries: DataFrame, docs: DataFrame, stats: DataFrame, now: int, limit: int) -> DataFrame:
+    """``query``, ``id``, ``pos``, ``rrf`` and ``score``: :func:`hybrid` of many queries at once.
+
+    ``keyword`` and ``vector`` have ``query``, ``id`` and ``pos``, a pool for each query; ``queries`` has ``query`` and ``words``,
+    the query's text. Texts of candidates alone are joined.
+    """
+    pairs = keyword.select("query", "id", F.col("pos").alias("fts_pos")).join(vector.select("query", "id", F.col("pos").alias("vec_pos")), ["query", "id"], "full_outer")
+    rows = pairs.join(docs, "id").join(queries.select("query", "words"), "query").join(stats, "id", "left")
+    fused = scores.rrf(F.col("fts_pos"), F.col("vec_pos"))
+    bonus = scores.reinforcement(F.lit(now), F.col("last_accessed"), F.col("indexed_at"), F.col("access_count"))
+    scored = rows.select("query", "id", "indexed_at", fused.alias("rrf"), (fused + bonus + scores.exact_match(F.col("words"), F.col("title"), F.col("content"))).alias("score"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("rrf"), F.desc("indexed_at"), F.asc("id"))
+    return scored.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= limit).select("query", "id", "pos", "rrf", "score")

@@ -13,21 +13,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberloom import config as C
-from emberloom.functions import text
-from emberloom.operators import events, flags, search, similarity, themes
+from emberloom.functions import python, text
+from emberloom.operators import events, flags, fulltext, search, similarity, themes
 from emberloom.sources import files
 
 
 @dataclass
 class Memory:
     """The tables that the tools read. ``observations``: id, source_type, source_path, project, title, content,
-    indexed_at. ``vectors``: vec_id, embedding. ``access``: user_id (an observation's id), ts."""
+    indexed_at, topic. ``vectors``: vec_id, embedding. ``access``: user_id (an observation's id), ts. ``index``: a full-text
+    index of stemmed titles, contents and topics, where there is one."""
 
     spark: SparkSession
     root: str
     observations: DataFrame
     vectors: DataFrame
     access: DataFrame
+    index: fulltext.Index | None = None
 
 
 def held(limit: int, most: int) -> int:
@@ -45,14 +47,17 @@ def search_memory(m: Memory, query: str, query_vector: list[float] | None, now:
     if project is not None:
         where = where & (F.col("project") == project)
     o = m.observations
-    body = o.withColumn("_body", F.concat_ws(" ", "title", "content", "topic") if "topic" in o.columns else F.concat_ws(" ", "title", "content"))
-    kw = search.keyword_candidates(body, query, limit, where, "id", "_body", stemmed=True)
+    columns = tuple(c for c in ("title", "content", "topic") if c in o.columns)
+    kw = search.keyword_candidates(o, query, limit, where, "id", columns, stemmed=True, index=m.index)
     allowed = o.where(where).select("id")
     vec = m.spark.createDataFrame([], "id long, vec_pos int") if query_vector is None else search.vector_candidates(m.vectors, query_vector, limit, allowed)
     found = search.hybrid(kw, vec, o.select("id", "title", "content", "indexed_at"), search.access_stats(m.access), query, now, limit)
-    terms = sorted({t for phrase in search.phrases_of(search.parse_query(query)) for t in phrase})
+    parsed = fulltext.parse(query, python.stem_word, columns)
+    phrases = fulltext.phrases_of(parsed) if parsed else []
+    terms = sorted({w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)})
+    hit = text.hit_snippet(F.col("content"), terms, prefixes=sorted({p.words[-1] for p in phrases if p.prefix}), stems=python.stems)
     words = text.word_snippet(F.col("content"))
-    return found.withColumn("snippet", F.when(F.col("fts_pos").isNotNull(), text.hit_snippet(F.col("content"), terms)).otherwise(words) if terms else words)
+    return found.withColumn("snippet", F.when(F.col("fts_pos").isNotNull(), hit).otherwise(words) if phrases else words)
 
 
 def access_bump(results: DataFrame, now: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberloom.functions import scores, text
-from emberloom.operators import evaluate, events, flags, ingest, metrics, reports, scratch, search, similarity, telemetry, themes
+from emberloom.operators import evaluate, events, flags, fulltext, ingest, metrics, reports, scratch, search, similarity, telemetry, themes
 from emberloom.plans import api
 
 NOW = 1_706_745_600  # 2024-02-01, behind the last event
@@ -67,7 +67,7 @@ def _bm25_sql(terms: list[str], need: int, where: str = "true") -> str:
 @query(_bm25_sql(TERMS, 1) + " select id, round(score, 6) as score, row_number() over (order by score desc, id) as pos from found order by score desc, id limit 10")
 def bm25_search(spark, sf_dir):
     """The ten best documents for three words, any of them."""
-    found = search.numbered(search.bm25(t(spark, sf_dir, "documents"), search.any_of(TERMS)), [F.desc("score"), F.asc("id")], "pos", 10)
+    found = search.numbered(search.bm25(t(spark, sf_dir, "documents"), fulltext.any_of(TERMS)), [F.desc("score"), F.asc("id")], "pos", 10)
     return found.select("id", six("score").alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -741,16 +741,116 @@ s as (select count(*) as docs, avg(n) as mean, {', '.join(f'sum((tf{i} > 0)::int
 select id, round({' + '.join(f'ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / mean))' for i in range(3))}, 6) as score from n, s where tf0 > 0 and not tf1 > 0 or tf2 > 0""")
 def phrase_search(spark, sf_dir):
     """All documents with two words in a row and without a third, or with a fourth, and their scores."""
-    found = search.bm25(t(spark, sf_dir, "documents"), search.parse_query('"of the" NOT tion OR eau'))
+    found = search.bm25(t(spark, sf_dir, "documents"), fulltext.parse('"of the" NOT tion OR eau'))
     return found.select("id", six("score").alias("score"))
 
 
 @query(_bm25_sql(TERMS, 1) + " select id, round(score, 6) as score from found")
 def index_search(spark, sf_dir):
     """All documents with any of three words, from an index of postings that is written first."""
-    path = scratch.new_path(spark, "index")
-    search.write_index(t(spark, sf_dir, "documents"), path)
-    return search.search_index(spark, path, search.any_of(TERMS)).select("id", six("score").alias("score"))
+    index = fulltext.Index(scratch.new_path(spark, "index"))
+    fulltext.apply_changes(spark, index, t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return search.search_index(spark, index, fulltext.any_of(TERMS)).select("id", six("score").alias("score"))
+
+
+def _grammar_sql(counts: list[str], wanted: str, rows: str = _WORDS, length: str = "len(w)") -> str:
+    """Scores of rows by the number of times that each phrase of a query occurs in them."""
+    tf = ", ".join(f"{c} as tf{i}" for i, c in enumerate(counts))
+    df = ", ".join(f"sum((tf{i} > 0)::int) as df{i}" for i in range(len(counts)))
+    score = " + ".join(f"ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(counts)))
+    return f"with d as ({rows}), n as (select id, {length} as n, {tf} from d), s as (select count(*) as docs, avg(n) as mean, {df} from n) select id, round({score}, 6) as score from n, s where {wanted}"
+
+
+_WORD = "len(list_filter(w, lambda x: x = '{}'))"
+_BEGINS = "len(list_filter(w, lambda x: starts_with(x, '{}')))"
+_NEXT = "len(list_filter(range(1, len(w)), lambda i: w[i] = '{}' and starts_with(w[i + 1], '{}')))"
+
+
+@query(_grammar_sql([_WORD.format("tion"), _WORD.format("eau"), _WORD.format("thtion"), _WORD.format("ing"), _PHRASE.format(a="of", b="the")], "(tf0 > 0 or tf1 > 0) and not (tf2 > 0 or tf3 > 0 and not tf4 > 0)"))
+def bracket_search(spark, sf_dir):
+    """All documents for a query with brackets in brackets, found in their texts."""
+    query_ = fulltext.parse('(tion OR eau) NOT (thtion OR (ing NOT "of the"))')
+    return search.bm25(t(spark, sf_dir, "documents"), query_).select("id", six("score").alias("score"))
+
+
+@query(_grammar_sql([_BEGINS.format("thti"), _NEXT.format("of", "th"), _BEGINS.format("eau")], "(tf0 > 0 or tf1 > 0) and not tf2 > 0"))
+def prefix_search(spark, sf_dir):
+    """All documents with words that begin in some way, alone and at the end of a phrase, from an index of segments."""
+    index = fulltext.Index(scratch.new_path(spark, "index"))
+    fulltext.apply_changes(spark, index, t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return search.search_index(spark, index, fulltext.parse('(thti* OR "of th"*) NOT eau*')).select("id", six("score").alias("score"))
+
+
+_TITLED = "select doc_id as id, regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+') as a, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents"
+
+
+@query(_grammar_sql(["len(list_filter(a, lambda x: x = 'the'))", _WORD.format("ing"), "(a[1] = 'the')::int + (w[1] = 'the')::int"], "tf0 > 0 and tf1 > 0 or coalesce(tf2, 0) > 0", _TITLED, "len(a) + len(w)"))
+def column_search(spark, sf_dir):
+    """All documents for words in one column or the other, or at the beginning of any, from an index of two columns."""
+    index = fulltext.Index(scratch.new_path(spark, "index"), ("title", "body"))
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(60)).alias("title"), F.col("text").alias("body"))
+    fulltext.apply_changes(spark, index, docs)
+    query_ = fulltext.parse("title : the AND {body} : (ing) OR ^ the", columns=index.columns)
+    return search.search_index(spark, index, query_).select("id", six("score").alias("score"))
+
+
+_HYBRID_TERMS = 3
+
+
+@query(f"""
+with w as (select doc_id as id, text, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
+d as (select id, text, len(w) as n, w from w), s as (select count(*) as docs, avg(n) as mean from d),
+item as (select item_id as query, text, regexp_extract_all(lower(text), '[a-z0-9]+')[1:{_HYBRID_TERMS}] as terms from benchmark),
+asked as (select distinct query, unnest(terms) as term from item),
+freq as (select term, count(*) as df from (select distinct id, unnest(w) as term from d) group by 1),
+hit as (select a.query, d.id, d.n, a.term, len(list_filter(w, lambda x: x = a.term)) as tf, f.df from asked a join freq f using (term) join d on list_contains(d.w, a.term)),
+found as (select query, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) as score
+  from hit, s group by query, id having count(*) = (select count(*) from asked a where a.query = hit.query)),
+kw as (select query, id, row_number() over (partition by query order by score desc, id) as fts_pos from found qualify fts_pos <= 40),
+near as (select i.query, e.vec_id as id, row_number() over (partition by i.query order by list_dot_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as vec_pos
+  from item i join embeddings q on q.vec_id = i.query, embeddings e qualify vec_pos <= 40),
+pair as (select coalesce(kw.query, near.query) as query, coalesce(kw.id, near.id) as id, fts_pos, vec_pos from kw full join near on kw.id = near.id and kw.query = near.query),
+stats as ({_STATS}),
+rows as (select p.query, p.id, coalesce(1.0 / (60 + fts_pos), 0) + coalesce(1.0 / (60 + vec_pos), 0) as rrf, {NOW} - 86400 * (p.id % 90) as indexed_at, last_accessed, access_count,
+  case when contains(lower('Document ' || p.id), array_to_string(terms, ' ')) then 0.016 when contains(lower(w.text), array_to_string(terms, ' ')) then 0.008 else 0 end as exact
+  from pair p join w on w.id = p.id join item using (query) left join stats s on s.id = p.id),
+best as (select query, id, row_number() over (partition by query order by rrf + {_BONUS.format(now=NOW)} + exact desc, rrf desc, indexed_at desc, id) as pos from rows qualify pos <= 10),
+relevant as (select item_id as query, doc_id as id from benchmark b join documents d on contains(lower(d.text), lower(b.text))),
+each as (select i.query, coalesce((select count(*) filter (b.pos <= 5)::double / count(*) from relevant r left join best b on b.query = r.query and b.id = r.id where r.query = i.query), 0) as recall,
+  coalesce(1.0 / (select min(b.pos) from relevant r join best b on b.query = r.query and b.id = r.id where r.query = i.query), 0) as rr from item i)
+select count(*) as queries, round(avg(case when isnan(recall) then 0 else recall end), 6) as recall, round(avg(rr), 6) as mrr from each""")
+def hybrid_evaluation(spark, sf_dir):
+    """Recall at 5 and reciprocal rank of the whole hybrid search: the first words of each benchmark item and a vector as
+    the query, the documents that hold the item as what is relevant. All queries are searched at once."""
+    docs, items = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
+    index = fulltext.Index(scratch.new_path(spark, "index"))
+    fulltext.apply_changes(spark, index, docs.select(F.col("doc_id").alias("id"), "text"))
+    asked = items.select(F.col("item_id").alias("query"), F.slice(text.tokens(F.col("text")), 1, _HYBRID_TERMS).alias("terms"))
+    asked = asked.withColumn("words", F.array_join("terms", " "))
+    e = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    near = search.nearest_many(e, e.join(items.select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query"), F.col("v").alias("q")), search.pool_size(10))
+    rows = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), F.col("doc_id")).alias("title"), F.col("text").alias("content"), (NOW - 86400 * (F.col("doc_id") % 90)).alias("indexed_at"))
+    ranked = search.hybrid_many(fulltext.search_many(spark, index, asked, search.pool_size(10)), near, asked, rows, search.access_stats(t(spark, sf_dir, "events")), NOW, 10)
+    truth = reports.containing(items.select(F.col("item_id").alias("query"), F.col("text").alias("label")), docs.select(F.col("doc_id").alias("id"), "text"), "label", "text")
+    scored = evaluate.per_query(ranked, truth, 5)
+    every = asked.select("query").join(scored, "query", "left").fillna(0.0, ["recall", "rr"])
+    return evaluate.means(every).select("queries", six("recall").alias("recall"), six("mrr").alias("mrr"))
+
+
+_CHANGED = "select doc_id as id, regexp_extract_all(lower(case when doc_id % 5 = 1 then text || ' eau tion' else text end), '[a-z0-9]+') as w from documents where doc_id % 7 > 0"
+
+
+@query(_grammar_sql([_WORD.format("tion"), _WORD.format("eau")], "tf0 > 0 and tf1 > 0", _CHANGED))
+def changed_index_search(spark, sf_dir):
+    """All documents with two words, from an index that was written in parts: some rows then changed, others were deleted."""
+    index = fulltext.Index(scratch.new_path(spark, "index"))
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    for part in range(4):
+        fulltext.apply_changes(spark, index, docs.where(F.pmod("id", F.lit(4)) == part))
+    changed = docs.where("id % 5 = 1").withColumn("text", F.concat("text", F.lit(" eau tion")))
+    fulltext.apply_changes(spark, index, changed, deleted=docs.where("id % 7 = 0 and id % 5 <> 1"))
+    fulltext.apply_changes(spark, index, deleted=docs.where("id % 7 = 0"))
+    return search.search_index(spark, index, fulltext.parse("tion eau")).select("id", six("score").alias("score"))
 
 
 _ENTRIES = "select doc_id as id, source as path, '2026-01-' || lpad(cast(doc_id % 28 + 1 as varchar(2)), 2, '0') as date, sha256(text) as hash, doc_id as place from documents"

@@ -15,7 +15,7 @@ def publish(df: DataFrame, table: str) -> str:
     removed, so readers always find a whole version, the old one or the new one."""
     folder = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{table}/{folder}")
-    _point(df.sparkSession, table, {"": folder})
+    point(df.sparkSession, table, {"": folder})
     return f"{table}/{folder}"
 
 
@@ -26,12 +26,12 @@ def publish_parts(df: DataFrame, table: str, part: str) -> None:
     df.write.partitionBy(part).parquet(f"{table}/{folder}")
     target, system = _files(spark, f"{table}/{folder}")
     made = [s.getPath().getName() for s in system.listStatus(target) if s.isDirectory()]
-    _point(spark, table, _parts(spark, table) | {name.split("=", 1)[1]: f"{folder}/{name}" for name in made})
+    point(spark, table, pointed(spark, table) | {name.split("=", 1)[1]: f"{folder}/{name}" for name in made})
 
 
 def published(spark: SparkSession, table: str, parts: list[str] | None = None) -> DataFrame:
     """The version (or, of a table in parts, the version of each part or of some) that the last pointer names."""
-    found = _parts(spark, table)
+    found = pointed(spark, table)
     if not found:
         raise FileNotFoundError(f"nothing is published under {table}")
     some = [p for k, p in found.items() if parts is None or k in parts]
@@ -51,7 +51,7 @@ def _last(spark: SparkSession, table: str) -> int:
     return max((int(s.getPath().getName().split(".")[0]) for s in system.listStatus(target)), default=0) if system.exists(target) else 0
 
 
-def _parts(spark: SparkSession, table: str) -> dict[str, str]:
+def pointed(spark: SparkSession, table: str) -> dict[str, str]:
     """The folder of each part that the last pointer names."""
     number = _last(spark, table)
     if not number:
@@ -64,7 +64,7 @@ def _parts(spark: SparkSession, table: str) -> dict[str, str]:
         stream.close()
 
 
-def _point(spark: SparkSession, table: str, parts: dict[str, str]) -> None:
+def point(spark: SparkSession, table: str, parts: dict[str, str]) -> None:
     """Write the next pointer under another name and rename it, so that no reader finds half of one."""
     number = _last(spark, table) + 1
     draft, system = _files(spark, f"{table}/_drafts/{uuid.uuid4().hex}")

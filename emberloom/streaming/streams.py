@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberloom import config as C
-from emberloom.operators import ingest
+from emberloom.operators import fulltext, ingest
 from emberloom.sources import sinks
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -46,6 +46,21 @@ def index_stream(changes: DataFrame, table: str, checkpoint: str, now: Callable[
     return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def text_index_stream(changes: DataFrame, index: fulltext.Index, checkpoint: str):
+    """Keep a full-text index up to date: each batch of changes (``id``, ``at``, ``gone`` and the index's columns) adds one
+    segment, with the last change of each id, and hides what it replaces or deletes. A batch that is run again after a
+    failure comes to the same."""
+
+    def change(batch: DataFrame, _: int) -> None:
+        fields = F.struct("gone", *index.columns)
+        last = batch.groupBy("id").agg(F.max_by(fields, "at").alias("r")).select("id", "r.*").persist()
+        if not last.isEmpty():
+            fulltext.apply_changes(batch.sparkSession, index, last.where(~F.col("gone")), deleted=last.where("gone"))
+        last.unpersist()
+
+    return changes.writeStream.foreachBatch(change).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def reconcile(table_rows: DataFrame, files: DataFrame) -> DataFrame:
     """The backstop: indexed rows of which the file is gone drop."""
     return table_rows.join(files.select(F.col("path").alias("source_path")), "source_path", "left_semi")

@@ -53,25 +53,15 @@ def test_exact_match(spark):
     assert [get(q) for q in (" title ", "BODY", "none", "  ")] == [0.016, 0.008, 0, 0]
 
 
-def test_keyword_query(spark, tmp_path):
+def test_keyword_query(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue dog"), (4, None), (5, "a blue fox and a red dog")], "doc_id long, text string")
     ids = lambda q: [r.id for r in search.keyword_candidates(docs, q, 5).orderBy("fts_pos").collect()]
-    search.write_index(docs, str(tmp_path / "index"), buckets=3)
-    want = {
-        "red": {1, 2, 5}, "red fox": {1, 5}, "fox OR blue": {1, 3, 5}, "red NOT fox": {2}, "dog NOT red OR fox": {1, 3, 5}, '"red dog"': {2, 5}, '"blue fox" red': {5},
-        "red AND dog NOT blue": {2}, "dog NOT red blue": {2, 3}, '"red red"': {2}, "fox-red": set(), "NOT red": set(), '"red': set(), '"" AND': set(), "(red)": set(), "none": set(),
-    }
-    for q, found in want.items():
-        assert set(ids(q)) == found, q
-        if parsed := search.parse_query(q):
-            got = {r.id: round(r.score, 9) for r in search.search_index(spark, str(tmp_path / "index"), parsed).collect()}
-            assert got == {r.id: round(r.score, 9) for r in search.bm25(docs, parsed).collect()}
-    assert ids("red")[0] == 2
+    assert ids("red")[0] == 2 and set(ids("dog NOT (red OR fox)")) == {3} and ids("fox-red") == []
     where = search.keyword_candidates(docs, "red", 5, F.col("doc_id") == 1).collect()
     assert [(r.id, r.fts_pos) for r in where] == [(1, 1)]
     words = spark.createDataFrame([(1, "Running écoles"), (2, "he runs"), (3, "run on")], "doc_id long, text string")
     stemmed = lambda q: {r.id for r in search.keyword_candidates(words, q, 5, stemmed=True).collect()}
-    assert stemmed("run") == {1, 2, 3} and stemmed("ecole") == {1} and stemmed("runs NOT he") == {1, 3}
+    assert stemmed("run") == {1, 2, 3} and stemmed("ecole") == {1} and stemmed("runs NOT he") == {1, 3} and stemmed("runn*") == set() and stemmed("ecol*") == {1}
 
 
 def test_many_nearest(spark):

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from emberloom.functions import python
-from emberloom.operators import search
+from emberloom.operators import fulltext, search
 
 
 @given(st.text(max_size=60))
@@ -34,7 +34,6 @@ def test_pools(limit):
 
 @given(st.text(max_size=40))
 def test_any_query_is_parsed(query):
-    for factors in search.parse_query(query):
-        assert factors and all(groups and all(groups) for groups in factors)
-    for phrase in search.phrases_of(search.parse_query(query)):
-        assert phrase and all(t.isalnum() for t in phrase)
+    parsed = fulltext.parse(query, columns=("title",))
+    for phrase in fulltext.phrases_of(parsed) if parsed else []:
+        assert phrase.words and all(t.isalnum() for t in phrase.words)
