@@ -96,7 +96,7 @@ def hit_snippet(text: Column, terms: list[str], words: int = 32, marks: tuple[st
     start = F.greatest(F.lit(0), F.least(first - words // 4, F.size(cut) - words))
     both = F.slice(F.arrays_zip(cut.alias("word"), hits.alias("hit")), start + 1, F.lit(words))
     shown = lambda x: F.regexp_replace(x, r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", f"$1{marks[0]}$2{marks[1]}$3")
-    marked = F.transform(both, lambda x: F.when(x["1"], shown(x["0"])).otherwise(x["0"]))
+    marked = F.transform(both, lambda x: F.when(x["hit"], shown(x["word"])).otherwise(x["word"]))
     before, behind = F.when(start > 0, "…").otherwise(""), F.when(start + words < F.size(cut), "…").otherwise("")
     return F.when(F.coalesce(first, F.lit(-1)) < 0, word_snippet(text, words)).otherwise(F.concat(before, F.array_join(marked, " "), behind))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberloom import config as C
 from emberloom.functions import python, text
-from emberloom.operators import events, flags, fulltext, search, similarity, themes
+from emberloom.operators import events, flags, fulltext, reports, scratch, search, similarity, themes
 from emberloom.sources import files
 
 
@@ -218,42 +218,32 @@ def _paths_in(citation: Column) -> Column:
     return F.array_distinct(pieces)
 
 
-def _sessions_in(citation: Column) -> Column:
-    """Every run of parts joined by hyphens in the words of a citation: any of them may be a session's id."""
-    words = F.filter(F.split(citation, r"[^A-Za-z0-9_-]+"), lambda w: w != "")
-
-    def runs(word: Column) -> Column:
-        parts = F.split(word, "-")
-        places = F.sequence(F.lit(1), F.size(parts))
-        return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: F.array_join(F.slice(parts, i, j - i + 1), "-"))))
-
-    return F.array_distinct(F.flatten(F.transform(words, runs)))
-
-
 def resolve_citations(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
     """``citation``, ``path``: the first episode, in path order, whose path stands in the citation, or else whose
-    session id does; null if none does. What a citation may name is cut out of it and joined by equality, so any
-    number of citations meets any number of episodes; ids are letters, digits, ``_`` and hyphens."""
+    session id does, as any part of it; null if none does. Paths are cut out of a citation and joined by equality. Session
+    ids are tried in blocks against every citation, as :func:`reports.containing` does, in either case and then exactly."""
     cited = evidence.select("citation").distinct()
     bare = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     by_path = cited.select("citation", F.explode(_paths_in(F.col("citation"))).alias("k")).join(episodes.select(bare.alias("k"), "path"), "k").select("citation", "path", F.lit(0).alias("rank"))
-    known = episodes.where(F.length("session_id") > 0).select(F.col("session_id").alias("k"), "path")
-    by_session = cited.select("citation", F.explode(_sessions_in(F.col("citation"))).alias("k")).join(known, "k").select("citation", "path", F.lit(1).alias("rank"))
+    known = episodes.where(F.length("session_id") > 0).groupBy("session_id").agg(F.min("path").alias("path"))
+    held = reports.containing(known, cited.where("citation is not null"), "session_id", "citation")
+    by_session = held.where(F.contains("citation", "session_id")).select("citation", "path", F.lit(1).alias("rank"))
     first = by_path.unionByName(by_session).groupBy("citation").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
     return cited.join(first, "citation", "left")
 
 
 def validate_experience_proposal(m: Memory, proposals: DataFrame) -> DataFrame:
-    """``id``, ``faults``, ``cited`` (distinct episodes), ``duplicate_of`` and ``ok`` of each proposal."""
+    """``id``, ``faults``, ``cited`` (distinct episodes), ``unknown``, ``duplicate_of`` and ``ok`` of each proposal, a row for
+    each, whether it has an id or shares it with others."""
     p = F.struct(*proposals.columns)
-    rows = proposals.select("id", proposal_faults(p).alias("faults"), "evidence", F.col("proposed_change.content").alias("content"))
+    rows = proposals.select(F.monotonically_increasing_id().alias("n"), "id", proposal_faults(p).alias("faults"), "evidence", F.col("proposed_change.content").alias("content"))
+    rows = scratch.written(rows, "proposals")  # their numbers stay as they are
     eps = files.episodes(files.markdown(m.spark, f"{m.root}/episodes"))
-    cites = rows.select("id", F.explode("evidence").alias("citation"))
-    cited = cites.join(resolve_citations(cites, eps), "citation").groupBy("id").agg(F.count_distinct("path").alias("cited"), F.sum(F.col("path").isNull().cast("int")).alias("unknown"))
-    numbered = rows.select(F.xxhash64("id").alias("n"), "id", text.token_set(F.col("content")).alias("tokens"))
+    cites = rows.select("n", F.explode("evidence").alias("citation"))
+    cited = cites.join(resolve_citations(cites, eps), "citation", "left").groupBy("n").agg(F.count_distinct("path").alias("cited"), F.sum(F.col("path").isNull().cast("int")).alias("unknown"))
     known = entries_of(m).select(F.xxhash64("path", "place").alias("id"), text.token_set(F.col("body")).alias("tokens"))
-    dup = similarity.best_match(numbered.select(F.col("n").alias("id"), "tokens"), known).select(F.col("id").alias("n"), F.col("match").alias("duplicate_of"))
-    out = rows.join(cited, "id", "left").join(numbered.select("id", "n"), "id").join(dup, "n", "left")
+    dup = similarity.best_match(rows.select(F.col("n").alias("id"), text.token_set(F.col("content")).alias("tokens")), known).select(F.col("id").alias("n"), F.col("match").alias("duplicate_of"))
+    out = rows.join(cited, "n", "left").join(dup, "n", "left")
     ok = (F.size("faults") == 0) & (F.coalesce("cited", F.lit(0)) >= C.THEME_SIZE) & (F.coalesce("unknown", F.lit(0)) == 0) & F.col("duplicate_of").isNull()
     return out.select("id", "faults", F.coalesce("cited", F.lit(0)).alias("cited"), F.coalesce("unknown", F.lit(0)).alias("unknown"), "duplicate_of", ok.alias("ok"))
 

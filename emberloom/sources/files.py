@@ -35,15 +35,14 @@ def small_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, root: str, exclude: str | None = None, recursive: bool = True) -> DataFrame:
-    """Files ending in .md below ``root`` with their text; those over the size limit, and those whose path below
-    the root matches ``exclude``, are dropped before their content is read. No folder, no rows."""
+    """Files ending in .md below ``root`` with their text; those over the size limit, and those whose own name
+    matches ``exclude``, are dropped before their content is read. No folder, no rows."""
     if not exists(spark, root):
         return spark.createDataFrame([], FILES)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(root)
     found = found.where(F.col("length") <= C.MAX_FILE_BYTES)
     if exclude:
-        below = F.regexp_replace("path", rf"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
-        found = found.where(~below.rlike(exclude))
+        found = found.where(~F.substring_index("path", "/", -1).rlike(exclude))
     return found.select("path", F.unix_timestamp("modificationTime").alias("modified"), "length", F.decode("content", "utf-8").alias("content"))
 
 
@@ -53,8 +52,8 @@ def candidates(spark: SparkSession, memory: str, watched: tuple[tuple[str, str],
     parts = [
         markdown(spark, f"{memory}/context"),
         markdown(spark, f"{memory}/projects"),
-        markdown(spark, f"{memory}/agent", r"(?:^|/)_legacy"),
-        markdown(spark, f"{memory}/episodes", r"(?:^|/)_"),
+        markdown(spark, f"{memory}/agent", "^_legacy"),
+        markdown(spark, f"{memory}/episodes", "^_"),
     ]
     extra = [f"{folder.rstrip('/')}/{name}" for folder, _ in watched for name in C.PROJECT_FILES]
     parts += [markdown(spark, p) for p in extra if exists(spark, p)]
@@ -176,12 +175,18 @@ def log_export(spark: SparkSession, path: str, variants: dict[str, list[str]]) -
     return raw.select(*(column(n, o) for n, o in variants.items()))
 
 
+def _uri_path(spark: SparkSession, root: str) -> str:
+    """A folder as the paths of its files begin."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def recent_files(spark: SparkSession, root: str, after: str) -> DataFrame:
     """Files changed after a time, with the first path segment as their project."""
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, project string, modified long")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("modifiedAfter", after).load(root)
-    below = F.regexp_replace("path", rf"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
+    below = F.expr("path").substr(F.lit(len(_uri_path(spark, root)) + 2), F.length("path"))
     return found.select("path", F.split_part(below, F.lit("/"), F.lit(1)).alias("project"), F.unix_timestamp("modificationTime").alias("modified"))
 
 

@@ -127,6 +127,32 @@ def test_proposals(spark, memory):
     assert not got["P006"].ok and got["P006"].faults == [] and got["P006"].cited == 1  # one episode, cited three times
 
 
+def test_proposals_without_id_or_with_a_shared_one_have_a_row_each(spark, memory):
+    kind = "id string, priority string, category string, title string, description string, evidence array<string>, proposed_change struct<file:string,action:string,scope:string,content:string,rationale:string>, estimated_weekly_savings_minutes int"
+    told, change = "A description that is long enough to tell what is meant here.", ("f", "APPEND_LEARNING", "agent", "Write the plan down before any work.", "r")
+    sound = ("P001", "HIGH", "EXPERIENCE_LEARNING", "T", told, [f"{memory.root}/episodes/2026-06-01-s1.md", "session s2", "(s3)"], change, 10)
+    double = (*sound[:7][:6], ("f", "APPEND_LEARNING", "agent", "always close the files you open", "r"), 1)
+    found = api.validate_experience_proposal(memory, spark.createDataFrame([sound, double, (None, *sound[1:])], kind)).collect()
+    assert sorted((r.id or "", r.ok, r.duplicate_of is None, len(r.faults)) for r in found) == [("", False, True, 1), ("P001", False, False, 0), ("P001", True, True, 0)]
+
+
+def test_citations_hold_session_ids_anywhere(spark):
+    episodes = spark.createDataFrame([("/m/b.md", "s-1.2"), ("/m/a.md", "s-1.2"), ("/m/c.md", "Q"), ("/m/d.md", None), ("/m/e.md", "")], "path string, session_id string")
+    cited = spark.createDataFrame([("xs-1.2y",), ("q",), ("aQb",), (None,)], "citation string")
+    got = {r.citation: r.path for r in api.resolve_citations(cited, episodes).collect()}
+    assert got == {"xs-1.2y": "/m/a.md", "q": None, "aQb": "/m/c.md", None: None}
+
+
+def test_candidates_by_their_own_names(spark, tmp_path):
+    root = tmp_path / "episodes" / "_x.y(" / "memory"
+    for name in ("episodes/old_drafts/2026-01-01-a.md", "episodes/2026-01-02-b.md", "episodes/_c.md", "agent/x_legacy/d.md", "agent/_legacy-e.md", "context/f.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("# t")
+    found = {r.path.split("/memory/")[1] for r in files.candidates(spark, str(root)).collect()}
+    assert found == {"episodes/old_drafts/2026-01-01-a.md", "episodes/2026-01-02-b.md", "agent/x_legacy/d.md", "context/f.md"}
+    assert {(r.path.rsplit("/", 1)[1], r.project) for r in files.recent_files(spark, str(root), "2000-01-01T00:00:00").collect()} >= {("2026-01-02-b.md", "episodes"), ("d.md", "agent")}
+
+
 def test_citations_of_any_of_many_episodes(spark):
     episodes = spark.createDataFrame([(f"/m/e/2026-06-01-s{i:05}.md", f"s{i:05}") for i in range(1500)], "path string, session_id string")
     cited = spark.createDataFrame([(f"session s{i:05}",) for i in range(1500)] + [("made-up",), ("s00007 beside /m/e/2026-06-01-s00009.md",)], "citation string")
