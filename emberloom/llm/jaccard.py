@@ -11,12 +11,16 @@ cuts the universe (64-bit hashes) into as many segments as its sets may differ i
    there are done with: later, only pairs across components count.
 3. Allocation, for each node and band that it probes. A segment gets 0 (skipped), 1 (an equal subset) or 2 (a subset that
    differs by one shingle at most), and the sum must be one more than the shingles in which the node may differ from
-   partners. The cost of a 1 is the number of the key's index entries: the dearest segments are skipped as far as the sum
-   has room, and those that still cost over ``DEAR`` are skipped against a 2 elsewhere. For these the one-deletion
-   neighbourhoods are probed: of the node's subsets against the subsets of nodes under the skipped keys, and the other way
-   round. Costs are counted over all nodes.
-4. Candidates across components meet parity sketches of 2 bits a shingle: the bits in which two sketches differ are a
-   lower bound of the shingles in which the sets differ, so this drops no link. What is left is verified on the texts.
+   partners. The cost of a 1 is the number of the key's index entries, and the dearest segments are skipped as far as the
+   sum has room. A key that brings together many nodes which share nothing else costs more than a neighbourhood from
+   ``DEAR`` of them on: it is skipped, too, against a 2 on a segment that is not live. For these the one-deletion
+   neighbourhoods are probed: of the node's subsets against the subsets of nodes under the skipped keys, and the other
+   way round. Copies of each other share neighbourhoods as well, so their keys are never skipped that way. All costs are
+   counted over all nodes.
+4. Candidates. Nodes under a key are compared by parity sketches of 2 bits a shingle, in tiles of bounded size. The bits in
+   which two sketches differ are a lower bound of the shingles in which the sets differ, so this drops no link. A first
+   round verifies each node's nearest candidate of another component only, on the texts, which joins most of a family of
+   copies; the last one verifies all candidates that are still across components.
 5. Components of all links, and each document's through its node.
 
 Defined cases: A-Z fold to lower case, other letters do not; null, empty and blank texts have no set, no links and are
@@ -29,6 +33,7 @@ hashes within two sets, and sets are folded by 128 bits.
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +47,13 @@ from emberloom.llm.components import components
 
 WORDS = 4
 PERCENT = 85
-#: Index entries of a key from which it pays to skip it against a one-deletion neighbourhood.
-DEAR = 64
+#: Nodes that share one key only, from which it pays to skip the key against a one-deletion neighbourhood: a comparison of
+#: sketches takes some 50 ns, and the neighbourhoods of a node's whole set some 0.6 ms.
+DEAR = 10_000
+#: Nodes of a key that are compared in one task; more are cut into chunks.
+TILE = 2048
+#: Rounds in which each node's nearest candidate alone is verified; each takes some thirty jobs.
+ROUNDS = 1
 #: Keys of a bucket on the average.
 BUCKET_KEYS = 1 << 16
 BLOCK_CHARS = 1 << 22
@@ -174,7 +184,7 @@ def _id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(_LEAST))
 
 
-def prints(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def prints(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``h`` (a hash of the text), ``n`` (size of the set), ``s1``, ``s2`` (its signature), ``sketch``, and the
     segments that the set may skip in its own band and in the one below."""
     schema = "doc_id long, h long, n long, s1 long, s2 long, sketch binary, room int, room_below int"
@@ -186,7 +196,7 @@ def prints(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
                     rows = []
                     for text in batch.column(1)[part].to_pylist():
-                        x = shingle_set(text)
+                        x = shingle_set(text, words)
                         room = [r for _, r in universe.probed(len(x))]
                         rows.append((len(x), *signature(x), sketch(x) if len(x) >= universe.first else b"", *(room + [0, 0])[:2]))
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
@@ -224,7 +234,7 @@ def _asked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 _LIVE = "key long, node long, own boolean, hub long, entries long"
 
 
-def live_keys(texts: DataFrame, n_buckets: int, percent: int) -> DataFrame:
+def live_keys(texts: DataFrame, n_buckets: int, percent: int, words: int = WORDS) -> DataFrame:
     """``key``, ``node``, ``own`` (the node is an index entry; else it only probes), ``hub`` (the smallest entry) and
     ``entries`` of the keys that some entry shares with another node."""
 
@@ -234,7 +244,7 @@ def live_keys(texts: DataFrame, n_buckets: int, percent: int) -> DataFrame:
             for part in blocks(sizes(batch.column(1)), BLOCK_CHARS):
                 keys, owners = [], []
                 for node, text in zip(batch.column(0)[part].to_pylist(), batch.column(1)[part].to_pylist(), strict=True):
-                    x = shingle_set(text)
+                    x = shingle_set(text, words)
                     for k, (t, _) in enumerate(universe.probed(len(x))):
                         keys.append(universe.keys(x, t))
                         owners.append(np.full(len(keys[-1]), 2 * node + (k == 0), np.int64))
@@ -278,7 +288,7 @@ def live_keys(texts: DataFrame, n_buckets: int, percent: int) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _LIVE)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """Of the pairs (``a``, ``b``) of nodes, those that link: by their sketches, then by their texts."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}")).hint("merge")
     near = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -292,7 +302,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
 
     near = scratch.stash(near.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(by_sketch, "a long, b long"), "near")
     ends = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "node")
-    known = scratch.stash(nodes.join(ends.hint("merge"), "node").select("node", "d", "h"), "asked")
+    known = nodes.join(ends.hint("merge"), "node").select("node", "d", "h")
     texts = scratch.stash(_texts(_asked(docs, known), known).dropDuplicates(["node"]), "texts", compression="zstd")
     of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}")).hint("merge")
 
@@ -302,38 +312,116 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
             keep = []
             for a, t, u in zip(batch.column("a").to_pylist(), batch.column("t_a"), batch.column("t_b"), strict=True):
                 if a != last:  # the join leaves the pairs of one node beside each other
-                    last, x = a, shingle_set(t.as_py())
-                y = shingle_set(u.as_py())
+                    last, x = a, shingle_set(t.as_py(), words)
+                y = shingle_set(u.as_py(), words)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     linked = scratch.stash(near.join(of("b"), "b").join(of("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(by_text, "a long, b long"), "linked")
-    for table in (near, known, texts):
-        scratch.drop(table)
+    scratch.drop(near), scratch.drop(texts)
     return linked
 
 
 def allocate(live: DataFrame, nodes: DataFrame, dear: int) -> DataFrame:
-    """``live`` with ``v``: 0 where the node skips the segment, else 1, and ``twos``: how many of the skipped ones (and so
-    of the other segments) call for a neighbourhood, for each node and band."""
+    """``live`` (with ``alone``, the nodes that share this key only with its hub) with ``v``: 0 where the node skips the
+    segment, else 1, and ``twos``: how many of the skipped ones call for a neighbourhood, for each node and band."""
     room = nodes.select("node", "room", "room_below")
     rows = live.join(room.hint("merge"), "node").withColumn("room", F.when(F.col("own"), F.col("room")).otherwise(F.col("room_below")))
     by = Window.partitionBy("node", "own")
     rows = rows.withColumn("place", F.row_number().over(by.orderBy(F.desc("entries"), "key")))
-    left = (F.col("place") > F.col("room")) & (F.col("entries") > dear)
+    left = (F.col("place") > F.col("room")) & (F.col("alone") > dear)
     rows = rows.withColumn("twos", F.sum(left.cast("long")).over(by))
-    return rows.withColumn("v", F.when((F.col("place") <= F.col("room")) | left, 0).otherwise(1))
-
-
-def neighbourhood_pairs(docs: DataFrame, nodes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """Candidates (``a``, ``b``) by subsets that differ by one shingle, between nodes with ``twos`` and the entries under keys
-    that they skip.
+    return rows.withColumn("v", F.when((F.col("place") <= F.col("room")) | left, 0).otherwise(1)).drop("room", "room_below", "place")
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length, that of the shortest, as rows of 64-bit numbers."""
+    size = min(map(len, sketches))
+    rows = np.empty((len(sketches), size // 8), np.uint64)
+    for i, x in enumerate(sketches):
+        own = np.frombuffer(x, np.uint64)
+        while len(own) > rows.shape[1]:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        rows[i] = own
+    return rows
+
+
+def candidates(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """``r``, ``s`` and ``bits`` (in which their sketches differ): for each probe of a key, the entries of other components
+    that may link, or the nearest one of them. ``chunks`` of a row says into how many tiles its key's rows are cut a side.
+    A pair of nodes that share several keys comes out under the smallest of them only."""
+    if not nearest:
+        lists = [F.collect_set(F.when(on, F.col("key"))).alias(c) for on, c in ((F.col("v") == 1, "asked"), (F.col("own"), "held"))]
+        rows = rows.join(scratch.stash(rows.groupBy("node").agg(*lists), "lists").hint("merge"), "node")
+    tiled = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiled = tiled.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "own", (F.col("v") == 1).alias("asks"), "root", "n", "sketch", *(() if nearest else ("asked", "held")))
+
+    def once_a_pair(of, lists, x, y):
+        """Which pairs of rows have this key as the smallest that they share as a probe and an entry."""
+        key, out = of["key"][0], np.zeros(len(x), bool)
+        for at, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            (asked_p, held_p), (asked_q, held_q) = lists[p], lists[q]
+            out[at] = min(asked_p & held_q | asked_q & held_p) == key
+        return out
+
+    def near(of):
+        """Pairs of the rows of one tile."""
+        universe = Universe(percent)
+        node, root, n, own, asks, mine = (np.array(of[c]) for c in ("node", "root", "n", "own", "asks", "mine"))
+        asking, held = np.flatnonzero(asks), np.flatnonzero(own)
+        if not len(asking) or not len(held) or (root == root[0]).all():
+            return
+        lists = None if nearest else [(set(a), set(h)) for a, h in zip(of["asked"], of["held"], strict=True)]
+        bits, cross = _folded(of["sketch"]), of["lo"][0] != of["hi"][0]
+        strip = max(1, (1 << 21) // (len(held) * bits.shape[1]))
+        for at in range(0, len(asking), strip):
+            r = asking[at : at + strip]
+            ok = root[r][:, None] != root[held][None, :]
+            if cross:
+                ok &= mine[r][:, None] != mine[held][None, :]
+            low, high = np.minimum(n[r][:, None], n[held][None, :]), np.maximum(n[r][:, None], n[held][None, :])
+            ok &= 100 * low >= percent * high
+            differ = np.bitwise_count(bits[r][:, None, :] ^ bits[held][None, :, :]).sum(axis=2, dtype=np.int64)
+            ok &= differ <= universe.most(n[r][:, None], n[held][None, :])
+            if nearest:
+                best = np.argmin(np.where(ok, differ, 1 << 60), axis=1)
+                i = np.flatnonzero(ok[np.arange(len(r)), best])
+                j = best[i]
+            else:
+                i, j = np.nonzero(ok & ((node[r][:, None] < node[held][None, :]) | ~(asks[held][None, :] & own[r][:, None])))
+                i, j = i[once := once_a_pair(of, lists, r[i], held[j])], j[once]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(node[r[i]]), pa.array(node[held[j]]), pa.array(differ[i, j])], names=["r", "s", "bits"])
 
-    Where a node has too few other segments for its twos, all of them count: then all its segments do, and what it skips
-    is a key of theirs, too.
+    def run(batches):
+        tile, of = None, {}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            marks = list(zip(columns["key"], columns["lo"], columns["hi"], strict=True))
+            at = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+            for s, e in zip(at, at[1:], strict=False):
+                if marks[s] != tile and of:
+                    yield from near(of)
+                    of = {}
+                tile = marks[s]
+                for c, x in columns.items():
+                    of.setdefault(c, []).extend(x[s:e])
+        if of:
+            yield from near(of)
+
+    dealt = tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(run, "r long, s long, bits long")
+
+
+def neighbourhood_pairs(docs: DataFrame, nodes: DataFrame, live: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """Candidates (``r``, ``s``) by subsets that differ by one shingle, between nodes with ``twos`` and the entries under keys
+    that they skip. Segments that are not live come first. Where a node has too few segments for its twos, all its
+    segments count, and the keys that it skips are among them.
     """
-    probes = live.where("twos > 0").groupBy("node", "own").agg(F.collect_set(F.when(F.col("v") == 0, F.col("key"))).alias("skipped"), F.max("twos").alias("twos"))
+    keys = [F.collect_set(F.when(F.col("v") == v, F.col("key"))).alias(c) for v, c in ((0, "skipped"), (1, "busy"))]
+    probes = live.where("twos > 0").groupBy("node", "own").agg(*keys, F.max("twos").alias("twos"))
     dear = live.where("v = 0 and twos > 0").select("key").distinct()
     entries = live.where("own").join(dear.hint("merge"), "key").select("node").distinct()
     need = probes.select("node").union(entries).distinct()
@@ -347,11 +435,12 @@ def neighbourhood_pairs(docs: DataFrame, nodes: DataFrame, live: DataFrame, perc
     def probe(batches):
         universe = Universe(percent)
         for batch in batches:
-            for node, own, skipped, twos, text in zip(*(batch.column(c).to_pylist() for c in ("node", "own", "skipped", "twos", "text")), strict=True):
-                x = shingle_set(text)
+            for node, own, skipped, busy, twos, text in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                x = shingle_set(text, words)
                 t = [t for t, _ in universe.probed(len(x))][0 if own else 1]
                 keys = universe.keys(x, t)
-                which = np.flatnonzero(~np.isin(keys, np.array(skipped, np.int64)))[:twos]
+                free, quiet = (~np.isin(keys, np.array(x, np.int64)) for x in (skipped, busy))
+                which = np.concatenate([np.flatnonzero(free & quiet), np.flatnonzero(free & ~quiet)])[:twos]
                 if len(which) < twos:
                     which = np.arange(len(keys))
                 yield rows(node, keys[which], universe.shortened(x, t, which))
@@ -360,12 +449,12 @@ def neighbourhood_pairs(docs: DataFrame, nodes: DataFrame, live: DataFrame, perc
         universe = Universe(percent)
         for batch in batches:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                x = shingle_set(text)
+                x = shingle_set(text, words)
                 t = universe.band(len(x))
                 yield rows(node, universe.keys(x, t), universe.shortened(x, t, np.arange(universe.segments(t))))
 
     schema = "key long, node long, whole boolean"
-    asked = texts.join(probes.hint("merge"), "node").select("node", "own", "skipped", "twos", "text").mapInArrow(probe, schema)
+    asked = texts.join(probes.hint("merge"), "node").select("node", "own", "skipped", "busy", "twos", "text").mapInArrow(probe, schema)
     held = texts.join(entries.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(index, schema)
     asked, held = scratch.stash(asked, "probes"), scratch.stash(held, "neighbours")
     found = asked.alias("p").join(held.alias("s").hint("merge"), (F.col("p.key") == F.col("s.key")) & (F.col("p.node") != F.col("s.node")) & ~(~F.col("p.whole") & ~F.col("s.whole")))
@@ -379,44 +468,56 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, dear: int = DEAR) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, dear: int = DEAR, words: int = WORDS) -> DataFrame:
     """Edges (``a``, ``b``) between nodes that span every set of linked ones."""
     universe = Universe(percent)
     several = nodes.where(F.col("n") >= universe.first)
     total = several.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(1, int(total * 2 * (100 - percent) / percent) // BUCKET_KEYS)
-    live = scratch.stash(live_keys(_texts(docs, several), n_buckets, percent), "live")
-    votes = live.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("votes"))
+    live = scratch.stash(live_keys(_texts(docs, several), n_buckets, percent, words), "live")
+    votes = scratch.stash(live.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("votes")), "votes")
     hubs = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("hub"))
-    first = verified(_ordered(hubs, "node", "hub"), docs, nodes, percent)
-    label = components(first)
-    rooted = live.join(scratch.stash(label.select("node", "root"), "labels").hint("merge"), "node", "left")
-    rooted = scratch.stash(rooted.select("key", "node", "own", "entries", F.coalesce("root", "node").alias("root")), "rooted")
-    scratch.drop(live)
-    open_ = scratch.stash(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "open")
-    rest = scratch.stash(allocate(rooted.join(open_.hint("merge"), "key"), nodes, dear), "allocated")
-    entries = rest.where("own").select("key", F.col("node").alias("s"), F.col("root").alias("root_s")).hint("merge")
-    equal = rest.where("v = 1").select("key", F.col("node").alias("r"), "root", "own").join(entries, "key")
-    pairs = equal.where("root <> root_s").select("r", "s")
-    if rest.where("twos > 0").limit(1).count():
-        pairs = pairs.union(neighbourhood_pairs(docs, nodes, rest, percent))
-    more = verified(_ordered(pairs, "r", "s"), docs, nodes, percent)
-    edges = scratch.stash(first.union(more), "links")
-    for table in (rooted, open_, rest, first, more):
-        scratch.drop(table)
-    return edges
+    edges = verified(_ordered(hubs, "node", "hub"), docs, nodes, percent, words)
+    live = live.withColumn("alone", F.lit(0))
+    if (live.agg(F.max("entries")).first()[0] or 0) > dear:
+        single = votes.where("votes = 1").select("node", "hub").hint("merge")
+        alone = live.join(single, ["node", "hub"]).groupBy("key").agg(F.count("*").alias("alone")).where(F.col("alone") > dear)
+        live = live.drop("alone").join(scratch.stash(alone, "alone").hint("merge"), "key", "left").fillna(0, ["alone"])
+    allotted = scratch.stash(allocate(live.select("key", "node", "own", "entries", "alone"), nodes, dear), "allocated")
+    known, parts = nodes.select("node", "n", "sketch").hint("merge"), [edges]
+    for step in range(ROUNDS + 1):
+        label = components(functools.reduce(DataFrame.union, parts)).hint("merge")
+        rows = allotted.where("v = 1 or own").select("key", "node", "own", "v").join(label, "node", "left")
+        rows = scratch.stash(rows.select("key", "node", "own", "v", F.coalesce("root", "node").alias("root")), "rooted")
+        across = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+        across = scratch.stash(across.where("x < y").select("key", "chunks"), "across")
+        rows = scratch.stash(rows.join(across.hint("merge"), "key").join(known, "node"), "open")
+        found = candidates(rows, percent, nearest=step < ROUNDS)
+        if step < ROUNDS:
+            found = found.groupBy("r").agg(F.min_by("s", F.struct("bits", "s")).alias("s"))
+        elif allotted.where("twos > 0").limit(1).count():
+            found = found.select("r", "s").union(neighbourhood_pairs(docs, nodes, allotted, percent, words))
+        parts.append(verified(_ordered(found, "r", "s"), docs, nodes, percent, words))
+        for table in (rows, across):
+            scratch.drop(table)
+    scratch.drop(votes), scratch.drop(allotted)
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _rooted(docs: DataFrame, percent: int, words: int, dear: int) -> tuple[DataFrame, DataFrame]:
+    """(:func:`prints` of every row; ``s1``, ``s2``, ``n``, first document (``d``, ``h``), smallest id ``low`` and ``root`` of every set)."""
+    found = scratch.stash(prints(docs, percent, words), "prints")
+    first = F.min(F.struct(_id().alias("d"), "h", "room", "room_below", "sketch"))
+    nodes = found.where("n > 0").groupBy("s1", "s2", "n").agg(first.alias("f"), F.min("doc_id").alias("low"))
+    nodes = scratch.stash(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "low", "f.*"), "nodes")
+    label = components(links(docs, nodes, percent, dear, words))
+    rooted = nodes.join(label.hint("merge"), "node", "left").select("s1", "s2", "n", "low", "d", "h", F.coalesce("root", "node").alias("root"))
+    return found, scratch.stash(rooted, "rooted")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, dear: int = DEAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, dear: int = DEAR, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
-    docs = docs.select("doc_id", "text")
-    found = scratch.stash(prints(docs, percent), "prints")
-    same = found.where("n > 0").groupBy("s1", "s2", "n")
-    first = F.min(F.struct(_id().alias("d"), "h", "room", "room_below", "sketch"))
-    nodes = same.agg(first.alias("f"), F.min("doc_id").alias("low"))
-    nodes = scratch.stash(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "low", "f.*"), "nodes")
-    label = components(links(docs, nodes, percent, dear))
-    rooted = scratch.stash(nodes.join(label.hint("merge"), "node", "left").select("s1", "s2", "n", "low", F.coalesce("root", "node").alias("root")), "rooted")
+    found, rooted = _rooted(docs.select("doc_id", "text"), percent, words, dear)
     smallest = scratch.stash(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "smallest")
     named = scratch.stash(rooted.join(smallest.hint("merge"), "root").select("s1", "s2", F.col("n").alias("n_shingles"), "component_id"), "named")
     own = found.where("n > 0").select("doc_id", "s1", "s2", F.col("n").alias("n_shingles")).join(named.hint("merge"), ["s1", "s2", "n_shingles"])
@@ -424,6 +525,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, dear: int = DEAR) -
     return own.select("doc_id", "n_shingles", "component_id").union(alone)
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The document with the smallest ``doc_id`` of each component, once. Rows without an id, and texts without words, all
+    stay; several texts of one ``doc_id`` are several documents, told apart by a hash of the text."""
+    known = docs.where("doc_id is not null")
+    found, rooted = _rooted(known.select("doc_id", "text"), percent, words, DEAR)
+    first = rooted.groupBy("root").agg(F.min(F.struct("d", "h")).alias("k")).select("k.d", "k.h")
+    blank = found.where("n = 0").select(_id().alias("d"), "h").distinct()
+    kept = scratch.stash(first.union(blank), "kept")
+    rows = known.select(F.struct(*docs.columns).alias("row"), _id().alias("d"), F.xxhash64("text").alias("h"), F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))).alias("size"))
+    own = rows.join(kept.hint("merge"), ["d", "h"], "left_semi")
+    full, empty = own.where("size > 0").dropDuplicates(["d", "h"]), own.where("size is null or size = 0")
+    return full.union(empty).select("row.*").union(docs.where("doc_id is null"))
+
+
 #: The same result by the definition: every pair of documents that share a shingle.
 JACCARD_SQL = r"""
 with recursive docs as (
