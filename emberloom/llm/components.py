@@ -2,8 +2,9 @@
 
 Large-star and small-star steps alternate: each node's neighbours are re-linked to the smallest of them, until
 every node hangs on its root. Minima are pre-aggregated before the shuffle, and the joins put a node's edges
-beside its minimum one row each, so that a node with very many neighbours is split as Spark splits any skewed
-join. Each round is written to the shared folder and read again; the last but one is then deleted.
+beside its minimum one row each. From ``SPLIT`` edges on, minima are written before they are joined: with no aggregate
+left in the join's stage, Spark splits a node with very many neighbours as any skewed key. Each round is written to the
+shared folder and read again; the last but one is then deleted.
 """
 
 from __future__ import annotations
@@ -19,14 +20,24 @@ def _state(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: Edges up to which the node with the most of them is no burden for one task.
+SPLIT = 200_000
+
+
+def _apart(low: DataFrame, n: int) -> DataFrame:
+    return scratch.stash(low, "low").hint("merge") if n > SPLIT else low
+
+
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = _apart(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), n)
     return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small(edges: DataFrame, n: int) -> DataFrame:
+    if n > SPLIT:
+        edges = scratch.stash(edges, "large")
+    low = _apart(edges.groupBy("u").agg(F.min("v").alias("m")), n)
     moved = edges.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -36,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.stash(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), "edges")
     state = _state(now)
     while state[0]:
-        step = scratch.stash(_small(_large(now)), "edges")
+        step = scratch.stash(_small(_large(now, state[0]), state[0]), "edges")
         was, state = state, _state(step)
         scratch.drop(now)
         now = step

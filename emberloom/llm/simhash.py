@@ -306,7 +306,8 @@ def _rooted(docs: DataFrame, distance: int, words_per_shingle: int) -> tuple[Dat
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words_per_shingle: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
     prints, nodes = _rooted(docs, distance, words_per_shingle)
-    smallest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    nodes = scratch.stash(nodes, "rooted")  # written, so that a root with very many nodes is split in the join
+    smallest = scratch.stash(nodes.groupBy("root").agg(F.min("low").alias("component_id")), "smallest")
     ids = nodes.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(ids, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")

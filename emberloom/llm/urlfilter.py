@@ -27,15 +27,25 @@ DAYS = 360
 
 
 def host_of(url: Column) -> Column:
-    """Host in lower case without user, port, last dot and ``www.``; null where there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    """Host in lower case without user, port, last dot and ``www.``; an IPv6 address keeps its brackets; null where there
+    is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
     host = F.regexp_replace(F.regexp_replace(host, r"\.$", ""), r"^www\.", "")
     return F.when(host != "", host)
 
 
-def site_of(host: Column) -> Column:
-    """The last two labels, or the host itself."""
-    return F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
+#: Suffixes of two labels under which anybody registers names. Fixed values.
+SUFFIXES = ("ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
+_ADDRESS = r"^\[|^[0-9]{1,3}([.][0-9]{1,3}){3}$"
+
+
+def _under(suffixes: tuple[str, ...]) -> str:
+    return "(" + "|".join([rf"[^.]+\.{x.replace('.', '[.]')}" for x in suffixes] + [r"[^.]+\.[^.]+"]) + ")$"
+
+
+def site_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The last two labels, the last three under a suffix of two, or the host itself, as it is if it is an address."""
+    return F.when(host.rlike(_ADDRESS), host).otherwise(F.coalesce(F.nullif(F.regexp_extract(host, rf"(?:^|\.){_under(suffixes)}", 1), F.lit("")), host))
 
 
 def section_of(url: Column, host: Column) -> Column:
@@ -97,12 +107,13 @@ def derived_list(pages: DataFrame) -> DataFrame:
     return seen.select("kind", "key", F.explode(events).alias("e")).select("kind", "key", "e.day", "e.action")
 
 
-EVALUATE_SQL = """
+EVALUATE_SQL = f"""
 with page as (
   select page_id, url, nullif(regexp_replace(regexp_replace(regexp_extract(lower(url),
-    '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\\.$', ''), '^www\\.', ''), '') as host from pages),
+    '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)', 1), '\\.$', ''), '^www\\.', ''), '') as host from pages),
 keyed as (
-  select *, coalesce(nullif(regexp_extract(host, '([^.]+\\.[^.]+)$', 1), ''), host) as site,
+  select *, case when regexp_matches(host, '{_ADDRESS}') then host
+    else coalesce(nullif(regexp_extract(host, '(?:^|\\.){_under(SUFFIXES)}', 1), ''), host) end as site,
     host || '/' || regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) as section,
     cast((page_id * 37) % 360 as integer) as fetched from page),
 seen as (

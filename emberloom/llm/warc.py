@@ -35,7 +35,7 @@ from emberloom.llm import scratch
 
 RECORDS_PER_FILE = 1_000
 LARGE = 1 << 20
-FILE_BYTES = 1 << 30
+FILE_BYTES = 1 << 27
 #: Rows that the merge makes of a run at a time.
 HEAD_ROWS = 256
 NAME = "urn:capture:page:"
@@ -58,14 +58,17 @@ def records(pages: DataFrame) -> DataFrame:
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     crlf = "\r\n"
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)) * 60)  # the table has no times
+    minutes = F.coalesce("page_id", F.lit(0)).cast("long")  # the table has no times: a minute from the one before it
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(minutes / 1440).cast("int")).cast("string")
+    clock = [F.lpad(x.cast("string"), 2, "0") for x in (F.floor(F.pmod(minutes, F.lit(1440)) / 60), F.pmod(minutes, F.lit(60)))]
+    at = F.concat(day, F.lit("T"), clock[0], F.lit(":"), clock[1], F.lit(":00Z"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(crlf * 2))
     block = F.when(again, http).otherwise(F.concat(http, F.col("payload")))
     head = F.concat(
         F.lit(f"WARC/1.1{crlf}WARC-Type: "), F.when(again, "revisit").otherwise("response"),
         F.lit(f"{crlf}WARC-Record-ID: <{NAME}"), name,
         F.lit(f">{crlf}WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""),
-        F.lit(f"{crlf}WARC-Date: "), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit(f"{crlf}WARC-Date: "), at,
         F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), base32_of_hex(F.col("sha")),
         F.when(again, F.concat(F.lit(f"{crlf}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{crlf}WARC-Refers-To: <{NAME}"), F.col("first").cast("string"), F.lit(">"))).otherwise(""),
         F.lit(f"{crlf}Content-Type: application/http; msgtype=response{crlf}Content-Length: "), F.octet_length("block").cast("string"),

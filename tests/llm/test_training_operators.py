@@ -208,7 +208,9 @@ def test_allocation_covers_the_distance():
     assert sum(t + 1 for t in chosen) == 4 and chosen[2] == -1
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("split", [0, 200_000])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, split):
+    monkeypatch.setattr(components, "SPLIT", split)
     edges = [(i, i + 1) for i in range(0, 20)] + [(100, i) for i in range(101, 140)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(100, 140), 100)}
@@ -486,3 +488,25 @@ def test_open_entries_hold_on_any_later_day(spark):
     captures = spark.createDataFrame([(1, "http://a.b/", 99), (2, "http://a.b/", 400), (3, "http://a.b/", 19_000), (4, "http://c.d/", 19_723), (5, "http://c.d/", 19_500)], "page_id long, url string, fetched int")
     entries = spark.createDataFrame([("host", "a.b", 100, "add"), ("host", "c.d", 19_600, "add"), ("host", "c.d", 30_000, "remove")], "kind string, key string, day int, action string")
     assert {r.page_id: r.host_since for r in urlfilter.evaluate(captures, entries).collect()} == {1: None, 2: 100, 3: 100, 4: 19_600, 5: None}
+
+
+def test_hosts_and_sites(spark):
+    want = {
+        "http://[2001:db8::1]/x": ("[2001:db8::1]", "[2001:db8::1]"), "http://[2001:dead::2]:8080": ("[2001:dead::2]", "[2001:dead::2]"), "http://10.0.0.1:80/": ("10.0.0.1", "10.0.0.1"),
+        "http://a.bbc.co.uk/": ("a.bbc.co.uk", "bbc.co.uk"), "http://other.co.uk": ("other.co.uk", "other.co.uk"), "http://co.uk": ("co.uk", "co.uk"), "http://www.x.example.org.": ("x.example.org", "example.org"),
+        "http://notco.uk/": ("notco.uk", "notco.uk"), "https://u:p@localhost": ("localhost", "localhost"), "http:///x": (None, None),
+    }
+    rows = spark.createDataFrame([(u,) for u in want], "url string").withColumn("host", urlfilter.host_of(F.col("url")))
+    assert {r.url: (r.host, r.site) for r in rows.withColumn("site", urlfilter.site_of(F.col("host"))).collect()} == want
+
+
+def test_archive_dates_are_utc_in_any_zone(spark):
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", "x") for i in (0, 1, 1439, 1440, 100_000)], "page_id long, url string, html string")
+    dates = lambda: sorted(re.findall(r"WARC-Date: (\S+)", "".join(r.record for r in warc.records(pages).collect())))
+    want = ["2024-01-01T00:00:00Z", "2024-01-01T00:01:00Z", "2024-01-01T23:59:00Z", "2024-01-02T00:00:00Z", "2024-03-10T10:40:00Z"]
+    assert dates() == want
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert dates() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
