@@ -28,6 +28,9 @@ names; an empty table gives no rows. Blank units inside a run go with it, and th
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ MIN_WORDS = 30
 STRETCH = 20
 WINDOW = 8
 PRINT = STRETCH - WINDOW
-LONG = 90
+LONG = 120
 _LEAST = -(2**63)
 _MARK = "\x01"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -59,28 +62,26 @@ def _pieces(text: Column) -> Column:
 
 def _n_words(x: Column) -> Column:
     """Words of a trimmed unit."""
-    odd = F.contains(x, F.lit("  "))
-    for c in _SPACE[1:]:
-        odd = odd | F.contains(x, F.lit(c))
+    odd = functools.reduce(operator.or_, [F.contains(x, F.lit(c)) for c in ("  ", *_SPACE[1:])])
     spaces = F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     return F.when(x == "", 0).when(odd, F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(spaces + 1).cast("long")
 
 
 def _doc(docs: DataFrame) -> list[Column]:
-    """The columns that tell documents apart, in order."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.unhex(F.md5("text")).alias("h")]
+    """The columns that tell documents apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.xxhash64("text").alias("h")]
 
 
 def unit_table(texts: DataFrame, by: list[str]) -> DataFrame:
-    """A row for each unit with words of ``text``: ``p`` (place among all units), ``x`` (trimmed), ``u`` (its hash), ``k`` (place
-    among these rows), and ``b`` and ``a``, the words of the text before it and up to its end.
+    """A row for each unit with words of ``text``: ``p`` (place among all units), ``u`` (hash, trimmed), and ``b``
+    and ``a``, the words of the text before it and up to its end.
 
     ``by`` has the columns that tell the rows of ``texts`` apart; it is dealt out by some of them already.
     """
     rows = texts.select(*by, F.posexplode(_pieces(F.col("text"))).alias("p", "x")).withColumn("x", F.btrim("x", F.lit(_SPACE)))
-    rows = rows.select("*", F.xxhash64("x").alias("u"), _n_words(F.col("x")).alias("w")).where("w > 0")
+    rows = rows.select(*by, "p", F.xxhash64("x").alias("u"), _n_words(F.col("x")).alias("w")).where("w > 0")
     order = Window.partitionBy(*by).orderBy("p")
-    rows = rows.select("*", F.row_number().over(order).alias("k"), F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"))
+    rows = rows.select("*", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"))
     return rows.withColumn("b", F.col("a") - F.col("w")).drop("w")
 
 
@@ -98,21 +99,17 @@ def fingerprints(texts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def stretches(texts: DataFrame, by: list[str]) -> DataFrame:
-    """``d``, ``h`` and each stretch from a unit on (``onward``) and up to one: ``s`` (hash), first and last place among the units
-    with words (``k1``, ``k2``) and among all (``p1``, ``p2``), words before it and up to its end (``b1``, ``a2``), and the unit
-    with words that stands before it, or behind it if it leads up to a unit."""
-    rows = unit_table(texts, by)
-    place = Window.partitionBy(*by).orderBy("b")
-    rows = rows.select("*", F.lag("x").over(place).alias("before"), F.lead("x").over(place).alias("behind"))
-    ahead, back = place.rangeBetween(0, STRETCH - 1), Window.partitionBy(*by).orderBy("a").rangeBetween(-(STRETCH - 1), 0)
-    ends, begins = F.max(F.struct("k", "p", "a")).over(ahead), F.min(F.struct("k", "p", "b")).over(back)
-    hashes = [F.xxhash64(F.collect_list("u").over(frame)).alias(c) for frame, c in ((ahead, "s"), (back, "t"))]
-    rows = rows.select("d", "h", "k", "p", "a", "b", "before", "behind", ends.alias("e"), begins.alias("g"), *hashes)
-    names = ("onward", "s", "k1", "p1", "b1", "k2", "p2", "a2", "beside")
-    of = lambda onward, *columns: F.struct(*(c.alias(n) for c, n in zip((F.lit(onward), *map(F.col, columns)), names, strict=True)))
-    onward, up_to = of(True, "s", "k", "p", "b", "e.k", "e.p", "e.a", "before"), of(False, "t", "g.k", "g.p", "g.b", "k", "p", "a", "behind")
-    some = F.array(F.when(F.col("e.a") - F.col("b") >= STRETCH, onward), F.when(F.col("a") - F.col("g.b") >= STRETCH, up_to))
-    return rows.select("d", "h", F.explode(some).alias("y")).where("y is not null").select("d", "h", "y.*")
+    """``doc`` and each stretch from a unit on and up to one, once: ``s`` (hash), place of its first and last unit (``p1``,
+    ``p2``), and the words of the text before it and up to its end (``b1``, ``a2``)."""
+    rows = unit_table(texts, by).select(*by, "u", *(F.col(c).cast("int") for c in "pab"))
+    ahead = Window.partitionBy(*by).orderBy("b").rangeBetween(0, STRETCH - 1)
+    back = Window.partitionBy(*by).orderBy("a").rangeBetween(-(STRETCH - 1), 0)
+    rows = rows.select("*", F.max(F.struct("p", "a")).over(ahead).alias("e"), F.xxhash64(F.collect_list("u").over(ahead)).alias("s"))
+    rows = rows.select("*", F.min(F.struct("p", "b", "e")).over(back).alias("g"), F.xxhash64(F.collect_list("u").over(back)).alias("t"))
+    of = lambda *columns: F.struct(*(F.col(c).alias(n) for c, n in zip(columns, ("s", "p1", "b1", "p2", "a2"), strict=True)))
+    onward = F.when(F.col("e.a") - F.col("b") >= STRETCH, of("s", "p", "b", "e.p", "e.a"))
+    up_to = F.when((F.col("a") - F.col("g.b") >= STRETCH) & (F.col("g.e.p") != F.col("p")), of("t", "g.p", "g.b", "p", "a"))
+    return rows.select("doc", F.explode(F.array(onward, up_to)).alias("y")).where("y is not null").select("doc", "y.*")
 
 
 def _agreeing(x: str, y: str, last: bool) -> Column:
@@ -124,53 +121,96 @@ def _agreeing(x: str, y: str, last: bool) -> Column:
     return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("long")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``d``, ``h`` and ``runs``: what to delete of the documents that have some, as first and last place of units and words
-    of the units before and behind."""
+def repeated_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``d``, ``h`` and ``doc``: the numbers, in the order of ``doc_id`` and the MD5 of the text, of the documents with a
+    fingerprint that occurs twice; ``doc``, ``r`` and ``text`` of their rows)."""
     known = docs.where(F.length("text") > 0).select(*_doc(docs), "text")
     dealt = known.withColumn("r", F.monotonically_increasing_id()).repartition("r")
     prints = scratch.stash(fingerprints(dealt, ["r", "d", "h"]).drop("r"), "prints")
     again = scratch.stash(prints.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "again")
     # tables written at once: nothing above an exchange then keeps Spark from splitting the hot keys of a join
     some = scratch.stash(prints.join(again.hint("merge"), "f").select("d", "h").distinct(), "some")
-    scratch.drop(prints)
-    near = known.join(some.hint("merge"), ["d", "h"]).withColumn("r", F.monotonically_increasing_id())
-    parts = scratch.stash(stretches(near, ["d", "h", "r"]), "stretches")
-    keys = parts.groupBy("onward", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "k1")).alias("first")).where("n > 1")
-    keys = scratch.stash(keys.select("onward", "s", "first"), "keys")
-    found = scratch.stash(parts.join(keys.hint("merge"), ["onward", "s"]), "found")
-    is_first = F.struct("d", "h", "k1") == F.col("first")
-    first = scratch.stash(found.where(is_first).groupBy("onward", "s").agg(F.first("beside").alias("beside_first")), "first")
-    later = found.where(~is_first).join(first.hint("merge"), ["onward", "s"])
-    more = F.when(F.col("onward"), _agreeing("beside", "beside_first", True)).otherwise(_agreeing("beside", "beside_first", False))
-    met = scratch.stash(later.select("d", "h", "onward", "k1", "p1", "b1", "k2", "p2", "a2", more.alias("more")), "met")
-    for table in (again, some, parts, keys, found, first):
+    ordered = known.select("d", "h", F.md5("text").alias("m")).join(some.hint("merge"), ["d", "h"]).distinct().orderBy("d", "m", "h")
+    ids = scratch.stash(ordered.select("d", "h", F.monotonically_increasing_id().alias("doc")), "ids")
+    near = known.join(ids.hint("merge"), ["d", "h"]).select("doc", F.monotonically_increasing_id().alias("r"), "text")
+    near = scratch.stash(near, "near", compression="zstd")
+    for table in (prints, again, some):
         scratch.drop(table)
-    by = Window.partitionBy("d", "h").orderBy("k1", "k2", "onward")
-    ended = F.max("k2").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = met.withColumn("new", F.coalesce((F.col("k1") > ended + 1).cast("int"), F.lit(1)))
+    return ids, near
+
+
+def _beside(near: DataFrame, asked: DataFrame) -> DataFrame:
+    """``x``: the unit with words before (``ahead``) or behind the unit at place ``p`` of text ``doc``."""
+    places = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("p", "ahead")).alias("places"))
+    rows = near.join(places.hint("merge"), "doc").select("doc", "places", _pieces(F.col("text")).alias("all"))
+    units = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(_SPACE)).alias("x"))), lambda y: y["x"] != "")
+    rows = rows.select("doc", "places", units.alias("units"))
+
+    def unit(place: Column) -> Column:
+        before, behind = (F.filter("units", f) for f in (lambda y: y["i"] < place["p"], lambda y: y["i"] > place["p"]))
+        return F.when(place["ahead"], F.try_element_at(before, F.lit(-1))["x"]).otherwise(F.try_element_at(behind, F.lit(1))["x"])
+
+    found = rows.select("doc", F.explode(F.transform("places", lambda y: F.struct(y["p"].alias("p"), y["ahead"].alias("ahead"), unit(y).alias("x")))).alias("y"))
+    return found.select("doc", "y.*").dropDuplicates(["doc", "p", "ahead"])
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """``d``, ``h`` and ``runs``: what to delete of the documents that have some, as first and last place of units and words
+    of the units before and behind."""
+    ids, near = repeated_texts(docs)
+    parts = scratch.stash(stretches(near.repartition("r"), ["doc", "r"]), "stretches")
+    keys = parts.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("doc", "p1", "p2")).alias("f")).where("n > 1")
+    keys = scratch.stash(keys.select("s", F.col("f.doc").alias("doc0"), F.col("f.p1").alias("p0"), F.col("f.p2").alias("q0")), "keys")
+    later = parts.join(keys.hint("merge"), "s").where("doc > doc0 or doc = doc0 and p1 > p0")
+    met = scratch.stash(later.select("doc", "p1", "b1", "p2", "a2", "doc0", "p0", "q0"), "met")
+    scratch.drop(parts), scratch.drop(keys)
+    by = Window.partitionBy("doc").orderBy("b1", "a2")
+    ended = F.max("a2").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = met.withColumn("new", F.coalesce((F.col("b1") > ended).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.max_by(F.when(F.col("onward"), F.col("more")), F.when(F.col("onward"), -F.col("k1")))
-    behind = F.max_by(F.when(~F.col("onward"), F.col("more")), F.when(~F.col("onward"), F.col("k2")))
-    runs = rows.groupBy("d", "h", "run").agg(
-        F.min("p1").alias("first"), F.max("p2").alias("last"), before.alias("before"), behind.alias("behind"), (F.max("a2") - F.min("b1")).alias("words")
-    )
+    left, right = F.min_by(F.struct("doc0", "p0"), F.struct("b1", "a2")), F.max_by(F.struct("doc0", "q0"), F.struct("a2", "b1"))
+    words = (F.max("a2") - F.min("b1")).alias("words")
+    runs = rows.groupBy("doc", "run").agg(F.min("p1").alias("first"), F.max("p2").alias("last"), words, left.alias("l"), right.alias("g"))
+    runs = scratch.stash(runs.select("doc", "first", "last", "words", F.col("l.doc0").alias("ld"), F.col("l.p0").alias("lp"), F.col("g.doc0").alias("gd"), F.col("g.q0").alias("gp")), "runs")
+    sides = {"w": ("doc", "first", True), "x": ("ld", "lp", True), "y": ("doc", "last", False), "z": ("gd", "gp", False)}
+    asked = [runs.select(F.col(d).alias("doc"), F.col(p).alias("p"), F.lit(ahead).alias("ahead")) for d, p, ahead in sides.values()]
+    answers = scratch.stash(_beside(near, functools.reduce(DataFrame.union, asked)), "beside")
+    for name, (d, p, ahead) in sides.items():
+        own = answers.where(F.col("ahead") == ahead).select(F.col("doc").alias(f"{name}_d"), F.col("p").alias(f"{name}_p"), F.col("x").alias(name))
+        runs = runs.join(own.hint("merge"), (F.col(d) == F.col(f"{name}_d")) & (F.col(p) == F.col(f"{name}_p")), "left").drop(f"{name}_d", f"{name}_p")
+    runs = runs.withColumns({"before": _agreeing("w", "x", True), "behind": _agreeing("y", "z", False)})
     runs = runs.where(F.col("words") + F.col("before") + F.col("behind") >= MIN_WORDS)
-    made = runs.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("first", "last", "before", "behind"))).alias("runs"))
-    made = scratch.stash(made, "deleted")
-    scratch.drop(met)
+    made = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last", "before", "behind"))).alias("runs"))
+    made = scratch.stash(made.join(ids.hint("merge"), "doc").select("d", "h", "runs"), "deleted")
+    for table in (met, near, ids, answers):
+        scratch.drop(table)
     return made
 
 
-#: What stays between the runs: the units there, without the words that the runs before and behind go on into. The end of
-#: the last unit is one more run.
-_KEPT = r"""
-    transform(concat(runs, array(named_struct('first', size(all), 'last', size(all), 'before', 0L, 'behind', 0L))),
-      (x, i) -> regexp_replace(
-        regexp_replace(
-          array_join(slice(all, coalesce(get(runs, i - 1).last + 2, 1), x.first - coalesce(get(runs, i - 1).last + 1, 0)), ''),
-          concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]++){', coalesce(get(runs, i - 1).behind, 0), '}'), ''),
-        if(x.before = 0, '(?!)', concat('[^\\x20\\x09-\\x0D]++(?:[\\x20\\x09-\\x0D]++[^\\x20\\x09-\\x0D]++){0,', x.before - 1, '}[\\x20\\x09-\\x0D]*+$')), ''))"""
+def _without(text: Column, k: Column) -> Column:
+    """A text without its first ``k`` words and the white space before them. A split with a limit finds where they end,
+    as a pattern that repeats a word many times would exhaust the stack."""
+    whole = F.concat(text, F.lit(" "))
+    first = F.when(whole.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    rest = F.element_at(F.split(whole, r"[\x20\x09-\x0D]+", (k + 1 + first).cast("int")), -1)
+    gone = F.left(whole, F.length(whole) - F.length(rest))
+    out = F.concat(F.substring(gone, F.length(F.rtrim(gone, F.lit(_SPACE))) + 1, F.length(gone)), rest)
+    return F.when(k == 0, text).otherwise(F.left(out, F.length(out) - 1))
+
+
+def _kept() -> Column:
+    """What stays between the ``runs``: the units of ``all`` there, without the words that the runs before and behind go on
+    into. The end of the last unit is one more run."""
+    size, none = F.size("all"), F.lit(0).cast("long")
+    end = F.struct(size.alias("first"), size.alias("last"), none.alias("before"), none.alias("behind"))
+
+    def gap(x: Column, i: Column) -> Column:
+        was = F.get("runs", i - 1)
+        start = F.coalesce(was["last"] + 1, F.lit(0))
+        units = F.array_join(F.slice("all", start + 1, x["first"] - start), "")
+        return F.reverse(_without(F.reverse(_without(units, F.coalesce(was["behind"], none))), x["before"]))
+
+    return F.transform(F.concat("runs", F.array(end)), gap)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -182,7 +222,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     cut = joined.select("row", "runs", F.when(F.length(text) > 0, _pieces(text)).alias("all"))
     gone = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     sizes = [F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0).cast("long")).alias("n_removed")]
-    clean = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(F.expr(_KEPT), ""))
+    clean = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(_kept(), ""))
     columns = [clean.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return cut.select(*columns, *sizes)
 
@@ -201,7 +241,7 @@ sentence as (
   from (select d, h, string_split(regexp_replace(t, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) as x from docs)),
 part as (
   select d, h, i, unnest(range(len(x))) as j, unnest(x) as raw
-  from (select *, string_split(case when strlen(s) > 90 then replace(s, 'e ', 'e ' || chr(1)) else s end, chr(1)) as x from sentence)),
+  from (select *, string_split(case when strlen(s) > 120 then replace(s, 'e ', 'e ' || chr(1)) else s end, chr(1)) as x from sentence)),
 piece as (select d, h, raw, row_number() over (partition by d, h order by i, j) - 1 as p from part),
 word as (select *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as x from piece),
 unit as (

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from test_jaccard import naive_set
 from test_training_operators import naive_components, naive_distance, naive_fingerprint
 
 import corpus_pipeline
@@ -42,7 +43,7 @@ def naive_line_dedup(texts, stretch=20, least=30):
     """Every stretch of units against all earlier ones; runs of them go, with words that agree at both ends."""
     units, first, starts = {}, {}, {}
     for i in sorted(texts):
-        raw = [y for x in re.split(r"(?<=\n)|(?<=[.!?] )", texts[i]) for y in (re.split("(?<=e )", x) if len(x.encode()) > 90 else [x])]
+        raw = [y for x in re.split(r"(?<=\n)|(?<=[.!?] )", texts[i]) for y in (re.split("(?<=e )", x) if len(x.encode()) > 120 else [x])]
         own = [(p, x.split()) for p, x in enumerate(raw) if x.split()]
         units[i] = raw, own
         for k in range(len(own)):
@@ -95,6 +96,8 @@ def test_pipeline_by_its_definition(spark, tmp_path):
         texts[i] = texts[i] + passage + "The end."
     texts[7] = line() + line()  # too short for the lines to go
     texts[22], texts[40] = texts[7], texts[7].lower()
+    body = [dice.choice(words) for _ in range(60)]
+    texts[28], texts[44] = " ".join(body), " ".join([*body[:30], "other", *body[31:]])  # 5 of 56 shingles differ
     for n, i in enumerate((5, 14, 26, 59)):
         texts[i] += items[n].replace("word1", "Word1").replace("word", "wrd", 1 + n % 2) + " and more."
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
@@ -115,6 +118,11 @@ def test_pipeline_by_its_definition(spark, tmp_path):
         first.setdefault(root[prints[i]], i)
     single = {i: clean[i] for i in first.values()}
     assert len(single) < len(clean)
+    sets = {i: naive_set(t, 5) for i, t in single.items()}
+    near = lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    group, was = naive_components(sorted(single), near), len(single)
+    single = {i: single[i] for i in {min(j for j in single if group[j] == g) for g in set(group.values())}}
+    assert len(single) < was
     leaks = lambda t: any(naive_distance(decontam.normal(x), decontam.normal(t)) <= decontam.budget(len(decontam.normal(x))) for x in items.values())
     last = {i: t for i, t in single.items() if not leaks(t)}
     assert len(last) < len(single)
