@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberloom.llm import bpe, decontam, linededup, quality, scratch, simhash
+from emberloom.llm import bpe, decontam, jaccard, linededup, quality, scratch, simhash
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, links at 3 bits or fewer."""
-    return simhash.keep_one_of_each(docs, distance=3, words_per_shingle=5)
+    """One document of each group of near duplicates stays: five-word shingles, by fingerprints at 3 bits or fewer, and of
+    what is left by the exact join at a Jaccard of 0.8."""
+    single = scratch.stash(simhash.keep_one_of_each(docs, distance=3, words_per_shingle=5), "single")
+    return jaccard.keep_one_of_each(single, percent=80, words=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
