@@ -5,12 +5,13 @@ Units are lines; a line also ends behind a sentence mark and a space, and a long
 depends on its sentence alone. Units are equal where they are equal but for white space at their ends; those without
 words are skipped, wherever they stand. Words are what stands between ASCII white space.
 
-1. Winnowing. Of the units that begin within ``WINDOW`` words, the one with the least hash is a window minimum. Its
-   fingerprint hashes the units that begin within ``PRINT`` words from it. A stretch is the least number of units with
-   ``STRETCH`` words or more, from a unit on or up to one; the fingerprint of its first window's minimum lies within it,
-   in every copy. So texts without a fingerprint that occurs twice have no repeated stretch, and leave here.
-2. Positions. In the others, each stretch joins the first one that is equal to it, by ``doc_id`` and then position (in
-   the same text, too); all behind it are repeats. Positions never meet all others, and none needs to.
+1. Winnowing. Of a unit and the ``AHEAD`` ones behind it, as far as they begin within ``WINDOW`` words, the one with the
+   least hash is a window minimum. Its fingerprint hashes it and the ``AHEAD`` units behind it, as far as they begin within
+   ``PRINT`` words. A stretch is the least number of units with ``STRETCH`` words or more, from a unit on or up to one; the
+   fingerprint of its first window's minimum lies within it, in every copy. So texts without a fingerprint that occurs
+   twice have no repeated stretch, and leave here; in the others, only what begins up to ``AHEAD`` units before one goes on.
+2. Positions. Each stretch there joins the first one that is equal to it, by ``doc_id`` and then position (in the same
+   text, too); all behind it are repeats. Positions never meet all others, and none needs to.
 3. Extension. Repeated stretches that overlap or touch grow together to runs, which so reach both ways as far as units
    are equal. Then both ends go on by words into the units that differ, as far as these agree with those beside the
    first occurrence of the outermost stretch.
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ MIN_WORDS = 30
 STRETCH = 20
 WINDOW = 8
 PRINT = STRETCH - WINDOW
+AHEAD = 4
 LONG = 120
 _LEAST = -(2**63)
 _MARK = "\x01"
@@ -72,44 +75,80 @@ def _doc(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.xxhash64("text").alias("h")]
 
 
-def unit_table(texts: DataFrame, by: list[str]) -> DataFrame:
-    """A row for each unit with words of ``text``: ``p`` (place among all units), ``u`` (hash, trimmed), and ``b``
-    and ``a``, the words of the text before it and up to its end.
+def _units(text: Column) -> Column:
+    """The units with words, trimmed."""
+    return F.filter(F.transform(_pieces(text), lambda x: F.btrim(x, F.lit(_SPACE))), lambda x: x != "")
 
-    ``by`` has the columns that tell the rows of ``texts`` apart; it is dealt out by some of them already.
+
+def unit_arrays(texts: DataFrame, *by: str) -> DataFrame:
+    """``us`` (hashes) and ``ws`` (numbers of words) of the units with words of ``text``, in arrays, with the columns of ``by``.
+
+    Words of most texts are their spaces and one; only a text with other white space is asked unit by unit. Arrays that are
+    read at several places stand in selects of their own: in one with their readers, each reader would make them again.
     """
-    rows = texts.select(*by, F.posexplode(_pieces(F.col("text"))).alias("p", "x")).withColumn("x", F.btrim("x", F.lit(_SPACE)))
-    rows = rows.select(*by, "p", F.xxhash64("x").alias("u"), _n_words(F.col("x")).alias("w")).where("w > 0")
-    order = Window.partitionBy(*by).orderBy("p")
-    rows = rows.select("*", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"))
-    return rows.withColumn("b", F.col("a") - F.col("w")).drop("w")
-
-
-def fingerprints(texts: DataFrame, by: list[str]) -> DataFrame:
-    """``f`` of every window minimum, with the columns of ``by``."""
-    rows = unit_table(texts, by).select(*by, "p", "u", "a", "b")
-    order = Window.partitionBy(*by).orderBy("b")
-    own = order.rangeBetween(0, PRINT - 1)
-    enough = F.max("a").over(own) - F.col("b") >= PRINT
-    rows = rows.select(*by, "p", "u", "b", F.when(enough, F.xxhash64(F.collect_list("u").over(own))).alias("f"))
-    least = F.min_by(F.struct("p", "f"), F.struct("u", -F.col("p"))).over(order.rangeBetween(0, WINDOW - 1))
-    rows = rows.select(*by, "b", least.alias("m"))
-    fresh = F.coalesce(F.lag("m.p").over(order) != F.col("m.p"), F.lit(True))  # minima never move back
-    return rows.select(*by, "m.f", fresh.alias("fresh")).where("fresh and f is not null").drop("fresh")
-
-
-def stretches(texts: DataFrame, by: list[str]) -> DataFrame:
-    """``doc`` and each stretch from a unit on and up to one, once: ``s`` (hash), place of its first and last unit (``p1``,
-    ``p2``), and the words of the text before it and up to its end (``b1``, ``a2``)."""
-    rows = unit_table(texts, by).select(*by, "u", *(F.col(c).cast("int") for c in "pab"))
-    ahead = Window.partitionBy(*by).orderBy("b").rangeBetween(0, STRETCH - 1)
-    back = Window.partitionBy(*by).orderBy("a").rangeBetween(-(STRETCH - 1), 0)
-    rows = rows.select("*", F.max(F.struct("p", "a")).over(ahead).alias("e"), F.xxhash64(F.collect_list("u").over(ahead)).alias("s"))
-    rows = rows.select("*", F.min(F.struct("p", "b", "e")).over(back).alias("g"), F.xxhash64(F.collect_list("u").over(back)).alias("t"))
-    of = lambda *columns: F.struct(*(F.col(c).alias(n) for c, n in zip(columns, ("s", "p1", "b1", "p2", "a2"), strict=True)))
-    onward = F.when(F.col("e.a") - F.col("b") >= STRETCH, of("s", "p", "b", "e.p", "e.a"))
-    up_to = F.when((F.col("a") - F.col("g.b") >= STRETCH) & (F.col("g.e.p") != F.col("p")), of("t", "g.p", "g.b", "p", "a"))
-    return rows.select("doc", F.explode(F.array(onward, up_to)).alias("y")).where("y is not null").select("doc", "y.*")
+    text = F.col("text")
+    odd = functools.reduce(operator.or_, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    plain = lambda x: (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")
+    rows = texts.select(*by, _units(text).alias("xs"), odd.alias("odd"))
+    words = F.when(F.col("odd"), F.transform("xs", lambda x: _n_words(x).cast("int"))).otherwise(F.transform("xs", plain))
+    return rows.select(*by, F.transform("xs", lambda x: F.xxhash64(x)).alias("us"), words.alias("ws"))
+
+
+def _ahead(i: Column, words: int) -> Iterator[tuple[Column, Column]]:
+    """(hash, whether it begins within ``words`` words) of unit ``i`` and of ``AHEAD`` ones behind it; a null hash where there is none."""
+    before = F.lit(0)
+    for k in range(AHEAD + 1):
+        yield F.get("us", i + k), before < words
+        before = before + F.coalesce(F.get("ws", i + k), F.lit(0))
+
+
+def fingerprints(texts: DataFrame, *by: str) -> DataFrame:
+    """``f`` of every window minimum and ``k``, its place among the units with words, with the columns of ``by``."""
+
+    def least(_: Column, i: Column) -> Column:
+        """The place of the least hash in the window from unit ``i`` on; the last bits of a hash give way to the place."""
+        marked = [F.when(within, u.bitwiseAND(F.lit(-8)) + F.lit(k)) for k, (u, within) in enumerate(_ahead(i, WINDOW))]
+        return i + F.least(*marked).bitwiseAND(F.lit(7)).cast("int")
+
+    def mark(k: Column) -> Column:
+        """Null where the text ends within the fingerprint."""
+        units = list(_ahead(k, PRINT))
+        whole = functools.reduce(operator.and_, [~within | u.isNotNull() for u, within in units])
+        return F.struct(F.when(whole, F.xxhash64(*(F.when(within, u) for u, within in units))).alias("f"), k.alias("k"))
+
+    rows = unit_arrays(texts, *by).select(*by, "us", "ws", F.array_distinct(F.transform("us", least)).alias("minima"))
+    rows = rows.select(*by, F.explode(F.transform("minima", mark)).alias("y"))
+    return rows.select(*by, "y.f", "y.k").where("f is not null")
+
+
+def stretches(texts: DataFrame) -> DataFrame:
+    """``doc`` and each stretch from a unit on and up to one, once, whose first window may have a minimum among ``hits``: ``s``
+    (hash), and ``k1`` and ``k2``, the places of its first and last unit among those with words.
+
+    The least stretch from unit ``i`` on ends at some unit ``j``, that from the next unit on at some ``j2``. Those that
+    begin with ``i`` and are the least up to their last unit end from ``j`` on, before ``j2`` or at the end of the text.
+    """
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda k: F.sequence(F.greatest(k - AHEAD, F.lit(0)), k))))
+    rows = unit_arrays(texts, "doc", "hits").select("doc", "us", "ws", starts.alias("starts"))
+
+    def sizes(i: Column) -> Column:
+        """Units of the stretches that begin with unit ``i``: the least number and the largest; null if the text ends before."""
+        own, units = F.get("ws", i), F.slice("ws", i + 1, F.lit(STRETCH + 1))
+        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"), F.lit(0).alias("m"))
+
+        def longer(was: Column, w: Column) -> Column:
+            more = lambda n, words: was[n] + (was["words"] < words).cast("int")
+            return F.struct((was["words"] + w).alias("words"), more("n", F.lit(STRETCH)).alias("n"), more("m", own + STRETCH).alias("m"))
+
+        def ends(x: Column) -> Column:
+            most = F.when(x["words"] < own + STRETCH, x["m"]).otherwise(F.greatest(x["n"], x["m"] - 1))
+            return F.when(x["words"] >= STRETCH, F.struct(i.alias("i"), x["n"].alias("n"), most.alias("m")))
+
+        return F.aggregate(units, none, longer, ends)
+
+    rows = rows.select("doc", "us", F.explode(F.transform("starts", sizes)).alias("y")).where("y is not null")
+    rows = rows.select("doc", "us", F.col("y.i").alias("i"), F.explode(F.sequence("y.n", "y.m")).alias("n"))
+    return rows.select("doc", F.xxhash64(F.slice("us", F.col("i") + 1, F.col("n"))).alias("s"), F.col("i").alias("k1"), (F.col("i") + F.col("n") - 1).alias("k2"))
 
 
 def _agreeing(x: str, y: str, last: bool) -> Column:
@@ -123,63 +162,65 @@ def _agreeing(x: str, y: str, last: bool) -> Column:
 
 def repeated_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``d``, ``h`` and ``doc``: the numbers, in the order of ``doc_id`` and the MD5 of the text, of the documents with a
-    fingerprint that occurs twice; ``doc``, ``r`` and ``text`` of their rows)."""
+    fingerprint that occurs twice; ``doc``, ``hits`` (places of those fingerprints) and ``text`` of their rows)."""
     known = docs.where(F.length("text") > 0).select(*_doc(docs), "text")
-    dealt = known.withColumn("r", F.monotonically_increasing_id()).repartition("r")
-    prints = scratch.stash(fingerprints(dealt, ["r", "d", "h"]).drop("r"), "prints")
+    prints = scratch.stash(fingerprints(known, "d", "h"), "prints")
     again = scratch.stash(prints.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "again")
     # tables written at once: nothing above an exchange then keeps Spark from splitting the hot keys of a join
-    some = scratch.stash(prints.join(again.hint("merge"), "f").select("d", "h").distinct(), "some")
-    ordered = known.select("d", "h", F.md5("text").alias("m")).join(some.hint("merge"), ["d", "h"]).distinct().orderBy("d", "m", "h")
+    some = scratch.stash(prints.join(again.hint("merge"), "f").groupBy("d", "h").agg(F.collect_set("k").alias("hits")), "some")
+    ordered = known.select("d", "h", F.md5("text").alias("m")).join(some.select("d", "h").hint("merge"), ["d", "h"]).distinct().orderBy("d", "m", "h")
     ids = scratch.stash(ordered.select("d", "h", F.monotonically_increasing_id().alias("doc")), "ids")
-    near = known.join(ids.hint("merge"), ["d", "h"]).select("doc", F.monotonically_increasing_id().alias("r"), "text")
-    near = scratch.stash(near, "near", compression="zstd")
+    numbered = ids.join(some.hint("merge"), ["d", "h"])
+    near = scratch.stash(known.join(numbered.hint("merge"), ["d", "h"]).select("doc", "hits", "text"), "near", compression="zstd")
     for table in (prints, again, some):
         scratch.drop(table)
     return ids, near
 
 
 def _beside(near: DataFrame, asked: DataFrame) -> DataFrame:
-    """``x``: the unit with words before (``ahead``) or behind the unit at place ``p`` of text ``doc``."""
-    places = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("p", "ahead")).alias("places"))
+    """For each unit with words asked for, by its place ``k`` among them in text ``doc``: ``p``, its place among all units,
+    ``x``, the one before (``ahead``) or behind it, and ``words`` of the ``n`` units from it on."""
+    places = asked.groupBy("doc", "k", "ahead").agg(F.max("n").alias("n")).groupBy("doc").agg(F.collect_list(F.struct("k", "ahead", "n")).alias("places"))
     rows = near.join(places.hint("merge"), "doc").select("doc", "places", _pieces(F.col("text")).alias("all"))
-    units = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(_SPACE)).alias("x"))), lambda y: y["x"] != "")
+    units = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("p"), F.btrim(x, F.lit(_SPACE)).alias("x"))), lambda y: y["x"] != "")
     rows = rows.select("doc", "places", units.alias("units"))
 
-    def unit(place: Column) -> Column:
-        before, behind = (F.filter("units", f) for f in (lambda y: y["i"] < place["p"], lambda y: y["i"] > place["p"]))
-        return F.when(place["ahead"], F.try_element_at(before, F.lit(-1))["x"]).otherwise(F.try_element_at(behind, F.lit(1))["x"])
+    def unit(y: Column) -> Column:
+        words = F.aggregate(F.slice("units", y["k"] + 1, y["n"]), F.lit(0).cast("long"), lambda n, u: n + _n_words(u["x"]))
+        beside = F.get("units", F.when(y["ahead"], y["k"] - 1).otherwise(y["k"] + 1))["x"]
+        return F.struct(y["k"].alias("k"), y["ahead"].alias("ahead"), F.get("units", y["k"])["p"].alias("p"), beside.alias("x"), words.alias("words"))
 
-    found = rows.select("doc", F.explode(F.transform("places", lambda y: F.struct(y["p"].alias("p"), y["ahead"].alias("ahead"), unit(y).alias("x")))).alias("y"))
-    return found.select("doc", "y.*").dropDuplicates(["doc", "p", "ahead"])
+    found = rows.select("doc", F.explode(F.transform("places", unit)).alias("y"))
+    return found.select("doc", "y.*").dropDuplicates(["doc", "k", "ahead"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """``d``, ``h`` and ``runs``: what to delete of the documents that have some, as first and last place of units and words
     of the units before and behind."""
     ids, near = repeated_texts(docs)
-    parts = scratch.stash(stretches(near.repartition("r"), ["doc", "r"]), "stretches")
-    keys = parts.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("doc", "p1", "p2")).alias("f")).where("n > 1")
-    keys = scratch.stash(keys.select("s", F.col("f.doc").alias("doc0"), F.col("f.p1").alias("p0"), F.col("f.p2").alias("q0")), "keys")
-    later = parts.join(keys.hint("merge"), "s").where("doc > doc0 or doc = doc0 and p1 > p0")
-    met = scratch.stash(later.select("doc", "p1", "b1", "p2", "a2", "doc0", "p0", "q0"), "met")
+    parts = scratch.stash(stretches(near), "stretches")
+    keys = parts.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("doc", "k1", "k2")).alias("f")).where("n > 1")
+    keys = scratch.stash(keys.select("s", F.col("f.doc").alias("doc0"), F.col("f.k1").alias("k0"), F.col("f.k2").alias("q0")), "keys")
+    later = parts.join(keys.hint("merge"), "s").where("doc > doc0 or doc = doc0 and k1 > k0")
+    met = scratch.stash(later.select("doc", "k1", "k2", "doc0", "k0", "q0"), "met")
     scratch.drop(parts), scratch.drop(keys)
-    by = Window.partitionBy("doc").orderBy("b1", "a2")
-    ended = F.max("a2").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = met.withColumn("new", F.coalesce((F.col("b1") > ended).cast("int"), F.lit(1)))
+    by = Window.partitionBy("doc").orderBy("k1", "k2")
+    ended = F.max("k2").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = met.withColumn("new", F.coalesce((F.col("k1") > ended + 1).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    left, right = F.min_by(F.struct("doc0", "p0"), F.struct("b1", "a2")), F.max_by(F.struct("doc0", "q0"), F.struct("a2", "b1"))
-    words = (F.max("a2") - F.min("b1")).alias("words")
-    runs = rows.groupBy("doc", "run").agg(F.min("p1").alias("first"), F.max("p2").alias("last"), words, left.alias("l"), right.alias("g"))
-    runs = scratch.stash(runs.select("doc", "first", "last", "words", F.col("l.doc0").alias("ld"), F.col("l.p0").alias("lp"), F.col("g.doc0").alias("gd"), F.col("g.q0").alias("gp")), "runs")
-    sides = {"w": ("doc", "first", True), "x": ("ld", "lp", True), "y": ("doc", "last", False), "z": ("gd", "gp", False)}
-    asked = [runs.select(F.col(d).alias("doc"), F.col(p).alias("p"), F.lit(ahead).alias("ahead")) for d, p, ahead in sides.values()]
+    left, right = F.min_by(F.struct("doc0", "k0"), F.struct("k1", "k2")), F.max_by(F.struct("doc0", "q0"), F.struct("k2", "k1"))
+    runs = rows.groupBy("doc", "run").agg(F.min("k1").alias("begins"), F.max("k2").alias("ends"), left.alias("l"), right.alias("g"))
+    runs = scratch.stash(runs.select("doc", "begins", "ends", F.col("l.doc0").alias("ld"), F.col("l.k0").alias("lk"), F.col("g.doc0").alias("gd"), F.col("g.q0").alias("gk")), "runs")
+    sides = {"w": ("doc", "begins", True), "x": ("ld", "lk", True), "y": ("doc", "ends", False), "z": ("gd", "gk", False)}
+    size = F.col("ends") - F.col("begins") + 1
+    asked = [runs.select(F.col(d).alias("doc"), F.col(k).alias("k"), F.lit(ahead).alias("ahead"), (size if name == "w" else F.lit(0)).alias("n")) for name, (d, k, ahead) in sides.items()]
     answers = scratch.stash(_beside(near, functools.reduce(DataFrame.union, asked)), "beside")
-    for name, (d, p, ahead) in sides.items():
-        own = answers.where(F.col("ahead") == ahead).select(F.col("doc").alias(f"{name}_d"), F.col("p").alias(f"{name}_p"), F.col("x").alias(name))
-        runs = runs.join(own.hint("merge"), (F.col(d) == F.col(f"{name}_d")) & (F.col(p) == F.col(f"{name}_p")), "left").drop(f"{name}_d", f"{name}_p")
-    runs = runs.withColumns({"before": _agreeing("w", "x", True), "behind": _agreeing("y", "z", False)})
-    runs = runs.where(F.col("words") + F.col("before") + F.col("behind") >= MIN_WORDS)
+    more = {"w": ("p", "words"), "y": ("p",)}
+    for name, (d, k, ahead) in sides.items():
+        own = answers.where(F.col("ahead") == ahead).select(F.col("doc").alias(d), F.col("k").alias(k), F.col("x").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in more.get(name, ())))
+        runs = runs.join(own.hint("merge"), [d, k], "left")
+    runs = runs.withColumns({"before": _agreeing("w", "x", True), "behind": _agreeing("y", "z", False), "first": F.col("w_p"), "last": F.col("y_p")})
+    runs = runs.where(F.col("w_words") + F.col("before") + F.col("behind") >= MIN_WORDS)
     made = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last", "before", "behind"))).alias("runs"))
     made = scratch.stash(made.join(ids.hint("merge"), "doc").select("d", "h", "runs"), "deleted")
     for table in (met, near, ids, answers):
@@ -187,15 +228,25 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return made
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is made once, however often ``f`` reads it; plain columns are made again for each reader inside an
+    array function."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _without(text: Column, k: Column) -> Column:
     """A text without its first ``k`` words and the white space before them. A split with a limit finds where they end,
     as a pattern that repeats a word many times would exhaust the stack."""
-    whole = F.concat(text, F.lit(" "))
-    first = F.when(whole.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    rest = F.element_at(F.split(whole, r"[\x20\x09-\x0D]+", (k + 1 + first).cast("int")), -1)
-    gone = F.left(whole, F.length(whole) - F.length(rest))
-    out = F.concat(F.substring(gone, F.length(F.rtrim(gone, F.lit(_SPACE))) + 1, F.length(gone)), rest)
-    return F.when(k == 0, text).otherwise(F.left(out, F.length(out) - 1))
+
+    def cut(whole: Column) -> Column:
+        first = F.when(whole.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+        return _let(F.element_at(F.split(whole, r"[\x20\x09-\x0D]+", (k + 1 + first).cast("int")), -1), lambda rest: behind(whole, rest))
+
+    def behind(whole: Column, rest: Column) -> Column:
+        gone = F.left(whole, F.length(whole) - F.length(rest))
+        return _let(gone, lambda x: _let(F.concat(F.substring(x, F.length(F.rtrim(x, F.lit(_SPACE))) + 1, F.length(x)), rest), lambda out: F.left(out, F.length(out) - 1)))
+
+    return F.when(k == 0, text).otherwise(_let(F.concat(text, F.lit(" ")), cut))
 
 
 def _kept() -> Column:
@@ -208,7 +259,8 @@ def _kept() -> Column:
         was = F.get("runs", i - 1)
         start = F.coalesce(was["last"] + 1, F.lit(0))
         units = F.array_join(F.slice("all", start + 1, x["first"] - start), "")
-        return F.reverse(_without(F.reverse(_without(units, F.coalesce(was["behind"], none))), x["before"]))
+        onward = _let(units, lambda u: _without(u, F.coalesce(was["behind"], none)))
+        return _let(onward, lambda u: F.when(x["before"] == 0, u).otherwise(F.reverse(_let(F.reverse(u), lambda v: _without(v, x["before"])))))
 
     return F.transform(F.concat("runs", F.array(end)), gap)
 

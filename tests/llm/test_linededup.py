@@ -149,3 +149,11 @@ def test_pieces_are_whole(spark):
     for r in rows.collect():
         want = [y for x in re.split(r"(?<=\n)|(?<=[.!?] )", r.text) for y in (re.split("(?<=e )", x) if len(x.encode()) > linededup.LONG else [x])]
         assert "".join(r.x) == r.text and r.x == want
+
+
+def test_units_are_read_in_place(spark):
+    """Fingerprints need no order or exchange of units, and what stays between runs no copy of a text for each of its readers."""
+    texts = spark.createDataFrame([(1, PASSAGE)], "doc long, text string")
+    plan = linededup.fingerprints(texts, "doc")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Exchange" not in plan
+    assert str(linededup._kept()).count("split(") <= 2
