@@ -18,9 +18,10 @@ cuts the universe (64-bit hashes) into as many segments as its sets may differ i
    way round. Copies of each other share neighbourhoods as well, so their keys are never skipped that way. All costs are
    counted over all nodes.
 4. Candidates. Nodes under a key are compared by parity sketches of 2 bits a shingle, in tiles of bounded size. The bits in
-   which two sketches differ are a lower bound of the shingles in which the sets differ, so this drops no link. A first
-   round verifies each node's nearest candidate of another component only, on the texts, which joins most of a family of
-   copies; the last one verifies all candidates that are still across components.
+   which two sketches differ are a lower bound of the shingles in which the sets differ, so this drops no link. The first
+   rounds verify each node's nearest candidate of another component only, on the texts, which joins most of a family of
+   copies; there are as many as it takes until a probe has few candidates left. The last one verifies all candidates that
+   are still across components. Keys whose nodes are in one component leave after each round.
 5. Components of all links, and each document's through its node.
 
 Defined cases: A-Z fold to lower case, other letters do not; null, empty and blank texts have no set, no links and are
@@ -52,8 +53,10 @@ PERCENT = 85
 DEAR = 10_000
 #: Nodes of a key that are compared in one task; more are cut into chunks.
 TILE = 2048
-#: Rounds in which each node's nearest candidate alone is verified; each takes some thirty jobs.
-ROUNDS = 1
+#: Candidates of a probe, on the average, up to which all of them are verified. With more, rounds in which each node's
+#: nearest candidate alone is verified go on while they link something, ``ROUNDS`` at most; each takes some thirty jobs.
+NEIGHBOURS = 4
+ROUNDS = 8
 #: Keys of a bucket on the average.
 BUCKET_KEYS = 1 << 16
 BLOCK_CHARS = 1 << 22
@@ -349,7 +352,7 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
 
 def candidates(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """``r``, ``s`` and ``bits`` (in which their sketches differ): for each probe of a key, the entries of other components
-    that may link, or the nearest one of them. ``chunks`` of a row says into how many tiles its key's rows are cut a side.
+    that may link, or the nearest one of them. ``many`` says how many there are in the tile. ``chunks`` of a row says into how many tiles its key's rows are cut a side.
     A pair of nodes that share several keys comes out under the smallest of them only."""
     if not nearest:
         lists = [F.collect_set(F.when(on, F.col("key"))).alias(c) for on, c in ((F.col("v") == 1, "asked"), (F.col("own"), "held"))]
@@ -393,7 +396,8 @@ def candidates(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 i, j = np.nonzero(ok & ((node[r][:, None] < node[held][None, :]) | ~(asks[held][None, :] & own[r][:, None])))
                 i, j = i[once := once_a_pair(of, lists, r[i], held[j])], j[once]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(node[r[i]]), pa.array(node[held[j]]), pa.array(differ[i, j])], names=["r", "s", "bits"])
+                columns = [node[r[i]], node[held[j]], differ[i, j], ok.sum(axis=1, dtype=np.int64)[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["r", "s", "bits", "many"])
 
     def run(batches):
         tile, of = None, {}
@@ -412,7 +416,7 @@ def candidates(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield from near(of)
 
     dealt = tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "r long, s long, bits long")
+    return dealt.mapInArrow(run, "r long, s long, bits long, many long")
 
 
 def neighbourhood_pairs(docs: DataFrame, nodes: DataFrame, live: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
@@ -484,22 +488,30 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, dear: int =
         alone = live.join(single, ["node", "hub"]).groupBy("key").agg(F.count("*").alias("alone")).where(F.col("alone") > dear)
         live = live.drop("alone").join(scratch.stash(alone, "alone").hint("merge"), "key", "left").fillna(0, ["alone"])
     allotted = scratch.stash(allocate(live.select("key", "node", "own", "entries", "alone"), nodes, dear), "allocated")
-    known, parts = nodes.select("node", "n", "sketch").hint("merge"), [edges]
+    known, parts, left, was, nearest = nodes.select("node", "n", "sketch").hint("merge"), [edges], allotted.where("v = 1 or own"), None, True
     for step in range(ROUNDS + 1):
         label = components(functools.reduce(DataFrame.union, parts)).hint("merge")
-        rows = allotted.where("v = 1 or own").select("key", "node", "own", "v").join(label, "node", "left")
-        rows = scratch.stash(rows.select("key", "node", "own", "v", F.coalesce("root", "node").alias("root")), "rooted")
-        across = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+        rows = left.select("key", "node", "own", "v").join(label, "node", "left")
+        rooted = scratch.stash(rows.select("key", "node", "own", "v", F.coalesce("root", "node").alias("root")), "rooted")
+        across = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
         across = scratch.stash(across.where("x < y").select("key", "chunks"), "across")
-        rows = scratch.stash(rows.join(across.hint("merge"), "key").join(known, "node"), "open")
-        found = candidates(rows, percent, nearest=step < ROUNDS)
-        if step < ROUNDS:
-            found = found.groupBy("r").agg(F.min_by("s", F.struct("bits", "s")).alias("s"))
-        elif allotted.where("twos > 0").limit(1).count():
-            found = found.select("r", "s").union(neighbourhood_pairs(docs, nodes, allotted, percent, words))
-        parts.append(verified(_ordered(found, "r", "s"), docs, nodes, percent, words))
-        for table in (rows, across):
+        left = scratch.stash(rooted.join(across.hint("merge"), "key").join(known, "node"), "open")
+        for table in (rooted, across, was):
             scratch.drop(table)
+        was = left
+        if not nearest:
+            break
+        found = scratch.stash(candidates(left, percent, nearest=True), "nearest")
+        many, probes = found.agg(F.sum("many"), F.count("*")).first()
+        best = found.groupBy("r").agg(F.min_by("s", F.struct("bits", "s")).alias("s"))
+        parts.append(verified(_ordered(best, "r", "s"), docs, nodes, percent, words))
+        nearest = step + 1 < ROUNDS and (many or 0) > NEIGHBOURS * probes and parts[-1].limit(1).count() > 0
+        scratch.drop(found)
+    found = candidates(left, percent, nearest=False).select("r", "s")
+    if allotted.where("twos > 0").limit(1).count():
+        found = found.union(neighbourhood_pairs(docs, nodes, allotted, percent, words))
+    parts.append(verified(_ordered(found, "r", "s"), docs, nodes, percent, words))
+    scratch.drop(left)
     scratch.drop(votes), scratch.drop(allotted)
     return functools.reduce(DataFrame.union, parts)
 

@@ -111,3 +111,21 @@ def test_one_deletion_keys():
         for at in range(low[i], high[i]):
             assert universe.keys(np.delete(x, at), t)[i] in universe.shortened(x, t, np.array([i]))
     assert len(universe.shortened(x, t, np.arange(universe.segments(t)))) == 120
+
+
+def test_a_family_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """Copies that all link, and a hub that links with none: each round verifies a pair for each node at most."""
+    dice = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*base[: (at := dice.randrange(150))], f"own{i}", *base[at + 1 :]])) for i in range(300)]
+    counts, verified = [], jaccard.verified
+
+    def counted(pairs, *others):
+        linked = verified(pairs, *others)
+        counts.append(pairs.count())
+        return linked.limit(0) if len(counts) == 1 else linked
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 300
+    assert max(counts) <= 300, counts
