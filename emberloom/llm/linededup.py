@@ -10,6 +10,8 @@ words are skipped, wherever they stand. Words are what stands between ASCII whit
    ``PRINT`` words. A stretch is the least number of units with ``STRETCH`` words or more, from a unit on or up to one; the
    fingerprint of its first window's minimum lies within it, in every copy. So texts without a fingerprint that occurs
    twice have no repeated stretch, and leave here; in the others, only what begins up to ``AHEAD`` units before one goes on.
+   Of equal texts only the first takes part; the others go whole, from the first unit with words to the last, which is what
+   their stretches would give.
 2. Positions. Each stretch there joins the first one that is equal to it, by ``doc_id`` and then position (in the same
    text, too); all behind it are repeats. Positions never meet all others, and none needs to.
 3. Extension. Repeated stretches that overlap or touch grow together to runs, which so reach both ways as far as units
@@ -19,7 +21,7 @@ words are skipped, wherever they stand. Words are what stands between ASCII whit
 
 Every passage of which ``STRETCH`` words are whole units and ``MIN_WORDS`` words are in all is found. Hashes of whole
 lists of units stand for stretches: 64 bits, so that two of n different ones are taken for equal with a chance of about
-n * n / 2**65.
+n * n / 2**65. The same holds for texts, which are equal where their hashes are.
 
 Defined cases: null text stays null, empty text stays empty, neither has units; a null ``doc_id`` comes before
 all others; rows with equal ``doc_id`` and text are one document (each gets the same result); rows with equal
@@ -30,8 +32,9 @@ names; an empty table gives no rows. Blank units inside a run go with it, and th
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +47,8 @@ WINDOW = 8
 PRINT = STRETCH - WINDOW
 AHEAD = 4
 LONG = 120
+#: Words of a unit are counted up to here, which no rule tells from more (it is above ``MIN_WORDS``); all bits set.
+_CAP = 63
 _LEAST = -(2**63)
 _MARK = "\x01"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -75,13 +80,9 @@ def _doc(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.xxhash64("text").alias("h")]
 
 
-def _units(text: Column) -> Column:
-    """The units with words, trimmed."""
-    return F.filter(F.transform(_pieces(text), lambda x: F.btrim(x, F.lit(_SPACE))), lambda x: x != "")
-
-
 def unit_arrays(texts: DataFrame, *by: str) -> DataFrame:
-    """``us`` (hashes) and ``ws`` (numbers of words) of the units with words of ``text``, in arrays, with the columns of ``by``.
+    """``us`` (hashes) and ``ws`` (numbers of words, ``_CAP`` at most) of the units with words of ``text``, in arrays, and ``n``, the
+    number of all units, with the columns of ``by``.
 
     Words of most texts are their spaces and one; only a text with other white space is asked unit by unit. Arrays that are
     read at several places stand in selects of their own: in one with their readers, each reader would make them again.
@@ -89,66 +90,82 @@ def unit_arrays(texts: DataFrame, *by: str) -> DataFrame:
     text = F.col("text")
     odd = functools.reduce(operator.or_, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
     plain = lambda x: (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")
-    rows = texts.select(*by, _units(text).alias("xs"), odd.alias("odd"))
-    words = F.when(F.col("odd"), F.transform("xs", lambda x: _n_words(x).cast("int"))).otherwise(F.transform("xs", plain))
-    return rows.select(*by, F.transform("xs", lambda x: F.xxhash64(x)).alias("us"), words.alias("ws"))
+    rows = texts.select(*by, _pieces(text).alias("all"), odd.alias("odd"))
+    trimmed = F.filter(F.transform("all", lambda x: F.btrim(x, F.lit(_SPACE))), lambda x: x != "")
+    rows = rows.select(*by, F.size("all").alias("n"), trimmed.alias("xs"), "odd")
+    capped = lambda f: F.transform("xs", lambda x: F.least(f(x).cast("int"), F.lit(_CAP)))
+    words = F.when(F.col("odd"), capped(_n_words)).otherwise(capped(plain))
+    return rows.select(*by, "n", F.transform("xs", lambda x: F.xxhash64(x)).alias("us"), words.alias("ws"))
+
 
+def _within(units: list[Column], words: int) -> list[Column]:
+    """Whether each of these units begins within ``words`` words of the first; a unit's last bits are its words."""
+    sums = itertools.accumulate([F.coalesce(u.bitwiseAND(F.lit(_CAP)), F.lit(0)) for u in units[:-1]], operator.add)
+    return [F.lit(True), *(x < words for x in sums)]
 
-def _ahead(i: Column, words: int) -> Iterator[tuple[Column, Column]]:
-    """(hash, whether it begins within ``words`` words) of unit ``i`` and of ``AHEAD`` ones behind it; a null hash where there is none."""
-    before = F.lit(0)
-    for k in range(AHEAD + 1):
-        yield F.get("us", i + k), before < words
-        before = before + F.coalesce(F.get("ws", i + k), F.lit(0))
+
+def _least(units: list[Column]) -> Column:
+    """The place of the least hash in the window from the first of these units on; the last bits give way to the place."""
+    marked = [F.when(near, u.bitwiseAND(F.lit(~_CAP)) + F.lit(k)) for k, (u, near) in enumerate(zip(units, _within(units, WINDOW), strict=True))]
+    return F.least(*marked).bitwiseAND(F.lit(_CAP)).cast("int")
 
 
 def fingerprints(texts: DataFrame, *by: str) -> DataFrame:
     """``f`` of every window minimum and ``k``, its place among the units with words, with the columns of ``by``."""
+    return prints_of(unit_arrays(texts, *by), *by)
 
-    def least(_: Column, i: Column) -> Column:
-        """The place of the least hash in the window from unit ``i`` on; the last bits of a hash give way to the place."""
-        marked = [F.when(within, u.bitwiseAND(F.lit(-8)) + F.lit(k)) for k, (u, within) in enumerate(_ahead(i, WINDOW))]
-        return i + F.least(*marked).bitwiseAND(F.lit(7)).cast("int")
 
-    def mark(k: Column) -> Column:
-        """Null where the text ends within the fingerprint."""
-        units = list(_ahead(k, PRINT))
-        whole = functools.reduce(operator.and_, [~within | u.isNotNull() for u, within in units])
-        return F.struct(F.when(whole, F.xxhash64(*(F.when(within, u) for u, within in units))).alias("f"), k.alias("k"))
+def prints_of(arrays: DataFrame, *by: str) -> DataFrame:
+    """:func:`fingerprints` of what :func:`unit_arrays` gives.
 
-    rows = unit_arrays(texts, *by).select(*by, "us", "ws", F.array_distinct(F.transform("us", least)).alias("minima"))
-    rows = rows.select(*by, F.explode(F.transform("minima", mark)).alias("y"))
-    return rows.select(*by, "y.f", "y.k").where("f is not null")
+    A row for each unit reads those around it from the array, in compiled code, where array functions are interpreted unit by
+    unit. Windows' ends never go back, so a minimum that the window before had too is given out once. ``stack`` makes its
+    columns once, where filters and columns above would move down and make them again for each reader.
+    """
+    packed = F.zip_with("us", "ws", lambda u, w: u.bitwiseAND(F.lit(~_CAP)) + w)
+    rows = arrays.select(*by, packed.alias("us")).where(F.size("us") > 0)
+    rows = rows.select(*by, "us", F.explode(F.sequence(F.lit(0), F.size("us") - 1)).alias("i"))
+    u = [F.col(f"u{k}") for k in range(2 * AHEAD + 1)]
+    near = {"i": F.col("i"), "b": F.when(F.col("i") > 0, F.get("us", F.col("i") - 1))} | {f"u{k}": F.get("us", F.col("i") + k) for k in range(len(u))}
+    rows = rows.select(*by, F.stack(F.lit(1), *near.values()).alias(*near))
+    known = {"k": _least(u[: AHEAD + 1]), "was": _least([F.col("b"), *u[:AHEAD]])} | {x: F.col(x) for x in near}
+    rows = rows.select(*by, F.stack(F.lit(1), *known.values()).alias(*known)).where("b is null or was <> k + 1")
+    chosen = [functools.reduce(lambda x, k: x.when(F.col("k") == k, u[j + k]), range(1, AHEAD + 1), F.when(F.col("k") == 0, u[j])) for j in range(AHEAD + 1)]
+    rows = rows.select(*by, (F.col("i") + F.col("k")).alias("k"), *(c.alias(f"v{j}") for j, c in enumerate(chosen)))
+    v = [F.col(f"v{j}") for j in range(AHEAD + 1)]
+    near = _within(v, PRINT)
+    whole = functools.reduce(operator.and_, [~x | c.isNotNull() for c, x in zip(v, near, strict=True)])
+    # null where the text ends within the fingerprint
+    f = F.when(whole, F.xxhash64(*(F.when(x, c) for c, x in zip(v, near, strict=True))))
+    return rows.select(*by, F.stack(F.lit(1), f, F.col("k")).alias("f", "k")).where("f is not null")
 
 
 def stretches(texts: DataFrame) -> DataFrame:
     """``doc`` and each stretch from a unit on and up to one, once, whose first window may have a minimum among ``hits``: ``s``
-    (hash), and ``k1`` and ``k2``, the places of its first and last unit among those with words.
+    (hash), ``k1`` and ``k2``, the places of its first and last unit among those with words, and ``a1`` and ``a2``, the words
+    before it and up to its end. ``texts`` has ``doc``, ``hits``, ``us`` and ``ws``.
 
     The least stretch from unit ``i`` on ends at some unit ``j``, that from the next unit on at some ``j2``. Those that
     begin with ``i`` and are the least up to their last unit end from ``j`` on, before ``j2`` or at the end of the text.
     """
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda k: F.sequence(F.greatest(k - AHEAD, F.lit(0)), k))))
-    rows = unit_arrays(texts, "doc", "hits").select("doc", "us", "ws", starts.alias("starts"))
+    # the unit of each word, and the first word of each unit
+    unit_of = F.flatten(F.transform("ws", lambda w, i: F.array_repeat(i, w)))
+    rows = texts.select("doc", "us", "ws", starts.alias("starts"), unit_of.alias("unit_of"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("unit_of") - 1), lambda w: (w == 0) | (F.get("unit_of", w) != F.get("unit_of", w - 1)))
+    rows = rows.select("doc", "us", "ws", "starts", "unit_of", begins.alias("begins"))
+    end_of = lambda i: F.get("unit_of", F.get("begins", i) + (STRETCH - 1))
+    rows = rows.withColumn("starts", F.filter("starts", lambda i: end_of(i).isNotNull()))
 
-    def sizes(i: Column) -> Column:
-        """Units of the stretches that begin with unit ``i``: the least number and the largest; null if the text ends before."""
-        own, units = F.get("ws", i), F.slice("ws", i + 1, F.lit(STRETCH + 1))
-        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"), F.lit(0).alias("m"))
+    def from_unit(i: Column) -> Column:
+        least, following = end_of(i), F.coalesce(end_of(i + 1), F.size("us"))
+        return F.transform(F.sequence(least, F.greatest(least, following - 1)), lambda j: stretch(i, j))
 
-        def longer(was: Column, w: Column) -> Column:
-            more = lambda n, words: was[n] + (was["words"] < words).cast("int")
-            return F.struct((was["words"] + w).alias("words"), more("n", F.lit(STRETCH)).alias("n"), more("m", own + STRETCH).alias("m"))
+    def stretch(i: Column, j: Column) -> Column:
+        s = F.xxhash64(F.slice("us", i + 1, j - i + 1))
+        return F.struct(s.alias("s"), i.alias("k1"), j.alias("k2"), F.get("begins", i).alias("a1"), (F.get("begins", j) + F.get("ws", j)).alias("a2"))
 
-        def ends(x: Column) -> Column:
-            most = F.when(x["words"] < own + STRETCH, x["m"]).otherwise(F.greatest(x["n"], x["m"] - 1))
-            return F.when(x["words"] >= STRETCH, F.struct(i.alias("i"), x["n"].alias("n"), most.alias("m")))
-
-        return F.aggregate(units, none, longer, ends)
-
-    rows = rows.select("doc", "us", F.explode(F.transform("starts", sizes)).alias("y")).where("y is not null")
-    rows = rows.select("doc", "us", F.col("y.i").alias("i"), F.explode(F.sequence("y.n", "y.m")).alias("n"))
-    return rows.select("doc", F.xxhash64(F.slice("us", F.col("i") + 1, F.col("n"))).alias("s"), F.col("i").alias("k1"), (F.col("i") + F.col("n") - 1).alias("k2"))
+    return rows.select("doc", F.inline(F.flatten(F.transform("starts", from_unit))))
 
 
 def _agreeing(x: str, y: str, last: bool) -> Column:
@@ -160,74 +177,110 @@ def _agreeing(x: str, y: str, last: bool) -> Column:
     return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("long")
 
 
-def repeated_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``d``, ``h`` and ``doc``: the numbers, in the order of ``doc_id`` and the MD5 of the text, of the documents with a
-    fingerprint that occurs twice; ``doc``, ``hits`` (places of those fingerprints) and ``text`` of their rows)."""
-    known = docs.where(F.length("text") > 0).select(*_doc(docs), "text")
-    prints = scratch.stash(fingerprints(known, "d", "h"), "prints")
-    again = scratch.stash(prints.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "again")
+def _place(doc: Column, k: Column) -> Column:
+    """A document's number and a place in it as one number, in their order; numbers of rows make cheap aggregates."""
+    return F.shiftleft(doc, 31) + k
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``doc``, their number in this order, from 0 on. The driver gets a number of rows for each file."""
+    rows = scratch.stash(rows.orderBy(*order).withColumn("doc", F.monotonically_increasing_id()), "ids")
+    part = F.shiftrightunsigned("doc", 33)
+    sizes = {r.part: r.n for r in rows.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = [0, *itertools.accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0)))]
+    out = rows.withColumn("doc", F.get(F.array(*(F.lit(n).cast("long") for n in before)), part.cast("int")) + F.col("doc").bitwiseAND(F.lit(2**33 - 1)))
+    out._stash_path = rows._stash_path
+    return out
+
+
+def repeated_texts(cut: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Of the texts (``cut`` has their arrays, by ``d`` and ``h``) with a fingerprint that occurs at two places of different
+    texts or of one: ``h``, ``d`` and ``doc``, the number of its first document in the order of ``doc_id`` and the MD5 of the text, and
+    ``hits``, the places of those fingerprints. Copies count as one text here."""
+    prints = scratch.stash(prints_of(cut, "h"), "prints")
+    place = F.xxhash64("h", "k")
+    again = prints.groupBy("f").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("f")
+    again = scratch.stash(again, "again")
     # tables written at once: nothing above an exchange then keeps Spark from splitting the hot keys of a join
-    some = scratch.stash(prints.join(again.hint("merge"), "f").groupBy("d", "h").agg(F.collect_set("k").alias("hits")), "some")
-    ordered = known.select("d", "h", F.md5("text").alias("m")).join(some.select("d", "h").hint("merge"), ["d", "h"]).distinct().orderBy("d", "m", "h")
-    ids = scratch.stash(ordered.select("d", "h", F.monotonically_increasing_id().alias("doc")), "ids")
-    numbered = ids.join(some.hint("merge"), ["d", "h"])
-    near = scratch.stash(known.join(numbered.hint("merge"), ["d", "h"]).select("doc", "hits", "text"), "near", compression="zstd")
+    some = scratch.stash(prints.join(again.hint("merge"), "f").groupBy("h").agg(F.collect_set("k").alias("hits")), "some")
+    ids = _numbered(some.join(firsts.hint("merge"), "h"), "d", "m", "h")
     for table in (prints, again, some):
         scratch.drop(table)
-    return ids, near
+    return ids
 
 
-def _beside(near: DataFrame, asked: DataFrame) -> DataFrame:
+def _beside(known: DataFrame, ids: DataFrame, asked: DataFrame) -> DataFrame:
     """For each unit with words asked for, by its place ``k`` among them in text ``doc``: ``p``, its place among all units,
-    ``x``, the one before (``ahead``) or behind it, and ``words`` of the ``n`` units from it on."""
-    places = asked.groupBy("doc", "k", "ahead").agg(F.max("n").alias("n")).groupBy("doc").agg(F.collect_list(F.struct("k", "ahead", "n")).alias("places"))
-    rows = near.join(places.hint("merge"), "doc").select("doc", "places", _pieces(F.col("text")).alias("all"))
+    and ``x``, the one before (``ahead``) or behind it."""
+    places = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("k", "ahead")).alias("places"))
+    places = scratch.stash(ids.select("d", "h", "doc").join(places.hint("merge"), "doc"), "places")
+    rows = known.join(places.hint("shuffle_hash"), ["d", "h"]).select("doc", "places", _pieces(F.col("text")).alias("all"))
     units = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("p"), F.btrim(x, F.lit(_SPACE)).alias("x"))), lambda y: y["x"] != "")
     rows = rows.select("doc", "places", units.alias("units"))
 
     def unit(y: Column) -> Column:
-        words = F.aggregate(F.slice("units", y["k"] + 1, y["n"]), F.lit(0).cast("long"), lambda n, u: n + _n_words(u["x"]))
         beside = F.get("units", F.when(y["ahead"], y["k"] - 1).otherwise(y["k"] + 1))["x"]
-        return F.struct(y["k"].alias("k"), y["ahead"].alias("ahead"), F.get("units", y["k"])["p"].alias("p"), beside.alias("x"), words.alias("words"))
+        return F.struct(y["k"].alias("k"), y["ahead"].alias("ahead"), F.get("units", y["k"])["p"].alias("p"), beside.alias("x"))
 
     found = rows.select("doc", F.explode(F.transform("places", unit)).alias("y"))
     return found.select("doc", "y.*").dropDuplicates(["doc", "k", "ahead"])
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``d``, ``h`` and ``runs``: what to delete of the documents that have some, as first and last place of units and words
-    of the units before and behind."""
-    ids, near = repeated_texts(docs)
-    parts = scratch.stash(stretches(near), "stretches")
-    keys = parts.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("doc", "k1", "k2")).alias("f")).where("n > 1")
-    keys = scratch.stash(keys.select("s", F.col("f.doc").alias("doc0"), F.col("f.k1").alias("k0"), F.col("f.k2").alias("q0")), "keys")
-    later = parts.join(keys.hint("merge"), "s").where("doc > doc0 or doc = doc0 and k1 > k0")
-    met = scratch.stash(later.select("doc", "k1", "k2", "doc0", "k0", "q0"), "met")
+def repeated_runs(known: DataFrame, cut: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``d``, ``h`` and ``runs``: what to delete of the first documents of texts that have some, as first and last place of units
+    and words of the units before and behind."""
+    ids = repeated_texts(cut, firsts)
+    near = cut.select("d", "h", "us", "ws").join(ids.select("d", "h", "doc", "hits").hint("merge"), ["d", "h"])
+    parts = stretches(near).select("s", "doc", "k1", "k2", "a1", "a2")
+    parts = scratch.stash(parts, "stretches")
+    place = _place(F.col("doc"), F.col("k1"))
+    keys = parts.groupBy("s").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    keys = scratch.stash(keys.select("s", "first"), "keys")
+    met = scratch.stash(parts.join(keys.hint("merge"), "s").where(place > F.col("first")).drop("s"), "met")
     scratch.drop(parts), scratch.drop(keys)
     by = Window.partitionBy("doc").orderBy("k1", "k2")
     ended = F.max("k2").over(by.rowsBetween(Window.unboundedPreceding, -1))
     rows = met.withColumn("new", F.coalesce((F.col("k1") > ended + 1).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    left, right = F.min_by(F.struct("doc0", "k0"), F.struct("k1", "k2")), F.max_by(F.struct("doc0", "q0"), F.struct("k2", "k1"))
-    runs = rows.groupBy("doc", "run").agg(F.min("k1").alias("begins"), F.max("k2").alias("ends"), left.alias("l"), right.alias("g"))
-    runs = scratch.stash(runs.select("doc", "begins", "ends", F.col("l.doc0").alias("ld"), F.col("l.k0").alias("lk"), F.col("g.doc0").alias("gd"), F.col("g.q0").alias("gk")), "runs")
+    pair = lambda x, y: _place(F.col(x).cast("long"), F.col(y))
+    left, right = F.min_by("first", pair("k1", "k2")), F.max_by(F.col("first") + F.col("k2") - F.col("k1"), pair("k2", "k1"))
+    words = (F.max("a2") - F.min("a1")).cast("long")
+    runs = rows.groupBy("doc", "run").agg(F.min("k1").alias("begins"), F.max("k2").alias("ends"), words.alias("words"), left.alias("l"), right.alias("g"))
+    number, at = lambda x: F.shiftright(x, 31), lambda x: F.col(x).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    runs = runs.select("doc", "begins", "ends", "words", number("l").alias("ld"), at("l").alias("lk"), number("g").alias("gd"), at("g").alias("gk"))
+    runs = scratch.stash(runs, "runs")
     sides = {"w": ("doc", "begins", True), "x": ("ld", "lk", True), "y": ("doc", "ends", False), "z": ("gd", "gk", False)}
-    size = F.col("ends") - F.col("begins") + 1
-    asked = [runs.select(F.col(d).alias("doc"), F.col(k).alias("k"), F.lit(ahead).alias("ahead"), (size if name == "w" else F.lit(0)).alias("n")) for name, (d, k, ahead) in sides.items()]
-    answers = scratch.stash(_beside(near, functools.reduce(DataFrame.union, asked)), "beside")
-    more = {"w": ("p", "words"), "y": ("p",)}
+    asked = [runs.select(F.col(d).alias("doc"), F.col(k).alias("k"), F.lit(ahead).alias("ahead")) for d, k, ahead in sides.values()]
+    answers = scratch.stash(_beside(known, ids, functools.reduce(DataFrame.union, asked)), "beside")
     for name, (d, k, ahead) in sides.items():
-        own = answers.where(F.col("ahead") == ahead).select(F.col("doc").alias(d), F.col("k").alias(k), F.col("x").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in more.get(name, ())))
+        own = answers.where(F.col("ahead") == ahead).select(F.col("doc").alias(d), F.col("k").alias(k), F.col("x").alias(name), F.col("p").alias(f"{name}_p"))
         runs = runs.join(own.hint("merge"), [d, k], "left")
     runs = runs.withColumns({"before": _agreeing("w", "x", True), "behind": _agreeing("y", "z", False), "first": F.col("w_p"), "last": F.col("y_p")})
-    runs = runs.where(F.col("w_words") + F.col("before") + F.col("behind") >= MIN_WORDS)
+    runs = runs.where(F.col("words") + F.col("before") + F.col("behind") >= MIN_WORDS)
     made = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last", "before", "behind"))).alias("runs"))
-    made = scratch.stash(made.join(ids.hint("merge"), "doc").select("d", "h", "runs"), "deleted")
-    for table in (met, near, ids, answers):
+    made = scratch.stash(made.join(ids.select("d", "h", "doc").hint("merge"), "doc").select("d", "h", "runs"), "deleted")
+    for table in (met, ids, answers):
         scratch.drop(table)
     return made
 
 
+def verdicts(docs: DataFrame) -> DataFrame:
+    """For each document with a text: ``d``, ``h``, ``n`` (units), ``copy`` (whether an earlier one has its text) and ``runs``, if it
+    has some and is no copy."""
+    known = docs.where(F.length("text") > 0).select(*_doc(docs), "text")
+    # the first 15 digits of the MD5, in its order
+    cut = known.select("d", "h", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("m"), "text")
+    cut = scratch.stash(unit_arrays(cut, "d", "h", "m"), "cut")
+    firsts = scratch.stash(cut.groupBy("h").agg(F.min("d").alias("d"), F.min("m").alias("m")), "firsts")
+    made = repeated_runs(known, cut, firsts)
+    copies = cut.select("d", "h", "n").join(firsts.select("h", F.col("d").alias("d0")).hint("merge"), "h")
+    each = copies.groupBy("d", "h").agg(F.max("n").alias("n"), F.max(F.col("d") > F.col("d0")).alias("copy"))
+    out = scratch.stash(each.join(made.hint("merge"), ["d", "h"], "left"), "verdicts")
+    for table in (cut, firsts, made):
+        scratch.drop(table)
+    return out
+
+
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` of ``x``, which is made once, however often ``f`` reads it; plain columns are made again for each reader inside an
     array function."""
@@ -265,15 +318,25 @@ def _kept() -> Column:
     return F.transform(F.concat("runs", F.array(end)), gap)
 
 
+def _whole() -> Column:
+    """The one run of a copy: all from the first unit with words to the last, if it has ``MIN_WORDS`` words."""
+    blank = F.transform("all", lambda x: F.btrim(x, F.lit(_SPACE)) == "")
+    first, none = F.array_position(blank, False), F.lit(0).cast("long")
+    last = F.size("all") - F.array_position(F.reverse(blank), False)
+    run = F.struct((first - 1).cast("int").alias("first"), last.cast("int").alias("last"), none.alias("before"), none.alias("behind"))
+    return F.when(F.regexp_count(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]+")) >= MIN_WORDS, F.array(run))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The input with ``text`` cleaned, and ``n_lines`` (units), ``n_removed`` (whole ones) behind all its columns."""
-    runs = repeated_runs(docs)
+    found = verdicts(docs)
     d, h = _doc(docs)
-    joined = docs.select(F.struct(*docs.columns).alias("row"), d, h).join(runs.hint("merge"), ["d", "h"], "left")
+    joined = docs.select(F.struct(*docs.columns).alias("row"), d, h).join(found.hint("shuffle_hash"), ["d", "h"], "left")
     text = F.col("row.text")
-    cut = joined.select("row", "runs", F.when(F.length(text) > 0, _pieces(text)).alias("all"))
+    cut = joined.select("row", "n", "copy", "runs", F.when(F.col("copy") | F.col("runs").isNotNull(), _pieces(text)).alias("all"))
+    cut = cut.select("row", "n", "all", F.when(F.col("copy"), _whole()).otherwise(F.col("runs")).alias("runs"))
     gone = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    sizes = [F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0).cast("long")).alias("n_removed")]
+    sizes = [F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0).cast("long")).alias("n_removed")]
     clean = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(_kept(), ""))
     columns = [clean.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return cut.select(*columns, *sizes)

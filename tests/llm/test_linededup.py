@@ -157,3 +157,35 @@ def test_units_are_read_in_place(spark):
     plan = linededup.fingerprints(texts, "doc")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan and "Exchange" not in plan
     assert str(linededup._kept()).count("split(") <= 2
+
+
+def test_copies_are_judged_without_fingerprints(spark):
+    """Only the first of equal texts is compared; the others go whole, from the first word to the last, if they have 30."""
+    short, long = " ".join(f"w{i}" for i in range(25)) + ".\n", f"\n \n{PASSAGE}\nAn end.\n\n"
+    rows = [(5, long), (3, long), (3, long), (None, short), (7, short), (8, long), (9, f"Own. {PASSAGE} Other."), (2, f"x\n{PASSAGE} {PASSAGE}"), (4, f"x\n{PASSAGE} {PASSAGE}")]
+    got = same_as_sql(spark, rows)
+    assert sorted(r[2] > 0 for r in got) == [False] * 2 + [True] * 7
+    found = {(r.d, r.copy): r.runs for r in linededup.verdicts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {d for d, copy in found if copy} == {4, 5, 7, 8}
+    assert all(runs is None for (_, copy), runs in found.items() if copy)
+
+
+def test_fingerprints_are_compiled(spark):
+    """Windows are read by place, not by array functions, which Spark interprets unit by unit."""
+    texts = spark.createDataFrame([(1, [1, 2], [3, 4])], "doc long, us array<long>, ws array<int>")
+    plan = linededup.prints_of(texts, "doc")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lambdafunction(") <= 2  # units and words packed into one number
+    text = " ".join(sentences(random.Random(4), 60)) + " the one he" * 20
+    made = spark.createDataFrame([(1, text)], "doc long, text string")
+    units = linededup.unit_arrays(made).first()
+    want, n = set(), len(units.us)
+    packed = [(u & ~63) | w for u, w in zip(units.us, units.ws)]
+    for i in range(n):
+        window, words = [], 0
+        for k in range(i, min(i + linededup.AHEAD + 1, n)):
+            if words < linededup.WINDOW:
+                window.append((packed[k] & ~63, k))
+            words += units.ws[k]
+        want.add(min(window)[1])
+    got = {r.k for r in linededup.fingerprints(made, "doc").collect()}
+    assert got <= want and {k for k in want if k < n - linededup.PRINT} <= got
