@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberloom.llm import scratch
 from emberloom.llm.brown import held_out
@@ -200,25 +199,25 @@ def scores(docs: DataFrame, labels: DataFrame, mod: int = 4) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, mod: int = 4) -> DataFrame:
-    """The rows whose own text scores at or above the cut, with all their columns. They are written with their strengths,
-    so that no text is measured twice."""
+    """The rows whose own text scores at or above the cut, with all their columns. Strengths are written by id and hash of
+    the text, so that no text is measured twice and none is written; rows leave by a join with those below the cut."""
     ranker, ids = train(docs, labels, mod)
-    names, text, name = docs.columns, docs.columns.index("text"), "_strength"
-    while name in names:
-        name += "_"
-    kind = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("h")]
 
     def measure(batches):
         for batch in batches:
-            x = np.array([features(t or "") for t in batch.column(text).to_pylist()]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranker.strength(x), pa.float64())], names=kind.names)
+            x = np.array([features(t or "") for t in batch.column(3).to_pylist()]).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ranker.strength(x), pa.float64())], names=["doc_id", "d", "h", "v"])
 
-    rows = scratch.stash(docs.mapInArrow(measure, kind), "measured")
-    settled = settle(ranker, rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("v")), ids)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text")
+    rows = scratch.stash(texts.mapInArrow(measure, "doc_id long, d long, h long, v double"), "measured")
+    settled = settle(ranker, rows.select("doc_id", "v"), ids)
 
-    def choose(batches):
+    def below(batches):
         for batch in batches:
-            good = settled.score_of(batch.column(len(names)).to_numpy()) >= CUT_SCORE
-            yield batch.filter(pa.array(good)).select(names)
+            yield batch.filter(pa.array(~(settled.score_of(batch.column(2).to_numpy()) >= CUT_SCORE)))
 
-    return rows.mapInArrow(choose, docs.schema)
+    bad = scratch.stash(rows.select("d", "h", "v").mapInArrow(below, "d long, h long, v double").select("d", "h").distinct(), "rejected")
+    scratch.drop(rows)
+    known = docs.select(F.struct(*docs.columns).alias("row"), *key)
+    return known.join(bad.hint("shuffle_hash"), ["d", "h"], "left_anti").select("row.*")

@@ -340,6 +340,21 @@ def test_the_cut_is_of_all_labels(spark, monkeypatch):
     assert settled.cut == (order[bad - 1] + order[bad]) / 2 and len(rows) > 200
 
 
+def test_quality_writes_no_texts(spark, monkeypatch):
+    """Rows leave by id and hash of the text: repeated ones, other texts of an id and rows without an id by their own texts."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.scores(docs, labels).collect()
+    good, bad = {r.doc_id for r in found if r.predicted}, {r.doc_id for r in found if not r.predicted}
+    texts = {r.doc_id: r.text for r in docs.where(F.col("doc_id").isin([min(good), min(bad)])).collect()}
+    more = spark.createDataFrame([(None, texts[min(good)]), (None, texts[min(bad)]), (None, texts[min(good)])], "doc_id long, text string")
+    written, stash = [], quality.scratch.stash
+    monkeypatch.setattr(quality.scratch, "stash", lambda df, name, *a: written.append(df.dtypes) or stash(df, name, *a))
+    rows = docs.select("doc_id", "text")
+    kept = [r.doc_id for r in quality.keep_good(rows.union(rows).union(more), labels).collect()]
+    assert sorted(kept, key=str) == sorted([*good, *good, None, None], key=str)
+    assert written and not [c for kinds in written for c in kinds if c[1] == "string"]
+
+
 def test_quality_without_pairs_keeps_all(spark, docs):
     labels = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, quality int")
     assert quality.keep_good(docs, labels).count() == docs.count()
