@@ -49,6 +49,8 @@ AHEAD = 4
 LONG = 120
 #: Words of a unit are counted up to here, which no rule tells from more (it is above ``MIN_WORDS``); all bits set.
 _CAP = 63
+#: Bits for how far before its minimum a window may begin, ``AHEAD`` units at most.
+_BACK = AHEAD.bit_length()
 _LEAST = -(2**63)
 _MARK = "\x01"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -62,10 +64,10 @@ def _pieces(text: Column) -> Column:
     for end in _ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
     long = lambda x: F.octet_length(x) > LONG
-    finer = F.transform(F.split(marked, _MARK, -1), lambda x: F.when(long(x), F.replace(x, F.lit("e "), F.lit("e " + _MARK))).otherwise(x))
-    by_pattern = F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)
-    finer_by_pattern = F.flatten(F.transform(by_pattern, lambda x: F.when(long(x), F.split(x, "(?<=e )", -1)).otherwise(F.array(x))))
-    return F.when(F.contains(text, F.lit(_MARK)), finer_by_pattern).otherwise(F.split(F.array_join(finer, _MARK), _MARK, -1))
+    finer = lambda xs, cut: F.flatten(F.transform(xs, lambda x: F.when(long(x), cut(x)).otherwise(F.array(x))))
+    by_mark = finer(F.split(marked, _MARK, -1), lambda x: F.split(F.replace(x, F.lit("e "), F.lit("e " + _MARK)), _MARK, -1))
+    by_pattern = finer(F.split(text, r"(?<=\n)|(?<=[.!?] )", -1), lambda x: F.split(x, "(?<=e )", -1))
+    return F.when(F.contains(text, F.lit(_MARK)), by_pattern).otherwise(by_mark)
 
 
 def _n_words(x: Column) -> Column:
@@ -75,6 +77,11 @@ def _n_words(x: Column) -> Column:
     return F.when(x == "", 0).when(odd, F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(spaces + 1).cast("long")
 
 
+def _blank(x: Column) -> Column:
+    """Whether a unit has no words; trimmed on one side only, as Spark looks at the whole of a string before it trims the other."""
+    return F.ltrim(x, F.lit(_SPACE)) == ""
+
+
 def _doc(docs: DataFrame) -> list[Column]:
     """The columns that tell documents apart."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.xxhash64("text").alias("h")]
@@ -91,8 +98,10 @@ def unit_arrays(texts: DataFrame, *by: str) -> DataFrame:
     odd = functools.reduce(operator.or_, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
     plain = lambda x: (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")
     rows = texts.select(*by, _pieces(text).alias("all"), odd.alias("odd"))
-    trimmed = F.filter(F.transform("all", lambda x: F.btrim(x, F.lit(_SPACE))), lambda x: x != "")
-    rows = rows.select(*by, F.size("all").alias("n"), trimmed.alias("xs"), "odd")
+    # a line end is a unit's last character, and elsewhere a plain text has single spaces only
+    bare = lambda x: F.trim(F.when(F.endswith(x, F.lit("\n")), F.replace(x, F.lit("\n"), F.lit(""))).otherwise(x))
+    trimmed = F.when(F.col("odd"), F.transform("all", lambda x: F.btrim(x, F.lit(_SPACE)))).otherwise(F.transform("all", bare))
+    rows = rows.select(*by, F.size("all").alias("n"), F.filter(trimmed, lambda x: x != "").alias("xs"), "odd")
     capped = lambda f: F.transform("xs", lambda x: F.least(f(x).cast("int"), F.lit(_CAP)))
     words = F.when(F.col("odd"), capped(_n_words)).otherwise(capped(plain))
     return rows.select(*by, "n", F.transform("xs", lambda x: F.xxhash64(x)).alias("us"), words.alias("ws"))
@@ -111,7 +120,8 @@ def _least(units: list[Column]) -> Column:
 
 
 def fingerprints(texts: DataFrame, *by: str) -> DataFrame:
-    """``f`` of every window minimum and ``k``, its place among the units with words, with the columns of ``by``."""
+    """``f`` of every window minimum, ``k``, its place among the units with words, and ``i``, where the first window with this
+    minimum begins, with the columns of ``by``."""
     return prints_of(unit_arrays(texts, *by), *by)
 
 
@@ -120,52 +130,50 @@ def prints_of(arrays: DataFrame, *by: str) -> DataFrame:
 
     A row for each unit reads those around it from the array, in compiled code, where array functions are interpreted unit by
     unit. Windows' ends never go back, so a minimum that the window before had too is given out once. ``stack`` makes its
-    columns once, where filters and columns above would move down and make them again for each reader.
+    columns once, where filters and columns above would move down and make them again for each reader; places in the array
+    may be read again.
     """
-    packed = F.zip_with("us", "ws", lambda u, w: u.bitwiseAND(F.lit(~_CAP)) + w)
-    rows = arrays.select(*by, packed.alias("us")).where(F.size("us") > 0)
-    rows = rows.select(*by, "us", F.explode(F.sequence(F.lit(0), F.size("us") - 1)).alias("i"))
-    u = [F.col(f"u{k}") for k in range(2 * AHEAD + 1)]
-    near = {"i": F.col("i"), "b": F.when(F.col("i") > 0, F.get("us", F.col("i") - 1))} | {f"u{k}": F.get("us", F.col("i") + k) for k in range(len(u))}
-    rows = rows.select(*by, F.stack(F.lit(1), *near.values()).alias(*near))
-    known = {"k": _least(u[: AHEAD + 1]), "was": _least([F.col("b"), *u[:AHEAD]])} | {x: F.col(x) for x in near}
-    rows = rows.select(*by, F.stack(F.lit(1), *known.values()).alias(*known)).where("b is null or was <> k + 1")
-    chosen = [functools.reduce(lambda x, k: x.when(F.col("k") == k, u[j + k]), range(1, AHEAD + 1), F.when(F.col("k") == 0, u[j])) for j in range(AHEAD + 1)]
-    rows = rows.select(*by, (F.col("i") + F.col("k")).alias("k"), *(c.alias(f"v{j}") for j, c in enumerate(chosen)))
+    at = lambda k: F.get("us", k).bitwiseAND(F.lit(~_CAP)) + F.get("ws", k)  # noqa: E731  hash and words in one number
+    rows = arrays.select(*by, "us", "ws").where(F.size("us") > 0)
+    rows = rows.select(*by, "us", "ws", F.explode(F.sequence(F.lit(0), F.size("us") - 1)).alias("i"))
+    u = [F.col(f"u{k}") for k in range(AHEAD + 1)]
+    rows = rows.select(*by, "us", "ws", "i", at(F.col("i") - 1).alias("b"), *(at(F.col("i") + k).alias(f"u{k}") for k in range(AHEAD + 1)))
+    rows = rows.select(*by, "us", "ws", "i", F.stack(F.lit(1), _least(u), _least([F.col("b"), *u[:AHEAD]])).alias("k", "was"))
+    rows = rows.where("i = 0 or was <> k + 1").select(*by, "us", "ws", "i", (F.col("i") + F.col("k")).alias("k"))
     v = [F.col(f"v{j}") for j in range(AHEAD + 1)]
+    rows = rows.select(*by, "i", "k", *(at(F.col("k") + j).alias(f"v{j}") for j in range(AHEAD + 1)))
     near = _within(v, PRINT)
     whole = functools.reduce(operator.and_, [~x | c.isNotNull() for c, x in zip(v, near, strict=True)])
     # null where the text ends within the fingerprint
     f = F.when(whole, F.xxhash64(*(F.when(x, c) for c, x in zip(v, near, strict=True))))
-    return rows.select(*by, F.stack(F.lit(1), f, F.col("k")).alias("f", "k")).where("f is not null")
+    return rows.select(*by, F.stack(F.lit(1), f, F.col("k"), F.col("i")).alias("f", "k", "i")).where("f is not null")
 
 
 def stretches(texts: DataFrame) -> DataFrame:
-    """``doc`` and each stretch from a unit on and up to one, once, whose first window may have a minimum among ``hits``: ``s``
+    """``doc`` and each stretch from a unit on and up to one, once, whose first window has its minimum among ``hits``: ``s``
     (hash), ``k1`` and ``k2``, the places of its first and last unit among those with words, and ``a1`` and ``a2``, the words
-    before it and up to its end. ``texts`` has ``doc``, ``hits``, ``us`` and ``ws``.
+    before it and up to its end. ``texts`` has ``doc``, ``hits`` (see :func:`repeated_texts`), ``us`` and ``ws``.
 
     The least stretch from unit ``i`` on ends at some unit ``j``, that from the next unit on at some ``j2``. Those that
     begin with ``i`` and are the least up to their last unit end from ``j`` on, before ``j2`` or at the end of the text.
+    A row for each stretch reads the arrays by place, in compiled code.
     """
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda k: F.sequence(F.greatest(k - AHEAD, F.lit(0)), k))))
+    last = lambda x: F.shiftright(x, _BACK).cast("int")
+    windows = lambda x: F.sequence(last(x) - x.bitwiseAND(F.lit(2**_BACK - 1)).cast("int"), last(x))
+    starts = F.array_distinct(F.flatten(F.transform("hits", windows)))
     # the unit of each word, and the first word of each unit
     unit_of = F.flatten(F.transform("ws", lambda w, i: F.array_repeat(i, w)))
     rows = texts.select("doc", "us", "ws", starts.alias("starts"), unit_of.alias("unit_of"))
-    begins = F.filter(F.sequence(F.lit(0), F.size("unit_of") - 1), lambda w: (w == 0) | (F.get("unit_of", w) != F.get("unit_of", w - 1)))
+    begins = F.filter(F.sequence(F.lit(0), F.size("unit_of") - 1), lambda w: ~F.get("unit_of", w).eqNullSafe(F.get("unit_of", w - 1)))
     rows = rows.select("doc", "us", "ws", "starts", "unit_of", begins.alias("begins"))
+    # an outer one brings no filter that would make the starts again
+    rows = rows.select("doc", "us", "ws", "unit_of", "begins", F.explode_outer("starts").alias("k1"))
     end_of = lambda i: F.get("unit_of", F.get("begins", i) + (STRETCH - 1))
-    rows = rows.withColumn("starts", F.filter("starts", lambda i: end_of(i).isNotNull()))
-
-    def from_unit(i: Column) -> Column:
-        least, following = end_of(i), F.coalesce(end_of(i + 1), F.size("us"))
-        return F.transform(F.sequence(least, F.greatest(least, following - 1)), lambda j: stretch(i, j))
-
-    def stretch(i: Column, j: Column) -> Column:
-        s = F.xxhash64(F.slice("us", i + 1, j - i + 1))
-        return F.struct(s.alias("s"), i.alias("k1"), j.alias("k2"), F.get("begins", i).alias("a1"), (F.get("begins", j) + F.get("ws", j)).alias("a2"))
-
-    return rows.select("doc", F.inline(F.flatten(F.transform("starts", from_unit))))
+    least, following = end_of(F.col("k1")), F.coalesce(end_of(F.col("k1") + 1), F.size("us"))
+    rows = rows.select("*", F.coalesce(least, F.lit(-1)).alias("least"), following.alias("following")).where("least >= 0")
+    rows = rows.select("doc", "us", "ws", "begins", "k1", F.explode(F.sequence("least", F.greatest("least", F.col("following") - 1))).alias("k2"))
+    s = F.xxhash64(F.slice("us", F.col("k1") + 1, F.col("k2") - F.col("k1") + 1))
+    return rows.select("doc", s.alias("s"), "k1", "k2", F.get("begins", "k1").alias("a1"), (F.get("begins", "k2") + F.get("ws", "k2")).alias("a2"))
 
 
 def _agreeing(x: str, y: str, last: bool) -> Column:
@@ -196,13 +204,15 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
 def repeated_texts(cut: DataFrame, firsts: DataFrame) -> DataFrame:
     """Of the texts (``cut`` has their arrays, by ``d`` and ``h``) with a fingerprint that occurs at two places of different
     texts or of one: ``h``, ``d`` and ``doc``, the number of its first document in the order of ``doc_id`` and the MD5 of the text, and
-    ``hits``, the places of those fingerprints. Copies count as one text here."""
+    ``hits``, the places of those fingerprints, and in the last ``_BACK`` bits how many units before them the first window with
+    this minimum begins; so no other unit begins a repeated stretch. Copies count as one text here."""
     prints = scratch.stash(prints_of(cut, "h"), "prints")
     place = F.xxhash64("h", "k")
     again = prints.groupBy("f").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("f")
     again = scratch.stash(again, "again")
+    hit = F.shiftleft(F.col("k").cast("long"), _BACK) + F.col("k") - F.col("i")
     # tables written at once: nothing above an exchange then keeps Spark from splitting the hot keys of a join
-    some = scratch.stash(prints.join(again.hint("merge"), "f").groupBy("h").agg(F.collect_set("k").alias("hits")), "some")
+    some = scratch.stash(prints.join(again.hint("shuffle_hash"), "f").groupBy("h").agg(F.collect_set(hit).alias("hits")), "some")
     ids = _numbered(some.join(firsts.hint("merge"), "h"), "d", "m", "h")
     for table in (prints, again, some):
         scratch.drop(table)
@@ -215,12 +225,13 @@ def _beside(known: DataFrame, ids: DataFrame, asked: DataFrame) -> DataFrame:
     places = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("k", "ahead")).alias("places"))
     places = scratch.stash(ids.select("d", "h", "doc").join(places.hint("merge"), "doc"), "places")
     rows = known.join(places.hint("shuffle_hash"), ["d", "h"]).select("doc", "places", _pieces(F.col("text")).alias("all"))
-    units = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("p"), F.btrim(x, F.lit(_SPACE)).alias("x"))), lambda y: y["x"] != "")
-    rows = rows.select("doc", "places", units.alias("units"))
+    full = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda p: ~_blank(F.get("all", p)))
+    rows = rows.select("doc", "places", "all", full.alias("full"))
 
     def unit(y: Column) -> Column:
-        beside = F.get("units", F.when(y["ahead"], y["k"] - 1).otherwise(y["k"] + 1))["x"]
-        return F.struct(y["k"].alias("k"), y["ahead"].alias("ahead"), F.get("units", y["k"])["p"].alias("p"), beside.alias("x"))
+        beside = F.get("full", F.when(y["ahead"], y["k"] - 1).otherwise(y["k"] + 1))
+        x = F.btrim(F.get("all", beside), F.lit(_SPACE))
+        return F.struct(y["k"].alias("k"), y["ahead"].alias("ahead"), F.get("full", y["k"]).alias("p"), x.alias("x"))
 
     found = rows.select("doc", F.explode(F.transform("places", unit)).alias("y"))
     return found.select("doc", "y.*").dropDuplicates(["doc", "k", "ahead"])
@@ -230,13 +241,13 @@ def repeated_runs(known: DataFrame, cut: DataFrame, firsts: DataFrame) -> DataFr
     """``d``, ``h`` and ``runs``: what to delete of the first documents of texts that have some, as first and last place of units
     and words of the units before and behind."""
     ids = repeated_texts(cut, firsts)
-    near = cut.select("d", "h", "us", "ws").join(ids.select("d", "h", "doc", "hits").hint("merge"), ["d", "h"])
+    near = cut.select("d", "h", "us", "ws").join(ids.select("d", "h", "doc", "hits").hint("shuffle_hash"), ["d", "h"])
     parts = stretches(near).select("s", "doc", "k1", "k2", "a1", "a2")
     parts = scratch.stash(parts, "stretches")
     place = _place(F.col("doc"), F.col("k1"))
     keys = parts.groupBy("s").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     keys = scratch.stash(keys.select("s", "first"), "keys")
-    met = scratch.stash(parts.join(keys.hint("merge"), "s").where(place > F.col("first")).drop("s"), "met")
+    met = scratch.stash(parts.join(keys.hint("shuffle_hash"), "s").where(place > F.col("first")).drop("s"), "met")
     scratch.drop(parts), scratch.drop(keys)
     by = Window.partitionBy("doc").orderBy("k1", "k2")
     ended = F.max("k2").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -254,7 +265,7 @@ def repeated_runs(known: DataFrame, cut: DataFrame, firsts: DataFrame) -> DataFr
     answers = scratch.stash(_beside(known, ids, functools.reduce(DataFrame.union, asked)), "beside")
     for name, (d, k, ahead) in sides.items():
         own = answers.where(F.col("ahead") == ahead).select(F.col("doc").alias(d), F.col("k").alias(k), F.col("x").alias(name), F.col("p").alias(f"{name}_p"))
-        runs = runs.join(own.hint("merge"), [d, k], "left")
+        runs = runs.join(own.hint("shuffle_hash"), [d, k], "left")
     runs = runs.withColumns({"before": _agreeing("w", "x", True), "behind": _agreeing("y", "z", False), "first": F.col("w_p"), "last": F.col("y_p")})
     runs = runs.where(F.col("words") + F.col("before") + F.col("behind") >= MIN_WORDS)
     made = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last", "before", "behind"))).alias("runs"))
@@ -320,7 +331,7 @@ def _kept() -> Column:
 
 def _whole() -> Column:
     """The one run of a copy: all from the first unit with words to the last, if it has ``MIN_WORDS`` words."""
-    blank = F.transform("all", lambda x: F.btrim(x, F.lit(_SPACE)) == "")
+    blank = F.transform("all", _blank)
     first, none = F.array_position(blank, False), F.lit(0).cast("long")
     last = F.size("all") - F.array_position(F.reverse(blank), False)
     run = F.struct((first - 1).cast("int").alias("first"), last.cast("int").alias("last"), none.alias("before"), none.alias("behind"))

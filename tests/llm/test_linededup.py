@@ -189,3 +189,18 @@ def test_fingerprints_are_compiled(spark):
         want.add(min(window)[1])
     got = {r.k for r in linededup.fingerprints(made, "doc").collect()}
     assert got <= want and {k for k in want if k < n - linededup.PRINT} <= got
+
+
+def test_only_units_whose_window_has_a_repeated_minimum_begin_stretches(spark):
+    """A window of one unit is no reason to look at the units before it; and arrays are made once for a text."""
+    words = lambda n: " ".join([f"u{n}"] + ["word"] * 9)  # noqa: E731  each fills its window
+    own = [(1, ". ".join(words(n) for n in range(12))), (2, ". ".join(words(n) for n in (20, 21, 22, 23, 4, 5, 6, 24, 25)))]
+    cut = linededup.unit_arrays(spark.createDataFrame(own, DOCS).select(*linededup._doc(spark.createDataFrame(own, DOCS)), F.lit(0).cast("long").alias("m"), "text"), "d", "h", "m")
+    cut = linededup.scratch.stash(cut, "cut")
+    ids = linededup.repeated_texts(cut, cut.select("h", "d", "m"))
+    near = cut.select("d", "h", "us", "ws").join(ids.select("d", "h", "doc", "hits"), ["d", "h"])
+    made = linededup.stretches(near)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 1 and plan.count("array_repeat(") == 1
+    got = {(r.doc, r.k1) for r in made.collect()}
+    assert got == {(0, 4), (0, 5), (1, 4), (1, 5)}  # fingerprints of two units: 4 and 5, 5 and 6
