@@ -204,3 +204,35 @@ def test_only_units_whose_window_has_a_repeated_minimum_begin_stretches(spark):
     assert plan.count("array_distinct(") == 1 and plan.count("array_repeat(") == 1
     got = {(r.doc, r.k1) for r in made.collect()}
     assert got == {(0, 4), (0, 5), (1, 4), (1, 5)}  # fingerprints of two units: 4 and 5, 5 and 6
+
+
+def plain_and_odd_texts():
+    """Units of 119 to 121 bytes in every place, and the same texts with and without white space that is looked at unit by unit."""
+    texts = []
+    for n in (118, 119, 120, 121):
+        unit = "the one he " * 10 + "x" * (n - 110)
+        texts += [unit, f"{unit}\n", f"{unit}. ", f"{unit[:-1]}. Own", f"{unit[:-1]}! Own\n{unit}", f"a? {unit}", f"a\n{unit}", f"\n{unit}\n\nb"]
+    texts += ["a.\nb", "a. \nb", "a \nb", "a\n b", " a", "a ", ". . ", "e e e. e ", "a.b c!d? e", "the one he " * 30, "word " * 70 + "end", "wé été. é", "\n", "? ", "x"]
+    return texts + [t + end for t in texts for end in (" \tz", "\rz", "  z", "\x0b", "\x0cz. ")]
+
+
+def test_units_of_plain_texts_are_those_of_all(spark):
+    """Plain texts are cut at line ends put in for spaces; units, hashes and words are those of the units one by one."""
+    texts = plain_and_odd_texts()
+    made = linededup.unit_arrays(spark.createDataFrame(list(enumerate(texts)), DOCS), "doc_id")
+    got = {r.doc_id: (r.n, r.us, r.ws) for r in made.collect()}
+    want, every = {}, {}
+    for i, text in enumerate(texts):
+        raw = [y for x in re.split(r"(?<=\n)|(?<=[.!?] )", text) for y in (re.split("(?<=e )", x) if len(x.encode()) > linededup.LONG else [x])]
+        units = [x for x in (x.strip(linededup._SPACE) for x in raw) if x]
+        want[i] = len(raw), units, [min(len(re.findall(r"[^\x20\x09-\x0D]+", x)), linededup._CAP) for x in units]
+        every |= dict.fromkeys(units)
+    hashes = {r.text: r.h for r in spark.createDataFrame([(x,) for x in every], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    assert got == {i: (n, [hashes[x] for x in units], words) for i, (n, units, words) in want.items()}
+
+
+def test_plain_units_are_not_trimmed_one_by_one(spark):
+    """Units of plain texts come out of the cut trimmed; only odd texts are trimmed unit by unit."""
+    texts = spark.createDataFrame([(1, PASSAGE)], DOCS)
+    plan = linededup.unit_arrays(texts, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and plan.count("trim(") == 1 and plan.count("endswith(") <= 1
