@@ -248,7 +248,7 @@ theme as (select root, id, count(*) over (partition by root) as n from label qua
 
 
 def _themes(spark, sf_dir) -> DataFrame:
-    return themes.themes(similarity.cosine_links(t(spark, sf_dir, "embeddings"), THEME_COSINE))
+    return themes.vector_themes(t(spark, sf_dir, "embeddings"), THEME_COSINE)
 
 
 @query(_THEMES + " select root, n, id from theme")
