@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberloom.functions import scores
+from emberloom.operators.scratch import written
 
 
 def rolling_mean(rows: DataFrame, key: str, order: str, value: str, n: int = 3) -> DataFrame:
@@ -50,8 +51,21 @@ def estimates(tasks: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """``p50`` and ``p85`` by nearest rank, and the median."""
-    return rows.groupBy(key).agg(F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("p50"), F.expr(f"percentile_disc(0.85) within group (order by {value})").alias("p85"), F.median(value).alias("median"))
+    """``p50`` and ``p85`` by nearest rank, and the median; null for keys without values.
+
+    Equal values are counted, and the counts sorted over all tasks; a place in a key's order is a sum within its
+    part of the order and the sums of the parts before, so no task holds the values of a key.
+    """
+    counts = rows.groupBy(key, value).agg(F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.count("*")).cast("long").alias("n"))
+    counts = counts.select(F.col(key).alias("k"), F.col(value).alias("x"), "n").repartitionByRange("k", "x")
+    counts = written(counts.withColumn("part", F.spark_partition_id()), "counts")
+    parts, order = counts.groupBy("k", "part").agg(F.sum("n").alias("own")), Window.partitionBy("k")
+    parts = parts.select(F.col("k").alias("pk"), F.col("part").alias("pp"), (F.sum("own").over(order.orderBy("part")) - F.col("own")).alias("before"), F.sum("own").over(order).alias("all"))
+    placed = counts.join(parts, F.col("k").eqNullSafe(F.col("pk")) & (F.col("part") == F.col("pp")))
+    placed = placed.withColumn("last", F.col("before") + F.sum("n").over(Window.partitionBy("k", "part").orderBy("x")))
+    at = lambda rank: F.max(F.expr(f"case when {rank} between last - n + 1 and last then double(x) end"))
+    found = placed.groupBy("k").agg(at("(`all` + 1) div 2").alias("p50"), at("(`all` * 85 + 99) div 100").alias("p85"), at("(`all` + 2) div 2").alias("above"))
+    return found.select(F.col("k").alias(key), "p50", "p85", ((F.col("p50") + F.col("above")) / 2).alias("median"))
 
 
 def drift(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
