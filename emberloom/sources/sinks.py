@@ -45,6 +45,12 @@ def _files(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no pointer names."""
+    target, system = _files(spark, path)
+    system.delete(target, True)
+
+
 def _last(spark: SparkSession, table: str) -> int:
     """Number of the last pointer; 0 before the first."""
     target, system = _files(spark, f"{table}/_pointers")
